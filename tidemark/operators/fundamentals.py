@@ -12,6 +12,7 @@ from tidemark.operators.asof import latest_bar
 from tidemark.operators.filters import (
     is_earnings_report, is_ordinary, passes_fundamentals, quality_eligible, turnover_mean)
 from tidemark.operators.ordered import percentile_rank
+from tidemark.session import pin
 
 FLOW_ITEMS = ("revenue", "op_income", "net_income")
 OUTLIER_RATIO = 5.0
@@ -168,6 +169,7 @@ def quality_score(pool: DataFrame, kind: str) -> DataFrame:
     if kind not in SCORE_KINDS:
         raise ValueError(f"unknown score kind: {kind}")
     weights = SCORE_KINDS[kind]
+    pool = pin(pool, "pool")
     values = {
         "roe": F.col("net_income_ttm") / F.col("equity"),
         "margin": F.col("op_income_ttm") / F.col("revenue_ttm"),

@@ -4,6 +4,9 @@ A window partitioned only by the group key would put the whole group into one ta
 cut every group into ordered shards first. The cut points are a pure function of the data (a
 hash-selected subset of the order keys), so recomputed tasks and separate branches of a plan always
 agree, and they only decide where work is split: every row is kept and every result is exact.
+
+Cutting reads the input several times. The public functions therefore write it once to the shared
+folder (``pin``) and read narrow columns back, unless told that the input is cheap to read again.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import pin
+
 SHARDS = 1024
 PER_SHARD = 8
 
@@ -62,8 +67,9 @@ def with_offsets(sharded: DataFrame, keys: Sequence[str], measure: Column, name:
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn",
-                shards: int = SHARDS) -> DataFrame:
+                shards: int = SHARDS, write_once: bool = True) -> DataFrame:
     """Exact 1-based row number and group size (``_total``); ``order`` must be unique per group."""
+    df = pin(df, "rows") if write_once else df
     sharded = with_offsets(with_shard(df, keys, order, shards), keys, F.count(F.lit(1)))
     local = Window.partitionBy(*keys, "_shard").orderBy(*order)
     return sharded.withColumn(name, F.col("_before") + F.row_number().over(local)).drop("_shard", "_before")
@@ -74,7 +80,7 @@ def distinct_counts(df: DataFrame, keys: Sequence[str], x: str, shards: int = SH
 
     Counting before ordering folds any number of equal values into one row.
     """
-    values = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("cnt"))
+    values = pin(df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("cnt")), "values")
     sharded = with_offsets(with_shard(values, keys, [x], shards), keys, F.sum("cnt"))
     local = Window.partitionBy(*keys, "_shard").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
     return sharded.withColumn(
@@ -84,6 +90,7 @@ def distinct_counts(df: DataFrame, keys: Sequence[str], x: str, shards: int = SH
 
 def percentile_rank(df: DataFrame, keys: Sequence[str], x: str, name: str, shards: int = SHARDS) -> DataFrame:
     """W12. Average-tie rank divided by the number of values; NULL where ``x`` is NULL."""
+    df = pin(df, "rank")
     ranks = distinct_counts(df, keys, x, shards).select(
         *keys, x, ((F.col("below") + (F.col("cnt") + 1) / 2) / F.col("_total")).alias(name)
     )
@@ -91,12 +98,13 @@ def percentile_rank(df: DataFrame, keys: Sequence[str], x: str, name: str, shard
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], x: str, probs: Sequence[float],
-                    shards: int = SHARDS) -> DataFrame:
+                    shards: int = SHARDS, write_once: bool = True) -> DataFrame:
     """Linear-interpolation quantiles per group: ``n`` and ``q`` (array in the order of ``probs``).
 
     Only the shards that contain a needed position are ordered; the rest are just counted.
     """
     rows = df.where(F.col(x).isNotNull()).select(*keys, x)
+    rows = pin(rows, "rows") if write_once else rows
     sharded = with_shard(rows, keys, [x], shards)
     per = sharded.groupBy(*keys, "_shard").agg(F.count(F.lit(1)).alias("_m"))
     across = Window.partitionBy(*keys).orderBy("_shard")

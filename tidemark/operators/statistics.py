@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tidemark.functions.nulls import finite_or_null
 from tidemark.operators.asof import latest_bar
 from tidemark.operators.ordered import exact_quantiles, row_numbers, with_shard
+from tidemark.session import pin
 
 RANK_BUCKETS = ((1, 2), (3, 5), (6, 10), (11, 20))
 BOOTSTRAP_BLOCK = 20_000
@@ -82,12 +83,13 @@ def quantile_buckets(df: DataFrame, keys: Sequence[str], metric: str, outcome: s
                      min_rows: int = 1000) -> DataFrame:
     """A10. Equal-frequency buckets of ``metric`` with statistics of ``outcome``.
 
-    Exact edges come from a distributed selection; rows then meet only the small edge table.
+    Exact edges come from a distributed selection; rows then meet only the small edge table. The
+    input is read several times: pin it when it is expensive.
     """
     rows = df.select(*keys, finite_or_null(F.col(metric)).alias("_x"), finite_or_null(F.col(outcome)).alias("_y")).where(
         F.col("_x").isNotNull() & F.col("_y").isNotNull())
     probs = [i / buckets for i in range(buckets + 1)]
-    edges = exact_quantiles(rows, keys, "_x", probs).where(F.col("n") >= min_rows).select(
+    edges = exact_quantiles(rows, keys, "_x", probs, write_once=False).where(F.col("n") >= min_rows).select(
         *keys, F.array_distinct("q").alias("_edges"))
     edges = edges.where(F.size("_edges") > 1)
     placed = rows.join(edges, list(keys)).withColumn("bucket", bucket_of(F.col("_edges"), F.col("_x")))
@@ -110,8 +112,8 @@ def monotonicity(buckets: DataFrame, keys: Sequence[str], min_buckets: int = 3)
 
 def metric_panel(signals: DataFrame, forward: DataFrame, metrics: Sequence[str], horizons: Sequence[int]) -> DataFrame:
     """J19, C28. Long form (metric, horizon, x, y) of signals joined to forward returns."""
-    joined = signals.select("code", "d", *metrics).join(
-        forward.select("code", "d", *[f"fwd_{h}" for h in horizons]), ["code", "d"])
+    joined = pin(signals.select("code", "d", *metrics).join(
+        forward.select("code", "d", *[f"fwd_{h}" for h in horizons]), ["code", "d"]), "panel")
     cells = F.array(*[
         F.struct(F.lit(m).alias("metric"), F.lit(h).alias("horizon"), F.col(m).alias("x"), F.col(f"fwd_{h}").alias("y"))
         for m in metrics for h in horizons])
@@ -129,8 +131,9 @@ def factor_deciles(signals: DataFrame, forward: DataFrame, metrics: Sequence[str
 def horizon_baseline(forward: DataFrame, horizons: Sequence[int]) -> DataFrame:
     """A13. Mean, median and count of forward returns per horizon."""
     cells = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"fwd_{h}").alias("y")) for h in horizons])
-    long = forward.select(F.explode(cells).alias("_c")).select("_c.*").where(F.col("y").isNotNull())
-    middle = exact_quantiles(long, ["horizon"], "y", [0.5]).select("horizon", F.element_at("q", 1).alias("median"))
+    base = pin(forward.select(*[f"fwd_{h}" for h in horizons]), "forward")
+    long = base.select(F.explode(cells).alias("_c")).select("_c.*").where(F.col("y").isNotNull())
+    middle = exact_quantiles(long, ["horizon"], "y", [0.5], write_once=False).select("horizon", F.element_at("q", 1).alias("median"))
     return long.groupBy("horizon").agg(F.avg("y").alias("mean"), F.count(F.lit(1)).alias("n")).join(middle, "horizon")
 
 
@@ -185,7 +188,7 @@ def compound_drawdown(trades: DataFrame, keys: Sequence[str], order: Sequence[st
     """
     keys = list(keys)
     log = F.when(F.col(ret) > -1, F.log1p(F.col(ret))).otherwise(F.lit(float("-inf")))
-    rows = with_shard(trades.select(*keys, *order, log.alias("_g")), keys, order)
+    rows = with_shard(pin(trades.select(*keys, *order, log.alias("_g")), "curve"), keys, order)
     local = Window.partitionBy(*keys, "_shard").orderBy(*order)
     up = local.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_cum", F.sum("_g").over(up))
@@ -298,7 +301,7 @@ def performance_report(sells: DataFrame, order: Sequence[str], keys: Sequence[st
                        min_rows: int = 5) -> DataFrame:
     """A22. Count, win rate, mean, deviation, t, half means and drawdown; keys below 5 trades drop out."""
     keys = list(keys)
-    rows = sells.where(F.col(ret).isNotNull())
+    rows = pin(sells.where(F.col(ret).isNotNull()).select(*dict.fromkeys([*keys, *order, ret])), "sells")
     if not keys:
         rows, keys = rows.withColumn("_g", F.lit(0)), ["_g"]
     stats = trade_statistics(rows, keys, ret=ret, held=None, reason=None).where(F.col("n") >= min_rows)

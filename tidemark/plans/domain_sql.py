@@ -164,3 +164,28 @@ WINDOW w30 AS {W30}) b WHERE seq > 30) e"""
 
 
 cte("signals", "bars flows credit", signals_sql("bars", "flows", "credit"))
+
+cte("run_trades", "sales", """
+SELECT CAST(substr(o_orderpriority, 1, 1) AS BIGINT) * 10000 + instr('ABFHM', substr(c_mktsegment, 1, 1)) * 1000 + (wy - 1990) * 2 + wl AS run_id,
+  substr(o_orderpriority, 1, 1) AS priority, substr(c_mktsegment, 1, 1) AS segment, wy AS y, wl AS long, o_orderkey AS id, code,
+  CAST(d - 10 AS DATE) AS entry_d, d AS exit_d, o_totalprice / CAST(1 + o_orderkey % 10 AS DOUBLE) AS entry_px,
+  o_totalprice / CAST(1 + o_orderkey % 10 AS DOUBLE) * (1 + ret) AS exit_px, ret AS ret_pct,
+  CASE o_orderkey % 3 WHEN 0 THEN 'stop' WHEN 1 THEN 'expiry' ELSE 'heat_signal' END AS exit_reason
+FROM (SELECT *, CAST((o_orderkey * 37) % 201 - 100 AS DOUBLE) / 1000 AS ret FROM (
+  SELECT *, year(d) AS wy, 0 AS wl FROM sales WHERE o_orderstatus = 'F'
+  UNION ALL
+  SELECT *, CASE WHEN year(d) % 2 = 0 THEN year(d) ELSE year(d) - 1 END AS wy, 1 AS wl FROM sales
+  WHERE o_orderstatus = 'F' AND (year(d) IN (1996, 1998) OR (year(d) IN (1997, 1999) AND month(d) <= 6))) u) v""")
+cte("runs", "run_trades", """
+SELECT *, coalesce(rank_col, '') || '|' || slots || '|' || coalesce(exit_rank, '') || '|' || coalesce(pit, '') || '|' || coalesce(marcap, '')
+    || '|' || coalesce(wf, '') || '|' || coalesce(control, '') AS fp
+FROM (SELECT run_id AS id, CAST(DATE '2002-01-01' + CAST((run_id * 37) % 500 AS INTEGER) AS TIMESTAMP) AS ts,
+  CASE priority WHEN '1' THEN 'q3_' WHEN '2' THEN 'contrarian_' WHEN '3' THEN 'pit_' WHEN '4' THEN 'fundamental_' ELSE 'wf_' END
+    || segment || '_' || CAST(y AS VARCHAR) || CASE WHEN long = 1 THEN 'L' ELSE '' END AS strategy,
+  make_date(y, 1, 1) AS start_d, CASE WHEN long = 1 THEN make_date(y + 1, 6, 30) ELSE make_date(y, 12, 31) END AS end_d,
+  CASE priority WHEN '1' THEN 'heat_score' WHEN '2' THEN 'volume_ratio' WHEN '3' THEN 'credit_surge_ratio' WHEN '4' THEN 'institution_flow_ratio' END AS rank_col,
+  CASE WHEN segment = 'B' THEN '12' ELSE '5' END AS slots, CASE WHEN segment = 'F' THEN '0.9' END AS exit_rank,
+  CASE WHEN segment = 'H' THEN 'true' END AS pit, CASE WHEN segment = 'M' THEN 'false' END AS marcap,
+  CASE WHEN priority = '5' THEN 'true' END AS wf, CASE WHEN priority = '5' AND segment = 'A' THEN 'true' END AS control,
+  n, m * 100 AS mean_pct, sd * 100 AS std_pct, CASE WHEN sd > 0 THEN m / (sd / sqrt(n)) ELSE 0 END AS t_val
+FROM (SELECT run_id, priority, segment, y, long, count(*) AS n, avg(ret_pct) AS m, stddev_pop(ret_pct) AS sd FROM run_trades GROUP BY ALL) g) h""")

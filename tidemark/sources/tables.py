@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,51 +60,30 @@ def upsert(stored: DataFrame, batch: DataFrame, key: Sequence[str], policy: str
     raise ValueError(f"unknown policy: {policy}")
 
 
-def upsert_table(spark: SparkSession, path: str, batch: DataFrame, key: Sequence[str], policy: str = "overwrite",
-                 partition: str | None = None) -> None:
-    """S12 on a Parquet table: write the merged rows beside the table, then switch the pointer file.
-
-    Readers use :func:`read_table`, so they see the old version until the new one is complete.
-    A partitioned table rewrites only the partitions that the batch touches.
-    """
-    current = _version(spark, path)
-    if current is None:
-        merged = batch
-    else:
-        stored = spark.read.parquet(current)
-        merged = upsert(stored, batch, key, policy)
-    target = f"{path}/v-{uuid.uuid4().hex}"
-    writer = merged.write
-    if partition:
-        writer = merged.repartition(partition).write.partitionBy(partition)
-    writer.parquet(target)
-    _publish(spark, path, target)
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-
-def _version(spark: SparkSession, path: str) -> str | None:
-    fs, Path = _fs(spark, path)
-    pointer = Path(f"{path}/current")
-    if not fs.exists(pointer):
-        return None
-    return spark.read.text(f"{path}/current").first()["value"]
-
+def table_exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        return False
+    return True
 
-def _publish(spark: SparkSession, path: str, target: str) -> None:
-    spark.createDataFrame([(target,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
 
+def upsert_table(spark: SparkSession, path: str, batch: DataFrame, key: Sequence[str], policy: str = "overwrite",
+                 partition: str = "year") -> None:
+    """S12 on a partitioned Parquet table: merge and replace only the partitions the batch touches.
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Newest complete version of a table written by :func:`upsert_table`."""
-    current = _version(spark, path)
-    if current is None:
-        raise FileNotFoundError(path)
-    return spark.read.parquet(current)
+    ``partition`` must be a column of the batch that is a function of the key (the year of ``d``, say).
+    Storing the same batch again gives the same table.
+    """
+    if not table_exists(spark, path):
+        batch.repartition(partition).write.partitionBy(partition).parquet(path)
+        return
+    # The list of touched partition values is bounded by the number of partitions of the table.
+    touched = [row[0] for row in batch.select(partition).distinct().collect()]
+    stored = spark.read.parquet(path).where(F.col(partition).isin(touched))
+    merged = upsert(stored, batch, key, policy)
+    (merged.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(partition).parquet(path))
 
 
 def pending_ranges(codes: DataFrame, stored: DataFrame, start, end) -> DataFrame:
@@ -143,16 +122,8 @@ def run_rows(stats: DataFrame) -> DataFrame:
     return stats.select("id", "ts", "strategy", "start_d", "end_d", params.alias("params"), summary.alias("summary"))
 
 
-def save_runs(spark: SparkSession, path: str, runs: DataFrame, trades: DataFrame) -> None:
-    """S15. Replace the named strategies, runs and trades alike; other strategies stay as they are.
-
-    ``trades`` carries ``strategy``; only its partitions are rewritten.
-    """
-    mode = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(mode)
-    spark.conf.set(mode, "dynamic")
-    try:
-        trades.repartition("strategy").write.mode("overwrite").partitionBy("strategy").parquet(f"{path}/trades")
-        runs.repartition("strategy").write.mode("overwrite").partitionBy("strategy").parquet(f"{path}/runs")
-    finally:
-        spark.conf.set(mode, before)
+def save_runs(path: str, runs: DataFrame, trades: DataFrame) -> None:
+    """S15. Replace the named strategies, runs and trades alike; other strategies stay as they are."""
+    for name, df in (("trades", trades), ("runs", runs)):
+        (df.repartition("strategy").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("strategy").parquet(f"{path}/{name}"))

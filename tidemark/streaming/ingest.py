@@ -17,12 +17,12 @@ def read_landed(spark: SparkSession, path: str, schema: str, files_per_batch: in
 
 
 def ingest(stream: DataFrame, normalise: Callable[[DataFrame], DataFrame], table: str, key: Sequence[str], checkpoint: str,
-           policy: str = "overwrite", available_now: bool = True) -> StreamingQuery:
+           policy: str = "overwrite", partition: str = "year", available_now: bool = True) -> StreamingQuery:
     """S20. Land pages into a keyed table. The checkpoint is the cursor: it moves only when a batch
     is stored, and storing the same batch again changes nothing."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        upsert_table(batch.sparkSession, table, normalise(batch), key, policy)
+        upsert_table(batch.sparkSession, table, normalise(batch), key, policy, partition)
 
     writer = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")).start()
