@@ -18,40 +18,41 @@ from pyspark.sql import functions as F
 
 from tidemark.session import pin
 
-SHARDS = 1024
-PER_SHARD = 8
+SHARDS = 256  # most shards per group
+SHARD_ROWS = 100_000  # groups up to this size stay whole
+PER_SHARD = 16
 
 
-def _cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str], shards: int) -> DataFrame:
-    """One row per group: at most ``shards - 1`` ordered cut points."""
-    keep = shards * PER_SHARD
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+def _cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str], shards: int, shard_rows: int) -> DataFrame:
+    """One row per large group: its ordered cut points, one per ``shard_rows`` rows up to ``shards``."""
+    size = F.count(F.lit(1))
+    want = F.least(F.lit(shards), F.ceil(size / F.lit(shard_rows))).cast("int")
+    large = df.groupBy(*keys).agg(size.alias("_n"), want.alias("_want")).where(F.col("_want") > 1)
     subset = (
-        df.join(sizes, list(keys))
-        .where(F.pmod(F.xxhash64(*keys, *order), F.col("_n")) < keep)
-        .select(*keys, F.struct(*order).alias("_k"))
+        df.join(large, list(keys))
+        .where(F.pmod(F.xxhash64(*keys, *order), F.col("_n")) < F.col("_want") * PER_SHARD)
+        .select(*keys, "_want", F.struct(*order).alias("_k"))
     )
-    ranked = subset.groupBy(*keys).agg(F.sort_array(F.collect_set("_k")).alias("_s"))
-    size = F.size("_s")
-    step = F.greatest(F.lit(1), F.ceil(size / F.lit(shards)).cast("int"))
+    ranked = subset.groupBy(*keys).agg(F.sort_array(F.collect_set("_k")).alias("_s"), F.first("_want").alias("_want"))
+    step = F.greatest(F.lit(1), F.ceil(F.size("_s") / F.col("_want")).cast("int"))
     return ranked.select(*keys, F.filter("_s", lambda x, i: (i > 0) & (i % step == 0)).alias("_cuts"))
 
 
-def _position(cuts: Column, key: Column, shards: int) -> Column:
-    """Number of cut points at or below ``key``, searched in blocks of sqrt(shards)."""
-    block = max(2, int(shards ** 0.5))
+def _position(cuts: Column, key: Column) -> Column:
+    """Number of cut points at or below ``key``, searched in blocks of 16."""
+    block = 16
     heads = F.filter(cuts, lambda x, i: i % block == 0)
     skip = F.greatest(F.size(F.filter(heads, lambda x: x <= key)) - 1, F.lit(0)) * block
     inside = F.slice(cuts, skip + 1, F.lit(block))
     return skip + F.size(F.filter(inside, lambda x: x <= key))
 
 
-def with_shard(df: DataFrame, keys: Sequence[str], order: Sequence[str], shards: int = SHARDS) -> DataFrame:
+def with_shard(df: DataFrame, keys: Sequence[str], order: Sequence[str], shards: int | None = None,
+               shard_rows: int | None = None) -> DataFrame:
     """Add ``_shard``: the ordered slice of its group that a row belongs to."""
-    cuts = _cuts(df, keys, order, shards)
-    return df.join(cuts, list(keys), "left").withColumn(
-        "_shard", F.coalesce(_position(F.col("_cuts"), F.struct(*order), shards), F.lit(0))
-    ).drop("_cuts")
+    cuts = _cuts(df, keys, order, shards or SHARDS, shard_rows or SHARD_ROWS)
+    at = F.when(F.col("_cuts").isNotNull(), _position(F.col("_cuts"), F.struct(*order))).otherwise(F.lit(0))
+    return df.join(cuts, list(keys), "left").withColumn("_shard", at).drop("_cuts")
 
 
 def with_offsets(sharded: DataFrame, keys: Sequence[str], measure: Column, name: str = "_before") -> DataFrame:
@@ -67,7 +68,7 @@ def with_offsets(sharded: DataFrame, keys: Sequence[str], measure: Column, name:
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn",
-                shards: int = SHARDS, write_once: bool = True) -> DataFrame:
+                shards: int | None = None, write_once: bool = True) -> DataFrame:
     """Exact 1-based row number and group size (``_total``); ``order`` must be unique per group."""
     df = pin(df, "rows") if write_once else df
     sharded = with_offsets(with_shard(df, keys, order, shards), keys, F.count(F.lit(1)))
@@ -75,7 +76,7 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     return sharded.withColumn(name, F.col("_before") + F.row_number().over(local)).drop("_shard", "_before")
 
 
-def distinct_counts(df: DataFrame, keys: Sequence[str], x: str, shards: int = SHARDS) -> DataFrame:
+def distinct_counts(df: DataFrame, keys: Sequence[str], x: str, shards: int | None = None) -> DataFrame:
     """Per distinct value: ``cnt`` rows, ``below`` rows with a smaller value, ``_total`` rows.
 
     Counting before ordering folds any number of equal values into one row.
@@ -88,7 +89,7 @@ def distinct_counts(df: DataFrame, keys: Sequence[str], x: str, shards: int = SH
     ).drop("_shard", "_before")
 
 
-def percentile_rank(df: DataFrame, keys: Sequence[str], x: str, name: str, shards: int = SHARDS) -> DataFrame:
+def percentile_rank(df: DataFrame, keys: Sequence[str], x: str, name: str, shards: int | None = None) -> DataFrame:
     """W12. Average-tie rank divided by the number of values; NULL where ``x`` is NULL."""
     df = pin(df, "rank")
     ranks = distinct_counts(df, keys, x, shards).select(
@@ -98,7 +99,7 @@ def percentile_rank(df: DataFrame, keys: Sequence[str], x: str, name: str, shard
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], x: str, probs: Sequence[float],
-                    shards: int = SHARDS, write_once: bool = True) -> DataFrame:
+                    shards: int | None = None, write_once: bool = True) -> DataFrame:
     """Linear-interpolation quantiles per group: ``n`` and ``q`` (array in the order of ``probs``).
 
     Only the shards that contain a needed position are ordered; the rest are just counted.

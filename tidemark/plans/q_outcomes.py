@@ -155,8 +155,9 @@ cte("numbered", "entries", "SELECT *, row_number() OVER (PARTITION BY code ORDER
 
 
 def chain_sql(op):
-    return f"""WITH RECURSIVE nxt AS (SELECT n.code, n.i, (SELECT min(m.i) FROM numbered m WHERE m.code = n.code AND m.d {op} n.exit_d) AS j FROM numbered n),
-kept(code, i) AS (SELECT code, min(i) FROM numbered GROUP BY code UNION ALL SELECT k.code, x.j FROM kept k JOIN nxt x ON x.code = k.code AND x.i = k.i WHERE x.j IS NOT NULL)
+    cmp = "<" if op == ">" else "<="
+    return f"""WITH RECURSIVE nxt AS MATERIALIZED (SELECT n.code, n.i, m.i AS j FROM numbered n ASOF JOIN (SELECT code, d, i FROM numbered) m ON m.code = n.code AND n.exit_d {cmp} m.d),
+kept(code, i) AS (SELECT code, min(i) FROM numbered GROUP BY code UNION ALL SELECT k.code, x.j FROM kept k JOIN nxt x ON x.code = k.code AND x.i = k.i)
 {outcome_select('numbered JOIN kept USING (code, i)')}"""
 
 
@@ -261,7 +262,7 @@ cte("edges", "panel", """
 SELECT metric, horizon, list_distinct(list(e)) AS edges FROM (SELECT metric, horizon, unnest(quantile_cont(x, [0.0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0])) AS e
 FROM panel GROUP BY metric, horizon HAVING count(*) >= 3000) q GROUP BY metric, horizon""")
 cte("buckets", "panel edges", """
-SELECT metric, horizon, greatest(len(list_filter(edges, e -> e < x)) - 1, 0) AS bucket, count(*) AS n, avg(y) AS mean, stddev_samp(y) AS std, min(x) AS lo, max(x) AS hi
+SELECT metric, horizon, greatest(len(list_filter(edges, lambda e: e < x)) - 1, 0) AS bucket, count(*) AS n, avg(y) AS mean, stddev_samp(y) AS std, min(x) AS lo, max(x) AS hi
 FROM panel JOIN edges USING (metric, horizon) GROUP BY ALL""")
 
 
