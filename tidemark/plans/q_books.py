@@ -354,9 +354,9 @@ def p13(t):
     return t.bars.select("code", "d", K.position_size(F.lit(10000000.0), F.lit(10), F.col("c") * 200).alias("qty"))
 
 
-@query("p14_stop_price", f"SELECT code, d, {r(f'CASE WHEN v % 2 > 0 THEN o * (1 - (v % 2) * 0.07) ELSE 0 END')} AS stop_px FROM bars", "bars")
+@query("p14_stop_price", f"SELECT code, d, {r(f'CASE WHEN v % 2 > 0 THEN o * (1 - (v % 2) * 0.07) ELSE 0 END', 9)} AS stop_px FROM bars", "bars")
 def p14(t):
-    return rounded(t.bars.select("code", "d", K.stop_price(F.col("o"), (F.col("v") % 2) * F.lit(0.07)).alias("stop_px")), 6, stop_px=6)
+    return rounded(t.bars.select("code", "d", K.stop_price(F.col("o"), (F.col("v") % 2) * F.lit(0.07)).alias("stop_px")), 9, stop_px=9)
 
 
 @query("p16_mark", """SELECT code, d, round((c / o - 1) * 100, 2) + 0.0 AS pct, round((c - o) * CAST(v AS DOUBLE), 0) + 0.0 AS unrealized FROM bars""", "bars")
@@ -453,7 +453,7 @@ def c37(t):
     from tidemark.session import pin
 
     base = pin(entries(t), "entries")
-    pool = pin(O.outcome_table(t.bars, stop_pct=0.6).select("code", "d", "ret"), "pool")
+    pool = pin(O.outcome_table(t.bars, stop_pct=0.6).select("code", "entry_d", "ret"), "pool")
     start, end = "1995-01-01", "2001-12-31"
 
     def between(a, b):
