@@ -97,7 +97,7 @@ def setting(value: Column, default) -> Column:
 
 def name_list(value: Column) -> Column:
     """P21. Comma list without blanks."""
-    return F.filter(F.transform(F.split(value, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(value, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def has_key(doc: Column, key: str) -> Column:
