@@ -98,45 +98,47 @@ def percentile_rank(df: DataFrame, keys: Sequence[str], x: str, name: str, shard
     return df.join(ranks, [*keys, x], "left")
 
 
+def _grid(x: Column) -> Column:
+    """Monotone bucket of a finite number: 256 buckets per power of two, mirrored below zero."""
+    steps, shift = 256, 300_000  # the shift keeps exponents of the smallest numbers positive
+    size = F.floor(F.log2(F.abs(x)) * steps) + shift
+    return F.when(x == 0, F.lit(0).cast("bigint")).when(x > 0, size).otherwise(-size)
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], x: str, probs: Sequence[float],
                     shards: int | None = None, write_once: bool = True) -> DataFrame:
     """Linear-interpolation quantiles per group: ``n`` and ``q`` (array in the order of ``probs``).
 
-    Only the shards that contain a needed position are ordered; the rest are just counted.
+    Rows are first only counted on a fixed grid of values; then just the grid cells that hold a
+    needed position are ordered. The grid bounds the rows per group of the running count.
     """
-    rows = df.where(F.col(x).isNotNull()).select(*keys, x)
-    rows = pin(rows, "rows") if write_once else rows
-    sharded = with_shard(rows, keys, [x], shards)
-    per = sharded.groupBy(*keys, "_shard").agg(F.count(F.lit(1)).alias("_m"))
-    across = Window.partitionBy(*keys).orderBy("_shard")
-    per = per.select(
-        *keys, "_shard", "_m",
+    keys = list(keys)
+    rows = df.where(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias(x))
+    rows = (pin(rows, "rows") if write_once else rows).withColumn("_b", _grid(F.col(x)))
+    across = Window.partitionBy(*keys).orderBy("_b")
+    per = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_m")).select(
+        *keys, "_b", "_m",
         F.coalesce(F.sum("_m").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_m").over(Window.partitionBy(*keys)).alias("_total"),
+        F.sum("_m").over(Window.partitionBy(*keys)).alias("_all"),
     )
     prob = F.array(*[F.lit(float(p)) for p in probs])
     wanted = per.withColumn("_p", F.explode(F.transform(prob, lambda p, i: F.struct(i.alias("i"), p.alias("p")))))
-    pos = (F.col("_total") - 1) * F.col("_p.p")
+    pos = (F.col("_all") - 1) * F.col("_p.p")
     wanted = wanted.select(
-        *keys, "_shard", "_m", "_before", "_total", F.col("_p.i").alias("_i"),
-        (pos - F.floor(pos)).alias("_w"),
+        *keys, "_b", "_m", "_before", "_all", F.col("_p.i").alias("_i"), (pos - F.floor(pos)).alias("_w"),
         F.explode(F.array(F.struct(F.floor(pos).alias("at"), F.lit(0).alias("hi")),
                           F.struct(F.ceil(pos).alias("at"), F.lit(1).alias("hi")))).alias("_t"),
     ).where((F.col("_t.at") >= F.col("_before")) & (F.col("_t.at") < F.col("_before") + F.col("_m")))
-    needed = wanted.select(*keys, "_shard").distinct()
-    values = sharded.join(needed, [*keys, "_shard"], "left_semi").groupBy(*keys, "_shard", x).agg(
-        F.count(F.lit(1)).alias("cnt"))
-    local = Window.partitionBy(*keys, "_shard").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    values = values.withColumn("_lo", F.coalesce(F.sum("cnt").over(local), F.lit(0)))
-    hit = wanted.join(values, [*keys, "_shard"]).where(
-        (F.col("_t.at") - F.col("_before") >= F.col("_lo"))
-        & (F.col("_t.at") - F.col("_before") < F.col("_lo") + F.col("cnt"))
-    )
+    wanted = pin(wanted, "wanted")  # at most two rows per group and probability
+    cells = wanted.select(*keys, "_b").distinct()
+    values = distinct_counts(rows.join(cells, [*keys, "_b"], "left_semi"), [*keys, "_b"], x, shards)
+    local = F.col("_t.at") - F.col("_before")
+    hit = wanted.join(values, [*keys, "_b"]).where((local >= F.col("below")) & (local < F.col("below") + F.col("cnt")))
     points = hit.groupBy(*keys, "_i").agg(
-        F.first("_total").alias("n"), F.first("_w").alias("_w"),
+        F.first("_all").alias("n"), F.first("_w").alias("_w"),
         F.max(F.when(F.col("_t.hi") == 0, F.col(x))).alias("_a"),
-        F.max(F.when(F.col("_t.hi") == 1, F.col(x))).alias("_b"),
-    ).withColumn("_v", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_w"))
+        F.max(F.when(F.col("_t.hi") == 1, F.col(x))).alias("_c"),
+    ).withColumn("_v", F.col("_a") + (F.col("_c") - F.col("_a")) * F.col("_w"))
     return points.groupBy(*keys).agg(
         F.first("n").alias("n"),
         F.transform(F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda s: s["_v"]).alias("q"),

@@ -39,6 +39,20 @@ def current_runs(runs: DataFrame) -> DataFrame:
     return r.join(kept, "id", "left").withColumn("current", F.coalesce("current", F.lit(False)))
 
 
+def measured_again(runs: DataFrame) -> DataFrame:
+    """J18. Every run with ``overlaps``: another run of its rule covers part of its window.
+
+    Settled on the distinct windows of a rule by running extremes, without listing pairs.
+    """
+    r = runs.withColumn("fp", fingerprint(F.col("params")))
+    spans = r.groupBy("fp", "start_d", "end_d").agg(F.count(F.lit(1)).alias("_c"))
+    order = Window.partitionBy("fp").orderBy("start_d", "end_d")
+    before = F.max("end_d").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    touched = F.coalesce(before >= F.col("start_d"), F.lit(False)) | F.coalesce(F.lead("start_d").over(order) <= F.col("end_d"), F.lit(False))
+    spans = spans.withColumn("overlaps", (F.col("_c") > 1) | touched).drop("_c")
+    return r.join(spans, ["fp", "start_d", "end_d"])
+
+
 def only_current(runs: DataFrame) -> DataFrame:
     return current_runs(runs).where(F.col("current")).drop("current", "fp")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.heat import heat_label, heat_score
 from tidemark.functions.nulls import finite_or_null, ratio
-from tidemark.operators.windows import bar_index, carried, prior_abs_ratio, prior_ratio
+from tidemark.operators.windows import bar_index, by_code, carried
 
 WINDOW = 30
 METRICS = (
@@ -45,15 +45,26 @@ def signals_history(bars: DataFrame, flows: DataFrame, credit: DataFrame,
         carried(F.col("credit_ratio")).alias("_level"),
         bar_index().alias("_seq"),
     )
-    ratios = base.select(
-        "code", "d", *keep, "_seq",
-        finite_or_null(prior_abs_ratio(F.col("individual_net"), window)).alias("individual_flow_ratio"),
-        finite_or_null(prior_ratio(F.col("_credit"), window)).alias("credit_surge_ratio"),
-        finite_or_null(prior_ratio(F.col("_amount"), window)).alias("volume_ratio"),
-        finite_or_null(prior_abs_ratio(F.col("foreign_net"), window)).alias("foreign_flow_ratio"),
-        finite_or_null(prior_abs_ratio(F.col("institution_net"), window)).alias("institution_flow_ratio"),
+    # One pass over the prior window for all sources; ratios follow as plain expressions.
+    prior = by_code().rowsBetween(-window, -1)
+    parts = {
+        "individual_flow_ratio": (F.col("individual_net"), F.abs("individual_net")),
+        "credit_surge_ratio": (F.col("_credit"), F.col("_credit")),
+        "volume_ratio": (F.col("_amount"), F.col("_amount")),
+        "foreign_flow_ratio": (F.col("foreign_net"), F.abs("foreign_net")),
+        "institution_flow_ratio": (F.col("institution_net"), F.abs("institution_net")),
+    }
+    wide = base.select(
+        "code", "d", *keep, "_seq", "_level",
+        *[now.alias(f"_x_{n}") for n, (now, _) in parts.items()],
+        *[F.avg(past).over(prior).alias(f"_m_{n}") for n, (_, past) in parts.items()],
+        *[F.count(past).over(prior).alias(f"_n_{n}") for n, (_, past) in parts.items()],
+    ).where(F.col("_seq") > window)
+    ratios = wide.select(
+        "code", "d", *keep,
+        *[finite_or_null(F.when(F.col(f"_n_{n}") == window, ratio(F.col(f"_x_{n}"), F.col(f"_m_{n}")))).alias(n) for n in parts],
         finite_or_null(F.col("_level")).alias("credit_ratio_level"),
-    ).where(F.col("_seq") > window).drop("_seq")
+    )
     if start is not None:
         ratios = ratios.where(F.col("d") >= F.lit(start).cast("date"))
     if end is not None:

@@ -285,6 +285,8 @@ def random_control(pool: DataFrame, order: Sequence[str], strategy_mean: float,
 
     The draw list has k x rounds rows whatever the size of the pool, so it may be broadcast.
     """
+    if k * rounds > 1_000_000:
+        raise ValueError("the draw list may have at most a million rows")
     n = pool.count()
     k = min(k, n)
     rng = random.Random(seed)

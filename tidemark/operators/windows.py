@@ -18,6 +18,15 @@ def by_code():
     return Window.partitionBy("code").orderBy("d")
 
 
+def _bind(use, **values: Column) -> Column:
+    """Evaluate each window aggregate once and let ``use`` refer to it several times.
+
+    Without this, every mention of a window expression becomes an aggregate of its own.
+    """
+    cell = F.struct(*[v.alias(k) for k, v in values.items()])
+    return F.get(F.transform(F.array(cell), use), F.lit(0))
+
+
 def _full(x: Column, frame, n: int, value: Column) -> Column:
     return F.when(F.count(x).over(frame) == n, value)
 
@@ -42,20 +51,21 @@ def prior_mean(x: Column, n: int) -> Column:
 
 def prior_ratio(x: Column, n: int = 30) -> Column:
     """W03, W07. Today over the mean of the previous ``n`` rows."""
-    return ratio(x, prior_mean(x, n))
+    return _bind(lambda s: ratio(s["x"], s["m"]), x=x, m=prior_mean(x, n))
 
 
 def prior_abs_ratio(x: Column, n: int = 30) -> Column:
     """W06. Today over the mean absolute value of the previous ``n`` rows."""
-    return ratio(x, prior_mean(F.abs(x), n))
+    return _bind(lambda s: ratio(s["x"], s["m"]), x=x, m=prior_mean(F.abs(x), n))
 
 
 def position_in_range(h: Column, l: Column, c: Column, n: int = 252, min_rows: int | None = None) -> Column:
     """W04. Close within the range of the previous ``n`` rows; ``min_rows`` defaults to ``n``."""
     frame = by_code().rowsBetween(-n, -1)
-    low, high = F.min(l).over(frame), F.max(h).over(frame)
-    enough = F.count(l).over(frame) >= (n if min_rows is None else min_rows)
-    return F.when(enough & (high > low), (c - low) / (high - low))
+    least = n if min_rows is None else min_rows
+    return _bind(
+        lambda s: F.when((s["n"] >= least) & (s["hi"] > s["lo"]), (s["c"] - s["lo"]) / (s["hi"] - s["lo"])),
+        lo=F.min(l).over(frame), hi=F.max(h).over(frame), n=F.count(l).over(frame), c=c)
 
 
 def daily_return(c: Column) -> Column:
@@ -70,8 +80,8 @@ def carried(x: Column) -> Column:
 
 def forward_return(o: Column, c: Column, horizon: int) -> Column:
     """W11. Buy at the next open, sell at the close ``horizon`` rows later, no costs."""
-    entry = F.lead(o, 1).over(by_code())
-    return F.when(entry > 0, F.lead(c, 1 + horizon).over(by_code()) / entry - 1)
+    return _bind(lambda s: F.when(s["o"] > 0, s["c"] / s["o"] - 1),
+                 o=F.lead(o, 1).over(by_code()), c=F.lead(c, 1 + horizon).over(by_code()))
 
 
 def return_since(c: Column, bars: int) -> Column:

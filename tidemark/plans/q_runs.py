@@ -50,12 +50,9 @@ def f15(t):
     return t.runs.where(FL.trusted_run(F.col("params"))).select("id")
 
 
-@query("j18_window_overlap", "SELECT a.id AS a_id, b.id AS b_id FROM runs a JOIN runs b ON a.fp = b.fp AND a.id < b.id AND a.start_d <= b.end_d AND b.start_d <= a.end_d", "runs")
+@query("j18_window_overlap", "SELECT id, EXISTS (SELECT 1 FROM runs b WHERE a.fp = b.fp AND a.id <> b.id AND a.start_d <= b.end_d AND b.start_d <= a.end_d) AS overlaps FROM runs a", "runs")
 def j18(t):
-    fp = V.fingerprint(F.col("params")).alias("fp")
-    a = t.runs.select(F.col("id").alias("a_id"), fp, F.col("start_d").alias("a_s"), F.col("end_d").alias("a_e"))
-    b = t.runs.select(F.col("id").alias("b_id"), fp, F.col("start_d").alias("b_s"), F.col("end_d").alias("b_e"))
-    return a.join(b, "fp").where((F.col("a_id") < F.col("b_id")) & (F.col("a_s") <= F.col("b_e")) & (F.col("b_s") <= F.col("a_e"))).select("a_id", "b_id")
+    return U.measured_again(t.runs).select("id", "overlaps")
 
 
 # Greedy choice per rule, newest first: run k is kept unless it overlaps a kept newer run.

@@ -83,7 +83,7 @@ def s05(t):
 def filing_pages(t):
     item = F.struct(F.concat(F.lit(" "), "code").alias("stock_code"), F.when(F.month("d") == 2, "").otherwise(F.col("rcept_no")).alias("rcept_no"),
                     compact(F.col("d")).alias("rcept_dt"), F.concat("report_nm", F.lit(" ")).alias("report_nm"))
-    return t.disclosures.groupBy("d").agg(F.collect_list(item).alias("list")).select("list")
+    return t.disclosures.groupBy("d", "code").agg(F.collect_list(item).alias("list")).select("list")
 
 
 @query("s06_filing_pages", "SELECT rcept_no, code, d, report_nm, url FROM disclosures WHERE month(d) <> 2 AND regexp_full_match(code, '[0-9]+')", "disclosures")

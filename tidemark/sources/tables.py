@@ -26,9 +26,10 @@ def select_bars(bars: DataFrame, codes=None, start=None, end=None, columns=("cod
 
 
 def write_bars(bars: DataFrame, path: str) -> None:
-    """Partition by year for pruning, sort within files for min/max statistics."""
+    """Partition by year for pruning; contiguous code ranges per file for min/max statistics."""
     out = bars.withColumn("year", F.year("d"))
-    out.repartition("year", "code").sortWithinPartitions("code", "d").write.partitionBy("year").mode("overwrite").parquet(path)
+    out.repartitionByRange("year", "code", "d").sortWithinPartitions("year", "code", "d").write.partitionBy("year").mode(
+        "overwrite").parquet(path)
 
 
 def _pick(df: DataFrame, key: Sequence[str], order: str, last: bool) -> DataFrame:
@@ -76,13 +77,14 @@ def upsert_table(spark: SparkSession, path: str, batch: DataFrame, key: Sequence
     Storing the same batch again gives the same table.
     """
     if not table_exists(spark, path):
-        batch.repartition(partition).write.partitionBy(partition).parquet(path)
+        batch.repartitionByRange(partition, *key).write.partitionBy(partition).parquet(path)
         return
     # The list of touched partition values is bounded by the number of partitions of the table.
     touched = [row[0] for row in batch.select(partition).distinct().collect()]
     stored = spark.read.parquet(path).where(F.col(partition).isin(touched))
     merged = upsert(stored, batch, key, policy)
-    (merged.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    # By range of the key, so that one large partition is written by many tasks.
+    (merged.repartitionByRange(partition, *key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(partition).parquet(path))
 
 
@@ -124,6 +126,7 @@ def run_rows(stats: DataFrame) -> DataFrame:
 
 def save_runs(path: str, runs: DataFrame, trades: DataFrame) -> None:
     """S15. Replace the named strategies, runs and trades alike; other strategies stay as they are."""
-    for name, df in (("trades", trades), ("runs", runs)):
-        (df.repartition("strategy").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    ranged = trades.repartitionByRange("strategy", *[c for c in ("exit_d", "code", "entry_d") if c in trades.columns])
+    for name, df in (("trades", ranged), ("runs", runs)):
+        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("strategy").parquet(f"{path}/{name}"))
