@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.costs import BUY_COST, SELL_COST, blended_entry, buy_fill, realized, sell_fill
+from tidemark.operators.asof import latest_bar
 from tidemark.operators.filters import valid_price
 from tidemark.operators.outcomes import slot_capped
 from tidemark.operators.statistics import best_variant, period_statistics, trade_statistics
@@ -41,8 +42,10 @@ def rebalance_periods(targets: DataFrame, days: DataFrame, bars: DataFrame, keys
     """C13. Equal-weight return between fills with costs on the turned-over share only.
 
     ``targets`` (keys, d, code); ``days`` (d, next_d) gives the fill day. One period per rebalance
-    that has targets, plus the final mark at the last close up to ``end``.
+    that has targets, plus the final mark at the last close up to ``end``: a date for all keys, or
+    the name of a column of ``targets`` that is constant per key.
     """
+    own_end = end if end is not None and end in targets.columns else None
     keys = list(keys)
     fills = days.select("d", F.col("next_d").alias("fill_d")).where(F.col("fill_d").isNotNull())
     opens = bars.where(valid_price(F.col("o"))).select("code", F.col("d").alias("fill_d"), F.col("o").alias("mark"))
@@ -51,10 +54,17 @@ def rebalance_periods(targets: DataFrame, days: DataFrame, bars: DataFrame, keys
     next_fill = fills.select(F.col("d").alias("next_d"), F.col("fill_d").alias("next_fill"))
     next_open = opens.select("code", F.col("fill_d").alias("next_fill"), F.col("mark").alias("next_open"))
     held = held.join(next_fill, "next_d", "left").join(next_open, ["code", "next_fill"], "left")
-    inside = bars if end is None else bars.where(F.col("d") <= F.lit(end).cast("date"))
-    last = inside.agg(F.max("d").alias("d"))
-    close = inside.join(last, "d").where(valid_price(F.col("c"))).select("code", F.col("c").alias("last_close"))
-    held = held.join(close, "code", "left")
+    closes = bars.where(valid_price(F.col("c"))).select("code", F.col("d").alias("_last"), F.col("c").alias("last_close"))
+    if own_end:
+        market = bars.select(F.lit("market").alias("code"), "d").distinct()
+        ends = held.select(F.lit("market").alias("code"), own_end).distinct()
+        last = latest_bar(ends, market, own_end, (), "_last_").select(own_end, F.col("_last_d").alias("_last"))
+        held = held.join(last, own_end)
+    else:
+        inside = bars if end is None else bars.where(F.col("d") <= F.lit(end).cast("date"))
+        closes = closes.join(inside.agg(F.max("d").alias("_last")), "_last", "left_semi")
+    on = ["code", "_last"] if own_end else ["code"]
+    held = held.join(closes if own_end else closes.drop("_last"), on, "left")
 
     count = F.count(F.lit(1))
     per = held.groupBy(*keys, "d", "prev_d", "next_d").agg(
@@ -91,9 +101,9 @@ def in_windows(candidates: DataFrame, windows: list[tuple[str, date, date, date,
     if len(spans) > PARAM_ROWS:
         raise ValueError("too many windows")
     hits = F.array_compact(F.array(*[
-        F.when(F.col("d").between(F.lit(a), F.lit(b)), F.struct(F.lit(w).alias("window"), F.lit(p).alias("phase")))
+        F.when(F.col("d").between(F.lit(a), F.lit(b)), F.struct(F.lit(w).alias("window"), F.lit(p).alias("phase"), F.lit(b).alias("span_end")))
         for w, p, a, b in spans]))
-    return candidates.withColumn("_w", F.explode(hits)).select("*", "_w.window", "_w.phase").drop("_w")
+    return candidates.withColumn("_w", F.explode(hits)).select("*", "_w.window", "_w.phase", "_w.span_end").drop("_w")
 
 
 def walk_forward(trades: DataFrame, min_train: int, default: str, control: str | None = None) -> dict[str, DataFrame]:

@@ -320,12 +320,17 @@ def w19(t):
     return latest_per_key(t.decisions, ["code", "agent"]).select("code", "agent", "id")
 
 
-C18 = f"""WITH w AS (SELECT DISTINCT 'paper' AS mode, strategy, n.code, 'N' || n.code AS tname FROM ledger, nat n WHERE ledger.code = n.code AND n.n_nationkey % 3 = 0),
+_G = f"""WITH w AS (SELECT DISTINCT 'paper' AS mode, strategy, n.code, 'N' || n.code AS tname FROM ledger, nat n WHERE ledger.code = n.code AND n.n_nationkey % 3 = 0),
 j AS (SELECT coalesce(w.mode, p.mode) AS mode, coalesce(w.strategy, p.strategy) AS strategy, coalesce(w.code, p.code) AS code, coalesce(p.qty, 0) AS held, p.entry_px, w.tname IS NOT NULL AS target
   FROM w FULL JOIN positions p ON p.mode = w.mode AND p.strategy = w.strategy AND p.code = w.code),
-g AS (SELECT j.*, b.o AS px, CASE WHEN target THEN floor(1000000.0 / 50 / b.o) ELSE 0 END AS goal FROM j JOIN bars b ON b.code = j.code AND b.d = DATE '{EXIT_DAY}' AND b.o > 0)
+g AS (SELECT j.*, b.o AS px, CASE WHEN target THEN floor(1000000.0 / 50 / b.o) ELSE 0 END AS goal FROM j JOIN bars b ON b.code = j.code AND b.d = DATE '{EXIT_DAY}' AND b.o > 0)"""
+C18 = _G + f"""
 SELECT mode, strategy, code, CASE WHEN goal > held THEN 'buy' ELSE 'sell' END AS side, abs(goal - held) AS qty, {r(f"CASE WHEN goal > held THEN {BUYF.format('px')} ELSE {SELLF.format('px')} END")} AS price,
   {r(f"CASE WHEN goal < held THEN {SELLF.format('px')} / entry_px - 1 END")} AS realized_pct FROM g WHERE goal <> held AND NOT (target AND goal < 1)"""
+P15 = _G + f"""
+SELECT mode, strategy, code, goal + 0.0 AS qty, {r(f"CASE WHEN goal > held AND held > 0 THEN (held * entry_px + (goal - held) * {BUYF.format('px')}) / goal WHEN goal > held THEN {BUYF.format('px')} ELSE entry_px END", 8)} AS entry_px
+FROM g WHERE goal > 0 AND NOT (target AND goal < 1)
+UNION ALL SELECT mode, strategy, code, qty, {r('entry_px', 8)} FROM positions p WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.mode = p.mode AND g.strategy = p.strategy AND g.code = p.code AND NOT (g.target AND g.goal < 1))"""
 
 
 def _orders(t):
@@ -344,9 +349,9 @@ def c18(t):
     return rounded(_orders(t)["orders"].select("mode", "strategy", "code", "side", "qty", "price", "realized_pct"), 6, price=6)
 
 
-@query("p15_positions_after_rebalance")
+@query("p15_positions_after_rebalance", P15, "ledger nat positions bars")
 def p15(t):
-    return rounded(_orders(t)["positions"])
+    return rounded(_orders(t)["positions"].select("mode", "strategy", "code", "qty", "entry_px"), 6)
 
 
 @query("p13_position_size", f"""SELECT code, d, CASE WHEN floor(10000000.0 / 10 / (c * 200)) >= 1 THEN CAST(floor(10000000.0 / 10 / (c * 200)) AS BIGINT) END AS qty FROM bars""", "bars")

@@ -304,7 +304,7 @@ def j19(t):
 
 # ---- rebalancing --------------------------------------------------------------------------------
 
-def period_cte(target, keys):
+def period_cte(target, keys, last="(SELECT max(d) FROM bars)"):
     k = "".join(f"{x}, " for x in keys)
     part = f"PARTITION BY {', '.join(keys)}" if keys else ""
     on = "".join(f" AND a.{x} = b.{x}" for x in keys)
@@ -317,7 +317,7 @@ h AS (SELECT a.*, b.pd, b.nd FROM held a JOIN eff b ON a.d = b.d{on}),
 x AS (SELECT h.*, nb.o AS nopen, lb.c AS lclose,
   EXISTS (SELECT 1 FROM held b WHERE b.d = h.pd AND b.code = h.code{on.replace('a.', 'h.')}) AS was, EXISTS (SELECT 1 FROM held b WHERE b.d = h.nd AND b.code = h.code{on.replace('a.', 'h.')}) AS stays
   FROM h LEFT JOIN cal nf ON nf.d = h.nd LEFT JOIN bars nb ON nb.code = h.code AND nb.d = nf.next_d AND nb.o > 0
-  LEFT JOIN bars lb ON lb.code = h.code AND lb.d = (SELECT max(d) FROM bars) AND lb.c > 0),
+  LEFT JOIN bars lb ON lb.code = h.code AND lb.d = {last} AND lb.c > 0),
 p AS (SELECT {k}d, pd, nd, count(nopen) AS nn, avg(nopen / mark - 1) AS gn, count(lclose) AS nl, avg(lclose / mark) - 1 AS gl,
   sum(CASE WHEN NOT stays THEN 1.0 ELSE 0.0 END) / count(*) AS sold, sum(CASE WHEN NOT was THEN 1.0 ELSE 0.0 END) / count(*) AS bought FROM x GROUP BY {k}d, pd, nd)
 SELECT {k}d, 0 AS final, CASE WHEN pd IS NULL THEN 0 ELSE lag(nn) OVER w END AS n, CASE WHEN pd IS NULL THEN 0.0 ELSE coalesce(lag(gn) OVER w, 0.0) END AS gross,
@@ -422,7 +422,7 @@ def variant_trades(t, k=2):
 
     order = Window.partitionBy("variant", "d").orderBy("x", "code")
     top = long.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("x")
-    return R.in_windows(top.join(table, ["code", "d"]), WINDOWS)
+    return R.in_windows(top.join(table, ["code", "d"]), WINDOWS).drop("span_end")
 
 
 cte("variants", "signals bars", f"""
@@ -457,6 +457,44 @@ def c14_slots(t):
     return R.walk_forward(O.slot_capped(rows, 5, ["variant", "window", "phase"]), 30, "heat_score")["summary"]
 
 
+cte("wtargets", "targets", f"""
+SELECT t.kind, t.d, t.code, w."window", w.phase, w.b AS span_end FROM targets t JOIN (VALUES {_SPANS}) AS w("window", phase, a, b) ON t.d BETWEEN w.a AND w.b""")
+cte("wperiods", "wtargets cal bars", period_cte("wtargets", ["kind", '"window"', "phase"],
+    f"""(SELECT max(z.d) FROM bars z JOIN (VALUES {_SPANS}) AS s("window", phase, a, b) ON z.d <= s.b WHERE s."window" = h."window" AND s.phase = h.phase)"""))
+cte("wchosen", "wperiods", """
+SELECT "window", arg_max(kind, (m, kind)) AS kind FROM (SELECT "window", kind, avg(net) * 100 AS m FROM wperiods WHERE phase = 'train' GROUP BY 1, 2 HAVING count(*) >= 8) x GROUP BY 1""")
+
+
+def window_periods(t):
+    """Rebalance periods of every score kind, started afresh in each window and phase."""
+    targets = R.in_windows(all_targets(t), WINDOWS)
+    out = R.rebalance_periods(targets, days(t), t.bars, ["kind", "window", "phase"], end="span_end")
+    return pin(out.withColumnRenamed("kind", "variant"), "periods")
+
+
+@query("c14_quality_walk_forward", period_stats_sql("""(SELECT 'selected' AS arm, p.* FROM wperiods p JOIN wchosen c ON c."window" = p."window" AND c.kind = p.kind WHERE phase = 'test'
+  UNION ALL SELECT 'control', * FROM wperiods WHERE phase = 'test' AND kind = 'quality') z""", "arm", 12), "wperiods wchosen")
+def c14_quality(t):
+    return rounded(R.walk_forward_periods(window_periods(t), 8, "quality", "quality")["summary"])
+
+
+@query("c14_fundamental_walk_forward")
+def c14_fundamental(t):
+    """Filers under four PBR caps, five slots each, selected on training windows."""
+    from tidemark.operators import fundamentals as V
+
+    caps = pin(V.pbr(V.market_caps(t.bars, t.shares, t.statements, sanity=800.0)).select("code", "d", "pbr"), "pbr")
+    filers = pin(V.fundamental_candidates(t.disclosures, t.statements, t.bars, TURNOVER), "filers")
+    filers = filers.join(caps, ["code", "d"], "left")
+    table = pin(O.outcome_table(t.bars, stop_pct=STOP, monitor_from=0, count="market_days", min_hold=5, keep_open=True), "outcomes")
+    parts = None
+    for name, limit in (("none", None), ("pbr100", 100.0), ("pbr200", 200.0), ("pbr300", 300.0)):
+        part = filers.where(FL.pbr_within(F.col("pbr"), limit)).select("code", "d", "rank", F.lit(name).alias("variant"))
+        parts = part if parts is None else parts.unionByName(part)
+    rows = R.in_windows(parts.join(table, ["code", "d"], "left"), WINDOWS).drop("span_end")
+    return R.walk_forward(O.slot_capped(rows, 5, ["variant", "window", "phase"]), 1, "none")["summary"]
+
+
 @query("c15_hypothesis_sweep")
 def c15(t):
     """Slot-limited variants and the unlimited pool, each over a training and a validation span."""
