@@ -87,8 +87,8 @@ def j16(t):
     return rounded(out.select("setting", "a_id", "b_id", "delta", "se", "z"))
 
 
-@query("c22_setting_effects", _LIVE + ", " + PAIRS + f"""SELECT setting, count(*) AS n_comp, {r('avg(delta)')} AS mean_delta, {r('max(abs(delta / se))')} AS max_abs_z,
-  CASE WHEN count(*) < 2 THEN 'none' WHEN min(delta) > 0 OR max(delta) < 0 THEN CASE WHEN max(abs(delta / se)) >= 2 THEN 'good' ELSE 'warn' END ELSE 'bad' END AS verdict FROM pairs GROUP BY setting""", "runs ordered_runs")
+@query("c22_setting_effects", _LIVE + ", " + PAIRS + f"""SELECT setting, count(*) AS n_comp, {r('avg(delta)')} AS mean_delta, {r('max(CASE WHEN se > 0 THEN abs(delta / se) ELSE 0 END)')} AS max_abs_z,
+  CASE WHEN count(*) < 2 THEN 'none' WHEN min(delta) > 0 OR max(delta) < 0 THEN CASE WHEN max(CASE WHEN se > 0 THEN abs(delta / se) ELSE 0 END) >= 2 THEN 'good' ELSE 'warn' END ELSE 'bad' END AS verdict FROM pairs GROUP BY setting""", "runs ordered_runs")
 def c22(t):
     return rounded(U.setting_effects(t.runs))
 
@@ -176,7 +176,7 @@ def c20(t):
 C31 = f"""SELECT p.code, p.d, p.strategy, {r('x.r60')} AS r60, {r('x.r250')} AS r250, {r('coalesce(b.falling / b.codes * 100, 50)')} AS fall_pct, {r('coalesce(i.trend, 0)')} AS trend_pct,
   CAST(30 - (SELECT count(*) FROM positions q WHERE q.strategy = p.strategy) AS BIGINT) AS free_slots,
   (SELECT count(*) FROM positions q WHERE q.strategy = p.strategy AND substr(q.code, 1, 3) = substr(p.code, 1, 3)) AS same_sector,
-  (SELECT count(*) FROM disclosures f WHERE f.code = p.code AND f.d <= p.d AND f.d > p.d - 90) AS filings, least(h.n, 5) AS periods
+  (SELECT count(*) FROM disclosures f WHERE f.code = p.code AND f.d <= p.d AND f.d > p.d - 90) AS filings, CASE WHEN h.n IS NOT NULL THEN least(h.n, 5) END AS periods
 FROM probe p LEFT JOIN (SELECT code, d, c / nullif(lag(c, 59) OVER w, 0) - 1 AS r60, c / nullif(lag(c, 249) OVER w, 0) - 1 AS r250 FROM bars WINDOW w AS (PARTITION BY code ORDER BY d)) x
   ON x.code = p.code AND x.d = p.d LEFT JOIN ({BREADTH}) b ON b.d = p.d LEFT JOIN (SELECT d, (c / nullif(lag(c, 19) OVER (ORDER BY d), 0) - 1) * 100 AS trend FROM bars WHERE code = '{PROXY}') i ON i.d = p.d
 LEFT JOIN (SELECT code, count(*) AS n FROM statements GROUP BY code) h ON h.code = p.code"""
