@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.costs import BUY_COST, SELL_COST, blended_entry, buy_fill, realized, sell_fill
@@ -14,14 +14,7 @@ from tidemark.operators.filters import valid_price
 from tidemark.operators.outcomes import slot_capped
 from tidemark.operators.statistics import best_variant, period_statistics, trade_statistics
 
-PARAM_ROWS = 10_000
-
-
-def param_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A table of caller-supplied settings, small by check, so it may be broadcast."""
-    if len(rows) > PARAM_ROWS:
-        raise ValueError(f"{len(rows)} parameter rows; at most {PARAM_ROWS}")
-    return F.broadcast(spark.createDataFrame(rows, schema))
+MAX_SPANS = 1000  # windows become literals of the plan
 
 
 def set_changes(targets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -98,7 +91,7 @@ def in_windows(candidates: DataFrame, windows: list[tuple[str, date, date, date,
     spans = []
     for name, train_from, train_to, test_from, test_to in windows:
         spans += [(name, "train", train_from, train_to), (name, "test", test_from, test_to)]
-    if len(spans) > PARAM_ROWS:
+    if len(spans) > MAX_SPANS:
         raise ValueError("too many windows")
     hits = F.array_compact(F.array(*[
         F.when(F.col("d").between(F.lit(a), F.lit(b)), F.struct(F.lit(w).alias("window"), F.lit(p).alias("phase"), F.lit(b).alias("span_end")))
