@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.exact_dedup import exact_duplicates
+from tidemark.llm.language_id import fit, held_out, identify
 from tidemark.llm.mixing import mix
+from tidemark.llm.token_counts import token_counts
+from tidemark.llm.token_files import stored_documents, write_token_files
+from tidemark.session import shared_folder
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +24,25 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_documents(spark, sf_dir))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = f"{shared_folder(spark)}/tokens/{uuid.uuid4().hex}"
+    return stored_documents(write_token_files(_documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = fit(docs.where(~held_out()).select("text", "lang"))
+    return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixture = mix(_documents(spark, sf_dir).select("doc_id", "text", "source"))
     return mixture.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -26,7 +50,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_token_files": op3_token_files,
+    "op4_token_counts": op4_token_counts,
     "op6_source_mixing": op6_source_mixing,
+    "op7_language_id": op7_language_id,
 }
 
 ORACLES = {
