@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.exact_dedup import exact_duplicates
 from tidemark.llm.language_id import fit, held_out, identify
 from tidemark.llm.mixing import mix
+from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.token_files import stored_documents, write_token_files
 from tidemark.session import shared_folder
@@ -48,12 +49,17 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_files": op3_token_files,
     "op4_token_counts": op4_token_counts,
     "op6_source_mixing": op6_source_mixing,
     "op7_language_id": op7_language_id,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLES = {

@@ -15,6 +15,7 @@ import zlib
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -238,9 +239,7 @@ def tokens_at(stored: DataFrame, wanted: DataFrame) -> DataFrame:
     found = wanted.join(places, "doc_id").withColumn("_i", F.when((F.col("at") >= 0) & (F.col("at") < F.col("_b") - F.col("_a")), F.col("_a") + F.col("at")))
 
     @F.pandas_udf("long")
-    def access(codes: "pd.Series", bitmaps: "pd.Series", ranks: "pd.Series", i: "pd.Series") -> "pd.Series":  # noqa: F821
-        import pandas as pd
-
+    def access(codes: pd.Series, bitmaps: pd.Series, ranks: pd.Series, i: pd.Series) -> pd.Series:
         return pd.Series([None if pd.isna(x) else dac_access(_levels(c, b, r), int(x)) for c, b, r, x in zip(codes, bitmaps, ranks, i)], dtype="Int64")
 
     return found.join(stored.select("shard", "block", "codes", "bitmaps", "ranks"), ["shard", "block"]).select("doc_id", "at", access("codes", "bitmaps", "ranks", "_i").alias("token"))
