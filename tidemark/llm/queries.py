@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.decontamination import contaminated
 from tidemark.llm.exact_dedup import exact_duplicates
 from tidemark.llm.language_id import fit, held_out, identify
 from tidemark.llm.mixing import mix
@@ -44,6 +45,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixture = mix(_documents(spark, sf_dir).select("doc_id", "text", "source"))
     return mixture.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_files": op3_token_files,
     "op4_token_counts": op4_token_counts,
+    "op5_decontamination": op5_decontamination,
     "op6_source_mixing": op6_source_mixing,
     "op7_language_id": op7_language_id,
     "op10_near_dedup": op10_near_dedup,
