@@ -21,7 +21,7 @@ MIN_BITS, MAX_BITS = 1 << 20, 1 << 28  # at most 32 MB is collected and broadcas
 CHUNK_BITS = 1 << 18
 
 
-def _slots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def slots_of(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     h = h.view(np.uint64)
     return (h % np.uint64(bits)).astype(np.int64), ((h >> np.uint64(32)) * np.uint64(0x9E3779B1) % np.uint64(bits)).astype(np.int64)
 
@@ -36,7 +36,7 @@ def repeated_bits(hashes: DataFrame, bits: int) -> DataFrame:
     def spread(batches):
         for batch in batches:
             h = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            a, b = _slots(h, bits)
+            a, b = slots_of(h, bits)
             slots = np.sort(np.concatenate([a, b[b != a]]))
             cut = np.flatnonzero(np.diff(slots // CHUNK_BITS, prepend=-1)) if len(slots) else []
             parts = np.split(slots, cut[1:]) if len(slots) else []
@@ -87,7 +87,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             h = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             maybe = np.ones(len(h), bool)
-            for s in _slots(h, bits):
+            for s in slots_of(h, bits):
                 maybe &= (seen[s >> 3] >> (s & 7) & 1).astype(bool)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maybe)], ["_id", "_sha", "_maybe"])
 

@@ -13,6 +13,7 @@ from tidemark.llm.exact_dedup import exact_duplicates
 from tidemark.llm.language_id import fit, held_out, identify
 from tidemark.llm.mixing import mix
 from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm.substring_dedup import without_repeats
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.token_files import stored_documents, write_token_files
 from tidemark.session import shared_folder
@@ -54,6 +55,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_source_mixing": op6_source_mixing,
     "op7_language_id": op7_language_id,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_near_dedup": op10_near_dedup,
 }
 
