@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.decontamination import contaminated
 from tidemark.llm.exact_dedup import exact_duplicates
+from tidemark.llm.html_extract import extract
 from tidemark.llm.language_id import fit, held_out, identify
 from tidemark.llm.mixing import mix
 from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm.pii import KINDS, labelled_table, personal_data
+from tidemark.llm.pii import fit as fit_field
 from tidemark.llm.substring_dedup import without_repeats
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.token_files import stored_documents, write_token_files
@@ -23,6 +26,18 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _base_of(kind: str):
+    return lambda s: s.base & (s.kind == kind)
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(_documents(spark, sf_dir), fit_field(labelled_table(spark)))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    base = F.filter("spans", lambda s: s.base)
+    counts = [F.size(F.filter("spans", _base_of(k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_documents(spark, sf_dir))
 
@@ -59,11 +74,16 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_files": op3_token_files,
     "op4_token_counts": op4_token_counts,
@@ -71,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_source_mixing": op6_source_mixing,
     "op7_language_id": op7_language_id,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_html_extraction": op9_html_extraction,
     "op10_near_dedup": op10_near_dedup,
 }
 
