@@ -1,12 +1,76 @@
-"""A training-data pipeline over ``documents``; each stage applies one operator of ``tidemark.llm``."""
+"""A training-data pipeline over ``documents``; each stage applies one operator of ``tidemark.llm``.
+
+Every stage reads all that its predecessor kept. The first four return the columns of ``documents``, the last
+one row per encoded document. All stages take empty tables, null columns and repeated rows as their
+operators do.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from tidemark.llm.decontamination import contaminated
+from tidemark.llm.language_id import UNKNOWN, fit, held_out, identify
+from tidemark.llm.mixing import mix, mixed_rows
+from tidemark.llm.near_dedup import near_duplicates, text_key
+from tidemark.llm.token_files import stored_documents, write_token_files
+from tidemark.session import pin, shared_folder
+
+#: No SQL expresses learned languages, sketches and sub-word tokens; tests/llm compare the stages with direct loops.
 ORACLE_SQL = None
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language was recognised; texts that are null or have no letter go."""
+    model = fit(docs.where(~held_out()).select("text", "lang"))
+    found = identify(docs.select(F.struct(*docs.columns).alias("doc"), "text"), model)
+    # Where no row is labelled, nothing was learned and nothing can be rejected.
+    return (found.where(F.col("lang_pred") != UNKNOWN) if model.languages else found).select("doc.*")
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of copies and near copies: the one with the smallest id."""
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key")).distinct()
+    keyed = docs.withColumn("_text_key", text_key(F.col("text")))
+    mine = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_text_key") == F.col("_kept_key")), "left_semi")
+    return mine.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a copy or paraphrase of a benchmark item."""
+    keyed = docs.withColumn("_text_key", text_key(F.col("text")))
+    found = contaminated(docs.select(F.struct("doc_id", text_key(F.col("text")).alias("k")).alias("doc"), "text"),
+                         spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="doc")
+    bad = found.where("contaminated").select(F.col("doc.doc_id").alias("_bad_id"), F.col("doc.k").alias("_bad_key")).distinct()
+    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.col("_text_key") == F.col("_bad_key")), "left_anti").drop("_text_key")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources: documents as often as it takes them, in the order of the output shards."""
+    return mixed_rows(mix(docs)).select("row.*")
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mix, and what they hold per document."""
+    path = f"{shared_folder(spark)}/tokens/{uuid.uuid4().hex}"
+    return stored_documents(write_token_files(docs, path, public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("language_id", language),
+    ("near_dedup", near_duplicate),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("token_files", token_files),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = pin(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

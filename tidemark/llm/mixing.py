@@ -151,11 +151,11 @@ def mix(docs: DataFrame, seed: int = 7, weights=WEIGHTS, share: tuple[int, int]
 
 
 def mixed_rows(mixture: DataFrame, seed: int = 7, shards: int | None = None) -> DataFrame:
-    """One row per taken copy: the document's columns, ``shard`` and ``place``; each shard in hash order.
+    """One row per taken copy: ``row`` (the document's columns), ``shard`` and ``place``; each shard in hash order.
 
     Rows of a shard are dealt over as many tasks as the hash gives and ordered by ``place`` in each.
     """
     copies = mixture.select("row", "u", F.posexplode("shards").alias("copy", "shard"))
-    placed = copies.select("row.*", "shard", F.xxhash64(F.lit(seed), "u", "shard", "copy").alias("place"))
+    placed = copies.select("row", "shard", F.xxhash64(F.lit(seed), "u", "shard", "copy").alias("place"))
     n = shards or int(mixture.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return placed.repartitionByRange(n, "shard", "place").sortWithinPartitions("shard", "place")

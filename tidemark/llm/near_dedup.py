@@ -21,7 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.textwords import column_of, grams, mixed, text_slices, words_of
@@ -179,11 +179,20 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _hex(name: str) -> Column:
+    return F.lower(F.hex(name))
+
+
+def text_key(text: Column) -> Column:
+    """The first 128 bits of the text's SHA-256, as hexadecimal digits."""
+    return F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32)
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, class_id, class_size, n_copies, kept, text_key.
+    """One row per row of ``docs``: id, class_id, class_size, n_copies, kept, text_key, class_key.
 
     A class is a set of texts connected by pairs of at least ``threshold`` similarity, with all their exact
-    copies; class_id is the smallest id in it and the row with that id is kept. Texts are compared once,
+    copies; class_id is the smallest id in it and the row with that id is kept (of several, one text). Texts are compared once,
     however many rows have them (n_copies). A null text is an empty text; empty texts, like texts without a word, are
     alike only when identical. A text of fewer than five words is one shingle of all its words.
     Null ids come last. Rows that repeat id and text share their answer. Other columns are not read.
@@ -191,7 +200,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, seed: int = 1
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    given = docs.select(F.col(id_col).alias("_id"), F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("key"), text.alias("_text"))
+    given = docs.select(F.col(id_col).alias("_id"), F.unhex(text_key(text)).alias("key"), text.alias("_text"))
     idf = idf_of(cell_counts(given))
     table = spark.sparkContext.broadcast(idf)
     kind = dict(docs.dtypes)[id_col]
@@ -269,7 +278,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, seed: int = 1
         roots = components(links.unionByName(late))
 
     of_row = pin(rows.select("_id", "key").join(roots, "key", "left").select("_id", "key", F.coalesce("root", "key").alias("root")), "rows")
-    groups = pin(of_row.groupBy("root").agg(F.min("_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "classes")
+    order = F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("key").alias("k"))
+    groups = pin(of_row.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("class_size")), "classes")
     copies = pin(of_row.groupBy("key").agg(F.count(F.lit(1)).alias("n_copies")), "copies")
+    kept = F.col("_id").eqNullSafe(F.col("first.i")) & (F.col("key") == F.col("first.k"))
     return of_row.join(groups, "root").join(copies, "key").select(
-        F.col("_id").alias(id_col), "class_id", "class_size", "n_copies", F.col("_id").eqNullSafe(F.col("class_id")).alias("kept"), F.lower(F.hex("key")).alias("text_key"))
+        F.col("_id").alias(id_col), F.col("first.i").alias("class_id"), "class_size", "n_copies", kept.alias("kept"), _hex("key").alias("text_key"), _hex("root").alias("class_key"))
