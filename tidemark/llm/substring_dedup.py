@@ -172,12 +172,15 @@ def repeated_windows(units: DataFrame, rows: DataFrame, window: int, gram: int,
     pieces = pin(located.mapInArrow(cut, f"h long, key binary, _id {kind}, start int, hot boolean, words binary"), "pieces")
 
     def stream(batches):
-        shard, seen, first, automaton = None, set(), None, None
+        shard, seen, first, automaton, last = None, set(), None, None, None
         for batch in batches:
             keys, starts = [], []
             for h, key, start, raw in zip(*(column_of(batch, c).to_pylist() for c in ("h", "key", "start", "words"))):
                 if h != shard:
-                    shard, seen, first, automaton = h, set(), None, None
+                    shard, seen, first, automaton, last = h, set(), None, None, None
+                if (key, start) == last:  # a row of the table that repeats id and text
+                    continue
+                last = (key, start)
                 words = raw.split(b" ")
                 if raw in seen:
                     hits = range(len(words) - window + 1)
