@@ -71,7 +71,7 @@ def test_trust(spark):
     assert {r["id"] for r in spark.createDataFrame(rows, RUN).where(FL.trusted_run(F.col("params"))).collect()} == {1, 2}
 
 
-AGENT = "k string, agent string, decision string, score double"
+AGENT = "k string, agent string, decision string, score double, ts timestamp, id long"
 
 
 @pytest.mark.parametrize("votes,reason", [
@@ -79,11 +79,42 @@ AGENT = "k string, agent string, decision string, score double"
     ({"market_state": "매수", "risk": "청산", "value_trap": "매수"}, "veto"), ({"market_state": "매수", "risk": "매수", "value_trap": "관망"}, "consensus"),
     ({"market_state": "관망", "risk": "매수", "value_trap": "오류"}, "error")])
 def test_gate(spark, votes, reason):
-    rows = [("x", a, d, 8.0) for a, d in votes.items()]
+    rows = [("x", a, d, 8.0, datetime(2026, 8, 20), i) for i, (a, d) in enumerate(votes.items())]
     r = D.gate(spark.createDataFrame(rows, AGENT), ["k"], ("value_trap",)).first()
     assert r["reason"] == reason and r["approved"] == (reason == "approved") and r["avg_score"] == (8.0 if reason == "approved" else None)
 
 
+def test_gate_counts_agents_not_replies(spark):
+    def ask(*votes):
+        rows = [("x", a, d, 8.0, datetime(2026, 8, 20), i) for i, (a, d) in enumerate(votes)]
+        return D.gate(spark.createDataFrame(rows, AGENT), ["k"], ("one", "two")).first()["reason"]
+
+    assert ask(("one", "매수"), ("one", "매수")) == "consensus"
+    assert ask(("one", "매수"), ("two", "관망"), ("two", "매수")) == "approved"
+    assert ask(("one", "매수"), ("two", "매수"), ("two", "관망")) == "consensus"
+
+
+def test_alerts_count_every_failure(spark):
+    now = datetime(2026, 8, 20, 12)
+    rows = [(i, now, "오류", "요청 한도 초과 - x") for i in range(501)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, decision string, rationale string")
+    assert D.error_alerts(df, "2026-08-20 12:00:00").first()["n"] == 501
+
+
+def test_history_is_what_was_public(spark):
+    statement = "code string, period string, revenue double, op_income double, net_income double, equity double, liabilities double"
+    facts = spark.createDataFrame([("A", f"{y}Q4", 10.0, float(y), 1.0, 2.0, 1.0) for y in range(2018, 2026)], statement)
+    asked = spark.createDataFrame([("A", date(2021, 6, 1)), ("A", date(2026, 6, 1)), ("A", date(2018, 6, 1))], "code string, d date")
+    got = {r["d"].year: [h["period"] for h in r["history"]] for r in D.statement_history(facts, asked).collect()}
+    assert got == {2021: ["2018Q4", "2019Q4", "2020Q4"], 2026: [f"{y}Q4" for y in range(2021, 2026)]}
+
+
+def test_failures_keep_the_whole_reply(spark):
+    schema = "id bigint, ts timestamp, code string, agent string, scope string, prompt string, reply string, error_kind string, error_text string"
+    raw = spark.createDataFrame([(1, datetime(2026, 8, 20), "A", "risk", None, "p", "?" * 900, None, None)], schema)
+    assert D.decision_ingest(raw)["failures"].first()["rationale"].count("?") == 900
+
+
 def test_ingest_reuses_and_separates(spark):
     schema = "id bigint, ts timestamp, code string, agent string, scope string, prompt string, reply string, error_kind string, error_text string"
     t = datetime(2026, 8, 20)
@@ -124,6 +155,18 @@ def test_match_exits_touches_the_newest_open_buy(spark):
     assert {r["id"]: r["exit_reason"] for r in B.match_exits(book, sells).collect()} == {0: None, 1: "stop"}
 
 
+def test_every_sell_closes_the_newest_open_buy_before_it(spark):
+    book = ledger(spark, [(f"2024-01-{d:02}", "buy", "A", 1.0, 1.0, "s", "{}") for d in (2, 3, 6, 20)])
+    kind = "id long, ts timestamp, code string, mode string, strategy string, exit_reason string, realized_pct double"
+    sells = spark.createDataFrame([(90 + d, datetime(2024, 1, d), "A", "paper", "s", f"r{d}", 0.1) for d in (1, 5, 7, 8, 9)], kind)
+    assert {r["id"]: r["exit_reason"] for r in B.match_exits(book, sells).collect()} == {0: "r8", 1: "r5", 2: "r7", 3: None}
+
+
+def test_ratios_of_nothing_are_null(spark):
+    equity = spark.createDataFrame([("paper", date(2024, 1, i), 0.0, 0.0, float(i - 2)) for i in (2, 3)], "mode string, d date, cash double, positions_value double, total_equity double")
+    assert [r["day_ret"] for r in B.equity_by_day(equity).collect()] == [None, None]
+
+
 def test_exit_priority(spark):
     d = date(2024, 1, 10)
     bars = spark.createDataFrame([("A", date(2024, 1, i), 1.0, 1.0, 1.0, 90.0, 1) for i in range(2, 11)], schemas.STOCK_DAILY)

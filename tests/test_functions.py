@@ -81,28 +81,28 @@ def test_availability_and_previous_year(one):
     assert one(lambda: periods.quarter_label(F.lit("2024-05-02").cast("date"))) == "2024Q2"
 
 
-@pytest.mark.parametrize("raw,value", [("44,425,929,000,000", 44425929000000), ("-1,234", -1234), ("(1,234)", -1234), ("", None), ("-", None), (None, None), ("abc", None)])
+@pytest.mark.parametrize("raw,value", [("7,018,300,000", 7018300000), ("-56,070", -56070), ("(81,905)", -81905), ("", None), ("-", None), (None, None), ("abc", None)])
 def test_amount(one, raw, value):
     assert one(lambda: text.amount(F.col("x")), x=(raw, "string")) == value
 
 
-@pytest.mark.parametrize("raw,value", [("1,234", 1234), ("-", None), ("", None), ("12.5", None), (None, None)])
+@pytest.mark.parametrize("raw,value", [("90,817", 90817), ("-", None), ("", None), ("12.5", None), (None, None)])
 def test_count(one, raw, value):
     assert one(lambda: text.count(F.col("x")), x=(raw, "string")) == value
 
 
 @pytest.mark.parametrize("reply", [
-    "**결정: 청산 / 확신: 10 / 이유: 약세장**", "**결정: 청산** / **확신: 10** / **이유: 약세장**",
-    "결정: **청산** / 확신: 10 / 이유: 약세장", "**결정**: 청산 / 확신: 10 / 이유: 약세장"])
+    "**결정: 매수\n확신: 7.5\n이유: 저평가 구간**", "생각해 보면\n**결정:** 매수\n**확신:** 7.5\n**이유:** 저평가 구간",
+    "결정 : *매수*, 결정 근거 있음\n확신 :7.5\n이유: 저평가 구간", "결정: 보류\n결정: 매수\n확신: 없음\n확신: 7.5점\n이유: 저평가 구간"])
 def test_reply_tolerates_emphasis(one, reply):
     got = one(lambda: F.struct(text.reply_decision(F.col("x")).alias("d"), text.reply_score(F.col("x")).alias("s"), text.reply_reason(F.col("x")).alias("r")), x=(reply, "string"))
-    assert (got["d"], got["s"], got["r"]) == ("청산", 10.0, "약세장")
+    assert (got["d"], got["s"], got["r"]) == ("매수", 7.5, "저평가 구간")
 
 
 def test_reply_defaults(one):
-    assert one(lambda: text.reply_decision(F.col("x")), x=("확신: 6\n이유: 애매함", "string")) is None
-    assert one(lambda: text.reply_score(F.col("x")), x=("결정: 청산\n이유: 손절", "string")) == 5.0
-    assert one(lambda: text.reply_reason(F.col("x")), x=("그냥 아무 텍스트", "string")) == "그냥 아무 텍스트"
+    assert one(lambda: text.reply_decision(F.col("x")), x=("확신: 3\n이유: 자료 부족", "string")) is None
+    assert one(lambda: text.reply_score(F.col("x")), x=("결정: 관망\n이유: 거래 적음", "string")) == 5.0
+    assert one(lambda: text.reply_reason(F.col("x")), x=("형식 없는 답 " * 60, "string")) == ("형식 없는 답 " * 60).strip()
 
 
 def test_settings(one):

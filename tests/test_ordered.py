@@ -1,12 +1,15 @@
 """Sharded order statistics against pandas, with shards small enough to be used."""
 import random
+from datetime import date, timedelta
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import ordered
-from tidemark.operators.statistics import _block_draws, bootstrap_means, compound_drawdown
+from tidemark.operators.ordered import with_shard
+from tidemark.operators.statistics import bootstrap_means, compound_drawdown, random_control, validate
 
 
 @pytest.fixture
@@ -62,18 +65,37 @@ def test_wiped_out_curve(spark):
     assert compound_drawdown(df, ["g"], ["i"], "r").first()["mdd"] == -1.0
 
 
-def test_block_draws_add_up():
-    for n, size in ((1000, 100), (1050, 100), (7, 100)):
-        blocks = -(-n // size)
-        for it in range(20):
-            assert sum(_block_draws(1, it, b, blocks, n, size) for b in range(blocks)) == n
-
-
 def test_bootstrap_matches_its_theory(spark, frame):
     df = spark.createDataFrame(frame)
-    means = bootstrap_means(df, ["i"], "x", iterations=300, block=200).toPandas()["mean"]
+    means = bootstrap_means(df, ["i"], "x", iterations=300).toPandas()["mean"]
     assert len(means) == 300
     assert abs(means.mean() - frame["x"].mean()) < 4 * frame["x"].std() / np.sqrt(1500 * 300)
     assert means.std() == pytest.approx(frame["x"].std() / np.sqrt(1500), rel=0.2)
-    again = bootstrap_means(df.repartition(7), ["i"], "x", iterations=300, block=200).toPandas()
+    again = bootstrap_means(df.repartition(7), ["i"], "x", iterations=300).toPandas()
     assert np.allclose(sorted(again["mean"]), sorted(means))
+
+
+def test_more_than_256_shards(spark):
+    df = spark.range(6000).select(F.lit("a").alias("g"), F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("x"))
+    sharded = with_shard(df, ["g"], ["x"], shard_rows=10)
+    assert sharded.select("_shard").distinct().count() > 256
+    local = sharded.groupBy("_shard").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("_shard").collect()
+    assert all(a["hi"] < b["lo"] for a, b in zip(local, local[1:]))
+
+
+def test_control_and_validation(spark):
+    rng = random.Random(3)
+    pool = spark.createDataFrame([(i, rng.gauss(0, 1)) for i in range(400)], "i int, ret double")
+    got = {r["rule"]: r["pct_rank"] for r in random_control(pool, ["i"], spark.createDataFrame([("low", -9.0), ("mid", 0.0), ("high", 9.0)], "rule string, mean double"), 20, 100, keys=["rule"]).collect()}
+    assert got["low"] == 0.0 and got["high"] == 1.0 and 0.2 < got["mid"] < 0.8
+    day = lambda i: date(2024, 1, 1) + timedelta(days=i)
+    rows = [("good", day(i), f"c{i}", 1.0 + i % 2) for i in range(40)] + [("few", day(i), "c", 1.0) for i in range(9)]
+    trades = spark.createDataFrame(rows, "rule string, d date, code string, ret double")
+
+    def between(spans):
+        return trades.join(spans, "rule").where(F.col("d").between(F.col("from"), F.col("to")))
+
+    pool = pool.select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("i")).alias("d"), F.lit("c").alias("code"), "ret")
+    out = {r["rule"]: r for r in validate(lambda s: between(s), trades.withColumn("entry_d", F.col("d")), pool.withColumnRenamed("d", "entry_d"), ["entry_d", "code"], "2024-01-01", "2024-12-31", 50, 50).collect()}
+    assert out["good"]["skipped"] is False and out["good"]["bootstrap_pass"] and out["good"]["control_pass"] and out["good"]["t1_n"] + out["good"]["t2_n"] == 41
+    assert out["few"]["skipped"] is True and out["few"]["n"] == 9 and out["few"]["bootstrap_pass"] is None and out["few"]["split_date"] is None

@@ -158,24 +158,17 @@ def simulate(rows, flags, rank, slots, hold, stop, judged):
     return trades
 
 
-@pytest.mark.parametrize("slots", [1, 3, 5])
-def test_slot_capped_matches_a_day_loop(spark, market, slots):
-    rows, flags = market
+def test_best_of_each_day_are_independent_trades(spark, market):
+    rows, _ = market
     rng = random.Random(5)
-    rank = {key: rng.random() for key in rows if key[1] % 7 != 3}
-    judged = {i for _, i in rank}
-    last = max(i for _, i in rows)
-    bars = frames(spark, market).withColumn("judged", ~F.col("d").isin([day(i) for _, i in rows if i not in judged] + [day(last)]))
-    table = O.outcome_table(bars, max_hold=6, monitor_from=0, count="market_days", expiry_first=True, keep_open=True)
-    ranked = spark.createDataFrame([(c, day(i), x) for (c, i), x in rank.items() if i != last], "code string, d date, x double")
-    ranked = O.top_per_day(ranked, [F.col("x"), F.col("code")], slots).drop("x")
-    cand = ranked.join(table, ["code", "d"], "left")
-    both = cand.withColumn("variant", F.lit("a")).unionByName(cand.withColumn("variant", F.lit("b")))
-    got = O.slot_capped(both, slots, ["variant"]).collect()
-    want = sorted(simulate(rows, flags, rank, slots, 6, 0.07, judged))
-    for v in "ab":
-        mine = sorted((r["code"], (r["d"] - day(0)).days, (r["exit_d"] - day(0)).days, r["reason"], round(r["ret"], 9)) for r in got if r["variant"] == v)
-        assert mine == want and len(want) > 10
+    table = O.outcome_table(frames(spark, market), max_hold=6)
+    ranked = spark.createDataFrame([(c, day(i), rng.random()) for c, i in rows], "code string, d date, x double")
+    ranked = O.top_per_day(ranked, [F.col("x"), F.col("code")], 4).drop("x").join(table, ["code", "d"], "left").withColumn("window", F.lit("w"))
+    both = ranked.withColumn("variant", F.lit("a")).unionByName(ranked.withColumn("variant", F.lit("b")))
+    got = R.hypothesis_sweep(both, {"a": 1, "b": 3}).collect()
+    want = ranked.where(F.col("exit_d").isNotNull()).collect()
+    for v, k in (("a", 1), ("b", 3)):
+        assert sorted((r["code"], r["d"]) for r in got if r["variant"] == v) == sorted((r["code"], r["d"]) for r in want if r["rank"] <= k)
 
 
 def test_unlimited_pool_is_the_fold_with_re_entry(spark, market):

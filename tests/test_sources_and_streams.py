@@ -23,18 +23,21 @@ def land(folder, name, *pages):
 
 
 def test_flow_units_dates_and_order(spark, tmp_path):
-    land(f"{tmp_path}/in", "a", page("A", 1, ("20260818", "946", "-730", "-216"), ("", "1", "1", "1"), ("2026081", "1", "1", "1")), page("A", 2, ("20260817", None, None, None), ("20260818", "947", "-730", "-216")))
+    land(f"{tmp_path}/in", "a", page("A", 1, ("20260818", "51", "-40", "-11"), ("", "1", "1", "1"), ("2026081", "1", "1", "1")), page("A", 2, ("20260817", None, " ", None), ("20260818", "52", "-40", "-12"), ("20260819", "1,2", "0", "0")))
     df = L.normalise_flows(L.read_json(spark, f"{tmp_path}/in", schemas.LANDED_FLOW))
     got = {r["d"].day: (r["individual_net"], r["foreign_net"], r["institution_net"]) for r in df.collect()}
-    assert got == {18: (947_000_000, -730_000_000, -216_000_000), 17: (0, 0, 0)}
+    assert got == {18: (52_000_000, -40_000_000, -12_000_000), 17: (0, 0, 0)}
     assert L.normalise_flows(L.read_json(spark, f"{tmp_path}/in", schemas.LANDED_FLOW), "2026-08-18").count() == 1
+    bad = L.rejected_flows(L.read_json(spark, f"{tmp_path}/in", schemas.LANDED_FLOW)).collect()
+    assert [r["d"].day for r in bad] == [19] and json.loads(bad[0]["row"])["prsn_ntby_tr_pbmn"] == "1,2"
 
 
 def test_corp_code_xml(spark, tmp_path):
     (tmp_path / "corp.xml").write_text(
         "<result><list><corp_code>00126380</corp_code><corp_name>a</corp_name><stock_code>005930</stock_code><modify_date>1</modify_date></list>"
+        "<list><corp_code>00055555</corp_code><corp_name>a</corp_name><stock_code>005930</stock_code><modify_date>2</modify_date></list>"
         "<list><corp_code>00000001</corp_code><corp_name>b</corp_name><stock_code> </stock_code><modify_date>1</modify_date></list></result>")
-    assert [(r["code"], r["corp_code"]) for r in L.read_corp_codes(spark, str(tmp_path / "corp.xml")).collect()] == [("005930", "00126380")]
+    assert [(r["code"], r["corp_code"]) for r in L.read_corp_codes(spark, str(tmp_path / "corp.xml")).collect()] == [("005930", "00055555")]
 
 
 def test_accounts_prefer_consolidated_and_last_line(spark):
@@ -45,11 +48,12 @@ def test_accounts_prefer_consolidated_and_last_line(spark):
     assert len(r) == 1 and (r[0]["code"], r[0]["fs_div"], r[0]["revenue"], r[0]["op_income"], r[0]["equity"]) == ("A", "CFS", 2.0, -5.0, None)
 
 
-def test_zero_credit_respects_its_limit(spark):
+def test_zero_credit_fills_every_bar(spark):
     bars = spark.createDataFrame([("A", date(2024, 1, i)) for i in range(1, 11)], "code string, d date")
     credit = spark.createDataFrame([("A", date(2024, 1, 3), 5, 0.1)], schemas.CREDIT_BALANCE)
     assert L.zero_credit(bars, credit, "2024-01-02", "2024-01-09").count() == 7
-    assert L.zero_credit(bars, credit, "2024-01-02", "2024-01-09", 3).count() == 3
+    many = spark.range(50_001).select(F.concat(F.lit("C"), "id").alias("code"), F.lit("2024-01-02").cast("date").alias("d"))
+    assert L.zero_credit(many, credit, "2024-01-01", "2024-01-09").count() == 50_001
 
 
 def test_upsert_table_rewrites_touched_partitions_only(spark, tmp_path):
@@ -75,9 +79,13 @@ def test_save_runs_replaces_a_strategy(spark, tmp_path):
         trades = spark.createDataFrame([(strategy, i) for i in range(n)], "strategy string, i int")
         T.save_runs(str(tmp_path), runs, trades)
 
+    def trades():
+        return {r["strategy"]: r["count"] for r in T.stored_trades(spark, str(tmp_path), "strategy string, i int").groupBy("strategy").count().collect()}
+
     save("a", 3), save("b", 2), save("a", 1)
-    assert {r["strategy"]: r["count"] for r in spark.read.parquet(f"{tmp_path}/trades").groupBy("strategy").count().collect()} == {"a": 1, "b": 2}
-    assert spark.read.parquet(f"{tmp_path}/runs").count() == 2
+    assert trades() == {"a": 1, "b": 2}
+    save("a", 0)
+    assert trades() == {"b": 2} and T.stored_runs(spark, str(tmp_path)).count() == 2
 
 
 def test_stored_bars_prune(spark, tmp_path):
@@ -97,11 +105,11 @@ def test_ingest_resumes_and_tolerates_replay(spark, tmp_path):
     folder, table = f"{tmp_path}/in", f"{tmp_path}/table"
 
     def normalise(batch):
-        return L.normalise_flows(batch).withColumn("year", F.year("d"))
+        return L.normalise_flows(batch, keep_seq=True).withColumn("year", F.year("d"))
 
-    def go(checkpoint):
-        stream = I.read_landed(spark, folder, schemas.LANDED_FLOW)
-        I.ingest(stream, normalise, table, ["code", "d"], f"{tmp_path}/{checkpoint}").awaitTermination()
+    def go(checkpoint, files=1000):
+        stream = I.read_landed(spark, folder, schemas.LANDED_FLOW, files)
+        I.ingest(stream, normalise, table, ["code", "d"], f"{tmp_path}/{checkpoint}", order=["page", "pos"], rejected=L.rejected_flows).awaitTermination()
         return {str(r["d"]): r["individual_net"] for r in spark.read.parquet(table).collect()}
 
     land(folder, "a", page("A", 1, ("20260817", "1", "0", "0"), ("20260818", "2", "0", "0")))
@@ -109,3 +117,15 @@ def test_ingest_resumes_and_tolerates_replay(spark, tmp_path):
     land(folder, "b", page("A", 2, ("20260818", "3", "0", "0")))
     want = {"2026-08-17": 1_000_000, "2026-08-18": 3_000_000}
     assert go("one") == want and go("two") == want
+    land(folder, "c", page("A", 0, ("20260818", "9", "0", "0"), ("20260817", "8", "0", "0")))  # an earlier page that arrives late
+    assert go("one") == want and go("three", 1) == want
+    land(folder, "d", page("A", 3, ("20260818", "x", "0", "0")))
+    with pytest.raises(Exception, match="cannot be read"):
+        go("one")
+    assert spark.read.parquet(f"{table}_rejected").count() == 1
+
+
+def test_filings_keep_the_last_arrival(spark):
+    filing = lambda name: {"stock_code": "A", "rcept_no": "1", "rcept_dt": "20240102", "report_nm": name}
+    pages = spark.createDataFrame([(1, [filing("zz old")]), (2, [filing("mm"), filing("[corrected]")])], schemas.LANDED_FILING)
+    assert [r["report_nm"] for r in L.normalise_filings(pages, spark.createDataFrame([("A",)], "code string")).collect()] == ["[corrected]"]

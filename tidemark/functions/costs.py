@@ -36,7 +36,7 @@ SELL_COST = 1.0 - SELL_FACTORS[0] * SELL_FACTORS[1]
 
 def position_size(capital: Column, slots: Column, px: Column) -> Column:
     """P13. Whole shares one slot can buy; NULL when not even one."""
-    qty = F.floor(capital / slots / px)
+    qty = F.floor(F.try_divide(F.try_divide(capital, slots), px))
     return F.when(qty >= 1, qty)
 
 
@@ -57,7 +57,7 @@ def realized(px: Column, entry: Column) -> Column:
 
 def mark_pct(px: Column, entry: Column) -> Column:
     """P16. Mark-to-market percentage, two digits."""
-    return F.round((px / entry - 1) * 100, 2)
+    return F.round((F.try_divide(px, entry) - 1) * 100, 2)
 
 
 def unrealized(px: Column, entry: Column, qty: Column) -> Column:

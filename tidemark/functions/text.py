@@ -38,27 +38,33 @@ def count(text: Column) -> Column:
     return F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("bigint"))
 
 
-def _labelled(label: str, value: str) -> str:
-    star = r"\s*\**\s*"
-    return label + star + ":" + star + value
+def _stated(text: Column, label: str) -> Column:
+    """What follows each mention of ``label`` and a colon, up to the end of the line, without emphasis before it."""
+    after = F.slice(F.split(text, label), F.lit(2), F.greatest(F.size(F.split(text, label)) - 1, F.lit(1)))
+    values = F.transform(after, lambda x: F.regexp_extract(x, r"^[\s*]*:[\s*]*([^\n]*)", 1))
+    return F.filter(values, lambda x: x != "")
 
 
 def reply_decision(text: Column) -> Column:
     """P17. The known decision named in a reply, NULL when there is none."""
-    found = F.regexp_extract(text, _labelled(LABEL_DECISION, "(" + "|".join(DECISIONS) + ")"), 1)
-    return F.nullif(found, F.lit(""))
+    def known(value: Column) -> Column:
+        out = F.when(value.startswith(DECISIONS[0]), DECISIONS[0])
+        for d in DECISIONS[1:]:
+            out = out.when(value.startswith(d), d)
+        return out
+
+    return F.get(F.array_compact(F.transform(_stated(text, LABEL_DECISION), known)), 0)
 
 
 def reply_score(text: Column) -> Column:
     """P17. Confidence, 5.0 when not stated."""
-    found = F.regexp_extract(text, _labelled(LABEL_SCORE, "([0-9.]+)"), 1)
-    return F.coalesce(found.try_cast("double"), F.lit(DEFAULT_SCORE))
+    numbers = F.filter(F.transform(_stated(text, LABEL_SCORE), lambda x: F.regexp_extract(x, r"^[0-9.]+", 0)), lambda x: x != "")
+    return F.coalesce(F.get(numbers, 0).try_cast("double"), F.lit(DEFAULT_SCORE))
 
 
 def reply_reason(text: Column) -> Column:
-    """P17. Stated reason, or the first 200 characters of the reply."""
-    found = F.regexp_extract(text, _labelled(LABEL_REASON, "(.+)"), 1)
-    raw = F.when(found != "", found).otherwise(F.substring(text, 1, 200))
+    """P17. Stated reason, or the whole reply."""
+    raw = F.coalesce(F.get(_stated(text, LABEL_REASON), 0), text)
     return F.trim(F.regexp_replace(F.trim(raw), r"^\*+|\*+$", ""))
 
 

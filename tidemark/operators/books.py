@@ -75,8 +75,8 @@ def equity_by_day(equity: DataFrame) -> DataFrame:
     order = Window.partitionBy("mode").orderBy("d")  # one row per day
     total = F.col("total_equity")
     return day.select(
-        "*", (total / F.lag("total_equity").over(order) - 1).alias("day_ret"),
-        (total / F.first("total_equity").over(order) - 1).alias("cum_ret"))
+        "*", (F.try_divide(total, F.lag("total_equity").over(order)) - 1).alias("day_ret"),
+        (F.try_divide(total, F.first("total_equity").over(order)) - 1).alias("cum_ret"))
 
 
 def exit_reasons(trades: DataFrame, reason: str = "exit_reason", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -134,14 +134,27 @@ def open_positions_view(positions: DataFrame, bars: DataFrame, ledger: DataFrame
 
 
 def match_exits(ledger: DataFrame, sells: DataFrame) -> DataFrame:
-    """C36. Stamp reason and realised return of each sell on the newest open buy of its position."""
+    """C36. Stamp reason and realised return of the sells on the open buys of their position.
+
+    Sells are taken in time; each goes to the newest open buy before it that no later sell needs more: buys and sells
+    of a position are parentheses, and a sell closes the buy that it matches. A sell without an earlier open buy
+    stamps nothing.
+    """
     key = ["code", "mode", "strategy"]
-    is_open = (F.col("side") == "buy") & F.col("exit_reason").isNull()
-    newest = ledger.where(is_open).groupBy(*key).agg(F.max_by("id", F.struct("ts", "id")).alias("id"))
-    last = F.struct("ts", "id")
-    stamps = sells.groupBy(*key).agg(
-        F.max_by("exit_reason", last).alias("_reason"), F.max_by("realized_pct", last).alias("_pct"))
-    stamps = newest.join(stamps, key).select("id", "_reason", "_pct")
+    buys = ledger.where((F.col("side") == "buy") & F.col("exit_reason").isNull()).select(*key, "ts", "id", F.lit(1).alias("step"))
+    sold = sells.select(*key, "ts", "id", F.lit(-1).alias("step"), "exit_reason", "realized_pct")
+    order = Window.partitionBy(*key).orderBy("ts", "id")
+    moves = buys.unionByName(sold, allowMissingColumns=True)
+    run = moves.withColumn("sum", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # A sell below every earlier level closes nothing; counting from the lowest level so far leaves it out.
+    floor = F.least(F.lit(0), F.min("sum").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    before = F.least(F.lit(0), F.coalesce(F.min("sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    run = run.withColumn("level", F.col("sum") - before + F.when(F.col("step") < 0, 1).otherwise(0)).withColumn("lost", (F.col("step") < 0) & (floor < before))
+    # A buy and the next move on its level belong together.
+    same = Window.partitionBy(*key, "level").orderBy("ts", "id")
+    pairs = run.where(~F.col("lost")).select(
+        "id", "step", F.lead("step").over(same).alias("next"), F.lead("exit_reason").over(same).alias("_reason"), F.lead("realized_pct").over(same).alias("_pct"))
+    stamps = pairs.where((F.col("step") == 1) & (F.col("next") == -1)).select("id", "_reason", "_pct")
     return ledger.join(stamps, "id", "left").withColumn(
         "exit_reason", F.coalesce("_reason", "exit_reason")).withColumn(
         "realized_pct", F.coalesce("_pct", "realized_pct")).drop("_reason", "_pct")

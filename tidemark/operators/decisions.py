@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as P
 from tidemark.functions.nulls import quotient
+from tidemark.functions.periods import available_on
 from tidemark.operators.books import filing_digest, free_slots, same_sector
 from tidemark.operators.calendar import with_previous_market_close
 from tidemark.operators.windows import return_since, trend
 
 VETO_AGENTS = ("market_state", "risk")
-ALERT_ROWS = 500
 
 
 def latest_per_key(df: DataFrame, keys: list[str], ts: str = "ts", tie: str = "id") -> DataFrame:
@@ -22,11 +22,10 @@ def latest_per_key(df: DataFrame, keys: list[str], ts: str = "ts", tie: str = "i
     return picked.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
-def error_alerts(decisions: DataFrame, now, hours: int = 24, newest: int = ALERT_ROWS) -> DataFrame:
-    """A17. Failures of the last day by label: count, newest detail and time, of the newest rows."""
+def error_alerts(decisions: DataFrame, now, hours: int = 24) -> DataFrame:
+    """A17. Failures of the last day by label: count, newest detail and time."""
     since = F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(hours))
     rows = decisions.where((F.col("decision") == P.ERROR_DECISION) & (F.col("ts") > since) & (F.col("ts") <= F.lit(now).cast("timestamp")))
-    rows = rows.orderBy(F.col("ts").desc(), F.col("id").desc()).limit(newest)
     text = F.coalesce("rationale", F.lit(""))
     return rows.groupBy(P.alert_label(text).alias("label")).agg(
         F.count(F.lit(1)).alias("n"), F.max_by(P.alert_detail(text), F.struct("ts", "id")).alias("detail"), F.max("ts").alias("ts"))
@@ -40,7 +39,11 @@ def market_breadth(bars: DataFrame) -> DataFrame:
 
 
 def gate(decisions: DataFrame, keys: list[str], consensus: tuple[str, ...]) -> DataFrame:
-    """C20. Failures first, then vetoes, then unanimous consensus; mean score of the approved."""
+    """C20. Failures first, then vetoes, then unanimous consensus; mean score of the approved.
+
+    Only the newest decision of each agent counts, so one agent cannot stand in for another.
+    """
+    decisions = latest_per_key(decisions, [*keys, "agent"])
     failed = F.col("decision") == P.ERROR_DECISION
     veto = F.col("agent").isin(*VETO_AGENTS) & F.col("decision").isin(P.WATCH, P.EXIT)
     agree = F.col("agent").isin(*consensus) & (F.col("decision") == P.BUY)
@@ -58,14 +61,17 @@ def gate(decisions: DataFrame, keys: list[str], consensus: tuple[str, ...]) -> D
 
 
 def statement_history(statements: DataFrame, candidates: DataFrame, n: int = 5) -> DataFrame:
-    """C31, P12. Newest ``n`` periods per code with margin, ROE and debt ratio, oldest first."""
-    wanted = statements.join(candidates.select("code").distinct(), "code", "left_semi")
-    newest = Window.partitionBy("code").orderBy(F.col("period").desc())
+    """C31, P12. Per (code, d) the newest ``n`` periods that were public on ``d``, with margin, ROE and debt ratio,
+    oldest first. A code has a statement per quarter at most, so the join on code stays small."""
+    period = F.col("period")
+    known = statements.withColumn("avail", available_on(F.substring(period, 1, 4).cast("int"), F.substring(period, 6, 1).cast("int")))
+    wanted = candidates.select("code", "d").distinct().join(known, "code").where(F.col("avail") <= F.col("d"))
+    newest = Window.partitionBy("code", "d").orderBy(F.col("period").desc())
     top = wanted.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= n)
     line = F.struct(
         "period", quotient(F.col("op_income"), F.col("revenue")).alias("margin"),
         quotient(F.col("net_income"), F.col("equity")).alias("roe"), quotient(F.col("liabilities"), F.col("equity")).alias("debt"))
-    return top.groupBy("code").agg(F.sort_array(F.collect_list(line)).alias("history"))
+    return top.groupBy("code", "d").agg(F.sort_array(F.collect_list(line)).alias("history"))
 
 
 def decision_features(candidates: DataFrame, bars: DataFrame, positions: DataFrame, disclosures: DataFrame,
@@ -80,7 +86,7 @@ def decision_features(candidates: DataFrame, bars: DataFrame, positions: DataFra
     out = out.join(free_slots(positions, slots), ["mode", "strategy"], "left").fillna(slots, ["free_slots"])
     out = same_sector(out, positions)
     out = filing_digest(disclosures, out)
-    return out.join(statement_history(statements, candidates), "code", "left")
+    return out.join(statement_history(statements, candidates), ["code", "d"], "left")
 
 
 def decision_ingest(replies: DataFrame, stored: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -102,7 +108,7 @@ def decision_ingest(replies: DataFrame, stored: DataFrame | None = None) -> dict
     decision = P.reply_decision(F.col("reply"))
     broken = F.col("error_kind").isNotNull()
     label = F.when(broken, P.failure_label(F.col("error_kind"), F.col("error_text"))).otherwise(P.FAIL_FORMAT)
-    detail = F.when(broken, F.col("error_text")).otherwise(F.substring("reply", 1, 300))
+    detail = F.when(broken, F.col("error_text")).otherwise(F.col("reply"))
     bad = broken | decision.isNull()
     failures = fresh.where(bad).select(
         "id", "ts", "code", "agent", F.lit(P.ERROR_DECISION).alias("decision"), F.lit(0.0).alias("score"),

@@ -107,8 +107,11 @@ def ledger_rows(ledger: DataFrame, mode: str = "paper", now=None, days: int | No
                 side: str = "", reason: str = "") -> DataFrame:
     """F12. Unknown side or exit reason falls back to no filter."""
     out = ledger.where(F.col("mode") == mode)
-    if reason and not out.where(F.col("exit_reason") == reason).isEmpty():
-        out = out.where(F.col("exit_reason") == reason)
+    if reason:
+        hit = F.coalesce(F.col("exit_reason") == reason, F.lit(False))
+        columns, one = out.columns, F.lit(1).alias("_one")
+        known = out.agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("_known")).select("_known", one)  # one row
+        out = out.select("*", one).join(known, "_one").where(hit | ~F.col("_known")).select(*columns)
     if days is not None:
         out = out.where(F.col("ts") >= F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days)))
     if side in ("buy", "sell"):

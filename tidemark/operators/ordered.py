@@ -18,15 +18,15 @@ from pyspark.sql import functions as F
 
 from tidemark.session import pin
 
-SHARDS = 256  # most shards per group
-SHARD_ROWS = 100_000  # groups up to this size stay whole
+SHARD_ROWS = 100_000  # rows of a shard, about; the number of shards follows from a group's rows alone
 PER_SHARD = 16
 
 
-def _cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str], shards: int, shard_rows: int) -> DataFrame:
-    """One row per large group: its ordered cut points, one per ``shard_rows`` rows up to ``shards``."""
+def _cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str], shards: int | None, shard_rows: int) -> DataFrame:
+    """One row per large group: its ordered cut points, one per ``shard_rows`` rows (at most ``shards``, where given)."""
     size = F.count(F.lit(1))
-    want = F.least(F.lit(shards), F.ceil(size / F.lit(shard_rows))).cast("int")
+    want = F.ceil(size / F.lit(shard_rows)).cast("int")
+    want = want if shards is None else F.least(F.lit(shards), want)
     large = df.groupBy(*keys).agg(size.alias("_n"), want.alias("_want")).where(F.col("_want") > 1)
     subset = (
         df.join(large, list(keys))
@@ -39,18 +39,18 @@ def _cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str], shards: int,
 
 
 def _position(cuts: Column, key: Column) -> Column:
-    """Number of cut points at or below ``key``, searched in blocks of 16."""
-    block = 16
+    """Number of cut points at or below ``key``: first among every n-th, then among the n that follow, n the root of their number."""
+    block = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(cuts))).cast("int"))
     heads = F.filter(cuts, lambda x, i: i % block == 0)
     skip = F.greatest(F.size(F.filter(heads, lambda x: x <= key)) - 1, F.lit(0)) * block
-    inside = F.slice(cuts, skip + 1, F.lit(block))
+    inside = F.slice(cuts, skip + 1, block)
     return skip + F.size(F.filter(inside, lambda x: x <= key))
 
 
 def with_shard(df: DataFrame, keys: Sequence[str], order: Sequence[str], shards: int | None = None,
                shard_rows: int | None = None) -> DataFrame:
     """Add ``_shard``: the ordered slice of its group that a row belongs to."""
-    cuts = _cuts(df, keys, order, shards or SHARDS, shard_rows or SHARD_ROWS)
+    cuts = _cuts(df, keys, order, shards, shard_rows or SHARD_ROWS)
     at = F.when(F.col("_cuts").isNotNull(), _position(F.col("_cuts"), F.struct(*order))).otherwise(F.lit(0))
     return df.join(cuts, list(keys), "left").withColumn("_shard", at).drop("_cuts")
 
@@ -58,7 +58,7 @@ def with_shard(df: DataFrame, keys: Sequence[str], order: Sequence[str], shards:
 def with_offsets(sharded: DataFrame, keys: Sequence[str], measure: Column, name: str = "_before") -> DataFrame:
     """Add the total of ``measure`` over all earlier shards of the group, and the group total."""
     per = sharded.groupBy(*keys, "_shard").agg(measure.alias("_m"))
-    across = Window.partitionBy(*keys).orderBy("_shard")  # at most SHARDS rows per group
+    across = Window.partitionBy(*keys).orderBy("_shard")  # one row per shard
     per = per.select(
         *keys, "_shard",
         F.coalesce(F.sum("_m").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(name),

@@ -156,44 +156,6 @@ def non_overlapping(trades: DataFrame, keys: Sequence[str] = (), inclusive: bool
     return folded.select(*[F.col(c) if c in group else F.col(f"_t.{c}").alias(c) for c in trades.columns])
 
 
-def slot_capped(candidates: DataFrame, slots: int, keys: Sequence[str]) -> DataFrame:
-    """C12. Accept ranked candidates while slots are free, separately for each key.
-
-    ``candidates`` has (keys, d, rank, code, entry_d, exit_d, ...): ``entry_d`` NULL means the next
-    bar is missing (skipped, the slot stays free that day), ``exit_d`` NULL means never closed.
-    Only the best ``slots`` rows of a day can matter, because free + held <= slots and held codes
-    hide at most that many; so one group holds at most slots rows per trading day.
-    """
-    keys = list(keys)
-    day = Window.partitionBy(*keys, "d").orderBy("rank", "code")
-    few = candidates.withColumn("_rn", F.row_number().over(day)).where(F.col("_rn") <= slots)
-    columns = candidates.columns
-
-    def accept(pdf):
-        pdf = pdf.sort_values(["d", "_rn"], kind="stable")
-        open_until: dict = {}
-        picked = []
-        for _, day_rows in pdf.groupby("d", sort=True):
-            today = day_rows["d"].iloc[0]
-            open_until = {c: x for c, x in open_until.items() if x is None or x > today}
-            free = slots - len(open_until)
-            if free <= 0:
-                continue
-            for at, code, entry, leave in zip(day_rows.index, day_rows["code"], day_rows["entry_d"], day_rows["exit_d"]):
-                if code in open_until:
-                    continue
-                if free == 0:
-                    break
-                free -= 1
-                if entry is None or entry != entry:
-                    continue
-                open_until[code] = None if leave is None or leave != leave else leave
-                picked.append(at)
-        return pdf.loc[picked, columns]
-
-    return few.groupBy(*keys).applyInPandas(accept, candidates.schema).where(F.col("exit_d").isNotNull())
-
-
 def rank_study(signals: DataFrame, bars: DataFrame, metric: str, ascending: bool = True, k: int = 20,
                use_position: bool = True, min_rows: int = 60, **rules) -> DataFrame:
     """C29. Best ``k`` of every day as independent trades: (d, code, rank, ret, ...)."""

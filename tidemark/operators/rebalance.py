@@ -11,11 +11,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.costs import BUY_COST, SELL_COST, blended_entry, buy_fill, realized, sell_fill
 from tidemark.operators.asof import latest_bar
 from tidemark.operators.filters import valid_price
-from tidemark.operators.outcomes import slot_capped
 from tidemark.operators.statistics import best_variant, period_statistics, trade_statistics
 
-MAX_SPANS = 1000  # windows become literals of the plan
-
 
 def set_changes(targets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """U02. Per target row: whether the code was in the previous set and is in the next one."""
@@ -91,12 +88,11 @@ def in_windows(candidates: DataFrame, windows: list[tuple[str, date, date, date,
     spans = []
     for name, train_from, train_to, test_from, test_to in windows:
         spans += [(name, "train", train_from, train_to), (name, "test", test_from, test_to)]
-    if len(spans) > MAX_SPANS:
-        raise ValueError("too many windows")
-    hits = F.array_compact(F.array(*[
-        F.when(F.col("d").between(F.lit(a), F.lit(b)), F.struct(F.lit(w).alias("window"), F.lit(p).alias("phase"), F.lit(b).alias("span_end")))
-        for w, p, a, b in spans]))
-    return candidates.withColumn("_w", F.explode(hits)).select("*", "_w.window", "_w.phase", "_w.span_end").drop("_w")
+    table = candidates.sparkSession.createDataFrame(spans, "window string, phase string, span_start date, span_end date")
+    # One row per year that a span touches, so that any number of spans is found through an equi-join.
+    table = table.withColumn("_year", F.explode(F.sequence(F.year("span_start"), F.year("span_end"))))
+    out = candidates.withColumn("_year", F.year("d")).join(table, "_year").where(F.col("d").between(F.col("span_start"), F.col("span_end")))
+    return out.drop("_year", "span_start")
 
 
 def walk_forward(trades: DataFrame, min_train: int, default: str, control: str | None = None) -> dict[str, DataFrame]:
@@ -130,24 +126,23 @@ def walk_forward_periods(periods: DataFrame, min_train: int, default: str, contr
     return {"cells": cells, "chosen": chosen, "periods": pooled, "summary": period_statistics(pooled, ["arm"], per_year)}
 
 
-def hypothesis_sweep(candidates: DataFrame, slots: dict[str, int | None], keys: Sequence[str] = ("variant", "window")) -> DataFrame:
-    """C15. Trades of every variant and window; a variant without a slot limit keeps all its entries."""
+def hypothesis_sweep(candidates: DataFrame, best: dict[str, int | None], keys: Sequence[str] = ("variant", "window")) -> DataFrame:
+    """C15. Trades of every variant and window.
+
+    A variant takes the ``best`` ranked entries of every day as independent trades; one with None takes every entry of
+    its pool, but no code again before its last trade is closed.
+    """
     from tidemark.operators.outcomes import non_overlapping
 
-    parts = []
-    limits = sorted({s for s in slots.values() if s is not None})
-    for limit in limits:
-        names = [v for v, s in slots.items() if s == limit]
-        parts.append(slot_capped(candidates.where(F.col("variant").isin(names)), limit, keys))
-    free = [v for v, s in slots.items() if s is None]
+    limits = F.create_map(*[F.lit(x) for v, k in best.items() if k is not None for x in (v, k)]) if any(k is not None for k in best.values()) else None
+    closed = candidates.where(F.col("entry_d").isNotNull() & F.col("exit_d").isNotNull())
+    out = closed.where(F.col("rank") <= F.try_element_at(limits, F.col("variant"))) if limits is not None else closed.limit(0)
+    free = [v for v, k in best.items() if k is None]
     if free:
         pool = candidates.where(F.col("variant").isin(free) & F.col("entry_d").isNotNull())
         # An entry that never closes keeps its code blocked, so it takes part in the fold.
-        closed = pool.withColumn("exit_d", F.coalesce("exit_d", F.lit(date(9999, 12, 31))))
-        parts.append(non_overlapping(closed, keys, inclusive=False).where(F.col("exit_d") < F.lit(date(9999, 12, 31))))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        pool = pool.withColumn("exit_d", F.coalesce("exit_d", F.lit(date(9999, 12, 31))))
+        out = out.unionByName(non_overlapping(pool, keys, inclusive=False).where(F.col("exit_d") < F.lit(date(9999, 12, 31))))
     return out
 
 

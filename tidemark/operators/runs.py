@@ -147,13 +147,16 @@ def combined_verdict(runs: DataFrame) -> DataFrame:
 
 
 def run_sections(runs: DataFrame, visible: int = 12, selected: int | None = None) -> DataFrame:
-    """C26, L07. Family and trust of every run, its place within its section, newest first."""
+    """C26, L07. Family and trust of every run, its place within its section, newest first.
+
+    Only the trusted section folds away its older runs; biased runs are all shown.
+    """
     out = runs.withColumn("family", family(F.col("strategy"))).withColumn(
         "section", F.when(trusted_run(F.col("params")), "trusted").otherwise("biased"))
     # The shown rows are a pruned top-k; all others only carry their section.
     order = Window.partitionBy("family", "section").orderBy(F.col("ts").desc(), F.col("id").desc())
     top = out.select("id", F.row_number().over(order).alias("pos"), "family", "section").where(F.col("pos") <= visible)
-    shown = F.col("pos").isNotNull()
+    shown = F.col("pos").isNotNull() | (F.col("section") == "biased")
     if selected is not None:
         shown = shown | (F.col("id") == selected)
     return out.join(top.select("id", "pos"), "id", "left").withColumn("shown", shown)

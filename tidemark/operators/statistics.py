@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import math
-import random
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions.nulls import finite_or_null
 from tidemark.operators.asof import latest_bar
@@ -17,7 +13,10 @@ from tidemark.operators.ordered import exact_quantiles, row_numbers, with_shard
 from tidemark.session import pin
 
 RANK_BUCKETS = ((1, 2), (3, 5), (6, 10), (11, 20))
-BOOTSTRAP_BLOCK = 20_000
+PRIME = 2147483647
+# How often a row is drawn in one resample of as many rows: Poisson with mean 1, as cumulative shares of PRIME.
+DRAWN = tuple(int(x * PRIME) for x in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
+                                       0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.999998874797402))
 
 
 def _std(x, ddof: int) -> Column:
@@ -54,7 +53,7 @@ def trade_statistics(trades: DataFrame, keys: Sequence[str] = (), ret: str = "re
 def annualised(stats: DataFrame, slots: Column, days: Column) -> DataFrame:
     """A14. Turnover per slot and year, and mean return times that turnover."""
     years = days / F.lit(365.25)
-    turnover = F.col("n") / slots / years
+    turnover = F.try_divide(F.try_divide(F.col("n"), slots), years)
     return stats.withColumn("turnover_per_slot", turnover).withColumn("annualized_pct", F.col("mean_pct") * turnover)
 
 
@@ -228,80 +227,60 @@ def split_date(trades: DataFrame, keys: Sequence[str], order: Sequence[str], dat
     return numbered.where(F.col("_rn") == F.floor(F.col("_total") / 2) + 1).select(*keys, F.col(date).alias("split_date"))
 
 
-def _block_draws(seed: int, iteration: int, block: int, blocks: int, n: int, size: int) -> int:
-    """Draws that fall into ``block``, by halving the block range: an exact multinomial split.
-
-    Every task finds its own share from (seed, iteration) alone, so nothing is exchanged.
-    """
-    lo, hi, draws = 0, blocks, n
-    while hi - lo > 1 and draws:
-        mid = (lo + hi) // 2
-        left, all_rows = (mid - lo) * size, min(hi * size, n) - lo * size
-        in_left = np.random.default_rng([seed, iteration, lo, hi]).binomial(draws, left / all_rows)
-        if block < mid:
-            hi, draws = mid, in_left
-        else:
-            lo, draws = mid, draws - in_left
-    return int(draws)
+def draw_number(row: Column, iteration: Column, seed: int) -> Column:
+    """A pseudo-random whole number below PRIME for each (row number, iteration), by 64-bit integer arithmetic alone."""
+    x = (row % PRIME * 48271 + iteration * 69621 + seed) % PRIME
+    y = (x * x + row % PRIME) % PRIME
+    z = (y * 16807 + iteration) % PRIME
+    return (z * z + x) % PRIME
 
 
 def bootstrap_means(trades: DataFrame, order: Sequence[str], ret: str = "ret", iterations: int = 1000, seed: int = 7,
-                    block: int = BOOTSTRAP_BLOCK) -> DataFrame:
-    """C16. Mean of ``n`` draws with replacement, per iteration.
+                    keys: Sequence[str] = ()) -> DataFrame:
+    """C16. Mean of a resample with replacement, per key and iteration.
 
-    Rows are numbered and grouped into blocks of fixed size; each block draws its multinomial share
-    locally and returns one partial sum per iteration, so only block sums are shuffled.
+    How often a row is drawn depends on its number, the iteration and the seed alone, so rows are weighted where they
+    are and only sums move; a resample has as many draws as rows on average.
     """
-    rows = row_numbers(trades.select(F.lit(0).alias("_g"), *order, F.col(ret).alias("_y")), ["_g"], order, "_rn")
-    rows = rows.select("_y", F.col("_total").alias("_n"), F.floor((F.col("_rn") - 1) / block).cast("int").alias("_block"))
-
-    def draw(pdf):
-        import pandas as pd
-
-        n, number = int(pdf["_n"].iloc[0]), int(pdf["_block"].iloc[0])
-        values = np.sort(pdf["_y"].to_numpy())
-        blocks = math.ceil(n / block)
-        sums = np.empty(iterations)
-        for i in range(iterations):
-            k = _block_draws(seed, i, number, blocks, n, block)
-            picks = np.random.default_rng([seed, i, number, -1 % 2**32]).integers(0, len(values), k)
-            sums[i] = values[picks].sum()
-        return pd.DataFrame({"iteration": np.arange(iterations), "s": sums, "_n": n})
-
-    part = rows.groupBy("_block").applyInPandas(draw, "iteration int, s double, _n long")
-    return part.groupBy("iteration").agg((F.sum("s") / F.first("_n")).alias("mean"))
+    by = list(keys) or ["_g"]
+    rows = trades if keys else trades.withColumn("_g", F.lit(0))
+    rows = row_numbers(rows.select(*by, *order, F.col(ret).alias("_y")), by, order, "_rn")
+    drawn = rows.select(*by, "_y", "_rn", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
+    u = draw_number(F.col("_rn").cast("long"), F.col("iteration").cast("long"), seed)
+    times = sum(((F.col("_u") >= t).cast("long") for t in DRAWN[1:]), (F.col("_u") >= DRAWN[0]).cast("long"))
+    drawn = drawn.withColumn("_u", u).withColumn("_times", times)
+    out = drawn.groupBy(*by, "iteration").agg(F.try_divide(F.sum(F.col("_times") * F.col("_y")), F.sum("_times")).alias("mean"))
+    return out if keys else out.drop("_g")
 
 
 def bootstrap_positive_rate(trades: DataFrame, order: Sequence[str], ret: str = "ret", iterations: int = 1000,
-                            seed: int = 7, block: int = BOOTSTRAP_BLOCK) -> DataFrame:
+                            seed: int = 7, keys: Sequence[str] = ()) -> DataFrame:
     """C16. Share of iterations with a positive mean."""
-    means = bootstrap_means(trades, order, ret, iterations, seed, block)
-    return means.agg(F.avg((F.col("mean") > 0).cast("double")).alias("positive_rate"), F.count(F.lit(1)).alias("iterations"))
+    means = bootstrap_means(trades, order, ret, iterations, seed, keys)
+    return means.groupBy(*keys).agg(F.avg((F.col("mean") > 0).cast("double")).alias("positive_rate"), F.count(F.lit(1)).alias("iterations"))
 
 
-def random_control(pool: DataFrame, order: Sequence[str], strategy_mean: float, k: int = 50, rounds: int = 200, seed: int = 7,
-                   ret: str = "ret") -> DataFrame:
-    """C17. Share of random ``k``-trade means below the strategy's mean, drawn from the universe pool.
+def random_control(pool: DataFrame, order: Sequence[str], means: DataFrame, k: int = 50, rounds: int = 200, seed: int = 7,
+                   ret: str = "ret", keys: Sequence[str] = ()) -> DataFrame:
+    """C17. Share of random ``k``-trade means below the strategy's ``means(keys, mean)``, drawn from the universe pool.
 
-    The draw list has k x rounds rows whatever the size of the pool, so it may be broadcast.
+    A round takes the ``k`` rows with the smallest draw numbers; Spark prunes each task to k rows before it shuffles.
     """
-    if k * rounds > 1_000_000:
-        raise ValueError("the draw list may have at most a million rows")
-    n = pool.count()
-    k = min(k, n)
-    rng = random.Random(seed)
-    draws = [(i, at + 1) for i in range(rounds) for at in rng.sample(range(n), k)]
-    schema = T.StructType([T.StructField("round", T.IntegerType()), T.StructField("_rn", T.LongType())])
-    table = pool.sparkSession.createDataFrame(draws, schema)
     rows = row_numbers(pool.select(F.lit(0).alias("_g"), *order, F.col(ret).alias("_y")), ["_g"], order, "_rn")
-    means = rows.join(F.broadcast(table), "_rn").groupBy("round").agg(F.avg("_y").alias("mean"))
-    return means.agg(
-        F.avg((F.col("mean") < strategy_mean).cast("double")).alias("pct_rank"), F.count(F.lit(1)).alias("rounds"))
+    drawn = rows.select("_y", "_rn", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+    drawn = drawn.withColumn("_u", draw_number(F.col("_rn").cast("long"), F.col("round").cast("long"), seed))
+    first = Window.partitionBy("round").orderBy("_u", "_rn")
+    taken = drawn.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= k)
+    tried = taken.groupBy("round").agg(F.avg("_y").alias("_mean"))  # one row per round
+    one = F.lit(1).alias("_one")
+    return means.select(*keys, "mean", one).join(tried.select("_mean", one), "_one").groupBy(*keys).agg(
+        F.avg((F.col("_mean") < F.col("mean")).cast("double")).alias("pct_rank"), F.count(F.lit(1)).alias("rounds"))
 
 
 def performance_report(sells: DataFrame, order: Sequence[str], keys: Sequence[str] = (), ret: str = "realized_pct",
-                       min_rows: int = 5) -> DataFrame:
-    """A22. Count, win rate, mean, deviation, t, half means and drawdown; keys below 5 trades drop out."""
+                       min_rows: int = 5, resampled: int = 50, iterations: int = 200) -> DataFrame:
+    """A22. Count, win rate, mean, deviation, t, half means, drawdown and, from ``resampled`` trades on, the bootstrap's share of
+    positive means; keys below 5 trades drop out."""
     keys = list(keys)
     rows = pin(sells.where(F.col(ret).isNotNull()).select(*dict.fromkeys([*keys, *order, ret])), "sells")
     if not keys:
@@ -311,32 +290,32 @@ def performance_report(sells: DataFrame, order: Sequence[str], keys: Sequence[st
         (F.avg(F.when(F.col("half") == 1, F.col(ret))) * 100).alias("first_half_pct"),
         (F.avg(F.when(F.col("half") == 2, F.col(ret))) * 100).alias("second_half_pct"))
     mdd = compound_drawdown(rows, keys, order, ret).withColumn("mdd_pct", F.col("mdd") * 100).drop("mdd")
-    return stats.join(parts, keys).join(mdd, keys).drop("_g")
+    enough = rows.join(stats.where(F.col("n") >= resampled).select(*keys), keys, "left_semi")
+    boot = bootstrap_positive_rate(enough, order, ret, iterations, keys=keys).select(*keys, (F.col("positive_rate") * 100).alias("bootstrap_positive_pct"))
+    return stats.join(parts, keys).join(mdd, keys).join(boot, keys, "left").drop("_g")
 
 
 def validate(trades_for, trades: DataFrame, pool: DataFrame, order: Sequence[str], start, end, iterations: int = 1000,
-             rounds: int = 200, seed: int = 7, pass_at: float = 0.8, min_trades: int = 10) -> DataFrame:
-    """C37. Split re-run, bootstrap and random control of one rule, as a single row.
+             rounds: int = 200, seed: int = 7, pass_at: float = 0.8, min_trades: int = 10, key: str = "rule") -> DataFrame:
+    """C37. Split re-run, bootstrap and random control, one row per ``key`` of ``trades`` in one job.
 
-    ``trades_for(start, end)`` re-runs the rule on a date range given as columns or literals.
+    ``trades_for(spans)`` re-runs the rules on ``spans(key, half, from, to)``, both days included, and
+    returns trades with key and half. A rule below ``min_trades`` has skipped = true and NULL results.
     """
-    spark = trades.sparkSession
-    head = trades.agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("m")).first()
-    if head["n"] < min_trades:
-        return spark.createDataFrame([(head["n"], True)], "n long, skipped boolean")
-    middle = split_date(trades.withColumn("_g", F.lit(0)), ["_g"], order).first()["split_date"]
-    first, second = trades_for(start, middle), trades_for(middle, end)
-    pieces = first.withColumn("half", F.lit(1)).unionByName(second.withColumn("half", F.lit(2)))
-    means = pieces.agg(
-        F.count(F.when(F.col("half") == 1, 1)).alias("t1_n"), F.count(F.when(F.col("half") == 2, 1)).alias("t2_n"),
-        (F.avg(F.when(F.col("half") == 1, F.col("ret"))) * 100).alias("t1_mean_pct"),
-        (F.avg(F.when(F.col("half") == 2, F.col("ret"))) * 100).alias("t2_mean_pct"))
-    boot = bootstrap_positive_rate(trades, order, iterations=iterations, seed=seed).select("positive_rate")
-    control = random_control(pool, order, head["m"], rounds=rounds, seed=seed).select("pct_rank")
-    one = F.lit(1).alias("_one")
-    out = means.select("*", one).join(boot.select("*", one), "_one").join(control.select("*", one), "_one").drop("_one")
+    head = trades.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean"))
+    middle = split_date(trades, [key], order)
+    judged = head.where(F.col("n") >= min_trades).select(key)
+    spans = middle.join(judged, key).select(key, F.explode(F.array(
+        F.struct(F.lit(1).alias("half"), F.lit(start).cast("date").alias("from"), F.col("split_date").alias("to")),
+        F.struct(F.lit(2).alias("half"), F.col("split_date").alias("from"), F.lit(end).cast("date").alias("to")))).alias("s")).select(key, "s.*")
+    first, second = F.col("half") == 1, F.col("half") == 2
+    means = trades_for(spans).groupBy(key).agg(
+        F.count(F.when(first, 1)).alias("t1_n"), F.count(F.when(second, 1)).alias("t2_n"),
+        (F.avg(F.when(first, F.col("ret"))) * 100).alias("t1_mean_pct"), (F.avg(F.when(second, F.col("ret"))) * 100).alias("t2_mean_pct"))
+    boot = bootstrap_positive_rate(trades.join(judged, key, "left_semi"), order, iterations=iterations, seed=seed, keys=[key]).drop("iterations")
+    control = random_control(pool, [c for c in order if c != key], head.join(judged, key, "left_semi"), rounds=rounds, seed=seed, keys=[key]).drop("rounds")
+    out = head.join(middle, key).join(judged.withColumn("_judged", F.lit(True)), key, "left").join(means, key, "left").join(boot, key, "left").join(control, key, "left")
     return out.select(
-        F.lit(head["n"]).alias("n"), F.lit(False).alias("skipped"), F.lit(middle).alias("split_date"),
-        "t1_n", "t2_n", "t1_mean_pct", "t2_mean_pct", (F.col("positive_rate") * 100).alias("bootstrap_positive_pct"),
-        (F.col("positive_rate") >= pass_at).alias("bootstrap_pass"),
+        key, "n", F.col("_judged").isNull().alias("skipped"), F.when(F.col("_judged"), F.col("split_date")).alias("split_date"), "t1_n", "t2_n", "t1_mean_pct", "t2_mean_pct",
+        (F.col("positive_rate") * 100).alias("bootstrap_positive_pct"), (F.col("positive_rate") >= pass_at).alias("bootstrap_pass"),
         (F.col("pct_rank") * 100).alias("random_pct_rank"), (F.col("pct_rank") >= pass_at).alias("control_pass"))

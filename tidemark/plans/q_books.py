@@ -13,7 +13,7 @@ from tidemark.operators import statistics as ST
 from tidemark.operators.asof import latest_close_on
 from tidemark.operators.decisions import latest_per_key
 from tidemark.plans.domain_sql import cte, num, r
-from tidemark.plans.q_outcomes import BUYF, EXIT_DAY, SELLF, entries, outcome_select, stats_sql  # noqa: F401
+from tidemark.plans.q_outcomes import BUYF, EXIT_DAY, SELLF, entries, outcome_select, outcome_sql, stats_sql  # noqa: F401
 from tidemark.plans.q_signals import CAP, CAPS, rounded
 from tidemark.plans.registry import query
 
@@ -222,10 +222,28 @@ def w23(t):
     return rounded(rows.withColumn("cum", F.col("_before") + F.sum("g").over(up)).groupBy("strategy").agg(F.max("cum").alias("log_top")))
 
 
-@query("a22_performance_report", f"""SELECT s.*, first_half_pct, second_half_pct, {r('mdd * 100')} AS mdd_pct FROM ({stats_sql("(SELECT *, realized_pct / 100 AS ret FROM ledger WHERE side = 'sell') q", "strategy", held=None)}) s
+def draw_sql(rows, times):
+    """Numbered ``rows(g, y, rn)`` with a draw number u for each of ``times`` iterations i."""
+    p, n = ST.PRIME, f"rn % {ST.PRIME}"
+    return (f"SELECT *, (z * z + x) % {p} AS u FROM (SELECT *, (yy * 16807 + i) % {p} AS z FROM (SELECT *, (x * x + {n}) % {p} AS yy FROM ("
+            f"SELECT g, y, rn, i, (({n}) * 48271 + i * 69621 + 7) % {p} AS x FROM ({rows}) q, (SELECT unnest(generate_series(0, {times - 1})) AS i) t)))")
+
+
+_TIMES = " + ".join(f"(u >= {x})::BIGINT" for x in ST.DRAWN)
+
+
+def positive_sql(rows, times):
+    return f"""SELECT g, avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END) AS positive_rate, count(*) AS iterations FROM (
+  SELECT g, i, sum(w * y) / nullif(sum(w), 0) AS m FROM (SELECT *, {_TIMES} AS w FROM ({draw_sql(rows, times)})) GROUP BY g, i) GROUP BY g"""
+
+
+_SOLD = "SELECT strategy AS g, realized_pct AS y, row_number() OVER (PARTITION BY strategy ORDER BY ts, id) AS rn FROM ledger WHERE side = 'sell' AND realized_pct IS NOT NULL"
+
+
+@query("a22_performance_report", f"""SELECT s.*, first_half_pct, second_half_pct, {r('mdd * 100')} AS mdd_pct, CASE WHEN s.n >= 50 THEN {r('b.positive_rate * 100')} END AS bootstrap_positive_pct FROM ({stats_sql("(SELECT *, realized_pct / 100 AS ret FROM ledger WHERE side = 'sell') q", "strategy", held=None)}) s
 JOIN (SELECT strategy, {r('avg(CASE WHEN h = 1 THEN realized_pct END)')} AS first_half_pct, {r('avg(CASE WHEN h = 2 THEN realized_pct END)')} AS second_half_pct FROM (
   SELECT *, CASE WHEN row_number() OVER (PARTITION BY strategy ORDER BY ts, id) <= count(*) OVER (PARTITION BY strategy) // 2 THEN 1 ELSE 2 END AS h FROM ledger WHERE side = 'sell') x GROUP BY strategy) h USING (strategy)
-JOIN curve USING (strategy)""", "ledger curve")
+JOIN curve USING (strategy) JOIN ({positive_sql(_SOLD, 200)}) b ON b.g = s.strategy""", "ledger curve")
 def a22(t):
     return rounded(ST.performance_report(small_sells(t), ["ts", "id"], ["strategy"], "ret"))
 
@@ -307,10 +325,11 @@ def c34(t):
     return rounded(out.select("code", "strategy", "mode", "current_px", "pct", "unrealized", "agents"))
 
 
-@query("c36_match_exits", """WITH o AS (SELECT code, mode, strategy, id FROM (SELECT *, row_number() OVER (PARTITION BY code, mode, strategy ORDER BY ts DESC, id DESC) AS rn FROM ledger WHERE side = 'buy' AND exit_reason IS NULL) x WHERE rn = 1),
-s AS (SELECT code, mode, strategy, exit_reason, realized_pct FROM (SELECT *, row_number() OVER (PARTITION BY code, mode, strategy ORDER BY ts DESC, id DESC) AS rn FROM ledger WHERE side = 'sell') x WHERE rn = 1)
-SELECT l.id, coalesce(s.exit_reason, l.exit_reason) AS exit_reason, coalesce(s.realized_pct, l.realized_pct) AS realized_pct FROM ledger l LEFT JOIN o ON o.id = l.id
-LEFT JOIN s ON s.code = o.code AND s.mode = o.mode AND s.strategy = o.strategy""", "ledger")
+# The exit of a buy is the first sell after it by which more sells than buys have followed it.
+@query("c36_match_exits", """WITH m AS (SELECT id, code, mode, strategy, ts, side, CASE WHEN side = 'sell' THEN 1 ELSE -1 END AS step, exit_reason, realized_pct FROM ledger WHERE side = 'sell' OR exit_reason IS NULL),
+f AS (SELECT b.id AS buy, s.*, sum(s.step) OVER (PARTITION BY b.id ORDER BY s.ts, s.id) AS total FROM m b JOIN m s ON b.side = 'buy' AND s.code = b.code AND s.mode = b.mode AND s.strategy = b.strategy AND (s.ts, s.id) > (b.ts, b.id)),
+x AS (SELECT buy, arg_min(exit_reason, (ts, id)) AS reason, arg_min(realized_pct, (ts, id)) AS pct FROM f WHERE total = 1 GROUP BY buy)
+SELECT l.id, coalesce(x.reason, l.exit_reason) AS exit_reason, coalesce(x.pct, l.realized_pct) AS realized_pct FROM ledger l LEFT JOIN x ON x.buy = l.id""", "ledger")
 def c36(t):
     return B.match_exits(t.ledger, t.ledger.where(F.col("side") == "sell")).select("id", "exit_reason", "realized_pct")
 
@@ -436,33 +455,42 @@ def p27(t):
 
 # ---- resampling ---------------------------------------------------------------------------------
 
-@query("c16_bootstrap")
+@query("c16_bootstrap", "SELECT positive_rate, iterations FROM (" + positive_sql("SELECT 0 AS g, ret AS y, row_number() OVER (ORDER BY d, code) AS rn FROM entries", 200) + ") w", "entries")
 def c16(t):
-    """Resampled share of positive means over all entries; exact multinomial draws, fixed seed."""
+    """Resampled share of positive means over all entries."""
     return ST.bootstrap_positive_rate(entries(t).select("code", "d", "ret"), ["d", "code"], iterations=200)
 
 
-@query("c17_random_control")
-def c17(t):
+def pool_rows(t):
     from tidemark.operators import outcomes as O
     from tidemark.session import pin
 
-    pool = pin(O.outcome_table(t.bars, stop_pct=0.6).select("code", "d", "ret"), "pool")
-    mean = entries(t).agg(F.avg("ret")).first()[0]
-    return ST.random_control(pool, ["d", "code"], mean)
+    return pin(O.outcome_table(t.bars, stop_pct=0.6).select("code", "d", "ret"), "pool")
+
+
+cte("control_pool", "bars signals", outcome_sql(stop=0.6))
+
+
+@query("c17_random_control", f"""SELECT avg(CASE WHEN m < (SELECT avg(ret) FROM entries) THEN 1.0 ELSE 0.0 END) AS pct_rank, count(*) AS rounds FROM (
+  SELECT i, avg(y) AS m FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY u, rn) AS k FROM ({draw_sql("SELECT 0 AS g, ret AS y, row_number() OVER (ORDER BY d, code) AS rn FROM control_pool", 200)})) WHERE k <= 50 GROUP BY i)""", "entries control_pool")
+def c17(t):
+    return ST.random_control(pool_rows(t), ["d", "code"], entries(t).agg(F.avg("ret").alias("mean")))
 
 
 @query("c37_validation")
 def c37(t):
+    """All rules in one job: every entry, and the cheaper half of the codes."""
     from tidemark.operators import outcomes as O
     from tidemark.session import pin
 
-    base = pin(entries(t), "entries")
-    pool = pin(O.outcome_table(t.bars, stop_pct=0.6).select("code", "entry_d", "ret"), "pool")
     start, end = "1995-01-01", "2001-12-31"
+    rules = F.array(F.lit("all"), F.when(F.pmod(F.crc32("code"), F.lit(2)) == 0, "half"))
+    base = pin(entries(t).select("*", F.explode(F.array_compact(rules)).alias("rule")), "entries")
 
-    def between(a, b):
-        return O.non_overlapping(base.where(F.col("d").between(F.lit(a).cast("date"), F.lit(b).cast("date"))))
+    def between(spans):
+        inside = base.join(spans, "rule").where(F.col("d").between(F.col("from"), F.col("to"))).drop("from", "to")
+        return O.non_overlapping(inside, ["rule", "half"])
 
-    trades = pin(between(start, end), "trades")
+    trades = pin(O.non_overlapping(base, ["rule"]), "trades")
+    pool = pool_rows(t).withColumnRenamed("d", "entry_d")
     return ST.validate(between, trades, pool, ["entry_d", "code"], start, end, iterations=200, rounds=100)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import costs as K
@@ -176,22 +177,6 @@ def c11_exclusive(t):
     return outcome_rows(O.non_overlapping(entries(t), inclusive=False))
 
 
-def ranked_candidates(t, metric="institution_flow_ratio", slots=3):
-    """Ranked rows with their outcome, kept when still open at the end (they hold their slot)."""
-    signals = t.signals
-    judged = signals.select("d", F.lit(True).alias("judged")).distinct()
-    bars = t.bars.join(judged, "d", "left").withColumn("judged", F.coalesce("judged", F.lit(False)))
-    table = O.outcome_table(bars, stop_pct=STOP, monitor_from=0, count="market_days", expiry_first=True, keep_open=True)
-    top = top_per_day(signals.where(FL.rankable(F.col(metric))).select("code", "d", F.round(metric, 9).alias("x")), [F.col("x"), F.col("code")], slots)
-    return top.select("code", "d", "rank").join(table, ["code", "d"], "left")
-
-
-@query("c12_slot_capped")
-def c12(t):
-    rows = ranked_candidates(t).withColumn("variant", F.lit("institution_flow_ratio"))
-    return O.slot_capped(rows, 3, ["variant"])
-
-
 cte("ranked", "signals outcomes bars", f"""
 SELECT o.*, rk AS rank FROM (SELECT code, d, row_number() OVER (PARTITION BY d ORDER BY round(s.heat_score, 9), code) AS rk
   FROM signals s JOIN (SELECT code, d, {_pos_sql(252, 60)} AS pos52w FROM bars) p USING (code, d) WHERE pos52w <= 0.30) x
@@ -418,8 +403,6 @@ def variant_trades(t, k=2):
     table = pin(O.outcome_table(t.bars, stop_pct=STOP), "outcomes")
     cells = F.array(*[F.struct(F.lit(m).alias("variant"), F.round(m, 9).alias("x")) for m in METRICS])
     long = signals.select("code", "d", F.explode(cells).alias("v")).select("code", "d", "v.*").where(F.col("x").isNotNull())
-    from pyspark.sql import Window
-
     order = Window.partitionBy("variant", "d").orderBy("x", "code")
     top = long.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("x")
     return R.in_windows(top.join(table, ["code", "d"]), WINDOWS).drop("span_end")
@@ -450,13 +433,6 @@ def u03(t):
     return rounded(R.walk_forward(variant_trades(t), 30, "heat_score")["trades"].select("arm", "code", "d", "ret"))
 
 
-@query("c14_slot_capped_walk_forward")
-def c14_slots(t):
-    """The same selection with five slots per variant, window and phase."""
-    rows = variant_trades(t, k=5)
-    return R.walk_forward(O.slot_capped(rows, 5, ["variant", "window", "phase"]), 30, "heat_score")["summary"]
-
-
 cte("wtargets", "targets", f"""
 SELECT t.kind, t.d, t.code, w."window", w.phase, w.b AS span_end FROM targets t JOIN (VALUES {_SPANS}) AS w("window", phase, a, b) ON t.d BETWEEN w.a AND w.b""")
 cte("wperiods", "wtargets cal bars", period_cte("wtargets", ["kind", '"window"', "phase"],
@@ -480,7 +456,7 @@ def c14_quality(t):
 
 @query("c14_fundamental_walk_forward")
 def c14_fundamental(t):
-    """Filers under four PBR caps, five slots each, selected on training windows."""
+    """The five best filers of each day under four PBR caps, as independent trades; the cap is selected on training windows."""
     from tidemark.operators import fundamentals as V
 
     caps = pin(V.pbr(V.market_caps(t.bars, t.shares, t.statements, sanity=800.0)).select("code", "d", "pbr"), "pbr")
@@ -491,13 +467,15 @@ def c14_fundamental(t):
     for name, limit in (("none", None), ("pbr100", 100.0), ("pbr200", 200.0), ("pbr300", 300.0)):
         part = filers.where(FL.pbr_within(F.col("pbr"), limit)).select("code", "d", "rank", F.lit(name).alias("variant"))
         parts = part if parts is None else parts.unionByName(part)
-    rows = R.in_windows(parts.join(table, ["code", "d"], "left"), WINDOWS).drop("span_end")
-    return R.walk_forward(O.slot_capped(rows, 5, ["variant", "window", "phase"]), 1, "none")["summary"]
+    order = Window.partitionBy("variant", "d").orderBy("rank", "code")
+    best = parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 5)
+    closed = best.join(table, ["code", "d"]).where(F.col("exit_d").isNotNull())
+    return R.walk_forward(R.in_windows(closed, WINDOWS).drop("span_end"), 1, "none")["summary"]
 
 
 @query("c15_hypothesis_sweep")
 def c15(t):
-    """Slot-limited variants and the unlimited pool, each over a training and a validation span."""
+    """Variants of the best entries of each day, and the pool of all entries, over a training and a validation span."""
     spans = {"train": ("1996-01-01", "1998-12-31"), "valid": ("1999-01-01", "2001-09-30")}
     signals = pin(t.signals, "signals")
     judged = signals.select("d", F.lit(True).alias("judged")).distinct()
@@ -507,10 +485,10 @@ def c15(t):
     plain = pin(O.outcome_table(bars, **rules), "outcomes")
     hot = ranks.select("code", "d", (F.col("pct") >= 0.9).alias("exit_flag"))
     exiting = pin(O.outcome_table(bars.join(hot, ["code", "d"], "left"), **rules), "outcomes")
-    slots = {"base5": 5, "slot2": 2, "credit": 5, "exit": 5, "pool": None}
+    best = {"base5": 5, "slot2": 2, "credit": 5, "exit": 5, "pool": None}
     metric = {"base5": "heat_score", "slot2": "heat_score", "credit": "credit_surge_ratio", "exit": "credit_surge_ratio", "pool": "heat_score"}
     parts = None
-    for name, limit in slots.items():
+    for name, limit in best.items():
         rows = signals.where(FL.rankable(F.col(metric[name]))).select("code", "d", F.round(metric[name], 9).alias("x"))
         if limit is None:
             rows = rows.select("code", "d", F.lit(1).alias("rank"))
@@ -520,4 +498,4 @@ def c15(t):
         parts = rows if parts is None else parts.unionByName(rows)
     cells = F.when(F.col("d").between(*spans["train"]), "train").when(F.col("d").between(*spans["valid"]), "valid")
     parts = parts.withColumn("window", cells).where(F.col("window").isNotNull())
-    return ST.trade_statistics(R.hypothesis_sweep(parts, slots), ["variant", "window"])
+    return ST.trade_statistics(R.hypothesis_sweep(parts, best), ["variant", "window"])

@@ -129,13 +129,13 @@ def c25(t):
 _SECTION = f"SELECT *, {FAMILY} AS family, CASE WHEN pit = 'true' OR marcap = 'false' THEN 'trusted' ELSE 'biased' END AS section FROM runs"
 
 
-@query("c26_run_sections", f"""SELECT id, family, section, CASE WHEN pos <= 12 THEN CAST(pos AS INTEGER) END AS pos, pos <= 12 OR id = 11010 AS shown FROM (
+@query("c26_run_sections", f"""SELECT id, family, section, CASE WHEN pos <= 12 THEN CAST(pos AS INTEGER) END AS pos, pos <= 12 OR id = 11010 OR section = 'biased' AS shown FROM (
   SELECT *, row_number() OVER (PARTITION BY family, section ORDER BY ts DESC, id DESC) AS pos FROM ({_SECTION}) s) x""", "runs")
 def c26(t):
     return U.run_sections(t.runs, selected=11010).select("id", "family", "section", "pos", "shown")
 
 
-@query("l07_newest_runs", f"SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY family, section ORDER BY ts DESC, id DESC) AS pos FROM ({_SECTION}) s) x WHERE pos <= 12 OR id = 11010", "runs")
+@query("l07_newest_runs", f"SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY family, section ORDER BY ts DESC, id DESC) AS pos FROM ({_SECTION}) s) x WHERE pos <= 12 OR id = 11010 OR section = 'biased'", "runs")
 def l07(t):
     return U.run_sections(t.runs, selected=11010).where(F.col("shown")).select("id")
 
@@ -151,7 +151,7 @@ ALERT_NOW = "2024-01-20 12:00:00"
 
 
 @query("a17_error_alerts", f"""SELECT split_part(rationale, ' - ', 1) AS label, count(*) AS n, arg_max(substr(rationale, instr(rationale, ' - ') + 3), (ts, id)) AS detail, max(ts) AS ts FROM (
-  SELECT * FROM decisions WHERE decision = '오류' AND ts > TIMESTAMP '{ALERT_NOW}' - INTERVAL 24 HOUR AND ts <= TIMESTAMP '{ALERT_NOW}' ORDER BY ts DESC, id DESC LIMIT 500) x GROUP BY 1""", "decisions")
+  SELECT * FROM decisions WHERE decision = '오류' AND ts > TIMESTAMP '{ALERT_NOW}' - INTERVAL 24 HOUR AND ts <= TIMESTAMP '{ALERT_NOW}') x GROUP BY 1""", "decisions")
 def a17(t):
     return D.error_alerts(t.decisions, ALERT_NOW)
 
@@ -164,11 +164,22 @@ def a09(t):
     return rounded(D.market_breadth(t.bars))
 
 
-@query("c20_gate", f"""SELECT code, d, agents, errors, vetoes, buys, reason, reason = 'approved' AS approved, CASE WHEN reason = 'approved' THEN {r('m')} END AS avg_score FROM (
-  SELECT *, CASE WHEN errors > 0 THEN 'error' WHEN vetoes > 0 THEN 'veto' WHEN buys < 1 THEN 'consensus' ELSE 'approved' END AS reason FROM (
+GATE = """SELECT code, d, agents, errors, vetoes, buys, reason, reason = 'approved' AS approved, CASE WHEN reason = 'approved' THEN {m} END AS avg_score FROM (
+  SELECT *, CASE WHEN errors > 0 THEN 'error' WHEN vetoes > 0 THEN 'veto' WHEN buys < {need} THEN 'consensus' ELSE 'approved' END AS reason FROM (
   SELECT code, CAST(ts AS DATE) AS d, count(*) AS agents, CAST(sum(CASE WHEN decision = '오류' THEN 1 ELSE 0 END) AS BIGINT) AS errors,
     CAST(sum(CASE WHEN agent IN ('market_state', 'risk') AND decision IN ('관망', '청산') THEN 1 ELSE 0 END) AS BIGINT) AS vetoes,
-    CAST(sum(CASE WHEN agent = 'value_trap' AND decision = '매수' THEN 1 ELSE 0 END) AS BIGINT) AS buys, avg(score) AS m FROM decisions GROUP BY 1, 2) x) y""", "decisions")
+    CAST(sum(CASE WHEN agent IN ({names}) AND decision = '매수' THEN 1 ELSE 0 END) AS BIGINT) AS buys, avg(score) AS m
+  FROM decisions e WHERE NOT EXISTS (SELECT 1 FROM decisions n WHERE n.code = e.code AND n.agent = e.agent AND CAST(n.ts AS DATE) = CAST(e.ts AS DATE) AND (n.ts > e.ts OR n.ts = e.ts AND n.id > e.id))
+  GROUP BY 1, 2) x) y"""
+
+
+@query("c20_two_agents", GATE.format(m=r("m"), need=2, names="'disclosure', 'financials'"), "decisions")
+def c20_two(t):
+    """Both consensus agents must buy; a second reply of one of them is no second vote."""
+    return rounded(D.gate(t.decisions.withColumn("d", F.col("ts").cast("date")), ["code", "d"], ("disclosure", "financials")))
+
+
+@query("c20_gate", GATE.format(m=r("m"), need=1, names="'value_trap'"), "decisions")
 def c20(t):
     return rounded(D.gate(t.decisions.withColumn("d", F.col("ts").cast("date")), ["code", "d"], ("value_trap",)))
 
@@ -176,21 +187,22 @@ def c20(t):
 C31 = f"""SELECT p.code, p.d, p.strategy, {r('x.r60')} AS r60, {r('x.r250')} AS r250, {r('coalesce(b.falling / b.codes * 100, 50)')} AS fall_pct, {r('coalesce(i.trend, 0)')} AS trend_pct,
   CAST(30 - (SELECT count(*) FROM positions q WHERE q.strategy = p.strategy) AS BIGINT) AS free_slots,
   (SELECT count(*) FROM positions q WHERE q.strategy = p.strategy AND substr(q.code, 1, 3) = substr(p.code, 1, 3)) AS same_sector,
-  (SELECT count(*) FROM disclosures f WHERE f.code = p.code AND f.d <= p.d AND f.d > p.d - 90) AS filings, CASE WHEN h.n IS NOT NULL THEN least(h.n, 5) END AS periods
+  (SELECT count(*) FROM disclosures f WHERE f.code = p.code AND f.d <= p.d AND f.d > p.d - 90) AS filings, CASE WHEN h.n > 0 THEN least(h.n, 5) END AS periods, h.newest
 FROM probe p LEFT JOIN (SELECT code, d, c / nullif(lag(c, 59) OVER w, 0) - 1 AS r60, c / nullif(lag(c, 249) OVER w, 0) - 1 AS r250 FROM bars WINDOW w AS (PARTITION BY code ORDER BY d)) x
   ON x.code = p.code AND x.d = p.d LEFT JOIN ({BREADTH}) b ON b.d = p.d LEFT JOIN (SELECT d, (c / nullif(lag(c, 19) OVER (ORDER BY d), 0) - 1) * 100 AS trend FROM bars WHERE code = '{PROXY}') i ON i.d = p.d
-LEFT JOIN (SELECT code, count(*) AS n FROM statements GROUP BY code) h ON h.code = p.code"""
+LEFT JOIN LATERAL (SELECT count(*) AS n, max(period) AS newest FROM statements f WHERE f.code = p.code
+  AND CAST(last_day(make_date(CAST(substr(f.period, 1, 4) AS INTEGER), CAST(substr(f.period, 6, 1) AS INTEGER) * 3, 1)) + 90 AS DATE) <= p.d) h ON TRUE"""
 
 
 @query("c31_decision_features", C31, "probe positions disclosures bars statements")
 def c31(t):
     out = D.decision_features(probe(t), t.bars, t.positions, t.disclosures, t.statements, PROXY, 30)
     return rounded(out.select("code", "d", "strategy", "r60", "r250", "fall_pct", "trend_pct", F.col("free_slots").cast("bigint").alias("free_slots"),
-                              "same_sector", "filings", F.size("history").cast("bigint").alias("periods")))
+                              "same_sector", "filings", F.size("history").cast("bigint").alias("periods"), F.element_at("history", -1).period.alias("newest")))
 
 
 def _ingest(t):
-    e = replies(t).where(F.col("event_type") != "view")
+    e = replies(t)
     broken = (F.col("event_type") == "error") & (F.col("event_id") % 2 == 0)
     raw = e.select(
         F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("code"), F.col("event_type").alias("agent"),
@@ -201,7 +213,7 @@ def _ingest(t):
 
 
 @query("c32_decision_ingest", """SELECT CASE WHEN EXISTS (SELECT 1 FROM decisions s WHERE s.ts < TIMESTAMP '2024-01-16' AND s.input_hash = md5(e.event_type || CAST(e.user_id % 25 AS VARCHAR) || ':' || e.props)) THEN 'reused'
-  WHEN e.event_type = 'error' THEN 'failures' ELSE 'decided' END AS outcome, count(*) AS n FROM events e WHERE e.event_type <> 'view' GROUP BY 1""", "decisions")
+  WHEN e.event_type = 'error' THEN 'failures' ELSE 'decided' END AS outcome, count(*) AS n FROM events e GROUP BY 1""", "decisions")
 def c32(t):
     out = None
     for name, df in _ingest(t).items():

@@ -24,8 +24,8 @@ def compact(d):
     return F.date_format(d, "yyyyMMdd")
 
 
-def flow_pages(t):
-    """Pages of one code and month, amounts in millions; the first days of a month come twice."""
+def flow_pages(t, broken=False):
+    """Pages of one code and month, amounts in millions; the first days of a month come twice. ``broken``: one day's amounts are no numbers."""
     def millions(x):
         return F.floor(F.col(x) / 1000.0).cast("string")
 
@@ -33,7 +33,7 @@ def flow_pages(t):
     late = F.col("page") == 1
     cell = F.struct(
         F.when(F.dayofmonth("d") == 31, "").otherwise(compact(F.col("d"))).alias("stck_bsop_date"),
-        F.when(late, F.lit("7")).otherwise(millions("individual_net")).alias("prsn_ntby_tr_pbmn"),
+        F.when(late, F.lit("7")).when(F.lit(broken) & (F.dayofmonth("d") == 25), F.concat(millions("individual_net"), F.lit(",0"))).otherwise(millions("individual_net")).alias("prsn_ntby_tr_pbmn"),
         F.when(F.dayofmonth("d") == 20, F.lit(None).cast("string")).otherwise(millions("foreign_net")).alias("frgn_ntby_tr_pbmn"),
         millions("institution_net").alias("orgn_ntby_tr_pbmn"))
     month = F.year("d") * 12 + F.month("d")
@@ -53,6 +53,12 @@ def s03(t):
 
 
 
+@query("s03_rejected_flows", "SELECT code, d FROM flows WHERE day(d) = 25", "flows")
+def s03_rejected(t):
+    """Rows whose amount is no number are set apart, not stored as 0."""
+    return L.rejected_flows(flow_pages(t, broken=True)).select("code", "d")
+
+
 @query("s02_raw_bars", f"""SELECT code, d, CAST(floor(o) AS DOUBLE) AS o, CAST(floor(h) AS DOUBLE) AS h, CAST(floor(l) AS DOUBLE) AS l, CAST(floor(c) AS DOUBLE) AS c, v FROM bars""", "bars")
 def s02(t):
     raw = t.bars.select("code", "d", *[F.floor(v).cast("string").alias(k) if v != "v" else F.col(v).cast("string").alias(k) for k, v in L.BAR_HEADERS.items()])
@@ -75,7 +81,7 @@ def s04(t):
 
 
 @query("s05_zero_credit", """SELECT code, d, CAST(0 AS BIGINT) AS credit_amt, CAST(0 AS DOUBLE) AS credit_ratio FROM bars WHERE d BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'
-AND NOT EXISTS (SELECT 1 FROM credit k WHERE k.code = bars.code AND k.d = bars.d) ORDER BY code, d LIMIT 50000""", "bars credit")
+AND NOT EXISTS (SELECT 1 FROM credit k WHERE k.code = bars.code AND k.d = bars.d)""", "bars credit")
 def s05(t):
     return L.zero_credit(t.bars, t.credit, "1996-01-01", "2000-12-31")
 
@@ -83,7 +89,10 @@ def s05(t):
 def filing_pages(t):
     item = F.struct(F.concat(F.lit(" "), "code").alias("stock_code"), F.when(F.month("d") == 2, "").otherwise(F.col("rcept_no")).alias("rcept_no"),
                     compact(F.col("d")).alias("rcept_dt"), F.concat("report_nm", F.lit(" ")).alias("report_nm"))
-    return t.disclosures.groupBy("d", "code").agg(F.collect_list(item).alias("list")).select("list")
+    old = item.withField("report_nm", F.concat(F.lit("~"), "report_nm"))  # an earlier arrival, later in the alphabet
+    pages = t.disclosures.groupBy("d", "code").agg(F.collect_list(item).alias("list"), F.collect_list(old).alias("olds"))
+    page = F.explode(F.array(F.struct(F.lit(1).alias("page"), F.col("olds").alias("list")), F.struct(F.lit(2).alias("page"), F.col("list"))))
+    return pages.select(page.alias("p")).select("p.page", "p.list")
 
 
 @query("s06_filing_pages", "SELECT rcept_no, code, d, report_nm, url FROM disclosures WHERE month(d) <> 2 AND regexp_full_match(code, '[0-9]+')", "disclosures")
@@ -95,8 +104,9 @@ def s06(t):
 
 def corp_list(t):
     k = F.col("n_nationkey")
-    return t.raw("nation").select(
-        F.lpad(k.cast("string"), 8, "0").alias("corp_code"), F.when(k % 5 == 0, " ").when(k % 5 == 1, F.concat(nation_code(k), F.lit(" "))).otherwise(nation_code(k)).alias("stock_code"))
+    entry = F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.lit("99999999").alias("corp")), F.struct(F.lit(2).alias("seq"), F.lpad(k.cast("string"), 8, "0").alias("corp"))))
+    return t.raw("nation").select("*", entry.alias("e")).select(
+        F.col("e.corp").alias("corp_code"), F.col("e.seq").alias("seq"), F.when(k % 5 == 0, " ").when(k % 5 == 1, F.concat(nation_code(k), F.lit(" "))).otherwise(nation_code(k)).alias("stock_code"))
 
 
 @query("s08_corp_codes", "SELECT code, n_name AS name, CASE WHEN n_nationkey % 5 <> 0 THEN lpad(CAST(n_nationkey AS VARCHAR), 8, '0') END AS corp_code FROM nat", "nat")
@@ -168,6 +178,31 @@ def s14(t):
     return T.row_counts({"stock_daily": t.bars, "investor_flow": t.flows, "instruments": t.instruments})
 
 
+@query("s01_stored_bars", "SELECT code, d, c, v FROM bars WHERE d BETWEEN DATE '1996-03-01' AND DATE '1997-06-30'", "bars")
+def s01_stored(t):
+    """Bars by year on disk; the range reads the files of two years."""
+    path = scratch(t, "bars")
+    T.write_bars(t.bars, path)
+    return T.scan_bars(t.spark, path, None, "1996-03-01", "1997-06-30", ("code", "d", "c", "v"))
+
+
+@query("s04_landed_credit", f"SELECT code, d, credit_amt, CASE WHEN credit_amt > 0 THEN {r('credit_ratio')} ELSE 0.0 END AS credit_ratio FROM credit", "credit")
+def s04_landed(t):
+    path = scratch(t, "credit")
+    credit_pages(t).write.json(path)
+    return L.normalise_credit(L.read_json(t.spark, path, schemas.LANDED_CREDIT))
+
+
+@query("s12_stored_keep", f"SELECT code, d, credit_amt, CASE WHEN d >= DATE '2000-01-01' THEN 1.0 ELSE {r('credit_ratio')} END AS credit_ratio FROM credit", "credit")
+def s12_stored(t):
+    """Two batches into a table by year: of equal keys the stored row stays."""
+    path = scratch(t, "kept")
+    year = F.year("d").alias("year")
+    T.upsert_table(t.spark, path, t.credit.where(F.col("d") < "2000-01-01").select("*", year), ["code", "d"], "keep")
+    T.upsert_table(t.spark, path, t.credit.where(F.col("d") >= "1999-01-01").withColumn("credit_ratio", F.lit(1.0)).select("*", year), ["code", "d"], "keep")
+    return rounded(t.spark.read.parquet(path).select("code", "d", "credit_amt", "credit_ratio"))
+
+
 @query("s16_collection_universe", f"""SELECT DISTINCT code FROM bars WHERE code IN (SELECT code FROM ({CAPS}) x WHERE d = DATE '{DAY}' AND market_cap >= {CAP}) OR code IN (SELECT code FROM credit WHERE credit_amt > 900000)""", "bars shares credit")
 def s16(t):
     from tidemark.operators.fundamentals import dated_market_cap
@@ -200,12 +235,12 @@ def s20(t):
     flow_pages(t).write.json(f"{base}/landed")
 
     def normalise(batch):
-        return L.normalise_flows(batch).withColumn("year", F.year("d"))
+        return L.normalise_flows(batch, keep_seq=True).withColumn("year", F.year("d"))
 
-    for attempt in ("a", "b"):
-        stream = I.read_landed(t.spark, f"{base}/landed", schemas.LANDED_FLOW)
-        I.ingest(stream, normalise, f"{base}/table", ["code", "d"], f"{base}/checkpoint-{attempt}").awaitTermination()
-    return t.spark.read.parquet(f"{base}/table").drop("year")
+    for attempt, files in (("a", 1000), ("b", 3)):
+        stream = I.read_landed(t.spark, f"{base}/landed", schemas.LANDED_FLOW, files)
+        I.ingest(stream, normalise, f"{base}/table", ["code", "d"], f"{base}/checkpoint-{attempt}", order=["page", "pos"], rejected=L.rejected_flows).awaitTermination()
+    return t.spark.read.parquet(f"{base}/table").drop("year", "page", "pos")
 
 
 def event_stream(t):

@@ -26,7 +26,7 @@ SETTINGS = "key string, value string"
 LANDED_FLOW = ("code string, page int, rows array<struct<stck_bsop_date:string,prsn_ntby_tr_pbmn:string,"
                "frgn_ntby_tr_pbmn:string,orgn_ntby_tr_pbmn:string>>")
 LANDED_CREDIT = ("code string, page int, rows array<struct<stlm_date:string,whol_loan_rmnd_amt:string,whol_loan_rmnd_rate:string>>")
-LANDED_FILING = "list array<struct<stock_code:string,rcept_no:string,rcept_dt:string,report_nm:string>>"
+LANDED_FILING = "page int, list array<struct<stock_code:string,rcept_no:string,rcept_dt:string,report_nm:string>>"
 LANDED_ACCOUNT = "list array<struct<corp_code:string,fs_div:string,account_nm:string,thstrm_amount:string>>"
 LANDED_SHARES = "code string, period string, list array<struct<se:string,istc_totqy:string,tesstk_co:string,distb_stock_co:string>>"
 CORP_CODE_XML = "corp_code string, corp_name string, stock_code string, modify_date string"

@@ -28,12 +28,14 @@ def build_session(master: str | None = None, name: str = "tidemark", **conf) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is configured."""
+    """The cluster's checkpoint folder. A folder of this machine stands in only where all executors run in this process."""
     context = spark.sparkContext
     folder = context.getCheckpointDir()
     if folder is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="tidemark-ckpt-")
         context.setCheckpointDir(folder)
     return folder

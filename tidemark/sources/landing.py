@@ -37,9 +37,52 @@ def compact_date(text: Column) -> Column:
     return F.when(F.length(text) == 8, F.try_to_date(text, "yyyyMMdd"))
 
 
-def whole(text: Column) -> Column:
-    """A number in text; empty and missing count as 0."""
-    return F.coalesce(F.nullif(F.trim(text), F.lit("")).try_cast("bigint"), F.lit(0).cast("bigint"))
+def whole(text: Column, kind: str = "bigint") -> Column:
+    """A number in text; empty and missing count as 0, NULL for anything else that is no number."""
+    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", F.lit(0).cast(kind)).otherwise(F.trim(text).try_cast(kind))
+
+
+def _rows(pages: DataFrame, date: str, numbers: dict[str, Column]) -> DataFrame:
+    """Rows of landed pages with a valid date, their numbers, and their place in the order of arrival."""
+    rows = pages.select("code", "page", F.posexplode("rows").alias("pos", "r"))
+    return rows.select("code", compact_date(F.col(f"r.{date}")).alias("d"), *[c.alias(n) for n, c in numbers.items()],
+                       F.struct("page", "pos").alias("seq"), "r").where(F.col("d").isNotNull())
+
+
+def _all_numbers(numbers: dict[str, Column]) -> Column:
+    out = F.lit(True)
+    for name in numbers:
+        out = out & F.col(name).isNotNull()
+    return out
+
+
+def _bounded(rows: DataFrame, bound: str | Column | None) -> DataFrame:
+    if bound is None:
+        return rows
+    return rows.where(F.col("d") >= (F.lit(bound) if isinstance(bound, str) else bound).cast("date"))
+
+
+def _flow_numbers() -> dict[str, Column]:
+    source = {"individual_net": "prsn_ntby_tr_pbmn", "foreign_net": "frgn_ntby_tr_pbmn", "institution_net": "orgn_ntby_tr_pbmn"}
+    return {name: whole(F.col(f"r.{k}")) * MILLION for name, k in source.items()}
+
+
+def _credit_numbers() -> dict[str, Column]:
+    return {"credit_amt": whole(F.col("r.whol_loan_rmnd_amt")), "credit_ratio": whole(F.col("r.whol_loan_rmnd_rate"), "double")}
+
+
+def _rejected(pages: DataFrame, date: str, numbers: dict[str, Column]) -> DataFrame:
+    return _rows(pages, date, numbers).where(~_all_numbers(numbers)).select("code", "d", F.to_json("r").alias("row"))
+
+
+def rejected_flows(pages: DataFrame) -> DataFrame:
+    """S03. Flow rows with a number that cannot be read, as they arrived; a batch that has any must not be stored."""
+    return _rejected(pages, "stck_bsop_date", _flow_numbers())
+
+
+def rejected_credit(pages: DataFrame) -> DataFrame:
+    """S04. The same for credit rows."""
+    return _rejected(pages, "stlm_date", _credit_numbers())
 
 
 def normalise_bars(raw: DataFrame) -> DataFrame:
@@ -51,60 +94,53 @@ def normalise_bars(raw: DataFrame) -> DataFrame:
     return keep_first(out, ["code", "d"], "seq").drop("seq")
 
 
-def normalise_flows(pages: DataFrame, bound: str | Column | None = None) -> DataFrame:
-    """S03. Flow pages to won; malformed dates and rows before the bound drop, the last page wins."""
-    rows = pages.select("code", "page", F.posexplode("rows").alias("pos", "r"))
-    out = rows.select(
-        "code", compact_date(F.col("r.stck_bsop_date")).alias("d"),
-        (whole(F.col("r.prsn_ntby_tr_pbmn")) * MILLION).alias("individual_net"),
-        (whole(F.col("r.frgn_ntby_tr_pbmn")) * MILLION).alias("foreign_net"),
-        (whole(F.col("r.orgn_ntby_tr_pbmn")) * MILLION).alias("institution_net"),
-        F.struct("page", "pos").alias("seq")).where(F.col("d").isNotNull())
-    if bound is not None:
-        out = out.where(F.col("d") >= (F.lit(bound) if isinstance(bound, str) else bound).cast("date"))
-    return keep_last(out, ["code", "d"], "seq").drop("seq")
+def normalise_flows(pages: DataFrame, bound: str | Column | None = None, keep_seq: bool = False) -> DataFrame:
+    """S03. Flow pages to won; malformed dates, rows before the bound and rejected rows drop, the last page wins.
+
+    ``keep_seq`` keeps the place of the winning row, so that a stored table can decide between batches.
+    """
+    numbers = _flow_numbers()
+    rows = _bounded(_rows(pages, "stck_bsop_date", numbers), bound).where(_all_numbers(numbers)).select("code", "d", *numbers, "seq")
+    out = keep_last(rows, ["code", "d"], "seq")
+    return out.select("code", "d", *numbers, "seq.page", "seq.pos") if keep_seq else out.drop("seq")
 
 
 def normalise_credit(pages: DataFrame, bound: str | None = None) -> DataFrame:
-    """S04. Credit pages by settlement date; the first row of a (code, d) wins."""
-    rows = pages.select("code", "page", F.posexplode("rows").alias("pos", "r"))
-    out = rows.select(
-        "code", compact_date(F.col("r.stlm_date")).alias("d"), whole(F.col("r.whol_loan_rmnd_amt")).alias("credit_amt"),
-        F.coalesce(F.col("r.whol_loan_rmnd_rate").try_cast("double"), F.lit(0.0)).alias("credit_ratio"),
-        F.struct("page", "pos").alias("seq")).where(F.col("d").isNotNull())
-    if bound is not None:
-        out = out.where(F.col("d") >= F.lit(bound).cast("date"))
-    return keep_first(out, ["code", "d"], "seq").drop("seq")
+    """S04. Credit pages by settlement date; rejected rows drop, the first row of a (code, d) wins."""
+    numbers = _credit_numbers()
+    rows = _bounded(_rows(pages, "stlm_date", numbers), bound).where(_all_numbers(numbers)).select("code", "d", *numbers, "seq")
+    return keep_first(rows, ["code", "d"], "seq").drop("seq")
 
 
-def zero_credit(bars: DataFrame, credit: DataFrame, start, end, limit: int = 50_000) -> DataFrame:
-    """S05. Zero rows for bars without a credit row, at most ``limit`` per run."""
+def zero_credit(bars: DataFrame, credit: DataFrame, start, end) -> DataFrame:
+    """S05. A zero row for every bar without a credit row."""
     inside = bars.where(F.col("d").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).select("code", "d").distinct()
     missing = inside.join(credit.select("code", "d"), ["code", "d"], "left_anti")
-    return missing.orderBy("code", "d").limit(limit).withColumn("credit_amt", F.lit(0).cast("bigint")).withColumn(
-        "credit_ratio", F.lit(0.0))
+    return missing.withColumn("credit_amt", F.lit(0).cast("bigint")).withColumn("credit_ratio", F.lit(0.0))
 
 
 def normalise_filings(pages: DataFrame, known: DataFrame) -> DataFrame:
-    """S06. Filings of known codes; one row per receipt number."""
-    r = pages.select(F.explode("list").alias("r")).select("r.*")
+    """S06. Filings of known codes; of equal receipt numbers the last to arrive, by page and place, stays."""
+    r = pages.select("page", F.posexplode("list").alias("pos", "r"))
     out = r.select(
-        F.trim("rcept_no").alias("rcept_no"), F.trim("stock_code").alias("code"), compact_date(F.col("rcept_dt")).alias("d"),
-        F.trim("report_nm").alias("report_nm")).where(F.coalesce(F.col("rcept_no") != "", F.lit(False)))
+        F.trim("r.rcept_no").alias("rcept_no"), F.trim("r.stock_code").alias("code"), compact_date(F.col("r.rcept_dt")).alias("d"),
+        F.trim("r.report_nm").alias("report_nm"), F.struct("page", "pos").alias("seq")).where(F.coalesce(F.col("rcept_no") != "", F.lit(False)))
     out = out.join(known.select("code"), "code", "left_semi").withColumn("url", F.concat(F.lit(VIEWER_URL), "rcept_no"))
-    return keep_last(out, ["rcept_no"], "report_nm").select("rcept_no", "code", "d", "report_nm", "url")
+    return keep_last(out, ["rcept_no"], "seq").select("rcept_no", "code", "d", "report_nm", "url")
 
 
 def read_corp_codes(spark: SparkSession, path: str) -> DataFrame:
     """S08. Listed companies of the corporation list: six-character stock codes only."""
     raw = spark.read.format("xml").option("rowTag", "list").schema(schemas.CORP_CODE_XML).load(path)
-    return corp_codes(raw)
+    # Numbers rise along a file, so they stand for the order of its entries.
+    return corp_codes(raw.withColumn("seq", F.monotonically_increasing_id()))
 
 
 def corp_codes(raw: DataFrame) -> DataFrame:
-    out = raw.select(F.trim("stock_code").alias("code"), F.trim("corp_code").alias("corp_code"))
+    """S08. The last entry of each stock code, by ``seq``."""
+    out = raw.select(F.trim("stock_code").alias("code"), F.trim("corp_code").alias("corp_code"), "seq")
     out = out.where((F.length("code") == 6) & (F.col("corp_code") != ""))
-    return out.groupBy("code").agg(F.max("corp_code").alias("corp_code"))
+    return keep_last(out, ["code"], "seq").drop("seq")
 
 
 def attach_corp_codes(instruments: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -48,12 +49,16 @@ def keep_last(df: DataFrame, key: Sequence[str], order: str) -> DataFrame:
     return _pick(df, key, order, last=True)
 
 
-def upsert(stored: DataFrame, batch: DataFrame, key: Sequence[str], policy: str = "overwrite") -> DataFrame:
+def upsert(stored: DataFrame, batch: DataFrame, key: Sequence[str], policy: str = "overwrite", order: Sequence[str] = ()) -> DataFrame:
     """S12. Stored rows merged with a batch; the batch wins ('overwrite') or loses ('keep') on equal keys.
 
-    ``batch`` must be unique by key already (keep_first / keep_last).
+    With ``order`` the larger place wins ('overwrite') or the smaller ('keep'), whichever batch it came in, so
+    the table does not depend on how rows were cut into batches. ``batch`` must be unique by key already.
     """
     batch = batch.select(*stored.columns)
+    if order and policy in ("overwrite", "keep"):
+        both = stored.unionByName(batch).withColumn("_order", F.struct(*order))
+        return _pick(both, key, "_order", policy == "overwrite").drop("_order")
     if policy == "overwrite":
         return stored.join(batch.select(*key), list(key), "left_anti").select(*stored.columns).unionByName(batch)
     if policy == "keep":
@@ -70,7 +75,7 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 
 
 def upsert_table(spark: SparkSession, path: str, batch: DataFrame, key: Sequence[str], policy: str = "overwrite",
-                 partition: str = "year") -> None:
+                 partition: str = "year", order: Sequence[str] = ()) -> None:
     """S12 on a partitioned Parquet table: merge and replace only the partitions the batch touches.
 
     ``partition`` must be a column of the batch that is a function of the key (the year of ``d``, say).
@@ -80,12 +85,14 @@ def upsert_table(spark: SparkSession, path: str, batch: DataFrame, key: Sequence
         batch.repartitionByRange(partition, *key).write.partitionBy(partition).parquet(path)
         return
     # The list of touched partition values is bounded by the number of partitions of the table.
+    batch = batch.persist()  # read for its partitions and again for the merge
     touched = [row[0] for row in batch.select(partition).distinct().collect()]
     stored = spark.read.parquet(path).where(F.col(partition).isin(touched))
-    merged = upsert(stored, batch, key, policy)
+    merged = upsert(stored, batch, key, policy, order)
     # By range of the key, so that one large partition is written by many tasks.
     (merged.repartitionByRange(partition, *key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(partition).parquet(path))
+    batch.unpersist()
 
 
 def pending_ranges(codes: DataFrame, stored: DataFrame, start, end) -> DataFrame:
@@ -125,8 +132,25 @@ def run_rows(stats: DataFrame) -> DataFrame:
 
 
 def save_runs(path: str, runs: DataFrame, trades: DataFrame) -> None:
-    """S15. Replace the named strategies, runs and trades alike; other strategies stay as they are."""
+    """S15. Replace the strategies named in ``runs``, runs and trades alike; other strategies stay as they are.
+
+    Trades are written first, under a version of their own, and the run rows then point at that version. A re-run
+    without trades leaves none behind, and a failure between the two writes leaves the old state readable.
+    """
+    version = uuid.uuid4().hex
     ranged = trades.repartitionByRange("strategy", *[c for c in ("exit_d", "code", "entry_d") if c in trades.columns])
-    for name, df in (("trades", ranged), ("runs", runs)):
-        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("strategy").parquet(f"{path}/{name}"))
+    ranged.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version", "strategy").parquet(f"{path}/trades")
+    (runs.withColumn("version", F.lit(version)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("strategy").parquet(f"{path}/runs"))
+
+
+def stored_runs(spark: SparkSession, path: str) -> DataFrame:
+    """S15. The current runs."""
+    return spark.read.parquet(f"{path}/runs").drop("version")
+
+
+def stored_trades(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """S15. The trades of the current runs; ``schema`` names the columns of the trades, ``strategy`` among them."""
+    current = spark.read.parquet(f"{path}/runs").select("strategy", "version").distinct()
+    trades = spark.read.schema(f"{schema}, version string").parquet(f"{path}/trades")
+    return trades.join(current, ["strategy", "version"], "left_semi").drop("version")

@@ -17,12 +17,20 @@ def read_landed(spark: SparkSession, path: str, schema: str, files_per_batch: in
 
 
 def ingest(stream: DataFrame, normalise: Callable[[DataFrame], DataFrame], table: str, key: Sequence[str], checkpoint: str,
-           policy: str = "overwrite", partition: str = "year", available_now: bool = True) -> StreamingQuery:
+           policy: str = "overwrite", partition: str = "year", available_now: bool = True, order: Sequence[str] = (),
+           rejected: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """S20. Land pages into a keyed table. The checkpoint is the cursor: it moves only when a batch
-    is stored, and storing the same batch again changes nothing."""
+    is stored, and storing the same batch again changes nothing. With ``order`` the stored table keeps the place
+    of each row, and the size of a batch does not change it. A batch with ``rejected`` rows writes them to
+    ``{table}_rejected`` and fails, so the cursor stays before it."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        upsert_table(batch.sparkSession, table, normalise(batch), key, policy, partition)
+        if rejected is not None:
+            bad = rejected(batch)
+            if not bad.isEmpty():
+                bad.write.mode("overwrite").parquet(f"{table}_rejected/batch={batch_id}")
+                raise ValueError(f"batch {batch_id} has rows that cannot be read; see {table}_rejected")
+        upsert_table(batch.sparkSession, table, normalise(batch), key, policy, partition, order)
 
     writer = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")).start()
