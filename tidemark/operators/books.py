@@ -9,7 +9,7 @@ from tidemark.functions.costs import mark_pct, unrealized
 from tidemark.functions.text import has_key, name_list, non_empty
 from tidemark.operators.asof import latest_close_on
 from tidemark.operators.ordered import row_numbers
-from tidemark.operators.statistics import sum_curve
+from tidemark.operators.statistics import quarterly, sum_curve
 
 DEFAULT_CAPITAL = 10_000_000.0
 BOOK = ["mode", "strategy"]
@@ -184,6 +184,13 @@ def run_curve(trades: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> DataFra
     return sum_curve(by_exit_day(trades, keys), keys)
 
 
+def run_report(trades: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> dict[str, DataFrame]:
+    """C35. Curve, exit reasons, quarters and trades of every run."""
+    return {
+        "curve": run_curve(trades, keys), "reasons": exit_reasons(trades, keys=keys),
+        "quarters": quarterly(trades.withColumn("_ret", F.col("ret_pct") / 100), keys, "exit_d", "_ret"), "trades": trades}
+
+
 def free_slots(positions: DataFrame, slots: int) -> DataFrame:
     """A25. Slot limit less open positions per (mode, strategy)."""
     return positions.groupBy(*BOOK).agg((F.lit(slots) - F.count(F.lit(1))).alias("free_slots"))

@@ -155,6 +155,18 @@ def quarterly(trades: DataFrame, keys: Sequence[str] = (), date: str = "d", ret:
     return out.withColumn("bar_pct", F.when(peak > 0, F.abs("avg_pct") / peak * 100).otherwise(0.0))
 
 
+def stability(trades: DataFrame, split, keys: Sequence[str] = (), date: str = "d", ret: str = "ret") -> DataFrame:
+    """C29. Quarters and how many of them gained, and the mean before and from the ``split`` day on."""
+    day = F.lit(split).cast("date")
+    quarters = trades.groupBy(*keys, F.year(date).alias("_y"), F.quarter(date).alias("_q")).agg(
+        F.sum(ret).alias("_s"), F.count(ret).alias("_n"),
+        F.sum(F.when(F.col(date) < day, F.col(ret))).alias("_a"), F.count(F.when(F.col(date) < day, F.col(ret))).alias("_an"))
+    later, late_n = F.sum("_s") - F.coalesce(F.sum("_a"), F.lit(0.0)), F.sum("_n") - F.sum("_an")
+    return quarters.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("quarters"), F.count(F.when(F.col("_s") > 0, 1)).alias("positive_quarters"),
+        (F.try_divide(F.sum("_a"), F.sum("_an")) * 100).alias("train_pct"), (F.try_divide(later, late_n) * 100).alias("valid_pct"))
+
+
 def index_benchmark(closes: DataFrame, windows: DataFrame) -> DataFrame:
     """A16. Total and monthly return of a monthly index between the months of ``start`` and ``end``.
 

@@ -139,7 +139,18 @@ def w15(t):
 
 @query("c35_run_report", f"SELECT run_id, exit_d, n, {r('p', 4)} AS day_pct, {r('cum', 4)} AS cum_pct, {r('dd', 4)} AS max_dd FROM ({CURVE}) z", "run_trades")
 def c35(t):
-    return rounded(B.run_curve(t.run_trades).select("run_id", "exit_d", "n", "day_pct", "cum_pct", "max_dd"), 4)
+    return rounded(B.run_report(t.run_trades)["curve"].select("run_id", "exit_d", "n", "day_pct", "cum_pct", "max_dd"), 4)
+
+
+@query("c35_run_reasons", "SELECT run_id, exit_reason AS reason, count(*) AS n FROM run_trades GROUP BY 1, 2", "run_trades")
+def c35_reasons(t):
+    return B.run_report(t.run_trades)["reasons"]
+
+
+@query("c35_run_quarters", f"""SELECT run_id, quarter, {r('m')} AS avg_pct, n, {r('CASE WHEN max(abs(m)) OVER (PARTITION BY run_id) > 0 THEN abs(m) / max(abs(m)) OVER (PARTITION BY run_id) * 100 ELSE 0 END')} AS bar_pct FROM (
+  SELECT run_id, CAST(year(exit_d) AS VARCHAR) || 'Q' || CAST(quarter(exit_d) AS VARCHAR) AS quarter, count(*) AS n, avg(ret_pct / 100) * 100 AS m FROM run_trades GROUP BY 1, 2) x""", "run_trades")
+def c35_quarters(t):
+    return rounded(B.run_report(t.run_trades)["quarters"])
 
 
 @query("l05_downsampled_curve", f"""SELECT run_id, exit_d, {r('cum', 4)} AS cum_pct FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY exit_d) - 1 AS i, count(*) OVER (PARTITION BY run_id) AS t FROM ({CURVE}) z) y
@@ -154,9 +165,9 @@ def l03(t):
     return B.newest_trades(t.ledger).select("id", "ts", "code")
 
 
-@query("l03_worst_run_trades", f"SELECT code, entry_d, exit_d, {r('ret_pct')} AS ret_pct FROM run_trades WHERE long = 0 ORDER BY run_trades.ret_pct, code, entry_d LIMIT 100", "run_trades")
+@query("l03_worst_run_trades", f"SELECT code, entry_d, exit_d, {r('ret_pct')} AS ret_pct FROM run_trades ORDER BY run_trades.ret_pct, code, entry_d LIMIT 100", "run_trades")
 def l03_worst(t):
-    return rounded(B.run_trade_list(t.run_trades.where(F.col("long") == 0), worst=True).select("code", "entry_d", "exit_d", "ret_pct"))
+    return rounded(B.run_trade_list(t.run_trades, worst=True).select("code", "entry_d", "exit_d", "ret_pct"))
 
 
 @query("f12_ledger_filter", f"SELECT id FROM ledger WHERE mode = 'paper' AND ts >= TIMESTAMP '{NOW}' - INTERVAL 90 DAY AND side = 'sell' AND exit_reason = 'stop'", "ledger")
@@ -169,7 +180,7 @@ def f12(t):
 AND NOT EXISTS (SELECT 1 FROM ledger b WHERE b.side = 'buy' AND b.code = l.code AND b.strategy = l.strategy AND b.mode = l.mode AND b.d = DATE '2001-07-30')""", "ledger positions")
 def f13(t):
     orders = t.ledger.where(F.col("side") == "sell").select("code", "strategy", "mode").distinct()
-    held = t.positions.where(F.col("entry_date") < "2001-07-01")
+    held = t.positions.where(F.col("entry_date") < "2001-07-01")  # what the book held on that day
     return FL.not_entered(orders, held, t.ledger, "2001-07-30").select("code", "strategy")
 
 

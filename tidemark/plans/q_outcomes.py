@@ -193,6 +193,13 @@ def c29(t):
     return outcome_rows(study(t), "rank")
 
 
+@query("c29_stability", f"""SELECT count(*) AS quarters, count(CASE WHEN m > 0 THEN 1 END) AS positive_quarters,
+  (SELECT {r('avg(ret) * 100')} FROM ranked WHERE d < DATE '1999-01-01') AS train_pct, (SELECT {r('avg(ret) * 100')} FROM ranked WHERE d >= DATE '1999-01-01') AS valid_pct
+FROM (SELECT avg(ret) AS m FROM ranked GROUP BY year(d), quarter(d)) q""", "ranked")
+def c29_stability(t):
+    return rounded(ST.stability(study(t), "1999-01-01"))
+
+
 def stats_sql(src, keys, ddof=0, ret="ret", held="held", where="", extra=""):
     sd = f"{'stddev_pop' if ddof == 0 else 'stddev_samp'}({ret})"
     k = f"{keys}, " if keys else ""
@@ -211,9 +218,9 @@ def a12(t):
 
 
 @query("a07_quarterly", f"""SELECT quarter, n, {r('m')} AS avg_pct, {r('CASE WHEN max(abs(m)) OVER () > 0 THEN abs(m) / max(abs(m)) OVER () * 100 ELSE 0 END')} AS bar_pct FROM (
-  SELECT CAST(year(d) AS VARCHAR) || 'Q' || CAST(quarter(d) AS VARCHAR) AS quarter, count(*) AS n, avg(ret) * 100 AS m FROM ranked WHERE rank <= 3 GROUP BY 1) x""", "ranked")
+  SELECT CAST(year(d) AS VARCHAR) || 'Q' || CAST(quarter(d) AS VARCHAR) AS quarter, count(*) AS n, avg(ret) * 100 AS m FROM ranked GROUP BY 1) x""", "ranked")
 def a07(t):
-    return rounded(ST.quarterly(study(t).where(F.col("rank") <= 3)))
+    return rounded(ST.quarterly(study(t)))
 
 
 @query("a01_trade_statistics", stats_sql("entries", "") , "entries")

@@ -203,23 +203,24 @@ def s12_stored(t):
     return rounded(t.spark.read.parquet(path).select("code", "d", "credit_amt", "credit_ratio"))
 
 
-@query("s16_collection_universe", f"""SELECT DISTINCT code FROM bars WHERE code IN (SELECT code FROM ({CAPS}) x WHERE d = DATE '{DAY}' AND market_cap >= {CAP}) OR code IN (SELECT code FROM credit WHERE credit_amt > 900000)""", "bars shares credit")
+@query("s16_collection_universe", f"""SELECT DISTINCT code FROM bars WHERE code IN (SELECT code FROM ({CAPS}) x WHERE d = DATE '{DAY}' AND market_cap >= {CAP}) OR code IN (SELECT code FROM credit)""", "bars shares credit")
 def s16(t):
     from tidemark.operators.fundamentals import dated_market_cap
 
     caps = dated_market_cap(t.bars.where(F.col("d") == F.lit(DAY).cast("date")), t.shares)
-    return T.collection_universe(caps, t.credit.where(F.col("credit_amt") > 900000), t.bars, CAP)
+    return T.collection_universe(caps, t.credit, t.bars, CAP)
 
 
-@query("u01_code_sets", "SELECT code FROM credit WHERE credit_amt > 900000 UNION SELECT code FROM nat WHERE n_nationkey < 5", "credit nat")
+@query("u01_code_sets", "SELECT code FROM credit UNION SELECT code FROM nat", "credit nat")
 def u01(t):
-    few = t.raw("nation").where(F.col("n_nationkey") < 5).select(nation_code(F.col("n_nationkey")).alias("code"))
-    return t.credit.where(F.col("credit_amt") > 900000).select("code").union(few).distinct()
+    known = t.raw("nation").select(nation_code(F.col("n_nationkey")).alias("code"))
+    return t.credit.select("code").union(known).distinct()
 
 
 @query("s17_not_stored", "SELECT code FROM nat WHERE code NOT IN (SELECT code FROM shares WHERE period = '1998Q4' AND issued > 80000)", "nat shares")
 def s17(t):
-    return T.not_stored(t.instruments.select("code"), t.shares.where(F.col("issued") > 80000), "1998Q4")
+    stored = t.shares.where(F.col("issued") > 80000)  # every code has a row of every period; this leaves some to collect
+    return T.not_stored(t.instruments.select("code"), stored, "1998Q4")
 
 
 # ---- streams ------------------------------------------------------------------------------------
