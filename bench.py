@@ -22,6 +22,7 @@ def headline(t):
     from tidemark.operators import windows as W
     from tidemark.operators.ordered import percentile_rank
     from tidemark.plans import q_outcomes as Q
+    from tidemark.plans.q_signals import TURNOVER
 
     horizons = (1, 3, 5, 10, 20)
 
@@ -31,7 +32,7 @@ def headline(t):
     return {
         "c02_signals_history": lambda: S.signals_history(t.bars, t.flows, t.credit),
         "c30_indicator_panel": lambda: W.indicator_panel(t.bars),
-        "c03_contrarian_candidates": lambda: O.contrarian_candidates(t.signals, t.bars, 0.0, n=251),
+        "c03_contrarian_candidates": lambda: O.contrarian_candidates(t.signals, t.bars, TURNOVER, n=251),
         "c10_barrier_outcomes": lambda: O.outcome_table(t.bars, stop_pct=0.6),
         "c11_non_overlapping": lambda: O.non_overlapping(O.outcome_table(t.bars, stop_pct=0.6)),
         "c28_factor_deciles": lambda: ST.factor_deciles(t.signals, forward(), S.METRICS, horizons),

@@ -86,3 +86,29 @@ def test_forward_return_skips_halted_open(spark):
     bars = spark.createDataFrame([("A", day(i), o, o, o, c, 1) for i, (o, c) in enumerate([(10.0, 10.0), (0.0, 11.0), (12.0, 12.0), (13.0, 15.0)])], schemas.STOCK_DAILY)
     got = [r["r"] for r in bars.select("d", W.forward_return(F.col("o"), F.col("c"), 1).alias("r")).orderBy("d").collect()]
     assert got[0] is None and got[1] == pytest.approx(15 / 12 - 1) and got[2] is None
+
+
+def test_a_range_is_a_slice_of_the_full_run(spark):
+    bars = bars_of(spark, [100 + i * 7 % 13 for i in range(40)])
+    flows = spark.createDataFrame([("000010", day(i), 100 + i * 5 % 11, 100, 50) for i in range(40)], schemas.INVESTOR_FLOW)
+    credit = spark.createDataFrame([("000010", day(i), 1000 + i, 0.5) for i in range(0, 40, 3)], schemas.CREDIT_BALANCE)
+    sources = (bars, flows, credit)
+    full = S.signals_history(*sources)
+    start, end = day(33), day(36)
+    part = S.signals_history(*sources, start=start, end=end)
+    want = full.where(F.col("d").between(F.lit(start), F.lit(end)))
+    assert sorted(map(tuple, part.collect())) == sorted(map(tuple, want.collect())) and part.count() > 0
+    plan = S.signals_history(bars, flows, credit, end=end)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(str(end)) >= 1
+
+
+def test_held_codes_leave_only_on_their_days(spark):
+    from tidemark.operators.outcomes import contrarian_candidates
+
+    rows = [("000010", day(i), 1.0, 1.0, 0.2, 0.2, 100) for i in range(25)]
+    bars = spark.createDataFrame(rows, schemas.STOCK_DAILY)
+    signals = bars.select("code", "d", F.lit(1.0).alias("heat_score"), F.lit("neutral").alias("signal"), F.lit(0.1).alias("institution_flow_ratio"))
+    got = lambda held: sorted(r["d"] for r in contrarian_candidates(signals, bars, 0.0, held=held).collect())
+    free = got(None)
+    assert day(23) in free and got(spark.createDataFrame([("000010", day(23))], "code string, d date")) == [d for d in free if d != day(23)]
+    assert got(spark.createDataFrame([("000010",)], "code string")) == []

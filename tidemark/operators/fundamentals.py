@@ -149,7 +149,8 @@ def fundamental_candidates(disclosures: DataFrame, statements: DataFrame, bars:
         "code", "d", report_period(F.col("report_nm")).alias("period")).where(F.col("period").isNotNull())
     filed = filed.groupBy("code", "d").agg(F.max("period").alias("period"))
     if held is not None:
-        filed = filed.join(held.select("code"), "code", "left_anti")
+        on = [c for c in ("code", "d") if c in held.columns]  # with a day, what was held on that day
+        filed = filed.join(held.select(*on), on, "left_anti")
     current = year_over_year(statements).select(
         "code", "period", "op_income", "prev_op_income", "net_income", "equity", "liabilities")
     priced = bars.select("code", "d", F.col("c").alias("close"), turnover_mean().alias("_turnover"))

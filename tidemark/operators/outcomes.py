@@ -36,7 +36,8 @@ def contrarian_candidates(signals: DataFrame, bars: DataFrame, turnover_floor: f
     if caps is not None:
         out = out.join(caps.where(F.col("market_cap") >= cap_floor).select("code", "d"), ["code", "d"], "left_semi")
     if held is not None:
-        out = out.join(held.select("code"), "code", "left_anti")
+        on = [c for c in ("code", "d") if c in held.columns]  # with a day, what was held on that day
+        out = out.join(held.select(*on), on, "left_anti")
     out = out.select("code", "d", "close", "heat_score", F.col(rank_col).alias("rank_value"), "pos52w")
     return top_per_day(out, [F.col("rank_value"), F.col("code")], k)
 

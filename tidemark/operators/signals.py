@@ -37,6 +37,8 @@ def signals_history(bars: DataFrame, flows: DataFrame, credit: DataFrame,
     ``keep`` names bar columns to carry along, so later per-code windows need no second join.
     """
     amount = F.col("c") * F.col("v").cast("double")
+    if end is not None:  # no window looks ahead, so later rows need not be read
+        bars, flows, credit = (x.where(F.col("d") <= F.lit(end).cast("date")) for x in (bars, flows, credit))
     base = aligned_sources(bars, flows, credit).select(
         "code", "d", *keep,
         amount.alias("_amount"),
@@ -67,8 +69,6 @@ def signals_history(bars: DataFrame, flows: DataFrame, credit: DataFrame,
     )
     if start is not None:
         ratios = ratios.where(F.col("d") >= F.lit(start).cast("date"))
-    if end is not None:
-        ratios = ratios.where(F.col("d") <= F.lit(end).cast("date"))
     return with_heat(ratios)
 
 
