@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.textwords import byte_column, column_of, text_slices
+from tidemark.llm.textwords import bounded_batches, byte_column, column_of, text_slices
 
 SAMPLE_CHARS = 24_000  # symbols of labelled text per language, at most
 SAMPLE_DOCS, SAMPLE_DOC_CHARS = 160, 600  # documents per language and characters of each that may serve
@@ -197,6 +197,7 @@ def identify(docs: DataFrame, model: CrossParser, text_col: str = "text") -> Dat
     each phrase costs log2(sample) bits. Repeated rows get equal answers; all columns are kept, and a column named
     like a result is replaced. An empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.textwords import byte_column, column_of, text_slices
+from tidemark.llm.textwords import bounded_batches, byte_column, column_of, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("out", *KINDS)
@@ -319,6 +319,7 @@ def personal_data(docs: DataFrame, field: Field, id_col: str = "doc_id", text_co
     whole. Repeated rows and null ids are answered row by row; other columns are not read. An empty table gives an
     empty result. One pass, no shuffle.
     """
+    bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     shared = docs.sparkSession.sparkContext.broadcast(field)
     sign = np.zeros(256, bool)

@@ -11,10 +11,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+BATCH_ROWS = 1000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = 0x20
+_FOLD[0x41:0x5B] += 0x20
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -50,8 +55,19 @@ def byte_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[base : offsets[-1]], offsets - base
 
 
-def words_of(column: pa.Array) -> Words:
+def folded(raw: np.ndarray) -> np.ndarray:
+    """Bytes with ASCII marks as spaces and the letters of the first 256 code points in lower case."""
+    out = _FOLD[raw]
+    wide = np.flatnonzero(raw == 0xC3)
+    wide = wide[wide + 1 < len(raw)] + 1  # the second byte of a letter from À on
+    out[wide] += np.where((raw[wide] >= 0x80) & (raw[wide] <= 0x9E) & (raw[wide] != 0x97), 0x20, 0).astype(np.uint8)
+    return out
+
+
+def words_of(column: pa.Array, fold: bool = False) -> Words:
+    """Words of all rows of a slice; with ``fold`` those of the folded texts."""
     raw, offsets = byte_column(column)
+    raw = folded(raw) if fold else raw
     data = np.zeros(len(raw) + 8, np.uint8)
     data[: len(raw)] = raw
     inside = ~_SPACE[raw]
@@ -95,6 +111,13 @@ def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.arange(m) + n <= w.first[w.row + 1]
 
 
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Let Arrow batches of this session hold at most ``rows`` rows: whole texts are long, and a batch is held twice."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], column: str, budget: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices with at most ``budget`` bytes of text, or one row."""
     for batch in batches:

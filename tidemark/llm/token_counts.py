@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textwords import byte_column, column_of, text_slices
+from tidemark.llm.textwords import bounded_batches, byte_column, column_of, text_slices
 
 CHUNK, OVERLAP = 1 << 15, 1 << 9
 MARK = "▁"  # how pieces spell a space
@@ -84,6 +84,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 4096, chunk: int
     A null or empty text has 0 bytes and 0 tokens. Repeated rows and null ids are answered row by row;
     other columns are not read. An empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
 
     def count(batches):

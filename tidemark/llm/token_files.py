@@ -10,22 +10,21 @@ its block. A file is a Parquet part with one row per block of consecutive docume
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.textwords import byte_column, column_of, text_slices
+from tidemark.llm.textwords import bounded_batches, column_of, text_slices, words_of
 
 RANK_BITS = 512
 BLOCK_TOKENS = 1 << 18
-CACHED_WORDS = 250_000
+CACHED_WORDS = 1_500_000  # about 60 MB
 SCHEMA = ("shard int, block int, first long, n_tokens long, doc_ids array<{kind}>, ends array<long>, "
           "codes array<binary>, bitmaps array<binary>, ranks array<binary>")
 Levels = list[tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -65,15 +64,16 @@ def dac_access(levels: Levels, at: int) -> int:
     return value
 
 
-# Words that hold letters of these ranges and then these marks are two pre-tokens whatever stands around them.
-_PARTS = re.compile(r"([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([.,;:!?*#$%&|]*)")
+# Letters of the first 256 code points and then these marks are two pre-tokens whatever stands around them.
+_MARKS = ".,;:!?*#$%&|"
 
 
 class WordEncoder:
-    """Ids of texts by a ``tokenizers`` file whose pre-tokens never cross a space or a line end.
+    """Ids of texts by a ``tokenizers`` file whose pre-tokens never cross white space.
 
-    The library encodes each word once; its ids are kept as bytes in two generations of bounded
-    size. Words with letters only are sent to it in lines and separated by the end-of-word tokens.
+    The library encodes each different word once; its ids are kept in arrays sorted by the word's 64-bit hash, of which a
+    task looks up all words of a slice at once. ASCII letters need no normalising and no splitting and go to
+    the model itself, other letters in lines that are cut at the end-of-word tokens, all else as it stands.
     """
 
     def __init__(self, path: str):
@@ -81,70 +81,89 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-
-    def _library(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _letters(self, words: list[str]) -> list[bytes]:
-        lines = [words[i : i + 64] for i in range(0, len(words), 64)]
-        out: list[bytes] = []
-        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
+        self.marks: dict[str, list[int]] = {"": []}
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for i in range(0, len(words), 64):
+            line = words[i : i + 64]
+            ids = self._library([" ".join(line)])[0]
             ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) == len(line):
-                raw, at = ids.tobytes(), 0
-                for to in (ends * 4).tolist():
-                    out.append(raw[at:to])
-                    at = to
+            out += [ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())] if len(ends) == len(line) else self._library(line)
+        return out
+
+    def words(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word; a word has no white space of one byte."""
+        cores: dict[str, list[int]] = {}
+        split, rest = [], []
+        for k, w in enumerate(words):
+            core = w.rstrip(_MARKS)
+            if core.isalpha() and (core.isascii() or max(core) <= "\xff"):
+                split.append((k, core.lower(), w[len(core) :]))
             else:
-                out += self._library(line)
+                rest.append(k)
+        for _, core, _ in split:
+            if core not in cores:
+                cores[core] = [t.id for t in self.model.tokenize(core)] if core.isascii() else []
+        wide = [c for c in cores if not c.isascii()]
+        cores.update(zip(wide, self._letters(wide)))
+        marks = list({m for _, _, m in split if m not in self.marks})
+        self.marks.update(zip(marks, self._library(marks)))
+        out: list[list[int]] = [[]] * len(words)
+        for k, ids in zip(rest, self._library([words[k] for k in rest])):
+            out[k] = ids
+        for k, core, mark in split:
+            out[k] = cores[core] + self.marks[mark] if mark else cores[core]
+        if len(self.marks) > CACHED_WORDS:
+            self.marks = {"": []}
         return out
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.young) + len(words) > CACHED_WORDS:
-            self.old, self.young = self.young, {"": b""}
-        if len(self.cores) > CACHED_WORDS:
-            self.cores = {}
-        split = [_PARTS.fullmatch(w) for w in words]
-        rest = [w for w, m in zip(words, split) if m is None]
-        self.young.update(zip(rest, self._library(rest)))
-        pairs = [(w, m[1].lower(), m[2]) for w, m in zip(words, split) if m is not None]
-        new = list({c for _, c, _ in pairs if c not in self.cores})
-        self.cores.update(zip(new, self._letters(new)))
-        marks = list({t for _, _, t in pairs if t and t not in self.cores})
-        self.cores.update(zip(marks, self._library(marks)))
-        cores = self.cores
-        self.young.update((w, cores[c] + cores[t] if t else cores[c]) for w, c, t in pairs)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        needed = set().union(*split) if split else set()
-        missing = [w for w in needed if w not in self.young]
-        if len(self.young) + len(missing) > CACHED_WORDS:
-            kept = {w: self.young[w] for w in needed if w in self.young}
-            self.old, self.young = self.young, {"": b"", **kept}
-        again = [w for w in missing if w in self.old]
-        self.young.update((w, self.old[w]) for w in again)
-        self._fill([w for w in missing if w not in self.young])
-        get = self.young.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-    def _fill(self, words: list[str]) -> None:
-        if words:
-            self._learn(words)
+    def _place(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == hashes[inside]
+        return at, known
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a slice, and the place of each row's first id (with the end)."""
+        w = words_of(texts)
+        different, where, which = np.unique(w.hash, return_index=True, return_inverse=True)
+        if len(self.hashes) + len(different) > CACHED_WORDS:
+            self.forget()
+        at, known = self._place(different)
+        if not known.all():
+            new, place = different[~known], where[~known]
+            # A row may begin in the middle of the buffer, never in the middle of a character.
+            ids = self.words([w.data[a:b].tobytes().decode("utf-8") for a, b in zip(w.start[place].tolist(), w.end[place].tolist())])
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            first = len(self.ids) + np.cumsum(size) - size
+            to = np.searchsorted(self.hashes, new)
+            self.hashes, self.first, self.size = np.insert(self.hashes, to, new), np.insert(self.first, to, first), np.insert(self.size, to, size)
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
+            at, _ = self._place(different)
+        first, size = self.first[at][which], self.size[at][which]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        flat = self.ids[np.repeat(first - upto[:-1], size) + np.arange(upto[-1])]
+        return flat, upto[w.first]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+def word_encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path].encode
@@ -158,6 +177,7 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str =
     sorted in each shard. A null or empty text has the end id alone. A document is never cut; a block ends
     with the document that fills it. Other columns are not read. An empty table gives no block.
     """
+    bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -180,10 +200,12 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str =
                 ["shard", "block", "first", "n_tokens", "doc_ids", "ends", "codes", "bitmaps", "ranks"])
 
         for part in text_slices(batches, "_text"):
-            for name, ids in zip(column_of(part, "_id").to_pylist(), ids_of(column_of(part, "_text").to_pylist())):
-                held.append(ids + end)
+            flat, upto = ids_of(column_of(part, "_text"))
+            raw, upto = flat.astype("<u4").tobytes(), (upto * 4).tolist()
+            for name, a, b in zip(column_of(part, "_id").to_pylist(), upto, upto[1:]):
+                held.append(raw[a:b] + end)
                 names.append(name)
-                size += len(ids) // 4 + 1
+                size += (b - a) // 4 + 1
                 if size >= block_tokens:
                     yield flush()
                     block, first, held, size, names = block + 1, first + size, [], 0, []
@@ -238,8 +260,13 @@ def tokens_at(stored: DataFrame, wanted: DataFrame) -> DataFrame:
     places = docs.where("d.ends IS NOT NULL").select("shard", "block", F.col("d.doc_ids").alias("doc_id"), F.col("d.starts").alias("_a"), F.col("d.ends").alias("_b"))
     found = wanted.join(places, "doc_id").withColumn("_i", F.when((F.col("at") >= 0) & (F.col("at") < F.col("_b") - F.col("_a")), F.col("_a") + F.col("at")))
 
-    @F.pandas_udf("long")
-    def access(codes: pd.Series, bitmaps: pd.Series, ranks: pd.Series, i: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(x) else dac_access(_levels(c, b, r), int(x)) for c, b, r, x in zip(codes, bitmaps, ranks, i)], dtype="Int64")
+    kind = dict(found.dtypes)["doc_id"]
+
+    def access(batches):
+        for batch in batches:
+            rows = zip(*(column_of(batch, c).to_pylist() for c in ("codes", "bitmaps", "ranks", "_i")))
+            token = [None if i is None else dac_access(_levels(c, b, r), i) for c, b, r, i in rows]
+            yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), column_of(batch, "at"), pa.array(token, pa.int64())], ["doc_id", "at", "token"])
 
-    return found.join(stored.select("shard", "block", "codes", "bitmaps", "ranks"), ["shard", "block"]).select("doc_id", "at", access("codes", "bitmaps", "ranks", "_i").alias("token"))
+    return found.join(stored.select("shard", "block", "codes", "bitmaps", "ranks"), ["shard", "block"]).select("doc_id", "at", "codes", "bitmaps", "ranks", "_i").mapInArrow(
+        access, f"doc_id {kind}, at long, token long")
