@@ -19,12 +19,11 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textwords import column_of, grams, mixed, text_slices, words_of
+from tidemark.llm.textwords import bounded_batches, column_of, grams, mixed, text_slices, words_of
 from tidemark.session import pin
 
 SHINGLE = 5
@@ -32,7 +31,7 @@ THRESHOLD = 0.8
 BANDS, ROWS, SAMPLES = 16, 3, 64
 CELLS, PARAMS = 1 << 18, 1 << 14
 MIN_AGREEMENT = 0.6  # of two sketches, before a pair is verified; 0.8 less four standard deviations
-BLOCK = 512
+BLOCK, SLICE = 512, 8192  # texts that ask and texts that answer in one unit
 PART = 8192  # elements sampled at once
 
 
@@ -135,30 +134,32 @@ def similarities(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, i
     return (shared / union if union else 0.0), (len(both) / size if size else 0.0)
 
 
-def _agreement():
-    @F.pandas_udf("double")
-    def agree(a: pd.Series, b: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype="float64")
-        x, y = (np.frombuffer(b"".join(s), "<u4").reshape(len(s), SAMPLES) for s in (a, b))
-        return pd.Series((x == y).mean(1))
-
-    return agree
+def _agreeing(batches):
+    """(a, b, agreement) of the pairs whose sketches ``_a`` and ``_b`` agree enough."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, y = (np.frombuffer(b"".join(column_of(batch, c).to_pylist()), "<u4").reshape(batch.num_rows, SAMPLES) for c in ("_a", "_b"))
+        share = (x == y).mean(1)
+        keep = pa.array(np.flatnonzero(share >= MIN_AGREEMENT))
+        yield pa.RecordBatch.from_arrays([column_of(batch, "a").take(keep), column_of(batch, "b").take(keep), pa.array(share).take(keep)], ["a", "b", "agreement"])
 
 
 def verified(pairs: DataFrame, features: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """Those ``pairs(a, b)`` whose whole shingle sets are similar enough."""
     table = pairs.sparkSession.sparkContext.broadcast(idf)
 
-    @F.pandas_udf("boolean")
-    def similar(sa: pd.Series, ca: pd.Series, sb: pd.Series, cb: pd.Series) -> pd.Series:
-        load = lambda x: np.frombuffer(x, "<u4")
-        # Rounded, so that a similarity of exactly the threshold counts.
-        return pd.Series([max(similarities(load(p), load(q), load(r), load(s), table.value)) >= threshold - 1e-9 for p, q, r, s in zip(sa, ca, sb, cb)], dtype="bool")
+    def similar(batches):
+        for batch in batches:
+            sets = zip(*(column_of(batch, c).to_pylist() for c in ("_sa", "_ca", "_sb", "_cb")))
+            # Rounded, so that a similarity of exactly the threshold counts.
+            keep = [k for k, x in enumerate(sets) if max(similarities(*(np.frombuffer(v, "<u4") for v in x), table.value)) >= threshold - 1e-9]
+            keep = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([column_of(batch, "a").take(keep), column_of(batch, "b").take(keep)], ["a", "b"])
 
     left = features.select(F.col("key").alias("a"), F.col("shingles").alias("_sa"), F.col("counts").alias("_ca"))
     right = features.select(F.col("key").alias("b"), F.col("shingles").alias("_sb"), F.col("counts").alias("_cb"))
-    return pairs.join(left, "a").join(right, "b").where(similar("_sa", "_ca", "_sb", "_cb")).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "_sa", "_ca", "_sb", "_cb").mapInArrow(similar, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -198,6 +199,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, seed: int = 1
     Null ids come last. Rows that repeat id and text share their answer. Other columns are not read.
     An empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     given = docs.select(F.col(id_col).alias("_id"), F.unhex(text_key(text)).alias("key"), text.alias("_text"))
@@ -238,42 +240,115 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, seed: int = 1
         F.min("key"), F.max("key"), F.min_by("key", F.xxhash64("key", F.lit(1))), F.min_by("key", F.xxhash64("key", F.lit(2))))).alias("c")).where("n > 1")
     centre = pin(centre, "centres")
     shared = pin(member.join(centre.select("band", "c"), "band"), "buckets")
-    agree = _agreement()
 
     def scored(pairs: DataFrame) -> DataFrame:
         s = texts.select("key", "sketch")
         pairs = pairs.join(s.select(F.col("key").alias("a"), F.col("sketch").alias("_a")), "a").join(s.select(F.col("key").alias("b"), F.col("sketch").alias("_b")), "b")
-        return pairs.withColumn("agreement", agree("_a", "_b")).where(F.col("agreement") >= MIN_AGREEMENT).select("a", "b", "agreement")
+        return pairs.select("a", "b", "_a", "_b").mapInArrow(_agreeing, "a binary, b binary, agreement double")
 
     met = scored(shared.select(F.col("key").alias("a"), F.explode("c").alias("b")).where("a <> b").distinct())
     best = pin(met.groupBy("a").agg(F.max_by("b", F.struct("agreement", "b")).alias("b")), "best")
 
-    def feature_rows(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        return rows.join(needed, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"), F.first("counts").alias("counts"))
+    def features_of(needed: DataFrame) -> DataFrame:
+        return rows.join(needed, "key", "left_semi").groupBy("key").agg(*[F.first(c).alias(c) for c in ("sketch", "shingles", "counts")])
 
-    links = pin(verified(best, feature_rows(best), idf, threshold), "verified")
+    ends = best.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    links = pin(verified(best, features_of(ends), idf, threshold), "verified")
     roots = components(links)
 
-    # Buckets that still hold several classes: all but the largest class ask, in blocks, all others.
+    # Buckets that still hold several classes: texts outside the largest class ask, in blocks, all others. A unit
+    # is a block of askers and a slice of the bucket, both of bounded size, so no bucket fills a task.
     placed = pin(shared.select("key", "band").join(roots, "key", "left").select("key", "band", F.coalesce("root", "key").alias("root")), "placed")
     classes = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("m"))
-    mixed_buckets = pin(classes.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.max_by("root", F.struct("m", "root")).alias("main"), F.sum("m").alias("n")).where("k > 1"), "mixed")
-    asked = pin(placed.join(mixed_buckets, "band").join(texts, "key"), "asked")
-    asking = asked.where("root <> main").withColumn("block", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / BLOCK)))
-    blocks = pin(asking.groupBy("band", "block").agg(F.collect_list(F.struct("key", "root", "sketch")).alias("asking")), "asking")
+    several = classes.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.max_by("root", F.struct("m", "root")).alias("main"), F.sum("m").alias("n"), F.max("m").alias("top")).where("k > 1")
+    several = pin(several.select("band", "main", F.ceil((F.col("n") - F.col("top")) / BLOCK).alias("blocks"), F.ceil(F.col("n") / SLICE).alias("slices")), "several")
+    members = pin(placed.join(several, "band"), "members")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    own = lambda n: F.pmod(F.xxhash64("key"), F.col(n))
+    asks = F.when(F.col("root") != F.col("main"), F.transform(upto("slices"), lambda x: F.struct(F.lit(0).alias("role"), own("blocks").alias("block"), x.alias("slice"))))
+    answers = F.transform(upto("blocks"), lambda x: F.struct(F.lit(1).alias("role"), x.alias("block"), own("slices").alias("slice")))
+    none = F.array().cast("array<struct<role:int,block:bigint,slice:bigint>>")
+
+    def in_units(table: DataFrame, *columns: str) -> DataFrame:
+        spread = table.select("band", "key", "root", *columns, F.explode(F.concat(F.coalesce(asks, none), answers)).alias("u"))
+        spread = spread.select("band", "u.block", "u.slice", "u.role", "key", "root", *columns)
+        return spread.repartition(n, "band", "block", "slice").sortWithinPartitions("band", "block", "slice", "role")
+
+    def screen(batches):
+        """(band, key) of texts whose sketch agrees enough with one of another class; no shingles are needed for the others."""
+        unit, askers, sketch, hit = None, [], None, None
+
+        def found():
+            return [askers[k][0] for k in np.flatnonzero(hit).tolist()] if hit is not None else []
+
+        for batch in batches:
+            bands, keys = [], []
+            columns = [column_of(batch, c).to_pylist() for c in ("band", "block", "slice", "role", "key", "root", "sketch")]
+            for band, block, part, role, key, root, raw in zip(*columns):
+                if unit != (band, block, part):
+                    late = found()
+                    bands += [unit[0]] * len(late) if late else []
+                    keys += late
+                    unit, askers, sketch, hit = (band, block, part), [], None, None
+                if role == 0:
+                    askers.append((key, root, raw))
+                    continue
+                if not askers:
+                    continue
+                if sketch is None:
+                    sketch = np.frombuffer(b"".join(x[2] for x in askers), "<u4").reshape(len(askers), SAMPLES)
+                    number = {r: k for k, r in enumerate(dict.fromkeys(x[1] for x in askers))}
+                    roots = np.array([number[x[1]] for x in askers])
+                    hit = np.zeros(len(askers), bool)
+                near = ((sketch == np.frombuffer(raw, "<u4")).mean(1) >= MIN_AGREEMENT) & (roots != number.get(root, -1))
+                if near.any():
+                    hit |= near
+                    bands.append(band)
+                    keys.append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(bands, pa.int64()), pa.array(keys, pa.binary())], ["band", "key"])
+        late = found()
+        if late:
+            yield pa.RecordBatch.from_arrays([pa.array([unit[0]] * len(late), pa.int64()), pa.array(late, pa.binary())], ["band", "key"])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sketched = members.join(texts, "key")
+    close = pin(in_units(sketched, "sketch").mapInArrow(screen, "band long, key binary").distinct(), "close")
+    members = members.join(close, ["band", "key"], "left_semi")
+    units = in_units(members.join(features_of(close.select("key").distinct()), "key"), "sketch", "shingles", "counts")
 
     def meet(batches):
+        unit, askers, sketch = None, [], None
+        joined: dict[bytes, bytes] = {}
+
+        def find(x):
+            while joined.get(x, x) != x:
+                x = joined[x]
+            return x
+
         for batch in batches:
-            for key, root, sketch, others in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                x = np.frombuffer(b"".join(o["sketch"] for o in others), "<u4").reshape(len(others), SAMPLES)
-                share = (x == np.frombuffer(sketch, "<u4")).mean(1)
-                hit = [k for k in np.flatnonzero(share >= MIN_AGREEMENT).tolist() if others[k]["root"] != root]
-                yield pa.RecordBatch.from_arrays([pa.array([min(key, others[k]["key"]) for k in hit], pa.binary()), pa.array([max(key, others[k]["key"]) for k in hit], pa.binary())], ["a", "b"])
-
-    more = pin(asked.select("band", "key", "root", "sketch").join(blocks, "band").select("key", "root", "sketch", "asking")
-               .mapInArrow(meet, "a binary, b binary").distinct(), "more")
-    late = pin(verified(more, feature_rows(more), idf, threshold), "late")
+            a, b = [], []
+            columns = [column_of(batch, c).to_pylist() for c in ("band", "block", "slice", "role", "key", "root", "sketch", "shingles", "counts")]
+            for band, block, part, role, key, root, raw, shingles, counts in zip(*columns):
+                if unit != (band, block, part):
+                    unit, askers, sketch, joined = (band, block, part), [], None, {}
+                if role == 0:
+                    askers.append((key, root, raw, shingles, counts))
+                    continue
+                if not askers:
+                    continue
+                if sketch is None:
+                    sketch = np.frombuffer(b"".join(x[2] for x in askers), "<u4").reshape(len(askers), SAMPLES)
+                share = (sketch == np.frombuffer(raw, "<u4")).mean(1)
+                for k in np.flatnonzero(share >= MIN_AGREEMENT).tolist():
+                    other, far, _, s, c = askers[k]
+                    x, y = find(root), find(far)
+                    if x != y and max(similarities(*(np.frombuffer(v, "<u4") for v in (shingles, counts, s, c)), table.value)) >= threshold - 1e-9:
+                        joined[max(x, y)] = min(x, y)  # classes that one link of the unit joins need no other
+                        a.append(min(key, other))
+                        b.append(max(key, other))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    late = pin(units.mapInArrow(meet, "a binary, b binary").distinct(), "late")
     if not late.isEmpty():
         roots = components(links.unionByName(late))
 
