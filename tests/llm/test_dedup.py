@@ -40,7 +40,8 @@ def test_full_filter_changes_nothing(docs, monkeypatch):
     rows = [(i, f"text {i % 700}") for i in range(1000)]
     monkeypatch.setattr(exact_dedup, "MIN_BITS", 64)
     monkeypatch.setattr(exact_dedup, "MAX_BITS", 64)
-    monkeypatch.setattr(exact_dedup, "CHUNK_BITS", 8)
+    monkeypatch.setattr(exact_dedup, "CHUNKS", 8)
+    monkeypatch.setattr(exact_dedup, "HELD_SLOTS", 100)
     got = exact_dedup.exact_duplicates(docs(rows)).collect()
     assert len(got) == 1000 and sum(r.kept for r in got) == 700 and sum(r.group_size == 2 for r in got) == 600
 

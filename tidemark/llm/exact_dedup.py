@@ -18,7 +18,8 @@ from tidemark.session import pin
 
 BITS_PER_ROW = 16
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 28  # at most 32 MB is collected and broadcast
-CHUNK_BITS = 1 << 18
+CHUNKS = 256
+HELD_SLOTS = 1 << 22  # bit places that a task holds before it hands them on
 
 
 def slots_of(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -32,23 +33,34 @@ def filter_bits(rows: int) -> int:
 
 def repeated_bits(hashes: DataFrame, bits: int) -> DataFrame:
     """(chunk, twice): for each chunk of the filter, the bits that two or more rows of ``hashes(h)`` set."""
+    chunk_bits = bits // CHUNKS
+
+    def packed(slots: np.ndarray) -> pa.RecordBatch:
+        slots = np.sort(slots)
+        chunk = slots // chunk_bits
+        cut = np.flatnonzero(np.diff(chunk, prepend=-1))
+        return pa.RecordBatch.from_arrays([
+            pa.array(chunk[cut].astype(np.int32)),
+            pa.array([(p % chunk_bits).astype("<u4").tobytes() for p in np.split(slots, cut[1:])], pa.binary())], ["chunk", "slots"])
 
     def spread(batches):
+        held, size = [], 0
         for batch in batches:
             h = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             a, b = slots_of(h, bits)
-            slots = np.sort(np.concatenate([a, b[b != a]]))
-            cut = np.flatnonzero(np.diff(slots // CHUNK_BITS, prepend=-1)) if len(slots) else []
-            parts = np.split(slots, cut[1:]) if len(slots) else []
-            yield pa.RecordBatch.from_arrays([
-                pa.array([int(p[0] // CHUNK_BITS) for p in parts], pa.int32()),
-                pa.array([(p % CHUNK_BITS).astype("<u4").tobytes() for p in parts], pa.binary())], ["chunk", "slots"])
+            held += [a, b[b != a]]
+            size += 2 * len(h)
+            if size >= HELD_SLOTS:
+                yield packed(np.concatenate(held))
+                held, size = [], 0
+        if size:
+            yield packed(np.concatenate(held))
 
     def merge(batches):
         planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                once, twice = planes.setdefault(chunk, (np.zeros(CHUNK_BITS, bool), np.zeros(CHUNK_BITS, bool)))
+                once, twice = planes.setdefault(chunk, (np.zeros(chunk_bits, bool), np.zeros(chunk_bits, bool)))
                 slots = np.frombuffer(raw.as_buffer(), "<u4")
                 again = np.zeros(len(slots), bool)  # sorted: equal neighbours are two rows
                 again[1:] = slots[1:] == slots[:-1]
@@ -60,9 +72,40 @@ def repeated_bits(hashes: DataFrame, bits: int) -> DataFrame:
                 pa.array(list(planes), pa.int32()),
                 pa.array([np.packbits(t, bitorder="little").tobytes() for _, t in planes.values()], pa.binary())], ["chunk", "twice"])
 
-    parts = max(1, min(64, bits // CHUNK_BITS))
-    return (hashes.mapInArrow(spread, "chunk int, slots binary").repartition(parts, "chunk")
-            .mapInArrow(merge, "chunk int, twice binary"))
+    return hashes.mapInArrow(spread, "chunk int, slots binary").repartition(CHUNKS // 4, "chunk").mapInArrow(merge, "chunk int, twice binary")
+
+
+def collect_plane(repeated: DataFrame, bits: int) -> np.ndarray:
+    """The filter as one array of bits / 8 bytes, at most MAX_BITS / 8."""
+    plane, size = np.zeros(bits // 8, np.uint8), bits // CHUNKS // 8
+    for chunk, twice in repeated.collect():
+        plane[chunk * size : (chunk + 1) * size] = np.frombuffer(twice, np.uint8)
+    return plane
+
+
+def in_plane(plane: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    """Whether all bits of each hash were set twice."""
+    maybe = np.ones(len(h), bool)
+    for s in slots_of(h, bits):
+        maybe &= (plane[s >> 3] >> (s & 7) & 1).astype(bool)
+    return maybe
+
+
+def plane_of(hashes: DataFrame) -> tuple[np.ndarray, int]:
+    """A filter that holds every hash of ``hashes(h)``, and its number of bits."""
+    bits = filter_bits(hashes.count())
+    return collect_plane(repeated_bits(hashes.unionByName(hashes), bits), bits), bits
+
+
+def rows_in_plane(rows: DataFrame, h: str, plane, bits: int, inside: bool) -> DataFrame:
+    """The rows whose hash ``h`` may be in the broadcast filter, or those for which it cannot be."""
+
+    def chosen(batches):
+        for batch in batches:
+            hit = in_plane(plane.value, batch.column(batch.schema.get_field_index(h)).to_numpy(zero_copy_only=False).astype(np.int64), bits)
+            yield batch.filter(pa.array(hit if inside else ~hit))
+
+    return rows.mapInArrow(chosen, rows.schema)
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,24 +120,18 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = pin(rows, "exact")
     n = rows.count()
     bits = filter_bits(n)
-    plane = np.zeros(bits // 8, np.uint8)
-    for chunk, twice in repeated_bits(rows.select("_h"), bits).collect():  # at most MAX_BITS / 8 bytes in all
-        plane[chunk * (CHUNK_BITS // 8) : (chunk + 1) * (CHUNK_BITS // 8)] = np.frombuffer(twice, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(plane)
+    shared = docs.sparkSession.sparkContext.broadcast(collect_plane(repeated_bits(rows.select("_h"), bits), bits))
 
     def probe(batches):
-        seen = shared.value
         for batch in batches:
-            h = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            maybe = np.ones(len(h), bool)
-            for s in slots_of(h, bits):
-                maybe &= (seen[s >> 3] >> (s & 7) & 1).astype(bool)
+            maybe = in_plane(shared.value, batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64), bits)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maybe)], ["_id", "_sha", "_maybe"])
 
     kind = dict(rows.dtypes)["_id"]
     probed = rows.mapInArrow(probe, f"_id {kind}, _sha string, _maybe boolean")
     candidates = probed.where("_maybe").select("_id", "_sha")
-    groups = candidates.groupBy("_sha").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
+    # Written, so that the join below reads two exchanges and a text with many copies can be split.
+    groups = pin(candidates.groupBy("_sha").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_n")), "groups")
     passed = probed.where("NOT _maybe").select("_id", F.col("_id").alias("_keep"), F.lit(1).cast("long").alias("_n"), "_sha")
     return (candidates.join(groups, "_sha").select("_id", "_keep", "_n", "_sha").unionByName(passed)
             .select(F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"), F.col("_n").alias("group_size"),

@@ -8,8 +8,8 @@ each segment is streamed through the suffix automaton of the segments before it;
 matching statistic reaches the window's length, the window occurs earlier. Then the segment joins the automaton.
 
 Instead of a broadcast of all automata, which would grow with the corpus, a shard's automaton lives in the
-task that streams the shard. Minimizers that occur once cannot repeat and are dropped by a bit filter of
-bounded size and an exact count. A shard of more than ``hot`` segments would grow in one task; its windows
+task that streams the shard. Minimizers that occur once cannot repeat; most are dropped by a bit filter of
+bounded size. A shard of more than ``hot`` segments would grow in one task; its windows
 are compared as rows instead, first occurrences being gathered by partial aggregation.
 """
 
@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.exact_dedup import CHUNK_BITS, MAX_BITS, MIN_BITS, repeated_bits, slots_of
-from tidemark.llm.textwords import column_of, grams, text_slices, words_of
+from tidemark.llm.exact_dedup import MAX_BITS, MIN_BITS, collect_plane, in_plane, plane_of, repeated_bits, rows_in_plane
+from tidemark.llm.textwords import bounded_batches, column_of, grams, text_slices, words_of
 from tidemark.session import pin
 
 WINDOW, GRAM, HOT = 20, 6, 256
@@ -116,8 +116,11 @@ def _order(*more: str) -> Column:
     return F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("key").alias("k"), *more)
 
 
-def repeated_windows(units: DataFrame, rows: DataFrame, window: int, gram: int, hot: int) -> DataFrame:
-    """(key, start) of every window of the distinct texts ``units(key, _id)`` that starts earlier elsewhere."""
+def repeated_windows(rows: DataFrame, window: int, gram: int, hot: int) -> DataFrame:
+    """(key, _id, start) of the windows of ``rows(_id, key, _text)`` that start earlier elsewhere.
+
+    Every text comes from one document, or from rows that repeat its id.
+    """
     spark = rows.sparkSession
 
     def minimizers(batches):
@@ -128,59 +131,49 @@ def repeated_windows(units: DataFrame, rows: DataFrame, window: int, gram: int,
     size = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
     # About one segment per 48 bytes of text, 16 bits each.
     bits = min(MAX_BITS, max(MIN_BITS, 1 << (max(1, size // 3) - 1).bit_length()))
-    plane = np.zeros(bits // 8, np.uint8)
-    for chunk, twice in repeated_bits(hashes, bits).collect():  # at most MAX_BITS / 8 bytes in all
-        plane[chunk * (CHUNK_BITS // 8) : (chunk + 1) * (CHUNK_BITS // 8)] = np.frombuffer(twice, np.uint8)
-    shared = spark.sparkContext.broadcast(plane)
+    shared = spark.sparkContext.broadcast(collect_plane(repeated_bits(hashes, bits), bits))
     kind = dict(rows.dtypes)["_id"]
 
     def maybe_repeated(batches):
-        seen = shared.value
         for part in text_slices(batches, "_text"):
             row, start, n, h = _segments(column_of(part, "_text"), window, gram)
-            keep = np.ones(len(h), bool)
-            for s in slots_of(h, bits):
-                keep &= (seen[s >> 3] >> (s & 7) & 1).astype(bool)
-            row = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays([column_of(part, "_id").take(row), column_of(part, "key").take(row), pa.array(start[keep].astype(np.int32)),
-                                              pa.array(n[keep].astype(np.int32)), pa.array(h[keep])], ["_id", "key", "start", "n", "h"])
-
-    segments = rows.mapInArrow(maybe_repeated, f"_id {kind}, key binary, start int, n int, h long")
-    # Copies of a text are no shard's business: only the first document of a text is searched.
-    mine = segments.join(units.withColumnRenamed("_id", "_first"), "key").where(F.col("_id").eqNullSafe(F.col("_first"))).select("key", "_id", "start", "n", "h").distinct()
-    mine = pin(mine, "segments")
-    shards = pin(mine.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "shards")
-    wanted = mine.join(shards, "h").select("key", F.struct("h", "start", "n", (F.col("m") > hot).alias("hot")).alias("s"))
-    wanted = pin(wanted.groupBy("key").agg(F.collect_list("s").alias("segments")), "wanted")
-    texts = rows.join(units.withColumnRenamed("_id", "_first"), "key").where(F.col("_id").eqNullSafe(F.col("_first"))).select("key", "_id", "_text")
-    located = texts.join(wanted, "key")
-
-    def cut(batches):
-        for part in text_slices(batches, "_text"):
-            for key, name, raw, segs in zip(column_of(part, "key").to_pylist(), column_of(part, "_id").to_pylist(), column_of(part, "_text").cast(pa.binary()).to_pylist(), column_of(part, "segments").to_pylist()):
-                words = raw.split()
-                out = []
-                for s in segs:
-                    if s["hot"]:
-                        out += [(s["h"], k, True, b" ".join(words[k : k + window])) for k in range(s["start"], s["start"] + s["n"])]
-                    else:
-                        out.append((s["h"], s["start"], False, b" ".join(words[s["start"] : s["start"] + s["n"] + window - 1])))
-                h, start, is_hot, text = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array([key] * len(h), pa.binary()), pa.array([name] * len(h), part.schema.field("_id").type),
-                                                  pa.array(start, pa.int32()), pa.array(is_hot), pa.array(text, pa.binary())], ["h", "key", "_id", "start", "hot", "words"])
-
-    pieces = pin(located.mapInArrow(cut, f"h long, key binary, _id {kind}, start int, hot boolean, words binary"), "pieces")
+            keep = in_plane(shared.value, h, bits)
+            row, start, n, h = row[keep], start[keep], n[keep], h[keep]
+            pieces, texts, last, words = [], column_of(part, "_text"), -1, []
+            for r, a, k in zip(row.tolist(), start.tolist(), n.tolist()):
+                if r != last:
+                    last, words = r, texts[r].as_py().encode().split()
+                pieces.append(b" ".join(words[a : a + k + window - 1]))
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays([column_of(part, "_id").take(row), column_of(part, "key").take(row), pa.array(start.astype(np.int32)),
+                                              pa.array(h), pa.array(pieces, pa.binary())], ["_id", "key", "start", "h", "words"])
+
+    segments = pin(rows.mapInArrow(maybe_repeated, f"_id {kind}, key binary, start int, h long, words binary"), "segments")
+    large = pin(segments.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("h"), "large")
+
+    def windows(batches):
+        for batch in batches:
+            at, starts, texts = [], [], []
+            for i, (start, raw) in enumerate(zip(column_of(batch, "start").to_pylist(), column_of(batch, "words").to_pylist())):
+                words = raw.split(b" ")
+                for k in range(len(words) - window + 1):
+                    at.append(i)
+                    starts.append(start + k)
+                    texts.append(b" ".join(words[k : k + window]))
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([column_of(batch, "_id").take(at), column_of(batch, "key").take(at), pa.array(starts, pa.int32()), pa.array(texts, pa.binary())],
+                                             ["_id", "key", "start", "words"])
 
     def stream(batches):
         shard, seen, first, automaton, last = None, set(), None, None, None
         for batch in batches:
-            keys, starts = [], []
-            for h, key, start, raw in zip(*(column_of(batch, c).to_pylist() for c in ("h", "key", "start", "words"))):
+            at, starts = [], []
+            for i, (h, z, key, start, raw) in enumerate(zip(*(column_of(batch, c).to_pylist() for c in ("h", "_id", "key", "start", "words")))):
                 if h != shard:
                     shard, seen, first, automaton, last = h, set(), None, None, None
-                if (key, start) == last:  # a row of the table that repeats id and text
+                if (z, key, start) == last:  # a row of the table that repeats id and text
                     continue
-                last = (key, start)
+                last = (z, key, start)
                 words = raw.split(b" ")
                 if raw in seen:
                     hits = range(len(words) - window + 1)
@@ -194,16 +187,19 @@ def repeated_windows(units: DataFrame, rows: DataFrame, window: int, gram: int,
                             automaton.add(first)
                         hits = automaton.matches(words, window)
                         automaton.add(words)
-                keys += [key] * len(hits)
+                at += [i] * len(hits)
                 starts += [start + k for k in hits]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(starts, pa.int32())], ["key", "start"])
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([column_of(batch, "key").take(at), column_of(batch, "_id").take(at), pa.array(starts, pa.int32())], ["key", "_id", "start"])
 
-    cold = pieces.where("NOT hot").withColumn("z", F.col("_id").isNull())
+    # Shards of one segment yield nothing, and need no filter of their own.
+    cold = segments.join(large, "h", "left_anti").withColumn("z", F.col("_id").isNull())
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    streamed = cold.repartition(n, "h").sortWithinPartitions("h", "z", "_id", "key", "start").select("h", "key", "start", "words").mapInArrow(stream, "key binary, start int")
-    warm = pieces.where("hot").select("key", "_id", "start", "words")
+    streamed = (cold.repartition(n, "h").sortWithinPartitions("h", "z", "_id", "key", "start").select("h", "_id", "key", "start", "words")
+                .mapInArrow(stream, f"key binary, _id {kind}, start int"))
+    warm = segments.join(large, "h", "left_semi").select("_id", "key", "start", "words").mapInArrow(windows, f"_id {kind}, key binary, start int, words binary")
     first = pin(warm.groupBy("words").agg(F.min(_order("start")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1"), "first")
-    joined = warm.join(first, "words").where(_order("start") > F.col("first")).select("key", "start")
+    joined = warm.join(first, "words").where(_order("start") > F.col("first")).select("key", "_id", "start")
     return streamed.unionByName(joined)
 
 
@@ -216,13 +212,23 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     least ``window`` words goes entirely. A null text has no words, and shorter texts keep all. Other columns are not
     read. An empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("_id"), F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("key"), text.alias("_text"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("key"), text.alias("_text")).withColumn("h", F.xxhash64("key"))
     kind = dict(rows.dtypes)["_id"]
-    units = rows.groupBy("key").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"))).alias("f")).select("key", F.col("f.i").alias("_id"))
-    units = pin(units, "units")
-    repeats = repeated_windows(units, rows, window, gram, hot)
-    marks = pin(units.withColumnRenamed("_id", "_first").join(repeats.groupBy("key").agg(F.collect_set("start").alias("starts")), "key", "left"), "marks")
+    spark = docs.sparkSession
+    units = rows.groupBy("key").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"))).alias("f"), F.count(F.lit(1)).alias("c"))
+    units = pin(units.select("key", F.col("f.i").alias("_first"), "c"), "units")
+    # Only texts that may have copies are shuffled to find the first document of each; all others pass straight through.
+    plane, bits = plane_of(units.where("c > 1").select(F.xxhash64("key").alias("h")))
+    copied = spark.sparkContext.broadcast(plane)
+    firsts = rows_in_plane(rows, "h", copied, bits, True).join(units.select("key", "_first"), "key").where(F.col("_id").eqNullSafe(F.col("_first")))
+    own = rows_in_plane(rows, "h", copied, bits, False).unionByName(firsts.select(*rows.columns))
+    repeats = repeated_windows(own.select("_id", "key", "_text"), window, gram, hot).groupBy("key").agg(F.collect_set("start").alias("starts"))
+    marks = units.join(repeats, "key", "left").where(F.col("starts").isNotNull() | (F.col("c") > 1)).select("key", "_first", "starts")
+    marks = pin(marks, "marks")
+    plane2, bits2 = plane_of(marks.select(F.xxhash64("key").alias("h")))
+    marked = spark.sparkContext.broadcast(plane2)
 
     def remove(batches):
         for part in text_slices(batches, "_text"):
@@ -247,6 +253,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
             yield pa.RecordBatch.from_arrays([column_of(part, "_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()),
                                               pa.array(spans, pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))], ["_id", "n_words", "n_removed", "kept_text", "spans"])
 
-    marked = rows.join(marks, "key").select("_id", F.col("_id").eqNullSafe(F.col("_first")).alias("mine"), "starts", "_text")
-    out = marked.mapInArrow(remove, f"_id {kind}, n_words long, n_removed long, kept_text string, spans array<struct<from:int,to:int>>")
+    touched = rows_in_plane(rows, "h", marked, bits2, True).join(marks, "key", "left").select(
+        "_id", (F.col("_first").isNull() & F.col("starts").isNull() | F.col("_id").eqNullSafe(F.col("_first"))).alias("mine"), "starts", "_text")
+    whole = rows_in_plane(rows, "h", marked, bits2, False).select("_id", F.lit(True).alias("mine"), F.lit(None).cast("array<int>").alias("starts"), "_text")
+    out = touched.unionByName(whole).mapInArrow(remove, f"_id {kind}, n_words long, n_removed long, kept_text string, spans array<struct<from:int,to:int>>")
     return out.withColumnRenamed("_id", id_col)
