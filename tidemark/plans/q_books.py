@@ -244,7 +244,7 @@ _TIMES = " + ".join(f"(u >= {x})::BIGINT" for x in ST.DRAWN)
 
 
 def positive_sql(rows, times):
-    return f"""SELECT g, avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END) AS positive_rate, count(*) AS iterations FROM (
+    return f"""SELECT g, avg(CASE WHEN round(m, 12) > 0 THEN 1.0 ELSE 0.0 END) AS positive_rate, count(*) AS iterations FROM (
   SELECT g, i, sum(w * y) / nullif(sum(w), 0) AS m FROM (SELECT *, {_TIMES} AS w FROM ({draw_sql(rows, times)})) GROUP BY g, i) GROUP BY g"""
 
 
