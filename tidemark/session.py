@@ -41,12 +41,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def pin(df: DataFrame, label: str = "t") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+_PINNED: list[str] = []
+
+
+def clear_pins(spark: SparkSession) -> None:
+    """Delete what this process has pinned so far; for callers whose results are stored elsewhere by now."""
+    while _PINNED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_PINNED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def pin(df: DataFrame, label: str = "t", keep: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back; ``clear_pins`` deletes it unless it is to be kept.
 
     Cuts lineage, survives lost executors, and gives Catalyst the real table size, so a later
     join broadcasts it only when that size is below the session's threshold.
     """
     path = f"{shared_folder(df.sparkSession)}/pinned/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not keep:
+        _PINNED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
