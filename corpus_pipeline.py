@@ -1,8 +1,8 @@
 """A training-data pipeline over ``documents``; each stage applies one operator of ``tidemark.llm``.
 
-Every stage reads all that its predecessor kept. The first four return the columns of ``documents``, the last
-one row per encoded document. All stages take empty tables, null columns and repeated rows as their
-operators do.
+Every stage reads all that its predecessor kept, as a stored table; what the predecessor pinned on its way is deleted first. The
+first four return the columns of ``documents``, the last one row per encoded document. All stages take empty tables, null
+columns and repeated rows as their operators do.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from tidemark.llm.language_id import UNKNOWN, fit, held_out, identify
 from tidemark.llm.mixing import mix, mixed_rows
 from tidemark.llm.near_dedup import near_duplicates, text_key
 from tidemark.llm.token_files import stored_documents, write_token_files
-from tidemark.session import pin, shared_folder
+from tidemark.session import clear_pins, pin, shared_folder
 
 #: No SQL expresses learned languages, sketches and sub-word tokens; tests/llm compare the stages with direct loops.
 ORACLE_SQL = None
@@ -34,6 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of copies and near copies: the one with the smallest id."""
+    clear_pins(spark)
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key")).distinct()
     keyed = docs.withColumn("_text_key", text_key(F.col("text")))
     mine = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_text_key") == F.col("_kept_key")), "left_semi")
@@ -42,6 +43,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a copy or paraphrase of a benchmark item."""
+    clear_pins(spark)
     keyed = docs.withColumn("_text_key", text_key(F.col("text")))
     found = contaminated(docs.select(F.struct("doc_id", text_key(F.col("text")).alias("k")).alias("doc"), "text"),
                          spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="doc")
@@ -51,11 +53,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources: documents as often as it takes them, in the order of the output shards."""
+    clear_pins(spark)
     return mixed_rows(mix(docs)).select("row.*")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, and what they hold per document."""
+    clear_pins(spark)
     path = f"{shared_folder(spark)}/tokens/{uuid.uuid4().hex}"
     return stored_documents(write_token_files(docs, path, public_tokenizers.path("word_bpe_49k.json")))
 
@@ -72,5 +76,5 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = pin(stage(spark, docs, sf_dir), name)
+        docs = pin(stage(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -19,7 +19,7 @@ from tidemark.session import pin
 BITS_PER_ROW = 16
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 28  # at most 32 MB is collected and broadcast
 CHUNKS = 256
-HELD_SLOTS = 1 << 22  # bit places that a task holds before it hands them on
+HELD_SLOTS = 1 << 20  # bit places that a task holds before it hands them on
 
 
 def slots_of(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:

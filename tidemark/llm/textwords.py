@@ -129,6 +129,7 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str, budget: int = SL
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + budget, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # workers stay for later tasks of other operators
 
 
 def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
