@@ -183,6 +183,17 @@ def test_benchmark_passages(docs, spark):
     assert not decontamination.contaminated(docs([(1, "a b")]), bench.limit(0)).first().contaminated
 
 
+def test_benchmark_of_more_items_than_directions(docs, spark):
+    rng = random.Random(18)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    items = [(k, text(rng.randint(20, 50))) for k in range(1100)]
+    rows = [(k, f"{text(40)} {t} {text(40)}") for k, t in items] + [(5000 + k, text(120)) for k in range(200)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r["items"] for r in decontamination.contaminated(docs(rows), bench).collect()}
+    assert got == {i: [i] if i < 5000 else [] for i, _ in rows}
+
+
 def test_longest_common_subsequence():
     rng = np.random.default_rng(2)
     for _ in range(100):
