@@ -194,6 +194,23 @@ def test_benchmark_of_more_items_than_directions(docs, spark):
     assert got == {i: [i] if i < 5000 else [] for i, _ in rows}
 
 
+def test_benchmark_items_of_common_words(docs, spark):
+    rng = random.Random(28)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    items = [(k, text(30)) for k in range(8)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    # A third of the rows are copies of one text with an item; another item is quoted by a tenth of the rows; two rows with one each.
+    hot = f"{text(30)} {items[0][1]} {text(30)}"
+    rows = [(k, hot, [0]) for k in range(100)] + [(100 + k, f"{text(40)} {items[1][1]} {text(40)}", [1]) for k in range(30)]
+    rows += [(200 + k, f"{text(50)} {items[k][1]} {text(50)}", [k]) for k in range(2, 8)] + [(300 + k, text(120), []) for k in range(164)]
+    got = {r.doc_id: r["items"] for r in decontamination.contaminated(docs([r[:2] for r in rows]), bench).collect()}
+    assert got == {i: x for i, _, x in rows}
+    small = docs([(1, items[0][1]), (2, items[0][1]), (3, text(50))])
+    for some in (bench, bench.where("item_id = 0")):
+        assert {r.doc_id: r["items"] for r in decontamination.contaminated(small, some).collect()} == {1: [0], 2: [0], 3: []}
+
+
 def test_longest_common_subsequence():
     rng = np.random.default_rng(2)
     for _ in range(100):
