@@ -82,6 +82,19 @@ def test_language_of_held_out_texts(docs):
     assert language_id.identify(docs([(1, "text")]), nothing).first().lang_pred == "und"
 
 
+def test_a_label_with_little_text_leaves_the_others_their_samples(docs):
+    rng = random.Random(31)
+    # Two languages of the same letters, and a label with one short text.
+    words = {k: ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 8))) for _ in range(300)] for k in ("aa", "bb")}
+    text = lambda lang: " ".join(rng.choices(words[lang], k=15))
+    train = [(i, text(k), k) for i, k in enumerate(["aa", "bb"] * 100)]
+    test = [(i, text(k), k) for i, k in enumerate(["aa", "bb"] * 50)]
+    for rare in ("ab cd efghi", "a", "ab"):
+        model = language_id.fit(docs([*train, (900, rare, "cc")]))
+        got = {r.doc_id: r.lang_pred for r in language_id.identify(docs(test), model).collect()}
+        assert sum(got[i] == k for i, _, k in test) >= 98, rare
+
+
 def test_cross_parsing_counts_longest_phrases():
     model = language_id.CrossParser({"x": ["abcabd"], "y": ["zzzzzz"]})
     text = "abdabcx abq"

@@ -2,7 +2,8 @@
 
 For each language a suffix automaton of a bounded sample of labelled text answers, symbol by symbol,
 whether the current phrase still occurs in the sample. A text is cut into the longest phrases that
-occur; the language that needs the fewest phrases per symbol wins. The automata become one dense table of
+occur; the language in which the phrases cost the fewest bits wins. A phrase costs what it takes to name a place of
+the language's own sample or a symbol by itself, so samples of different lengths compare. The automata become one dense table of
 transitions in which a failed step leads to the next phrase's first state, so all lanes of a slice
 advance together through one numpy gather per symbol.
 """
@@ -89,13 +90,12 @@ class CrossParser:
             if (s != 0).any():
                 streams[lang] = s[:sample_chars]
         self.languages = list(streams)
-        least = min(map(len, streams.values()), default=0)  # as much text of each, so that phrases compare
-        streams = {k: v[:least] for k, v in streams.items()}
         points, counts = np.unique(np.concatenate([np.zeros(0, np.uint32), *streams.values()]), return_counts=True)
         known = points[points != 0][np.argsort(-counts[points != 0], kind="stable")][: symbols - 2]
         # Class 0 is what is no letter, class 1 a letter that the samples hardly show.
         self.known, self.width = np.sort(known), len(known) + 2
-        self.bits = max(1.0, float(np.log2(max(2, least))))
+        # A phrase is a place of the sample or one symbol; a short sample has cheap places and short phrases.
+        self.bits = np.log2(np.array([len(v) + self.width for v in streams.values()], np.float64))
         tables, base = [], 0
         self.roots = []
         for s in streams.values():
@@ -159,8 +159,9 @@ class CrossParser:
         if not self.languages:
             return [UNKNOWN] * len(has), np.zeros(len(has))
         counts = self.phrases(self.classes(s[keep]), first)
-        best = counts.argmin(1)
-        gap = (counts - counts.min(1, keepdims=True)) * self.bits
+        cost = counts * self.bits
+        best = cost.argmin(1)
+        gap = cost - cost.min(1, keepdims=True)
         score = 1.0 / np.exp2(-gap).sum(1)
         return [self.languages[b] if h else UNKNOWN for b, h in zip(best.tolist(), has.tolist())], np.where(has, score, 0.0)
 
@@ -194,7 +195,7 @@ def identify(docs: DataFrame, model: CrossParser, text_col: str = "text") -> Dat
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text when no language was
     learned. Of equally good languages the first by code point wins. Score is the winner's share when
-    each phrase costs log2(sample) bits. Repeated rows get equal answers; all columns are kept, and a column named
+    each phrase costs log2(symbols of the language's sample + kinds of symbols) bits. Repeated rows get equal answers; all columns are kept, and a column named
     like a result is replaced. An empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
