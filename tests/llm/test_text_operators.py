@@ -95,6 +95,15 @@ def test_a_label_with_little_text_leaves_the_others_their_samples(docs):
         assert sum(got[i] == k for i, _, k in test) >= 98, rare
 
 
+def test_copies_leave_a_language_its_sample(docs):
+    # 60 distinct texts, each with 200 copies: all of them serve.
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
+    rows = [(i, f"{words[i % 60]} common", "aa") for i in range(12_000)]
+    model = language_id.fit(docs(rows).coalesce(4))
+    sample = language_id.CrossParser({"aa": [f"{w} common" for w in words[:60]]})
+    assert model.languages == ["aa"] and len(model.table) > 0 and model.bits.tolist() == sample.bits.tolist()
+
+
 def test_cross_parsing_counts_longest_phrases():
     model = language_id.CrossParser({"x": ["abcabd"], "y": ["zzzzzz"]})
     text = "abdabcx abq"

@@ -174,13 +174,13 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", sam
         doc_chars: int = SAMPLE_DOC_CHARS, sample_chars: int = SAMPLE_CHARS) -> CrossParser:
     """Automata of a bounded sample: of each language the ``sample_docs`` texts with the smallest hash.
 
-    A hash threshold from the language's count leaves about four times as many rows before they are
-    ranked, so a language with a third of all rows is not ordered as a whole. Rows without text or
+    A hash threshold from the number of the language's distinct texts leaves about four times as many of them before they
+    are ranked, so a language with a third of all rows is not ordered as a whole. Copies of a text count once. Rows without text or
     label do not serve. At most sample_docs x doc_chars characters per language reach the driver.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
         F.col(lang_col).alias("lang"), F.substring(text_col, 1, doc_chars).alias("text"), F.pmod(F.xxhash64(text_col), F.lit(1 << 30)).alias("h"))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = rows.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     few = rows.join(F.broadcast(sizes), "lang").where(F.col("h") * F.col("n") <= F.lit(4.0 * sample_docs * (1 << 30)))
     few = few.groupBy("lang", "h", "text").agg(F.lit(1).alias("one"))
     ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= sample_docs)
