@@ -125,6 +125,29 @@ def test_near_duplicate_edges(docs):
     assert near_dedup.near_duplicates(docs([])).collect() == []
 
 
+def test_pairs_of_plain_similarity_become_candidates():
+    # Texts of 27 shingles that share 24, plain similarity 0.8; the shared ones are those of a group with a third of all rows.
+    rng = np.random.default_rng(4)
+    n, plain, weighted = 400, 0, 0
+    for seed in (11, 12):
+        sets, weights = [], []
+        for _ in range(n):
+            shared, a, b = np.split(rng.choice(1 << 32, 30, replace=False).astype(np.uint32), [24, 27])
+            for own in (a, b):
+                one = np.concatenate([shared, own])
+                order = np.argsort(one)
+                sets.append(one[order])
+                weights.append(np.concatenate([np.full(24, 0.35), np.ones(3)])[order])
+        x = near_dedup.both_sketches(np.repeat(np.arange(2 * n), 27), np.concatenate(sets), np.concatenate(weights).astype(np.float32), 2 * n, seed)
+        a, b = x[::2], x[1::2]
+        meets = (near_dedup.bands_of(a) == near_dedup.bands_of(b)).any(1)
+        plain += (meets & (near_dedup.agreement(a, b) >= near_dedup.MIN_AGREEMENT)).sum()
+        weighted += ((a == b)[:, : near_dedup.SAMPLES].mean(1) >= near_dedup.MIN_AGREEMENT).sum()
+        assert abs((a == b)[:, near_dedup.SAMPLES :].mean() - 0.8) < 0.02
+    print(f"pairs: {2 * n}, candidates: {plain}, by weighted samples alone: {weighted}")
+    assert plain == 2 * n and weighted < 0.8 * 2 * n
+
+
 def test_sketches_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     shingle = np.sort(rng.choice(1 << 32, 600, replace=False).astype(np.uint32))

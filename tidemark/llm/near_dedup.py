@@ -2,7 +2,8 @@
 
 Every distinct text is a weighted set of five-word shingles. Its sketch holds, for each of SAMPLES
 independent functions, the element and level that improved consistent weighted sampling draws; two
-sketches agree in one place with the probability of their weighted Jaccard similarity. Bands of three places make
+sketches agree in one place with the probability of their weighted Jaccard similarity. Beside it stand as many
+least hashes of the plain set, which agree with the probability of the plain similarity. Bands of three places of either make
 buckets. Within a bucket texts are never paired freely: first each text meets a few centres of
 its buckets and its best match is verified; connected texts form classes. Then, only in buckets that still
 hold several classes, the texts outside the bucket's largest class meet the bucket's other classes in
@@ -30,7 +31,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS, SAMPLES = 16, 3, 64
 CELLS, PARAMS = 1 << 18, 1 << 14
-MIN_AGREEMENT = 0.6  # of two sketches, before a pair is verified; 0.8 less four standard deviations
+MIN_AGREEMENT = 0.6  # of two sketches in either half, before a pair is verified; 0.8 less four standard deviations
 BLOCK, SLICE = 512, 8192  # texts that ask and texts that answer in one unit
 PART = 8192  # elements sampled at once
 
@@ -94,6 +95,44 @@ def sketches(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, rows: int
     return sample
 
 
+def plain_sketches(row: np.ndarray, shingle: np.ndarray, rows: int, seed: int) -> np.ndarray:
+    """rows x SAMPLES least hashes of the sets; rows without a shingle have the greatest number."""
+    rng = np.random.Generator(np.random.PCG64([seed, 1]))
+    flip = rng.integers(0, 1 << 64, SAMPLES, np.uint64)
+    by = rng.integers(0, 1 << 64, SAMPLES, np.uint64) | np.uint64(1)
+    out = np.full((rows, SAMPLES), 0xFFFFFFFF, np.uint32)
+    for a in range(0, len(row), PART):
+        own = row[a : a + PART]
+        h = ((mixed(shingle[a : a + PART].astype(np.uint64) + np.uint64(1))[:, None] ^ flip) * by >> np.uint64(32)).astype(np.uint32)
+        starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        out[own[starts]] = np.minimum(out[own[starts]], np.minimum.reduceat(h, starts, axis=0))
+    return out
+
+
+def both_sketches(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, rows: int, seed: int) -> np.ndarray:
+    """rows x 2 SAMPLES 16-bit samples: of the weighted set, then of the plain one."""
+    plain = mixed(plain_sketches(row, shingle, rows, seed).astype(np.uint64))
+    return np.concatenate([sketches(row, shingle, weight, rows, seed), plain], 1).astype("<u2")
+
+
+def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Per row the larger share of equal samples among the weighted and the plain ones."""
+    return (x == y).reshape(-1, 2, SAMPLES).sum(2, dtype=np.uint8).max(1) / SAMPLES
+
+
+def bands_of(x: np.ndarray) -> np.ndarray:
+    """rows x 2 BANDS hashes of ROWS samples each."""
+    x = x.astype(np.uint64)
+    out = []
+    for b in range(2 * BANDS):
+        h = np.full(len(x), b + 1, np.uint64)
+        first = b // BANDS * SAMPLES + b % BANDS * ROWS
+        for k in range(ROWS):
+            h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + x[:, first + k])
+        out.append(h.view(np.int64))
+    return np.stack(out, 1)
+
+
 def cell_counts(docs: DataFrame) -> np.ndarray:
     """Documents per cell of shingles over the whole corpus: CELLS numbers, summed in tasks by cell range."""
     chunk = CELLS // 16
@@ -139,8 +178,8 @@ def _agreeing(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        x, y = (np.frombuffer(b"".join(column_of(batch, c).to_pylist()), "<u4").reshape(batch.num_rows, SAMPLES) for c in ("_a", "_b"))
-        share = (x == y).mean(1)
+        x, y = (np.frombuffer(b"".join(column_of(batch, c).to_pylist()), "<u2").reshape(batch.num_rows, 2 * SAMPLES) for c in ("_a", "_b"))
+        share = agreement(x, y)
         keep = pa.array(np.flatnonzero(share >= MIN_AGREEMENT))
         yield pa.RecordBatch.from_arrays([column_of(batch, "a").take(keep), column_of(batch, "b").take(keep), pa.array(share).take(keep)], ["a", "b", "agreement"])
 
@@ -211,7 +250,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, seed: int = 1
         for part in text_slices(batches, "_text"):
             n = part.num_rows
             row, shingle, count = shingles_of(column_of(part, "_text"))
-            sample = sketches(row, shingle, count * table.value[shingle & (CELLS - 1)], n, seed).astype("<u4")
+            sample = both_sketches(row, shingle, count * table.value[shingle & (CELLS - 1)], n, seed)
             cut = np.searchsorted(row, np.arange(n + 1)).tolist()
             shingle, count = shingle.astype("<u4"), count.astype("<u4")
             yield pa.RecordBatch.from_arrays([
@@ -225,14 +264,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, seed: int = 1
 
     def bands(batches):
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(batch.num_rows, SAMPLES).astype(np.uint64)
-            out = []
-            for b in range(BANDS):
-                h = np.full(batch.num_rows, b + 1, np.uint64)
-                for k in range(ROWS):
-                    h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + x[:, b * ROWS + k])
-                out.append(h.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.stack(out, 1).tolist(), pa.list_(pa.int64()))], ["key", "bands"])
+            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(batch.num_rows, 2 * SAMPLES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bands_of(x).tolist(), pa.list_(pa.int64()))], ["key", "bands"])
 
     member = texts.select("key", "sketch").mapInArrow(bands, "key binary, bands array<long>").select("key", F.explode("bands").alias("band"))
     # Four centres of each bucket, whatever its size; buckets of one text go.
@@ -296,11 +329,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, seed: int = 1
                 if not askers:
                     continue
                 if sketch is None:
-                    sketch = np.frombuffer(b"".join(x[2] for x in askers), "<u4").reshape(len(askers), SAMPLES)
+                    sketch = np.frombuffer(b"".join(x[2] for x in askers), "<u2").reshape(len(askers), 2 * SAMPLES)
                     number = {r: k for k, r in enumerate(dict.fromkeys(x[1] for x in askers))}
                     roots = np.array([number[x[1]] for x in askers])
                     hit = np.zeros(len(askers), bool)
-                near = ((sketch == np.frombuffer(raw, "<u4")).mean(1) >= MIN_AGREEMENT) & (roots != number.get(root, -1))
+                near = (agreement(sketch, np.frombuffer(raw, "<u2")) >= MIN_AGREEMENT) & (roots != number.get(root, -1))
                 if near.any():
                     hit |= near
                     bands.append(band)
@@ -337,8 +370,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, seed: int = 1
                 if not askers:
                     continue
                 if sketch is None:
-                    sketch = np.frombuffer(b"".join(x[2] for x in askers), "<u4").reshape(len(askers), SAMPLES)
-                share = (sketch == np.frombuffer(raw, "<u4")).mean(1)
+                    sketch = np.frombuffer(b"".join(x[2] for x in askers), "<u2").reshape(len(askers), 2 * SAMPLES)
+                share = agreement(sketch, np.frombuffer(raw, "<u2"))
                 for k in np.flatnonzero(share >= MIN_AGREEMENT).tolist():
                     other, far, _, s, c = askers[k]
                     x, y = find(root), find(far)
