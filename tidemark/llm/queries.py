@@ -8,10 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.alignment import alignment
 from tidemark.llm.decontamination import contaminated
 from tidemark.llm.exact_dedup import exact_duplicates
+from tidemark.llm.fertility import quality
 from tidemark.llm.html_extract import extract
 from tidemark.llm.language_id import fit, held_out, identify
+from tidemark.llm.lexical_search import ranked
 from tidemark.llm.mixing import mix
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.pii import KINDS, labelled_table, personal_data
@@ -82,6 +85,22 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return quality(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_exact_dedup": op2_exact_dedup,
@@ -93,6 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_near_dedup": op10_near_dedup,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLES = {
@@ -120,4 +142,21 @@ ORACLES = {
               FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
         SELECT doc_id, size, source_size, target,
                (size * (passes + CASE WHEN 2 * bef + size <= 2 * part THEN 1 ELSE 0 END))::BIGINT AS taken FROM r""",
+    "op13_lexical_search": r"""
+        WITH d AS (
+          SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+        k AS (SELECT count(*)::BIGINT AS nd, sum(len(terms))::BIGINT AS l FROM d WHERE len(terms) > 0),
+        i AS (
+          SELECT item_id, row_number() OVER () AS q, list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS terms FROM benchmark),
+        it AS (SELECT item_id, q, unnest(terms) AS term FROM i),
+        f AS (SELECT doc_id, r, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d),
+        tf AS (SELECT doc_id, r, n, term, count(*)::BIGINT AS tf FROM f WHERE term IN (SELECT term FROM it) GROUP BY ALL),
+        w AS (SELECT term, floor(1000 * ln((2 * max(k.nd) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, k GROUP BY term),
+        s AS (SELECT it.item_id, it.q, tf.doc_id, tf.r,
+                     sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (10 + (90 * tf.n * k.nd) // k.l))))::BIGINT AS score
+              FROM it JOIN tf USING (term) JOIN w USING (term), k GROUP BY ALL),
+        o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM o WHERE rank <= 10""",
 }
