@@ -1,3 +1,4 @@
+import random
 from datetime import date, timedelta
 
 import pytest
@@ -78,10 +79,30 @@ def test_no_look_ahead(spark):
 
 def test_range_position_excludes_today_and_flat_ranges(spark):
     bars = bars_of(spark, [10, 20, 30, 15])
-    pos = [r["p"] for r in bars.select("d", W.position_in_range(F.col("h"), F.col("l"), F.col("c"), 3, 1).alias("p")).orderBy("d").collect()]
+    pos = [r["p"] for r in W.with_position_in_range(bars, "p", 3, 1).orderBy("d").collect()]
     assert pos[0] is None and pos[1] is None and pos[2] == pytest.approx(2.0) and pos[3] == pytest.approx(0.25)
 
 
+def test_prior_ranges_match_a_loop(spark):
+    """Blocks of every length against all rows before, with halted bars (no low, no high) and codes shorter than a block."""
+    rng = random.Random(3)
+    rows = []
+    for code, size in (("A", 61), ("B", 7), ("C", 1)):
+        for i in range(size):
+            low = rng.choice([None, rng.uniform(1, 9)])
+            rows.append((code, day(i), 5.0, None if low is None else low + rng.random(), low, 5.0, 1))
+    bars = spark.createDataFrame(rows, schemas.STOCK_DAILY)
+    for n in (1, 2, 5, 7, 20, 61, 100):
+        got = {(r["code"], r["d"]): r for r in W.with_prior_range(bars, n).collect()}
+        assert len(got) == len(rows)
+        for code in "ABC":
+            mine = [r for r in rows if r[0] == code]
+            for i, r in enumerate(mine):
+                before = [x for x in mine[max(0, i - n) : i] if x[4] is not None]
+                g = got[(code, r[1])]
+                assert (g["_prior_n"], g["_prior_lo"], g["_prior_hi"]) == (len(before), min((x[4] for x in before), default=None), max((x[3] for x in before), default=None))
+
+
 def test_forward_return_skips_halted_open(spark):
     bars = spark.createDataFrame([("A", day(i), o, o, o, c, 1) for i, (o, c) in enumerate([(10.0, 10.0), (0.0, 11.0), (12.0, 12.0), (13.0, 15.0)])], schemas.STOCK_DAILY)
     got = [r["r"] for r in bars.select("d", W.forward_return(F.col("o"), F.col("c"), 1).alias("r")).orderBy("d").collect()]

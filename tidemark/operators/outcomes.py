@@ -11,9 +11,10 @@ from tidemark.functions.costs import buy_fill, sell_fill
 from tidemark.functions.heat import AVOID_AT, SELL_AT
 from tidemark.operators.asof import held_bars
 from tidemark.operators.calendar import market_calendar
+from tidemark.operators.chains import free_chain
 from tidemark.operators.filters import entry_gate, is_ordinary, rankable, turnover_mean, valid_price
 from tidemark.operators.fundamentals import top_per_day
-from tidemark.operators.windows import position_in_range
+from tidemark.operators.windows import range_position, with_position_in_range, with_prior_range
 
 MAX_HOLD = 20
 STOP_PCT = 0.07
@@ -28,9 +29,8 @@ def contrarian_candidates(signals: DataFrame, bars: DataFrame, turnover_floor: f
 
     All filters run before the top-k cut, so no part of the universe is out of reach.
     """
-    priced = bars.select(
-        "code", "d", F.col("c").alias("close"), turnover_mean().alias("_turnover"),
-        position_in_range(F.col("h"), F.col("l"), F.col("c"), n, min_rows).alias("pos52w"))
+    priced = with_prior_range(bars, n).select(
+        "code", "d", F.col("c").alias("close"), turnover_mean().alias("_turnover"), range_position(n, min_rows).alias("pos52w"))
     out = signals.where(entry_gate(avoid) & rankable(F.col(rank_col))).join(priced, ["code", "d"]).where(
         is_ordinary(F.col("code")) & (F.col("_turnover") >= turnover_floor) & (F.col("pos52w") <= position_max))
     if caps is not None:
@@ -138,23 +138,16 @@ def barrier_outcomes(bars: DataFrame, entries: DataFrame, **rules) -> DataFrame:
 
 
 def non_overlapping(trades: DataFrame, keys: Sequence[str] = (), inclusive: bool = True) -> DataFrame:
-    """C11. Per code, drop signals while the last accepted trade is open.
+    """C11. Per code, drop signals while the last accepted trade is open; one without exit stays open.
 
-    One (keys, code) group has at most one signal per trading day, so the fold is bounded.
+    A (keys, code) group takes one signal a day, the one with the smallest (exit_d, other columns): copies fold before they are
+    shuffled. The walk over the days is ``free_chain``.
     """
     group = [*keys, "code"]
     rest = [c for c in trades.columns if c not in group and c not in ("d", "exit_d")]
-    item = F.struct("d", "exit_d", *rest)
-    kept = trades.groupBy(*group).agg(F.sort_array(F.collect_list(item)).alias("_all"))
-    schema = kept.schema["_all"].dataType.simpleString()
-
-    def step(acc, x):
-        free = acc["last"].isNull() | ((x["d"] > acc["last"]) if inclusive else (x["d"] >= acc["last"]))
-        return F.when(free, F.struct(x["exit_d"].alias("last"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc)
-
-    start = F.struct(F.lit(None).cast("date").alias("last"), F.array().cast(schema).alias("kept"))
-    folded = kept.select(*group, F.explode(F.aggregate("_all", start, step, lambda acc: acc["kept"])).alias("_t"))
-    return folded.select(*[F.col(c) if c in group else F.col(f"_t.{c}").alias(c) for c in trades.columns])
+    first = trades.groupBy(*group, "d").agg(F.min(F.struct("exit_d", *rest)).alias("_t"))
+    rows = first.select(*group, "d", *[F.col(f"_t.{c}").alias(c) for c in ("exit_d", *rest)])
+    return free_chain(rows, group, inclusive).select(*trades.columns)
 
 
 def rank_study(signals: DataFrame, bars: DataFrame, metric: str, ascending: bool = True, k: int = 20,
@@ -162,7 +155,7 @@ def rank_study(signals: DataFrame, bars: DataFrame, metric: str, ascending: bool
     """C29. Best ``k`` of every day as independent trades: (d, code, rank, ret, ...)."""
     out = signals.where(rankable(F.col(metric))).select("code", "d", metric)
     if use_position:
-        low = bars.select("code", "d", position_in_range(F.col("h"), F.col("l"), F.col("c"), 252, min_rows).alias("pos52w"))
+        low = with_position_in_range(bars, "pos52w", 252, min_rows).select("code", "d", "pos52w")
         out = out.join(low, ["code", "d"]).where(F.col("pos52w") <= POSITION_MAX)
     order = F.col(metric).asc() if ascending else F.col(metric).desc()
     return barrier_outcomes(bars, top_per_day(out, [order, F.col("code")], k), **rules)

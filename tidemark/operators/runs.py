@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.verdicts import (
     IGNORED_SETTINGS, RANK_SETTINGS, SETTING_GROUPS, family, fingerprint, logical_setting)
+from tidemark.operators.chains import free_windows
 from tidemark.operators.filters import trusted_run
 
 
@@ -20,22 +21,12 @@ def setting(name: str) -> Column:
 def current_runs(runs: DataFrame) -> DataFrame:
     """C21 (P24, J18). Every run with ``current``: newest of its rule among overlapping windows.
 
-    Equal windows are settled first by a plain maximum, so the ordered fold sees one run per
+    Equal windows are settled first by a plain maximum, so the ordered walk sees one run per
     (rule, window), a number bounded by the calendar. A kept run never overlaps another kept one.
     """
     r = runs.withColumn("fp", fingerprint(F.col("params")))
-    order = F.struct("ts", "id")
-    newest = r.groupBy("fp", "start_d", "end_d").agg(F.max(order).alias("_o"))
-    item = F.struct(F.col("_o.ts").alias("ts"), F.col("_o.id").alias("id"), "start_d", "end_d")
-    folded = newest.groupBy("fp").agg(F.reverse(F.sort_array(F.collect_list(item))).alias("_all"))
-    kind = folded.schema["_all"].dataType.simpleString()
-
-    def step(kept, x):
-        clash = F.exists(kept, lambda k: (k["start_d"] <= x["end_d"]) & (x["start_d"] <= k["end_d"]))
-        return F.when(clash, kept).otherwise(F.concat(kept, F.array(x)))
-
-    kept = folded.select(F.explode(F.aggregate("_all", F.array().cast(kind), step)).alias("_k")).select(
-        F.col("_k.id").alias("id"), F.lit(True).alias("current"))
+    newest = r.groupBy("fp", "start_d", "end_d").agg(F.max(F.struct("ts", "id")).alias("_o"))
+    kept = free_windows(newest.select("fp", "start_d", "end_d", "_o.ts", "_o.id"), ["fp"], "id").withColumn("current", F.lit(True))
     return r.join(kept, "id", "left").withColumn("current", F.coalesce("current", F.lit(False)))
 
 

@@ -59,13 +59,36 @@ def prior_abs_ratio(x: Column, n: int = 30) -> Column:
     return _bind(lambda s: ratio(s["x"], s["m"]), x=x, m=prior_mean(F.abs(x), n))
 
 
-def position_in_range(h: Column, l: Column, c: Column, n: int = 252, min_rows: int | None = None) -> Column:
-    """W04. Close within the range of the previous ``n`` rows; ``min_rows`` defaults to ``n``."""
-    frame = by_code().rowsBetween(-n, -1)
-    least = n if min_rows is None else min_rows
-    return _bind(
-        lambda s: F.when((s["n"] >= least) & (s["hi"] > s["lo"]), (s["c"] - s["lo"]) / (s["hi"] - s["lo"])),
-        lo=F.min(l).over(frame), hi=F.max(h).over(frame), n=F.count(l).over(frame), c=c)
+def with_prior_range(bars: DataFrame, n: int = 252, prefix: str = "_prior", low: str = "l", high: str = "h") -> DataFrame:
+    """Smallest ``low``, largest ``high`` and count of ``low`` over the ``n`` rows before today, as ``<prefix>_lo``, ``_hi``, ``_n``.
+
+    Rows are cut into blocks of ``n``. Any ``n`` rows in a row are the end of one block and the start of the next, so two running
+    extremes per block answer every row, whatever ``n``: work is linear in the rows.
+    """
+    row = F.col("_row")
+    numbered = bars.withColumn("_row", F.row_number().over(by_code()) - 1).withColumn("_block", F.floor(row / n))
+    back = Window.partitionBy("code", "_block").orderBy(F.col("d").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    forth = Window.partitionBy("code", "_block").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy("code").orderBy("_block", "d")  # the order by day, in the sort of ``forth``
+    ends = numbered.select("*", F.min(low).over(back).alias("_end_lo"), F.max(high).over(back).alias("_end_hi"))
+    both = ends.select("*", F.min(low).over(forth).alias("_start_lo"), F.max(high).over(forth).alias("_start_hi"),
+                       F.count(low).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("_seen"))
+    return both.select(
+        *bars.columns,
+        F.least(F.lag("_end_lo", n).over(line), F.lag("_start_lo", 1).over(line)).alias(f"{prefix}_lo"),
+        F.greatest(F.lag("_end_hi", n).over(line), F.lag("_start_hi", 1).over(line)).alias(f"{prefix}_hi"),
+        (F.col("_seen") - F.coalesce(F.lag("_seen", n).over(line), F.lit(0))).alias(f"{prefix}_n"))
+
+
+def range_position(n: int, min_rows: int | None = None, prefix: str = "_prior", close: str = "c") -> Column:
+    """W04. Close within the range found by ``with_prior_range``; ``min_rows`` of the ``n`` rows must exist, by default all."""
+    lo, hi, seen = (F.col(f"{prefix}_{x}") for x in ("lo", "hi", "n"))
+    return F.when((seen >= (n if min_rows is None else min_rows)) & (hi > lo), (F.col(close) - lo) / (hi - lo))
+
+
+def with_position_in_range(bars: DataFrame, name: str = "pos52w", n: int = 252, min_rows: int | None = None) -> DataFrame:
+    """W04. ``bars`` with the close within the range of the previous ``n`` rows."""
+    return with_prior_range(bars, n).select(*bars.columns, range_position(n, min_rows).alias(name))
 
 
 def daily_return(c: Column) -> Column:
@@ -105,7 +128,7 @@ def with_forward_returns(bars: DataFrame, horizons: Iterable[int]) -> DataFrame:
 
 def indicator_panel(bars: DataFrame) -> DataFrame:
     """C30. Returns, averages, volatility, volume and turnover ratios, 52-week position."""
-    base = bars.withColumn("ret", daily_return(F.col("c")))
+    base = with_position_in_range(bars.withColumn("ret", daily_return(F.col("c"))), "pos52w", 252)
     c, v = F.col("c"), F.col("v").cast("double")
     return base.select(
         "code", "d", "o", "h", "l", "c", "v", "ret",
@@ -114,5 +137,5 @@ def indicator_panel(bars: DataFrame) -> DataFrame:
         rolling_std(F.col("ret"), 20).alias("vol20"),
         prior_ratio(v, 30).alias("vr30"),
         prior_ratio(c * v, 30).alias("ar30"),
-        position_in_range(F.col("h"), F.col("l"), c, 252).alias("pos52w"),
+        "pos52w",
     )

@@ -119,10 +119,9 @@ def w03(t):
 @query("w04_position_52w", f"""SELECT code, d, {r(_pos_sql(252, 252))} AS exact252, {r(_pos_sql(251, 1))} AS any251, {r(_pos_sql(252, 60))} AS min60
 FROM bars""", "bars")
 def w04(t):
-    h, l, c = F.col("h"), F.col("l"), F.col("c")
-    return rounded(t.bars.select(
-        "code", "d", W.position_in_range(h, l, c, 252).alias("exact252"), W.position_in_range(h, l, c, 251, 1).alias("any251"),
-        W.position_in_range(h, l, c, 252, 60).alias("min60")))
+    both = W.with_prior_range(W.with_prior_range(t.bars, 252, "_year"), 251, "_less")
+    return rounded(both.select("code", "d", W.range_position(252, prefix="_year").alias("exact252"), W.range_position(251, 1, "_less").alias("any251"),
+                               W.range_position(252, 60, "_year").alias("min60")))
 
 
 @query("w05_daily_return", f"SELECT code, d, {r(_LAG1)} AS ret FROM bars", "bars")
