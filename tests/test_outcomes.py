@@ -221,3 +221,22 @@ def test_delta_orders(spark):
     assert orders(spark, 0, True, price=5000.0)["orders"].count() == 0
     blended = orders(spark, 5, True)["positions"].first()["entry_px"]
     assert 80.0 < blended < 101.0
+
+
+@pytest.mark.parametrize("rules", [
+    {}, {"max_hold": 3}, {"max_hold": 40, "stop_pct": 0.2}, {"max_hold": 10, "monitor_from": 0, "count": "market_days"}, {"max_hold": 8, "stop_on": "close"},
+    {"max_hold": 4, "min_hold": 9, "expiry_first": True}, {"max_hold": 12, "stop_pct": 0.0}, {"max_hold": 6, "keep_open": True}])
+@pytest.mark.parametrize("gaps", [False, True])
+def test_given_entries_find_the_paths_of_the_table(spark, market, rules, gaps):
+    """Block lookup and sliding paths agree for every rule, with days that are not judged, repeated entries and unknown days."""
+    bars = frames(spark, market)
+    if gaps:
+        bars = bars.withColumn("judged", F.pmod(F.hash("d"), F.lit(3)) != 0)
+    table = O.outcome_table(bars, **rules)
+    entries = bars.where(F.pmod(F.hash("code", "d"), F.lit(2)) == 0).select("code", "d", F.lit("v").alias("reason_in"))
+    entries = entries.unionByName(entries.limit(7)).unionByName(spark.createDataFrame([("C00", date(1990, 1, 1), "v"), ("none", day(3), "v")], "code string, d date, reason_in string"))
+    got = O.barrier_outcomes(bars, entries, **rules)
+    want = entries.join(table, ["code", "d"])
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and (rules.get("max_hold") == 40 or want.count() > 100)
+    assert O.barrier_outcomes(bars, entries.limit(0), **rules).collect() == []

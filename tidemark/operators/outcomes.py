@@ -62,79 +62,102 @@ def exits(positions: DataFrame, bars: DataFrame, d, signals: DataFrame | None =
     return held.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 
-def outcome_table(bars: DataFrame, max_hold: int = MAX_HOLD, stop_pct: float = STOP_PCT, stop_on: str = "low",
-                  monitor_from: int = 1, count: str = "code_bars", min_hold: int = 0, expiry_first: bool = False,
-                  keep_open: bool = False) -> DataFrame:
-    """C10 for every bar as a signal day: what an entry at the next open would have returned.
-
-    ``bars`` may carry ``exit_flag`` (close on this bar's signal) and ``judged`` (false on days on
-    which exits are not looked at). The path holds at most ``max_hold`` bars per row.
+def _outcomes(bars: DataFrame, entries: DataFrame | None, max_hold: int = MAX_HOLD, stop_pct: float = STOP_PCT, stop_on: str = "low",
+              monitor_from: int = 1, count: str = "code_bars", min_hold: int = 0, expiry_first: bool = False,
+              keep_open: bool = False) -> DataFrame:
+    """First hits of ``entries`` (all bars where None); see ``outcome_table`` for the rules.
+
+    Where every bar is an entry, each carries its path through one window. For given entries no other bar has a path: the judged
+    bars of a code are numbered and stored in blocks one bar longer than the holding period, each with the block after it.
+    Every path lies in one such pair, so a bar is stored twice whatever the holding period, and an entry finds its path by one equi-join.
     """
-    hold = max(max_hold, min_hold)
-    b = bars
-    if "exit_flag" not in b.columns:
-        b = b.withColumn("exit_flag", F.lit(False))
-    gaps = "judged" in b.columns
-    if not gaps:
-        b = b.withColumn("judged", F.lit(True))
-    by_code = Window.partitionBy("code").orderBy("d")
-    if count == "market_days":
-        b = b.join(market_calendar(bars).select("d", F.col("day_no").alias("pos")), "d")
-    elif count == "code_bars":
-        b = b.withColumn("pos", F.row_number().over(by_code))
-    else:
-        raise ValueError(f"unknown count: {count}")
     if stop_on not in ("low", "close"):
         raise ValueError(f"unknown stop_on: {stop_on}")
+    if count not in ("code_bars", "market_days"):
+        raise ValueError(f"unknown count: {count}")
+    hold = max(max_hold, min_hold)
+    size = hold + 1
+    line = Window.partitionBy("code").orderBy("d")
+    gaps = "judged" in bars.columns
     level = F.col("l") if stop_on == "low" else F.col("c")
-    bar = F.when(F.col("judged"), F.struct(
-        "pos", "d", "o", "c", level.alias("lvl"), F.coalesce("exit_flag", F.lit(False)).alias("flag")))
-    columns = [
-        F.col("code"), F.col("d"), F.col("pos"),
-        F.lead(F.struct("pos", "d", "o")).over(by_code).alias("_e"),
-        F.collect_list(bar).over(by_code.rowsBetween(1 + monitor_from, 1 + hold)).alias("_path"),
-    ]
-    if gaps:
-        # Beyond the path only the first judged bar matters: it is past expiry.
-        backwards = Window.partitionBy("code").orderBy(F.col("d").desc())
-        columns.append(F.last(bar, ignorenulls=True).over(
-            backwards.rowsBetween(Window.unboundedPreceding, -(2 + hold))).alias("_tail"))
-    b = b.select(*columns)
+    flag = F.coalesce("exit_flag", F.lit(False)) if "exit_flag" in bars.columns else F.lit(False)
+    b = bars.join(market_calendar(bars).select("d", F.col("day_no").alias("pos")), "d") if count == "market_days" else bars
+    seq = F.row_number().over(line)
+    b = b.select(
+        "code", "d", (F.col("pos") if count == "market_days" else seq).alias("pos"), "o", "c", level.alias("lvl"), flag.alias("flag"),
+        (F.col("judged") if gaps else F.lit(True)).alias("_judged"),
+        # Judged bars before this one: the number of the first judged bar from here on.
+        (F.coalesce(F.sum(F.col("judged").cast("long")).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if gaps else seq - 1).alias("_j"))
+
+    bar = F.struct("_j", "pos", "d", "o", "c", "lvl", "flag")
+    start = F.lead("_j", 1 + monitor_from).over(line) if gaps else F.col("_j") + 1 + monitor_from
+    columns = ["code", "d", "pos", F.lead(F.struct("pos", "d", "o")).over(line).alias("_e")]
+    if entries is None:
+        seen = F.when(F.col("_judged"), bar)
+        columns.append(F.collect_list(seen).over(line.rowsBetween(1 + monitor_from, 1 + hold)).alias("_path"))
+        if gaps:  # beyond the path only the first judged bar matters: it is past expiry
+            backwards = Window.partitionBy("code").orderBy(F.col("d").desc()).rowsBetween(Window.unboundedPreceding, -(2 + hold))
+            columns.append(F.last(seen, ignorenulls=True).over(backwards).alias("_tail"))
+    else:
+        columns.append(start.alias("_start"))
+    e = b.select(*columns)
     ok = valid_price(F.col("_e.o"))
     if count == "market_days":
         ok = ok & (F.col("_e.pos") == F.col("pos") + 1)
-    b = b.where(F.coalesce(ok, F.lit(False)))
+    e = e.where(F.coalesce(ok, F.lit(False)))
+    carried = [c for c in entries.columns if c not in ("code", "d")] if entries is not None else []
+    if entries is None:
+        path = F.array_append("_path", F.col("_tail")) if gaps else F.col("_path")
+    else:
+        judged = b.where("_judged") if gaps else b
+        blocks = judged.groupBy("code", F.floor(F.col("_j") / size).alias("_block")).agg(F.sort_array(F.collect_list(bar)).alias("_bars"))
+        following = F.lead("_bars").over(Window.partitionBy("code").orderBy("_block"))
+        blocks = blocks.select("code", "_block", F.when(following.isNull(), F.col("_bars")).otherwise(F.concat("_bars", following)).alias("_bars"))
+        e = entries.select("code", "d", F.struct(*(carried or [F.lit(1)])).alias("_entry")).join(e, ["code", "d"])
+        e = e.withColumn("_block", F.floor(F.col("_start") / size)).join(blocks, ["code", "_block"], "left")
+        path = F.slice("_bars", (F.col("_start") % size).cast("int") + 1, F.lit(size))
+
     entry = buy_fill(F.col("_e.o"))
-    b = b.withColumn("entry_px", entry).withColumn("_stop", entry * F.lit(1 - stop_pct))
-    first = F.col("_e.pos")
-    no_stop = stop_pct <= 0
+    e = e.select("code", "d", *(["_entry"] if carried else []), F.col("_e.d").alias("entry_d"), F.col("_e.pos").alias("_first"), entry.alias("entry_px"),
+                 (entry * F.lit(1 - stop_pct)).alias("_stop"), path.alias("_path"))
 
-    def stopped(x):
-        return F.lit(False) if no_stop else x["lvl"] <= F.col("_stop")
+    def below(x):
+        return F.lit(False) if stop_pct <= 0 else x <= F.col("_stop")
 
-    path = F.array_append(F.col("_path"), F.col("_tail")) if gaps else F.col("_path")
-    hit = F.try_element_at(
-        F.filter(path, lambda x: x.isNotNull() & (stopped(x) | x["flag"] | (x["pos"] - first >= hold))), F.lit(1))
-    b = b.withColumn("_x", hit)
+    hit = F.filter("_path", lambda x: x.isNotNull() & (below(x["lvl"]) | x["flag"] | (x["pos"] - F.col("_first") >= hold)))
+    e = e.withColumn("_x", F.try_element_at(hit, F.lit(1)))
     x = F.col("_x")
-    is_stop = stopped(x)
-    expired = x["pos"] - first >= hold
+    is_stop = below(x["lvl"])
+    held = x["pos"] - F.col("_first")
     reason = F.when(x.isNull(), F.lit(None)).when(is_stop, "stop")
     if expiry_first:
-        reason = reason.when(expired, "expiry").otherwise("signal")
+        reason = reason.when(held >= hold, "expiry").otherwise("signal")
     else:
         reason = reason.when(x["flag"], "signal").otherwise("expiry")
     raw = F.when(is_stop, F.least(F.col("_stop"), x["o"])).otherwise(x["c"]) if stop_on == "low" else x["c"]
-    out = b.select(
-        "code", "d", F.col("_e.d").alias("entry_d"), "entry_px", x["d"].alias("exit_d"), sell_fill(raw).alias("exit_px"),
-        reason.alias("reason"), (x["pos"] - first).alias("held"),
+    out = e.select(
+        "code", "d", *[F.col(f"_entry.{c}").alias(c) for c in carried], "entry_d", "entry_px", x["d"].alias("exit_d"), sell_fill(raw).alias("exit_px"),
+        reason.alias("reason"), held.alias("held"),
     ).withColumn("ret", F.col("exit_px") / F.col("entry_px") - 1)
     return out if keep_open else out.where(F.col("exit_d").isNotNull())
 
 
+def outcome_table(bars: DataFrame, **rules) -> DataFrame:
+    """C10 for every bar as a signal day: what an entry at the next open would have returned.
+
+    ``bars`` may carry ``exit_flag`` (close on this bar's signal) and ``judged`` (false on days on
+    which exits are not looked at). Rules: ``max_hold``, ``stop_pct``, ``stop_on``, ``monitor_from``, ``count``, ``min_hold``,
+    ``expiry_first``, ``keep_open``.
+    """
+    return _outcomes(bars, None, **rules)
+
+
 def barrier_outcomes(bars: DataFrame, entries: DataFrame, **rules) -> DataFrame:
-    """C10. Outcome of every entry (code, d, ...); entries that run out of bars are dropped."""
-    return entries.join(outcome_table(bars, **rules), ["code", "d"])
+    """C10. Outcome of every entry (code, d, ...), by the rules of ``outcome_table``; entries that run out of bars are dropped.
+
+    Paths are looked up for the entries alone, with all their columns; repeated entries are answered each.
+    """
+    return _outcomes(bars, entries, **rules)
 
 
 def non_overlapping(trades: DataFrame, keys: Sequence[str] = (), inclusive: bool = True) -> DataFrame:

@@ -406,13 +406,11 @@ _SPANS = ", ".join(f"('{w}', '{p}', DATE '{a}', DATE '{b}')" for w, ta, tb, va,
 
 def variant_trades(t, k=2):
     """Best ``k`` of every day under each of the six factors, as independent trades."""
-    signals = pin(t.signals, "signals")
-    table = pin(O.outcome_table(t.bars, stop_pct=STOP), "outcomes")
     cells = F.array(*[F.struct(F.lit(m).alias("variant"), F.round(m, 9).alias("x")) for m in METRICS])
-    long = signals.select("code", "d", F.explode(cells).alias("v")).select("code", "d", "v.*").where(F.col("x").isNotNull())
+    long = t.signals.select("code", "d", F.explode(cells).alias("v")).select("code", "d", "v.*").where(F.col("x").isNotNull())
     order = Window.partitionBy("variant", "d").orderBy("x", "code")
     top = long.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("x")
-    return R.in_windows(top.join(table, ["code", "d"]), WINDOWS).drop("span_end")
+    return R.in_windows(O.barrier_outcomes(t.bars, top, stop_pct=STOP), WINDOWS).drop("span_end")
 
 
 cte("variants", "signals bars", f"""
@@ -469,14 +467,13 @@ def c14_fundamental(t):
     caps = pin(V.pbr(V.market_caps(t.bars, t.shares, t.statements, sanity=800.0)).select("code", "d", "pbr"), "pbr")
     filers = pin(V.fundamental_candidates(t.disclosures, t.statements, t.bars, TURNOVER), "filers")
     filers = filers.join(caps, ["code", "d"], "left")
-    table = pin(O.outcome_table(t.bars, stop_pct=STOP, monitor_from=0, count="market_days", min_hold=5, keep_open=True), "outcomes")
     parts = None
     for name, limit in (("none", None), ("pbr100", 100.0), ("pbr200", 200.0), ("pbr300", 300.0)):
         part = filers.where(FL.pbr_within(F.col("pbr"), limit)).select("code", "d", "rank", F.lit(name).alias("variant"))
         parts = part if parts is None else parts.unionByName(part)
     order = Window.partitionBy("variant", "d").orderBy("rank", "code")
     best = parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 5)
-    closed = best.join(table, ["code", "d"]).where(F.col("exit_d").isNotNull())
+    closed = O.barrier_outcomes(t.bars, best, stop_pct=STOP, monitor_from=0, count="market_days", min_hold=5)
     return R.walk_forward(R.in_windows(closed, WINDOWS).drop("span_end"), 1, "none")["summary"]
 
 
