@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
+from itertools import accumulate
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.nulls import finite_or_null
 from tidemark.operators.asof import latest_bar
-from tidemark.operators.ordered import exact_quantiles, row_numbers, with_shard
+from tidemark.operators.ordered import _grid, exact_quantiles, row_numbers, with_shard
 from tidemark.session import pin
 
 RANK_BUCKETS = ((1, 2), (3, 5), (6, 10), (11, 20))
@@ -79,17 +82,21 @@ def bucket_of(edges: Column, x: Column) -> Column:
 
 
 def quantile_buckets(df: DataFrame, keys: Sequence[str], metric: str, outcome: str, buckets: int = 10,
-                     min_rows: int = 1000) -> DataFrame:
+                     min_rows: int = 1000, accuracy: int | None = None) -> DataFrame:
     """A10. Equal-frequency buckets of ``metric`` with statistics of ``outcome``.
 
     Exact edges come from a distributed selection; rows then meet only the small edge table. The
-    input is read several times: pin it when it is expensive.
+    input is read several times: pin it when it is expensive. With ``accuracy`` the edges come from mergeable sketches in one
+    pass; their ranks are off by at most n / accuracy rows.
     """
     rows = df.select(*keys, finite_or_null(F.col(metric)).alias("_x"), finite_or_null(F.col(outcome)).alias("_y")).where(
         F.col("_x").isNotNull() & F.col("_y").isNotNull())
     probs = [i / buckets for i in range(buckets + 1)]
-    edges = exact_quantiles(rows, keys, "_x", probs, write_once=False).where(F.col("n") >= min_rows).select(
-        *keys, F.array_distinct("q").alias("_edges"))
+    if accuracy is None:
+        found = exact_quantiles(rows, keys, "_x", probs, write_once=False)
+    else:
+        found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_x", probs, accuracy).alias("q"))
+    edges = found.where(F.col("n") >= min_rows).select(*keys, F.array_distinct("q").alias("_edges"))
     edges = edges.where(F.size("_edges") > 1)
     placed = rows.join(edges, list(keys)).withColumn("bucket", bucket_of(F.col("_edges"), F.col("_x")))
     return placed.groupBy(*keys, "bucket").agg(
@@ -120,11 +127,129 @@ def metric_panel(signals: DataFrame, forward: DataFrame, metrics: Sequence[str],
         F.col("x").isNotNull() & F.col("y").isNotNull())
 
 
+PART_ROWS = 100_000  # cells of values with more rows are split into equal parts before single values are counted
+
+
+def conditional_edges(long: DataFrame, outcomes: Sequence[str], probs: Sequence[float], accuracy: int | None = None) -> dict:
+    """Linear-interpolation quantiles of ``x`` per ``metric`` among the rows that have an outcome, for all outcomes at once.
+
+    Returns {(metric, outcome): (n, values in the order of ``probs``)}; ``long`` has metric, x (not null) and the outcome columns.
+    One histogram over a fixed grid counts every outcome's rows per cell; its size depends on the grid alone. Of the cells
+    that hold a wanted position, large ones are counted again in equal parts, and where a position is left in a part with
+    several values these are counted one by one. Every pass reads what the one before left and adds up in partial sums.
+
+    With ``accuracy`` the values come from mergeable sketches in one pass instead: their ranks are off by at most n / accuracy rows.
+    """
+    if accuracy is not None:
+        rows = long.groupBy("metric").agg(*[F.struct(F.count(y), F.percentile_approx(F.when(F.col(y).isNotNull(), F.col("x")), list(probs), accuracy)).alias(y) for y in outcomes])
+        return {(r["metric"], y): (r[y][0], list(r[y][1])) for r in rows.collect() for y in outcomes if r[y][0]}
+    spark, kind = long.sparkSession, dict(long.dtypes)["metric"]
+    counts = [F.count(y).alias(y) for y in outcomes]
+    keys, rows = ["metric", "_cell"], long.withColumn("_cell", _grid(F.col("x")))
+    found = rows.groupBy(*keys).agg(*counts, F.min("x").alias("_lo"), F.max("x").alias("_hi")).collect()
+    targets, totals, value = [], {}, {}  # targets: (outcome, number of the probability, side, position in its cell) per cell
+    by_metric: dict = {}
+    for r in found:
+        by_metric.setdefault(r["metric"], []).append(r)
+    for metric, cells in by_metric.items():
+        cells.sort(key=lambda r: r["_cell"])
+        for y in outcomes:
+            ends = list(accumulate(r[y] for r in cells))
+            if not ends[-1]:
+                continue
+            totals[(metric, y)] = ends[-1]
+            for i, p in enumerate(probs):
+                place = (ends[-1] - 1) * float(p)
+                for side, at in ((0, floor(place)), (1, ceil(place))):  # positions counted from 0; the quantile lies between the two
+                    k = bisect_right(ends, at)
+                    targets.append((cells[k], (metric, y, i, side), at - (ends[k] - cells[k][y])))
+
+    def resolve(group: list[str], order: str, at_most: list) -> list:
+        """Targets of the cells at hand, each with the row of its cell's finer count that holds it and the position left there."""
+        table = spark.createDataFrame([(*[r[c] for c in group], *key[1:], at) for r, key, at in at_most], ", ".join(
+            [*(f"{c} {dict(finer.dtypes)[c]}" for c in group), "y string, i int, side int, at long"]))
+        window = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        before = finer.select("*", *[F.coalesce(F.sum(y).over(window), F.lit(0)).alias(f"_b_{y}") for y in outcomes])
+        pick = lambda stem: F.coalesce(*[F.when(F.col("y") == y, F.col(f"{stem}{y}")) for y in outcomes])
+        held = before.join(F.broadcast(table), group).withColumn("at", F.col("at") - pick("_b_"))  # one row per wanted position
+        return held.where((F.col("at") >= 0) & (F.col("at") < pick(""))).collect()
+
+    def settle(rows_of_targets: list) -> list:
+        left = []
+        for r, key, at in rows_of_targets:
+            if r["_lo"] == r["_hi"]:
+                value[key] = r["_lo"]
+            else:
+                left.append((r, key, at))
+        return left
+
+    targets = settle(targets)
+    if any(max(r[y] for y in outcomes) > PART_ROWS for r, _, _ in targets):
+        cells = {tuple(r[c] for c in keys): (r["_lo"], r["_hi"], 1 + max(r[y] for y in outcomes) // PART_ROWS) for r, _, _ in targets}
+        table = spark.createDataFrame([(*k, *v) for k, v in sorted(cells.items())], f"metric {kind}, _cell long, _from double, _to double, _parts long")
+        rows = rows.join(F.broadcast(table), keys)  # one row per cell that holds a wanted position
+        rows = rows.withColumn("_part", F.floor((F.col("x") - F.col("_from")) / (F.col("_to") - F.col("_from")) * F.col("_parts")))
+        finer = rows.groupBy(*keys, "_part").agg(*counts, F.min("x").alias("_lo"), F.max("x").alias("_hi"))
+        targets = settle([(r, (r["metric"], r["y"], r["i"], r["side"]), r["at"]) for r in resolve(keys, "_part", targets)])
+        keys = [*keys, "_part"]
+        rows = rows.drop("_from", "_to", "_parts")
+    if targets:
+        table = spark.createDataFrame(sorted({tuple(r[c] for c in keys) for r, _, _ in targets}), ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in keys))
+        finer = rows.join(F.broadcast(table), keys).groupBy(*keys, "x").agg(*counts)
+        value.update({(r["metric"], r["y"], r["i"], r["side"]): r["x"] for r in resolve(keys, "x", targets)})
+    out = {}
+    for (metric, y), n in totals.items():
+        points = []
+        for i, p in enumerate(probs):
+            low, high, place = value[(metric, y, i, 0)], value[(metric, y, i, 1)], (n - 1) * float(p)
+            points.append(low + (high - low) * (place - floor(place)))
+        out[(metric, y)] = (n, points)
+    return out
+
+
 def factor_deciles(signals: DataFrame, forward: DataFrame, metrics: Sequence[str], horizons: Sequence[int],
-                   buckets: int = 10, min_rows: int = 3000) -> DataFrame:
-    """C28. Deciles of every metric against every horizon in one job."""
-    panel = metric_panel(signals, forward, metrics, horizons)
-    return quantile_buckets(panel, ["metric", "horizon"], "x", "y", buckets, min_rows)
+                   buckets: int = 10, min_rows: int = 3000, accuracy: int | None = None) -> DataFrame:
+    """C28, A10. Deciles of every metric against every horizon: rows are multiplied by the metrics, never by the horizons.
+
+    Edges come from ``conditional_edges`` (by sketches with ``accuracy``). The edges of all horizons cut a metric into a few
+    stretches; rows add up per stretch, and a horizon's buckets are merged from the stretches. The joined panel is written once.
+    """
+    outcomes = [f"fwd_{h}" for h in horizons]
+    joined = pin(signals.select("code", "d", *[finite_or_null(F.col(m).cast("double")).alias(m) for m in metrics]).join(
+        forward.select("code", "d", *[finite_or_null(F.col(y).cast("double")).alias(y) for y in outcomes]), ["code", "d"]).drop("code", "d"), "panel")
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in metrics])
+    long = joined.select(F.explode(cells).alias("_c"), *outcomes).select("_c.*", *outcomes).where(F.col("x").isNotNull())
+    found = conditional_edges(long, outcomes, [i / buckets for i in range(buckets + 1)], accuracy)
+    edges = {k: sorted(set(values)) for k, (n, values) in found.items() if n >= min_rows and len(set(values)) > 1}
+
+    lines = {m: sorted({e for y in outcomes for e in edges.get((m, y), ())}) for m in metrics}
+
+    def below(x: Column, line: list, first: int = 0) -> Column:
+        """How many of the sorted values are smaller than ``x``, by halving."""
+        if not line:
+            return F.lit(first)
+        half = len(line) // 2
+        return F.when(x > line[half], below(x, line[half + 1 :], first + half + 1)).otherwise(below(x, line[:half], first))
+
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x"), below(F.col(m), lines[m]).alias("_k")) for m in metrics])
+    placed = joined.select(F.explode(cells).alias("_c"), *outcomes).select("_c.*", *outcomes).where(F.col("x").isNotNull())
+    seen = lambda y: F.when(F.col(y).isNotNull(), F.col("x"))
+    # Sums around a common centre: as safe as running deviations, and plain sums merge in generated code.
+    centre = joined.agg(*[F.coalesce(F.avg(y), F.lit(0.0)).alias(y) for y in outcomes]).first()
+    off = {y: F.col(y) - F.lit(centre[y]) for y in outcomes}
+    parts = placed.groupBy("metric", "_k").agg(*[a for y in outcomes for a in (
+        F.count(y).alias(f"n_{y}"), F.sum(off[y]).alias(f"s_{y}"), F.sum(off[y] * off[y]).alias(f"q_{y}"), F.min(seen(y)).alias(f"lo_{y}"), F.max(seen(y)).alias(f"hi_{y}"))])
+    # All edges of a metric cut its values into a few stretches; each lies in one bucket of every horizon.
+    table = [(m, k, h, max(bisect_left(edges[(m, y)], line[k]) if k < len(line) else len(edges[(m, y)]), 1) - 1)
+             for m, line in lines.items() for h, y in zip(horizons, outcomes) if (m, y) in edges for k in range(len(line) + 1)]
+    told = long.sparkSession.createDataFrame(table, "metric string, _k int, horizon int, bucket int")
+    each = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"n_{y}").alias("n"), F.col(f"s_{y}").alias("s"), F.col(f"q_{y}").alias("q"),
+                              F.lit(centre[y]).alias("c"), F.col(f"lo_{y}").alias("lo"), F.col(f"hi_{y}").alias("hi")) for h, y in zip(horizons, outcomes)])
+    few = parts.select("metric", "_k", F.explode(each).alias("_e")).select("metric", "_k", "_e.*").where(F.col("n") > 0).join(told, ["metric", "_k", "horizon"])
+    n, total = F.sum("n"), F.sum("s")
+    return few.groupBy("metric", "horizon", "bucket").agg(
+        n.alias("n"), (F.first("c") + total / n).alias("mean"), F.when(n > 1, F.sqrt(F.greatest(F.sum("q") - total * total / n, F.lit(0.0)) / (n - 1))).alias("std"),
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def horizon_baseline(forward: DataFrame, horizons: Sequence[int]) -> DataFrame:
