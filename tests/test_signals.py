@@ -123,6 +123,30 @@ def test_a_range_is_a_slice_of_the_full_run(spark):
     assert plan.count(str(end)) >= 1
 
 
+def test_any_cut_into_batches_gives_the_history(spark, tmp_path):
+    """Codes that start late, pause over whole batches or lack sources; batches of one day and of many; a batch delivered again."""
+    rng = random.Random(6)
+    bars, flows, credit = [], [], []
+    for code, days in (("000010", range(90)), ("000020", range(50, 90)), ("000030", [*range(40), *range(70, 90)]), ("000040", range(88, 90))):
+        for i in days:
+            bars.append((code, day(i), 1.0, 2.0, 1.0, rng.uniform(1, 9), rng.randrange(1, 99)))
+            if rng.random() < 0.97:
+                flows.append((code, day(i), rng.randrange(-50, 50), rng.randrange(-50, 50), rng.randrange(-50, 50)))
+            if rng.random() < 0.2:
+                credit.append((code, day(i), rng.randrange(100, 900), rng.choice([None, 0.5, 0.7])))
+    sources = [spark.createDataFrame(r, k) for r, k in ((bars, schemas.STOCK_DAILY), (flows, schemas.INVESTOR_FLOW), (credit, schemas.CREDIT_BALANCE))]
+    want = sorted(map(str, S.signals_history(*sources).collect()))
+    assert len(want) > 60
+    for k, cuts in enumerate(([0, 90], [0, 31, 60, 90], [0, 5, 45, 46, 47, 71, 89, 90])):
+        folder = str(tmp_path / str(k))
+        spans = list(zip(cuts, cuts[1:]))
+        for number, (a, b) in enumerate([*spans, spans[-1]], 1):
+            S.advance_signals(folder, number, *(x.where((F.col("d") >= day(a)) & (F.col("d") < day(b))) for x in sources))
+        assert sorted(map(str, S.stored_signals(spark, folder).collect())) == want
+        state = spark.read.parquet(f"{folder}/state/{len(spans) + 1}").groupBy("code").count().collect()
+        assert {r["code"]: r["count"] for r in state} == {"000010": 30, "000020": 30, "000030": 30, "000040": 2}
+
+
 def test_held_codes_leave_only_on_their_days(spark):
     from tidemark.operators.outcomes import contrarian_candidates
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.costs import mark_pct, unrealized
 from tidemark.functions.text import has_key, name_list, non_empty
-from tidemark.operators.asof import latest_close_on
+from tidemark.operators.asof import latest_bar, latest_close_on
 from tidemark.operators.ordered import row_numbers
 from tidemark.operators.statistics import quarterly, sum_curve
 
@@ -205,15 +205,25 @@ def same_sector(candidates: DataFrame, positions: DataFrame, prefix: int = 3) ->
 
 
 def filing_digest(disclosures: DataFrame, candidates: DataFrame, days: int = 90, newest: int = 15) -> DataFrame:
-    """A24. Filing count and the newest filings of each (code, d) within the look-back."""
-    ahead = F.explode(F.sequence(F.lit(0), F.lit(days - 1)))
-    recent = candidates.select("code", "d").distinct().withColumn("_b", ahead).select(
-        "code", "d", F.date_sub("d", F.col("_b")).alias("filed_d"))
-    hit = recent.join(disclosures.select("code", F.col("d").alias("filed_d"), "report_nm", "rcept_no"), ["code", "filed_d"])
-    order = Window.partitionBy("code", "d").orderBy(F.col("filed_d").desc(), F.col("rcept_no").desc())
-    counts = hit.groupBy("code", "d").agg(F.count(F.lit(1)).alias("filings"))
-    top = hit.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= newest)
-    listed = top.groupBy("code", "d").agg(F.sort_array(F.collect_list(F.struct("_rn", "filed_d", "report_nm"))).alias("_l"))
-    return candidates.join(counts, ["code", "d"], "left").join(listed, ["code", "d"], "left").withColumn(
-        "newest", F.transform("_l", lambda x: F.concat(x["filed_d"].cast("string"), F.lit(" "), x["report_nm"]))
-    ).drop("_l").fillna(0, ["filings"])
+    """A24. Filing count and the newest filings of each (code, d) within the look-back.
+
+    The filings of a code are numbered. The numbers reached by ``d`` and by the day ``days`` before give the count as a difference, and
+    the newest filings as a run of numbers: these lie in one block of ``newest`` filings and the block before it, which one
+    equi-join brings. No candidate is multiplied by days or filings.
+    """
+    line = Window.partitionBy("code").orderBy("d", "rcept_no", "report_nm")
+    filed = disclosures.select("code", "d", "report_nm", F.row_number().over(line).alias("_no"))
+    reached = filed.groupBy("code", "d").agg(F.max("_no").alias("no"))
+    asked = candidates.select("code", "d").distinct().withColumn("_since", F.date_sub("d", days))
+    asked = latest_bar(latest_bar(asked, reached, "d", ("no",), "_to_"), reached, "_since", ("no",), "_from_")
+    last, first = F.coalesce("_to_no", F.lit(0)), F.coalesce("_from_no", F.lit(0))
+    asked = asked.select("code", "d", last.alias("_last"), F.greatest(first, last - newest).alias("_first"), (last - first).cast("long").alias("filings"),
+                         F.floor((last - 1) / newest).alias("_block"))
+    blocks = filed.groupBy("code", F.floor((F.col("_no") - 1) / newest).alias("_block")).agg(
+        F.sort_array(F.collect_list(F.struct("_no", "d", "report_nm")), asc=False).alias("_own"))
+    before = F.lag("_own").over(Window.partitionBy("code").orderBy("_block"))
+    blocks = blocks.select("code", "_block", F.when(before.isNull(), F.col("_own")).otherwise(F.concat("_own", before)).alias("_filed"))
+    mine = F.filter("_filed", lambda x: (x["_no"] > F.col("_first")) & (x["_no"] <= F.col("_last")))
+    found = asked.join(blocks, ["code", "_block"]).where(F.col("filings") > 0).select(
+        "code", "d", "filings", F.transform(mine, lambda x: F.concat(x["d"].cast("string"), F.lit(" "), x["report_nm"])).alias("newest"))
+    return candidates.join(found, ["code", "d"], "left").fillna(0, ["filings"])

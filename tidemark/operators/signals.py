@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.heat import heat_label, heat_score
@@ -30,23 +30,19 @@ def with_heat(df: DataFrame) -> DataFrame:
     return df.withColumn("heat_score", score).withColumn("signal", heat_label(F.col("heat_score")))
 
 
-def signals_history(bars: DataFrame, flows: DataFrame, credit: DataFrame,
-                    start=None, end=None, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
-    """C02. Signals of all days in one job: one exchange on code carries every window.
+STATE = ("code", "d", "_amount", "individual_net", "foreign_net", "institution_net", "_credit", "_level", "_seq")
 
-    ``keep`` names bar columns to carry along, so later per-code windows need no second join.
-    """
-    amount = F.col("c") * F.col("v").cast("double")
-    if end is not None:  # no window looks ahead, so later rows need not be read
-        bars, flows, credit = (x.where(F.col("d") <= F.lit(end).cast("date")) for x in (bars, flows, credit))
-    base = aligned_sources(bars, flows, credit).select(
-        "code", "d", *keep,
-        amount.alias("_amount"),
+
+def _rows(bars: DataFrame, flows: DataFrame, credit: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Aligned sources as the windows read them; credit as told on its day."""
+    return aligned_sources(bars, flows, credit).select(
+        "code", "d", *keep, (F.col("c") * F.col("v").cast("double")).alias("_amount"),
         *[F.col(x).cast("double").alias(x) for x in ("individual_net", "foreign_net", "institution_net")],
-        carried(F.col("credit_amt").cast("double")).alias("_credit"),
-        carried(F.col("credit_ratio")).alias("_level"),
-        bar_index().alias("_seq"),
-    )
+        F.col("credit_amt").cast("double").alias("_credit"), F.col("credit_ratio").alias("_level"))
+
+
+def _ratios(base: DataFrame, window: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The six ratios of rows with carried credit and position ``_seq``, from position ``window`` + 1 on."""
     # One pass over the prior window for all sources; ratios follow as plain expressions.
     prior = by_code().rowsBetween(-window, -1)
     parts = {
@@ -62,16 +58,76 @@ def signals_history(bars: DataFrame, flows: DataFrame, credit: DataFrame,
         *[F.avg(past).over(prior).alias(f"_m_{n}") for n, (_, past) in parts.items()],
         *[F.count(past).over(prior).alias(f"_n_{n}") for n, (_, past) in parts.items()],
     ).where(F.col("_seq") > window)
-    ratios = wide.select(
+    return wide.select(
         "code", "d", *keep,
         *[finite_or_null(F.when(F.col(f"_n_{n}") == window, ratio(F.col(f"_x_{n}"), F.col(f"_m_{n}")))).alias(n) for n in parts],
         finite_or_null(F.col("_level")).alias("credit_ratio_level"),
     )
+
+
+def signals_history(bars: DataFrame, flows: DataFrame, credit: DataFrame,
+                    start=None, end=None, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
+    """C02. Signals of all days in one job: one exchange on code carries every window.
+
+    ``keep`` names bar columns to carry along, so later per-code windows need no second join.
+    """
+    if end is not None:  # no window looks ahead, so later rows need not be read
+        bars, flows, credit = (x.where(F.col("d") <= F.lit(end).cast("date")) for x in (bars, flows, credit))
+    base = _rows(bars, flows, credit, keep).withColumns(
+        {"_credit": carried(F.col("_credit")), "_level": carried(F.col("_level")), "_seq": bar_index()})
+    ratios = _ratios(base, window, keep)
     if start is not None:
         ratios = ratios.where(F.col("d") >= F.lit(start).cast("date"))
     return with_heat(ratios)
 
 
+def empty_state(spark: SparkSession) -> DataFrame:
+    """The state before any day."""
+    values = ", ".join(f"{c} double" for c in STATE[2:-1])
+    return spark.createDataFrame([], f"code string, d date, {values}, _seq int")
+
+
+def signals_increment(state: DataFrame, bars: DataFrame, flows: DataFrame, credit: DataFrame,
+                      window: int = WINDOW) -> dict[str, DataFrame]:
+    """C02 for new days alone: ``signals`` of the rows after each code's newest state row, and the ``state`` after them.
+
+    The state is the newest ``window`` rows of every code with the credit carried so far and their positions in the code's history,
+    which is all that the windows of later days can see. History cut into batches of whole days gives the same rows as
+    ``signals_history`` in one run. Rows of days that a code's state has reached already are ignored, so a batch that is
+    delivered again adds nothing. The work is that of the batch and the state, whatever the length of the history.
+    """
+    last = state.groupBy("code").agg(F.max("d").alias("_last"))
+    new = _rows(bars, flows, credit).join(last, "code", "left").where(F.col("_last").isNull() | (F.col("d") > F.col("_last"))).drop("_last")
+    both = state.select(*STATE, F.lit(False).alias("_new")).unionByName(
+        new.withColumns({"_seq": F.lit(None).cast("int"), "_new": F.lit(True)}).select(*STATE, "_new"))
+    code = Window.partitionBy("code")
+    rows = both.withColumns({
+        "_credit": carried(F.col("_credit")), "_level": carried(F.col("_level")),
+        "_seq": F.coalesce(F.min("_seq").over(code), F.lit(1)) - 1 + bar_index()})
+    marks = rows.where("_new").select("code", "d")
+    newest = Window.partitionBy("code").orderBy(F.col("d").desc())
+    after = rows.withColumn("_back", F.row_number().over(newest)).where(F.col("_back") <= window).select(*STATE)
+    return {"signals": with_heat(_ratios(rows, window).join(marks, ["code", "d"], "left_semi")), "state": after}
+
+
+def advance_signals(folder: str, number: int, bars: DataFrame, flows: DataFrame, credit: DataFrame, window: int = WINDOW) -> None:
+    """Store batch ``number`` (1, 2, ...) of the daily run under ``folder``.
+
+    The signals of the batch are written before the state that follows it, and a batch reads the state of the one before. A run that
+    fails in between is repeated under its number and replaces what it left.
+    """
+    spark = bars.sparkSession
+    state = empty_state(spark) if number == 1 else spark.read.parquet(f"{folder}/state/{number - 1}")
+    out = signals_increment(state, bars, flows, credit, window)
+    out["signals"].write.mode("overwrite").parquet(f"{folder}/signals/batch={number}")
+    out["state"].write.mode("overwrite").parquet(f"{folder}/state/{number}")
+
+
+def stored_signals(spark: SparkSession, folder: str) -> DataFrame:
+    """Signals of all stored batches."""
+    return spark.read.option("basePath", f"{folder}/signals").parquet(f"{folder}/signals").drop("batch")
+
+
 def _latest(df: DataFrame, d, rows: int, values: dict) -> DataFrame:
     """Newest ``rows`` rows per code up to ``d``, reduced to today's value and the mean before it."""
     recent = Window.partitionBy("code").orderBy(F.col("d").desc())

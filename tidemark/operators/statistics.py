@@ -397,21 +397,38 @@ def bootstrap_positive_rate(trades: DataFrame, order: Sequence[str], ret: str =
     return means.groupBy(*keys).agg(F.avg((F.round("mean", 12) > 0).cast("double")).alias("positive_rate"), F.count(F.lit(1)).alias("iterations"))
 
 
+def subset_rows(rounds: int, size: Column, k: int, seed: int, spark) -> DataFrame:
+    """(round, _rn): ``k`` different row numbers of 1..size per round, every subset as likely; all rows where there are fewer than k.
+
+    Floyd's sampling: for j from size - k + 1 to size a number up to j is drawn, and j itself taken where that number is taken already.
+    """
+    pick = lambda j: (draw_number(j, F.col("round"), seed) * PRIME + draw_number(j, F.col("round") + 104729, seed)) % j + 1
+
+    def step(taken, j):
+        t = pick(j)
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, t), j).otherwise(t)))
+
+    start = F.array().cast("array<bigint>")
+    rows = spark.range(rounds).select(F.col("id").alias("round"), size.alias("_n"))
+    steps = F.when(F.col("_n") > 0, F.sequence(F.greatest(F.col("_n") - (k - 1), F.lit(1).cast("long")), F.col("_n"))).otherwise(F.array().cast("array<bigint>"))
+    return rows.select("round", F.explode(F.aggregate(steps, start, step)).alias("_rn"))
+
+
 def random_control(pool: DataFrame, order: Sequence[str], means: DataFrame, k: int = 50, rounds: int = 200, seed: int = 7,
                    ret: str = "ret", keys: Sequence[str] = ()) -> DataFrame:
     """C17. Share of random ``k``-trade means below the strategy's ``means(keys, mean)``, drawn from the universe pool.
 
-    A round takes the ``k`` rows with the smallest draw numbers; Spark prunes each task to k rows before it shuffles.
+    Each round draws ``k`` different row numbers, which meet the numbered pool by an equi-join: k x rounds rows move, whatever the
+    size of the pool. The means of the rounds, one number each, are a scalar subquery of the comparison.
     """
-    rows = row_numbers(pool.select(F.lit(0).alias("_g"), *order, F.col(ret).alias("_y")), ["_g"], order, "_rn")
-    drawn = rows.select("_y", "_rn", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    drawn = drawn.withColumn("_u", draw_number(F.col("_rn").cast("long"), F.col("round").cast("long"), seed))
-    first = Window.partitionBy("round").orderBy("_u", "_rn")
-    taken = drawn.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= k)
-    tried = taken.groupBy("round").agg(F.avg("_y").alias("_mean"))  # one row per round
-    one = F.lit(1).alias("_one")
-    return means.select(*keys, "mean", one).join(tried.select("_mean", one), "_one").groupBy(*keys).agg(
-        F.avg((F.col("_mean") < F.col("mean")).cast("double")).alias("pct_rank"), F.count(F.lit(1)).alias("rounds"))
+    numbered = row_numbers(pool.select(F.lit(0).alias("_g"), *order, F.col(ret).alias("_y")), ["_g"], order, "_rn")
+    rows = numbered.select(F.col("_rn").cast("long").alias("_rn"), "_y")
+    size = rows.agg(F.count(F.lit(1))).scalar()
+    drawn = subset_rows(rounds, size, k, seed, pool.sparkSession).join(rows, "_rn")
+    tried = drawn.groupBy("round").agg(F.avg("_y").alias("_mean")).agg(F.collect_list("_mean")).scalar()
+    out = means.select(*keys, "mean", tried.alias("_tried"))
+    below = F.size(F.filter("_tried", lambda x: x < F.col("mean")))
+    return out.select(*keys, F.try_divide(below, F.size("_tried")).alias("pct_rank"), F.size("_tried").cast("long").alias("rounds"))
 
 
 def performance_report(sells: DataFrame, order: Sequence[str], keys: Sequence[str] = (), ret: str = "realized_pct",

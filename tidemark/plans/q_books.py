@@ -274,11 +274,12 @@ def probe(t):
     return t.positions.select("code", F.col("entry_date").alias("d"), "strategy", "mode")
 
 
-@query("a24_filing_digest", """SELECT code, d, strategy, (SELECT count(*) FROM disclosures f WHERE f.code = p.code AND f.d <= p.d AND f.d > p.d - 90) AS filings,
-  (SELECT strftime(max(f.d), '%Y-%m-%d') FROM disclosures f WHERE f.code = p.code AND f.d <= p.d AND f.d > p.d - 90) AS newest_d FROM probe p""", "probe disclosures")
+@query("a24_filing_digest", """SELECT p.code, p.d, p.strategy, count(f.code) AS filings, coalesce(string_agg(strftime(f.d, '%Y-%m-%d') || ' ' || f.report_nm, ' | ' ORDER BY f.k) FILTER (f.k <= 15), '') AS newest
+FROM probe p LEFT JOIN (SELECT q.code AS c, q.d AS at, f.*, row_number() OVER (PARTITION BY q.code, q.d ORDER BY f.d DESC, f.rcept_no DESC, f.report_nm DESC) AS k FROM (SELECT DISTINCT code, d FROM probe) q
+  JOIN disclosures f ON f.code = q.code AND f.d <= q.d AND f.d > q.d - 90) f ON f.c = p.code AND f.at = p.d GROUP BY p.code, p.d, p.strategy""", "probe disclosures")
 def a24(t):
     out = B.filing_digest(t.disclosures, probe(t))
-    return out.select("code", "d", "strategy", "filings", F.substring(F.get("newest", F.lit(0)), 1, 10).alias("newest_d"))
+    return out.select("code", "d", "strategy", "filings", F.coalesce(F.array_join("newest", " | "), F.lit("")).alias("newest"))
 
 
 @query("a25_free_slots", "SELECT mode, strategy, 30 - count(*) AS free_slots FROM positions GROUP BY mode, strategy", "positions")
@@ -482,8 +483,17 @@ def pool_rows(t):
 cte("control_pool", "bars signals", outcome_sql(stop=0.6))
 
 
-@query("c17_random_control", f"""SELECT avg(CASE WHEN m < (SELECT avg(ret) FROM entries) THEN 1.0 ELSE 0.0 END) AS pct_rank, count(*) AS rounds FROM (
-  SELECT i, avg(y) AS m FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY u, rn) AS k FROM ({draw_sql("SELECT 0 AS g, ret AS y, row_number() OVER (ORDER BY d, code) AS rn FROM control_pool", 200)})) WHERE k <= 50 GROUP BY i)""", "entries control_pool")
+_U = "((i * 69621 + 7 + (j + 1) % 2147483647 * 48271) % 2147483647)"  # the sums of draw_number, written out
+_V = f"(({_U} * {_U} + (j + 1) % 2147483647) % 2147483647)"
+_Z = f"(({_V} * 16807 + i) % 2147483647)"
+_DRAW = f"(({_Z} * {_Z} + {_U}) % 2147483647)"
+
+
+@query("c17_random_control", f"""WITH RECURSIVE pool AS MATERIALIZED (SELECT ret AS y, row_number() OVER (ORDER BY d, code) AS rn FROM control_pool), size AS MATERIALIZED (SELECT count(*) AS n FROM pool),
+floyd(i, j, s) AS (SELECT r.i, n - 50, []::BIGINT[] FROM range(200) r(i), size
+  UNION ALL SELECT i, j + 1, CASE WHEN list_contains(s, t) THEN list_append(s, j + 1) ELSE list_append(s, t) END FROM (SELECT i, j, s, 1 + ({_DRAW} * 2147483647 + {_DRAW.replace('(i * 69621', '((i + 104729) * 69621').replace('16807 + i', '16807 + i + 104729')}) % (j + 1) AS t FROM floyd WHERE j < (SELECT n FROM size)) x)
+SELECT avg(CASE WHEN m < (SELECT avg(ret) FROM entries) THEN 1.0 ELSE 0.0 END) AS pct_rank, count(*) AS rounds FROM (
+  SELECT i, avg(y) AS m FROM (SELECT i, unnest(s) AS rn FROM floyd WHERE j = (SELECT n FROM size)) p JOIN pool USING (rn) GROUP BY i) z""", "entries control_pool")
 def c17(t):
     return ST.random_control(pool_rows(t), ["d", "code"], entries(t).agg(F.avg("ret").alias("mean")))
 
