@@ -44,6 +44,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _byte(part: str) -> bool:
+    """Whether a part of an address is at most 255, however many zeros it begins with."""
+    number = part.lstrip("0")
+    return len(number) <= 3 and int(number or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of what the patterns find, leftmost and without overlap per kind; by start, then kind."""
     found, done, at = [], 0, text.find("@")
@@ -56,7 +62,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
             found.append((start, m.end(), "email"))
             done = m.end()
         at = text.find("@", max(at + 1, done))
-    found += [(*m.span(), "ip") for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    found += [(*m.span(), "ip") for m in _IP.finditer(text) if all(map(_byte, m[0].split(".")))]
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 14 <= len(digits) <= 19 and luhn(digits):
@@ -72,7 +78,7 @@ def plausible(piece: str, kind: str) -> bool:
         return 13 <= len(digits) <= 19 and luhn(digits)
     if kind == "ip":
         parts = re.findall("[0-9]+", piece)
-        return len(parts) >= 4 and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts[:4])
+        return len(parts) >= 4 and all(map(_byte, parts[:4]))
     if kind == "phone":
         return 7 <= len(digits) <= 15
     return bool(_SIGN.search(piece))
@@ -83,7 +89,7 @@ def shape(word: str) -> str:
     if not _SIGN.search(word):
         return "plain"
     out, last, run = [], "", 0
-    for c in word[:256]:
+    for c in word:
         s = "d" if c in "0123456789" else "X" if c.isupper() else "x" if c.isalpha() else c
         run = run + 1 if s == last else 1
         if run <= 4 or s == "d" and run in (7, 10, 13):
