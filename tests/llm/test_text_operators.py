@@ -35,6 +35,14 @@ def test_patterns_against_plain_regexes():
         assert pii.base_spans(text) == [(a, b, k) for a, _, b, k in sorted(want)], text
 
 
+def test_long_runs_of_digits_and_long_words(field):
+    zeros = "0" * 5000
+    assert pii.base_spans(zeros + "1.1.1.1") == [(0, 5007, "ip")] and pii.base_spans("1.1.1." + zeros + "256") == []
+    assert pii.plausible(zeros + "1.2.3.4", "ip") and not pii.plausible("9" * 6000 + ".2.3.4", "ip")
+    assert pii.learned_spans([zeros + "1.1.1.1 " + "1" * 9000 + " " + "a@" * 4000], field) is not None
+    assert pii.shape("a1" * 200 + "@") != pii.shape("a1" * 200 + "#")
+
+
 def test_field_adds_other_forms_and_leaves_clean_text(field):
     found = lambda t: [(k, t[a:b]) for a, b, k in pii.learned_spans([t], field)[0]]
     assert found("call (555) 123-4567 today") == [("phone", "(555) 123-4567")]
@@ -128,6 +136,10 @@ def test_pages():
     long = "word " * 40
     assert html_extract.main_text(f"<div>menu</div><p></p><div id=sidebar>{long}</div><p>{long}</p><p>short</p><p>{long}</p>").split("\n")[-3:] == [long.strip(), "short", long.strip()]
     assert [html_extract.main_text(x) for x in (None, "", "<", "<p", "<!-- open", "<script>x", "plain", "<p>a<td>b")] == ["", "", "<", "", "", "", "plain", "a\nb"]
+    assert html_extract.main_text("<article><p title='it's'>Hello world here.</p><p>It's fine</p></article>") == "Hello world here.\nIt's fine"
+    assert html_extract.main_text('<article><p title="open>One</p><p>Two</p></article>') == "One\nTwo"
+    assert html_extract.main_text("<article><p a=\"x>y\" b='\"' c = 'p>q'>In</p><p data-x=it's>Out \"quoted\"</p></article>") == 'In\nOut "quoted"'
+    assert html_extract.main_text("<article><p>a <b>b</b> c</i></b> d<p>e</article>") == "a b c d\ne"
     assert html_extract.body_of([0, 0, 50, 60, 3, 70, 0, 0, 0, 10], 3, 86) == (2, 6)
 
 
@@ -138,6 +150,19 @@ def test_page_rows(spark):
     assert html_extract.extract(pages.limit(0)).collect() == []
 
 
+def test_time_of_deep_pages_is_linear():
+    import time
+
+    def seconds(n):
+        page = "<article>" + "<div><b>" * n + "text" + "</i></section>" * n + "<p>x" * n + "</b></div>" * n + "</article>"
+        start = time.process_time()
+        assert html_extract.main_text(page).startswith("text")
+        return time.process_time() - start
+
+    seconds(500)
+    assert seconds(16_000) < 40 * max(seconds(1_000), 0.01)
+
+
 def test_token_files_round_trip(docs, spark, tmp_path):
     from tokenizers import Tokenizer
 
