@@ -99,3 +99,23 @@ def test_control_and_validation(spark):
     out = {r["rule"]: r for r in validate(lambda s: between(s), trades.withColumn("entry_d", F.col("d")), pool.withColumnRenamed("d", "entry_d"), ["entry_d", "code"], "2024-01-01", "2024-12-31", 50, 50).collect()}
     assert out["good"]["skipped"] is False and out["good"]["bootstrap_pass"] and out["good"]["control_pass"] and out["good"]["t1_n"] + out["good"]["t2_n"] == 41
     assert out["few"]["skipped"] is True and out["few"]["n"] == 9 and out["few"]["bootstrap_pass"] is None and out["few"]["split_date"] is None
+
+
+def test_owners_delete_only_their_own_tables(spark):
+    from tidemark.session import Pins, pin
+
+    rows = spark.range(100).selectExpr("id % 3 AS k", "CAST(id AS DOUBLE) AS x")
+    ranked = ordered.percentile_rank(rows, ["k"], "x", "pct")  # read lazily from tables that nobody owns
+    outer, inner = Pins(), Pins()
+    with outer:
+        a = pin(rows, "a")
+        with inner:
+            b = pin(rows, "b")
+            kept = pin(rows, "kept", keep=True)
+        c = pin(rows, "c")
+    inner.clear(spark)
+    assert ranked.count() == a.count() == c.count() == kept.count() == 100
+    with pytest.raises(Exception):
+        b.count()
+    outer.clear(spark)
+    assert ranked.count() == 100 and outer.paths == []

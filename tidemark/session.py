@@ -41,24 +41,39 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-_PINNED: list[str] = []
+class Pins:
+    """Owner of the tables pinned while it is entered: ``with owner: ...``. ``clear`` deletes these and no others.
+
+    For callers whose results are stored elsewhere by now. What is pinned outside of any owner stays until the folder is cleaned.
+    """
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Pins:
+        _OWNERS.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _OWNERS.remove(self)
+
+    def clear(self, spark: SparkSession) -> None:
+        while self.paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def clear_pins(spark: SparkSession) -> None:
-    """Delete what this process has pinned so far; for callers whose results are stored elsewhere by now."""
-    while _PINNED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_PINNED.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+_OWNERS: list[Pins] = []  # those entered, the innermost last
 
 
 def pin(df: DataFrame, label: str = "t", keep: bool = False) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back; ``clear_pins`` deletes it unless it is to be kept.
+    """Write ``df`` once to the shared folder and read it back; it belongs to the innermost owner entered unless it is to be kept.
 
     Cuts lineage, survives lost executors, and gives Catalyst the real table size, so a later
     join broadcasts it only when that size is below the session's threshold.
     """
     path = f"{shared_folder(df.sparkSession)}/pinned/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not keep:
-        _PINNED.append(path)
+    if _OWNERS and not keep:
+        _OWNERS[-1].paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
