@@ -89,7 +89,6 @@ def free_chain(rows: DataFrame, group: Sequence[str], inclusive: bool) -> DataFr
     day = lambda c: F.unix_date(F.to_date(c)).cast("long")
     rows = rows.withColumns({"_era": F.floor(day(F.col("d")) / ERA_DAYS), "_d": day(F.col("d")), "_x": F.coalesce(day(F.col("exit_d")), F.lit(FOREVER // 2))})
     cut = [*group, "_era"]
-    dealt = rows.repartition(*cut)
     keys = ", ".join(f"`{c}` {t}" for c, t in rows.select(*cut).dtypes)
 
     def steps(batches):
@@ -113,7 +112,7 @@ def free_chain(rows: DataFrame, group: Sequence[str], inclusive: bool) -> DataFr
     # Most groups lie within one era and need no steps.
     long = rows.groupBy(*group).agg(F.min("_era").alias("_first"), F.max("_era").alias("_last")).where(F.col("_first") < F.col("_last"))
     long = long.select(*[F.col(c).alias(f"_l_{c}") for c in group])
-    some = dealt.join(long, _equal(group, "_l_"), "left_semi").repartition(*cut)
+    some = rows.join(long, _equal(group, "_l_"), "left_semi").repartition(*cut)
     told = some.sortWithinPartitions(*cut, "_d").select(*cut, "_d", "_x").mapInArrow(steps, f"{keys}, _upto array<long>, _leave array<long>")
     eras = told.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("_era", "_upto", "_leave"))).alias("_eras")).where(F.size("_eras") > 1)
 
@@ -126,7 +125,7 @@ def free_chain(rows: DataFrame, group: Sequence[str], inclusive: bool) -> DataFr
     start = F.struct(F.lit(-FOREVER).alias("x"), F.array().cast("array<struct<_era:bigint,_in:bigint>>").alias("out"))
     carried = eras.select(*[F.col(c).alias(f"_g_{c}") for c in group], F.explode(F.aggregate("_eras", start, carry)["out"]).alias("_c")).select(
         *[f"_g_{c}" for c in group], F.col("_c._era").alias("_g__era"), F.col("_c._in").alias("_in"))
-    entered = dealt.join(carried, _equal(cut, "_g_"), "left").select(*dealt.columns, F.coalesce("_in", F.lit(-FOREVER)).alias("_in"))
+    entered = rows.join(carried, _equal(cut, "_g_"), "left").select(*rows.columns, F.coalesce("_in", F.lit(-FOREVER)).alias("_in"))
 
     def walk(batches):
         for batch, no in _whole(batches, cut):
