@@ -21,6 +21,11 @@ def ratio(num: Column, den: Column) -> Column:
     return F.when(den > 0, num / den)
 
 
+def over_positive(num: Column, den: Column) -> Column:
+    """``ratio`` of doubles that names each operand once, so a window aggregate given to it is evaluated once."""
+    return F.try_divide(num, F.greatest(den, F.lit(0.0)))
+
+
 def quotient(num: Column, den: Column) -> Column:
     """P12. num / den, NULL on a zero or missing denominator."""
     return F.try_divide(num, den)

@@ -12,21 +12,13 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.nulls import ratio
+from tidemark.functions.nulls import over_positive
+
 
 def by_code():
     return Window.partitionBy("code").orderBy("d")
 
 
-def _bind(use, **values: Column) -> Column:
-    """Evaluate each window aggregate once and let ``use`` refer to it several times.
-
-    Without this, every mention of a window expression becomes an aggregate of its own.
-    """
-    cell = F.struct(*[v.alias(k) for k, v in values.items()])
-    return F.get(F.transform(F.array(cell), use), F.lit(0))
-
-
 def _full(x: Column, frame, n: int, value: Column) -> Column:
     return F.when(F.count(x).over(frame) == n, value)
 
@@ -51,12 +43,12 @@ def prior_mean(x: Column, n: int) -> Column:
 
 def prior_ratio(x: Column, n: int = 30) -> Column:
     """W03, W07. Today over the mean of the previous ``n`` rows."""
-    return _bind(lambda s: ratio(s["x"], s["m"]), x=x, m=prior_mean(x, n))
+    return over_positive(x, prior_mean(x, n))
 
 
 def prior_abs_ratio(x: Column, n: int = 30) -> Column:
     """W06. Today over the mean absolute value of the previous ``n`` rows."""
-    return _bind(lambda s: ratio(s["x"], s["m"]), x=x, m=prior_mean(F.abs(x), n))
+    return over_positive(x, prior_mean(F.abs(x), n))
 
 
 def with_prior_range(bars: DataFrame, n: int = 252, prefix: str = "_prior", low: str = "l", high: str = "h") -> DataFrame:
@@ -103,8 +95,7 @@ def carried(x: Column) -> Column:
 
 def forward_return(o: Column, c: Column, horizon: int) -> Column:
     """W11. Buy at the next open, sell at the close ``horizon`` rows later, no costs."""
-    return _bind(lambda s: F.when(s["o"] > 0, s["c"] / s["o"] - 1),
-                 o=F.lead(o, 1).over(by_code()), c=F.lead(c, 1 + horizon).over(by_code()))
+    return over_positive(F.lead(c, 1 + horizon).over(by_code()), F.lead(o, 1).over(by_code())) - 1
 
 
 def return_since(c: Column, bars: int) -> Column:
