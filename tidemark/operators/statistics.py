@@ -311,7 +311,8 @@ def index_benchmark(closes: DataFrame, windows: DataFrame) -> DataFrame:
 
 def best_variant(stats: DataFrame, keys: Sequence[str], variant: str, score: str, min_n: int, default) -> DataFrame:
     """A19. Variant with the best score among those with enough observations, else the default."""
-    usable = F.when(F.col("n") >= min_n, F.struct(F.col(score), F.col(variant)))
+    # Rounded, so that variants with the same trades tie whatever the order of their sums.
+    usable = F.when(F.col("n") >= min_n, F.struct(F.round(F.col(score), 10).alias("_score"), F.col(variant)))
     return stats.groupBy(*keys).agg(F.coalesce(F.max(usable)[variant], F.lit(default)).alias(variant))
 
 

@@ -489,22 +489,66 @@ _Z = f"(({_V} * 16807 + i) % 2147483647)"
 _DRAW = f"(({_Z} * {_Z} + {_U}) % 2147483647)"
 
 
-@query("c17_random_control", f"""WITH RECURSIVE pool AS MATERIALIZED (SELECT ret AS y, row_number() OVER (ORDER BY d, code) AS rn FROM control_pool), size AS MATERIALIZED (SELECT count(*) AS n FROM pool),
-floyd(i, j, s) AS (SELECT r.i, n - 50, []::BIGINT[] FROM range(200) r(i), size
-  UNION ALL SELECT i, j + 1, CASE WHEN list_contains(s, t) THEN list_append(s, j + 1) ELSE list_append(s, t) END FROM (SELECT i, j, s, 1 + ({_DRAW} * 2147483647 + {_DRAW.replace('(i * 69621', '((i + 104729) * 69621').replace('16807 + i', '16807 + i + 104729')}) % (j + 1) AS t FROM floyd WHERE j < (SELECT n FROM size)) x)
-SELECT avg(CASE WHEN m < (SELECT avg(ret) FROM entries) THEN 1.0 ELSE 0.0 END) AS pct_rank, count(*) AS rounds FROM (
-  SELECT i, avg(y) AS m FROM (SELECT i, unnest(s) AS rn FROM floyd WHERE j = (SELECT n FROM size)) p JOIN pool USING (rn) GROUP BY i) z""", "entries control_pool")
+def _control_sql(rounds):
+    """CTEs up to ``tried``: the mean m of each round's draw from the pool."""
+    return f"""pool AS MATERIALIZED (SELECT ret AS y, row_number() OVER (ORDER BY d, code) AS rn FROM control_pool), size AS MATERIALIZED (SELECT count(*) AS n FROM pool),
+floyd(i, j, s) AS (SELECT r.i, n - 50, []::BIGINT[] FROM range({rounds}) r(i), size
+  UNION ALL SELECT i, j + 1, CASE WHEN list_contains(s, t) THEN list_append(s, j + 1) ELSE list_append(s, t) END FROM (SELECT i, j, s, 1 + ({_DRAW} * 2147483647 + {_DRAW.replace('(i * 69621', '((i + 104729) * 69621').replace('16807 + i', '16807 + i + 104729')}) % (j + 1) AS t FROM floyd WHERE j < (SELECT n FROM size)) x),
+tried AS MATERIALIZED (SELECT i, avg(y) AS m FROM (SELECT i, unnest(s) AS rn FROM floyd WHERE j = (SELECT n FROM size)) p JOIN pool USING (rn) GROUP BY i)"""
+
+
+@query("c17_random_control", f"""WITH RECURSIVE {_control_sql(200)}
+SELECT avg(CASE WHEN m < (SELECT avg(ret) FROM entries) THEN 1.0 ELSE 0.0 END) AS pct_rank, count(*) AS rounds FROM tried z""", "entries control_pool")
 def c17(t):
     return ST.random_control(pool_rows(t), ["d", "code"], entries(t).agg(F.avg("ret").alias("mean")))
 
 
-@query("c37_validation")
+# Parity of the CRC-32 of a code, bit by bit.
+_EVEN = """SELECT code, list_reduce(list_prepend(4294967295::BIGINT, flatten([[ascii(substr(code, CAST(p AS INTEGER), 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0] for p in range(1, length(code) + 1)])),
+  lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))) & 1 = 1 AS even FROM (SELECT DISTINCT code FROM entries) x"""
+
+
+def _walk_sql(name, rows, keys):
+    """CTEs ``name`` (rows numbered per keys and code) and ``name``_kept: the trades left when none may start before the last has closed."""
+    keys = [*keys, "code"]
+    cols = ", ".join(keys)
+
+    def same(a, b):
+        return " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys)
+
+    def of(a):
+        return ", ".join(f"{a}.{k}" for k in keys)
+
+    return f"""{name} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {cols} ORDER BY d) AS i FROM ({rows}) q),
+{name}_next AS MATERIALIZED (SELECT {of('n')}, n.i, m.i AS j FROM {name} n ASOF JOIN (SELECT {cols}, d, i FROM {name}) m ON {same('m', 'n')} AND n.exit_d < m.d),
+{name}_walk({cols}, i) AS (SELECT {cols}, min(i) FROM {name} GROUP BY {cols} UNION ALL SELECT {of('w')}, x.j FROM {name}_walk w JOIN {name}_next x ON {same('x', 'w')} AND x.i = w.i),
+{name}_kept AS MATERIALIZED (SELECT * FROM {name} JOIN {name}_walk USING ({cols}, i))"""
+
+
+C37_FROM, C37_TO = "1995-01-01", "2001-12-31"
+_HALVES = f"""SELECT s.half, r.* FROM ruled r JOIN mid USING (rule) JOIN head USING (rule) JOIN (VALUES (1), (2)) s(half)
+  ON CASE WHEN s.half = 1 THEN d BETWEEN DATE '{C37_FROM}' AND split_date ELSE d BETWEEN split_date AND DATE '{C37_TO}' END WHERE n >= 10"""
+C37_SQL = f"""WITH RECURSIVE ruled AS MATERIALIZED (SELECT 'all' AS rule, * FROM entries UNION ALL SELECT 'half', e.* FROM entries e JOIN ({_EVEN}) f USING (code) WHERE even),
+{_walk_sql('b', 'SELECT * FROM ruled', ['rule'])},
+trades AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY entry_d, code) AS rn FROM b_kept),
+head AS MATERIALIZED (SELECT rule, count(*) AS n, avg(ret) AS mean FROM trades GROUP BY rule),
+mid AS MATERIALIZED (SELECT t.rule, t.entry_d AS split_date FROM trades t JOIN head USING (rule) WHERE t.rn = head.n // 2 + 1),
+{_walk_sql('h', _HALVES, ['rule', 'half'])},
+boot AS (SELECT g AS rule, positive_rate FROM ({positive_sql('SELECT rule AS g, ret AS y, rn FROM trades', 200)}) p),
+{_control_sql(100)},
+means AS (SELECT rule, count(*) FILTER (WHERE half = 1) AS t1_n, count(*) FILTER (WHERE half = 2) AS t2_n, avg(ret) FILTER (WHERE half = 1) * 100 AS t1, avg(ret) FILTER (WHERE half = 2) * 100 AS t2 FROM h_kept GROUP BY rule),
+told AS (SELECT h.*, (SELECT avg(CASE WHEN m < h.mean THEN 1.0 ELSE 0.0 END) FROM tried) AS pct_rank FROM head h)
+SELECT rule, n, n < 10 AS skipped, CASE WHEN n >= 10 THEN split_date END AS split_date, t1_n, t2_n, {r('t1')} AS t1_mean_pct, {r('t2')} AS t2_mean_pct, CASE WHEN n >= 10 THEN {r('positive_rate * 100')} END AS bootstrap_positive_pct,
+  CASE WHEN n >= 10 THEN positive_rate >= 0.8 END AS bootstrap_pass, CASE WHEN n >= 10 THEN {r('pct_rank * 100')} END AS random_pct_rank, CASE WHEN n >= 10 THEN pct_rank >= 0.8 END AS control_pass
+FROM told JOIN mid USING (rule) LEFT JOIN means USING (rule) LEFT JOIN boot USING (rule)"""
+
+
+@query("c37_validation", C37_SQL, "entries control_pool")
 def c37(t):
     """All rules in one job: every entry, and the cheaper half of the codes."""
     from tidemark.operators import outcomes as O
     from tidemark.session import pin
 
-    start, end = "1995-01-01", "2001-12-31"
     rules = F.array(F.lit("all"), F.when(F.pmod(F.crc32("code"), F.lit(2)) == 0, "half"))
     base = pin(entries(t).select("*", F.explode(F.array_compact(rules)).alias("rule")), "entries")
 
@@ -514,4 +558,4 @@ def c37(t):
 
     trades = pin(O.non_overlapping(base, ["rule"]), "trades")
     pool = pool_rows(t).withColumnRenamed("d", "entry_d")
-    return ST.validate(between, trades, pool, ["entry_d", "code"], start, end, iterations=200, rounds=100)
+    return rounded(ST.validate(between, trades, pool, ["entry_d", "code"], C37_FROM, C37_TO, iterations=200, rounds=100))

@@ -18,7 +18,7 @@ from tidemark.operators.ordered import percentile_rank
 from tidemark.operators.signals import METRICS
 from tidemark.plans.domain_sql import cte, num, r
 from tidemark.plans.q_signals import HORIZONS, TURN20, TURNOVER, _pos_sql, fwd_sql, rounded
-from tidemark.plans.q_value import QCAP, days, pool
+from tidemark.plans.q_value import C05_SQL, QCAP, _pr, days, pool
 from tidemark.plans.registry import query
 from tidemark.session import pin
 
@@ -459,7 +459,20 @@ def c14_quality(t):
     return rounded(R.walk_forward_periods(window_periods(t), 8, "quality", "quality")["summary"])
 
 
-@query("c14_fundamental_walk_forward")
+PBR_CAPS = (("none", None), ("pbr100", 100.0), ("pbr200", 200.0), ("pbr300", 300.0))
+_CAPS = ", ".join(f"('{n}', {'NULL::DOUBLE' if x is None else num(x)})" for n, x in PBR_CAPS)
+cte("capped", "disclosures bars quarters caps08 signals", f"""
+SELECT t.variant, w."window", w.phase, o.* FROM (SELECT variant, code, d, row_number() OVER (PARTITION BY variant, d ORDER BY rank, code) AS k
+  FROM ({C05_SQL}) f LEFT JOIN (SELECT code, d, market_cap / equity AS pbr FROM caps08 WHERE equity > 0) p USING (code, d), (VALUES {_CAPS}) AS v(variant, most)
+  WHERE most IS NULL OR pbr <= most) t
+JOIN ({outcome_sql(stop=STOP, monitor=0, market=True)}) o USING (code, d) JOIN (VALUES {_SPANS}) AS w("window", phase, a, b) ON o.d BETWEEN w.a AND w.b WHERE k <= 5""")
+cte("cap_chosen", "capped", """
+SELECT "window", coalesce(arg_max(variant, (m, variant)), 'none') AS variant FROM (SELECT DISTINCT "window" FROM capped) n
+LEFT JOIN (SELECT "window", variant, round(avg(ret), 12) AS m FROM capped WHERE phase = 'train' GROUP BY 1, 2) x USING ("window") GROUP BY 1""")
+
+
+@query("c14_fundamental_walk_forward", stats_sql("""(SELECT 'selected' AS arm, v.* FROM capped v JOIN cap_chosen c ON c."window" = v."window" AND c.variant = v.variant WHERE phase = 'test'
+  UNION ALL SELECT 'control', * FROM capped WHERE phase = 'test' AND variant = 'none') z""", "arm"), "capped cap_chosen")
 def c14_fundamental(t):
     """The five best filers of each day under four PBR caps, as independent trades; the cap is selected on training windows."""
     from tidemark.operators import fundamentals as V
@@ -468,19 +481,52 @@ def c14_fundamental(t):
     filers = pin(V.fundamental_candidates(t.disclosures, t.statements, t.bars, TURNOVER), "filers")
     filers = filers.join(caps, ["code", "d"], "left")
     parts = None
-    for name, limit in (("none", None), ("pbr100", 100.0), ("pbr200", 200.0), ("pbr300", 300.0)):
+    for name, limit in PBR_CAPS:
         part = filers.where(FL.pbr_within(F.col("pbr"), limit)).select("code", "d", "rank", F.lit(name).alias("variant"))
         parts = part if parts is None else parts.unionByName(part)
     order = Window.partitionBy("variant", "d").orderBy("rank", "code")
     best = parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 5)
     closed = O.barrier_outcomes(t.bars, best, stop_pct=STOP, monitor_from=0, count="market_days", min_hold=5)
-    return R.walk_forward(R.in_windows(closed, WINDOWS).drop("span_end"), 1, "none")["summary"]
+    return rounded(R.walk_forward(R.in_windows(closed, WINDOWS).drop("span_end"), 1, "none")["summary"].drop("reasons"))
+
+
+SWEEP_SPANS = {"train": ("1996-01-01", "1998-12-31"), "valid": ("1999-01-01", "2001-09-30")}
+cte("judged", "bars signals", f"""
+SELECT b.code, b.d, b.o, b.l, b.c, dense_rank() OVER (ORDER BY b.d) AS pos, row_number() OVER (PARTITION BY b.code ORDER BY b.d) AS seq, j.d IS NOT NULL AS judged, coalesce(q.pct >= 0.9, FALSE) AS hot,
+  coalesce(count(j.d) OVER (PARTITION BY b.code ORDER BY b.d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS judged_before
+FROM bars b LEFT JOIN (SELECT DISTINCT d FROM signals) j ON j.d = b.d LEFT JOIN (SELECT code, d, {_pr('credit_surge_ratio')} AS pct FROM signals) q ON q.code = b.code AND q.d = b.d""")
+
+
+def judged_sql(flag):
+    """First hit on judged bars alone, expiry before the signal; entries without one stay open."""
+    stop = f"(e.entry_px * {num(1 - STOP)})"
+    return f"""SELECT code, d, x.entry_d, x.entry_px, h.exit_d, h.held, h.exit_px / x.entry_px - 1 AS ret FROM (
+  SELECT s.code, s.d, e.d AS entry_d, {BUYF.format('e.o')} AS entry_px FROM judged s JOIN judged e ON e.code = s.code AND e.seq = s.seq + 1 AND e.pos = s.pos + 1 WHERE e.o > 0) x
+LEFT JOIN (SELECT e.code, e.d, arg_min(x.d, x.seq) AS exit_d, arg_min(x.pos - e.epos, x.seq) AS held,
+    arg_min({SELLF.format(f'(CASE WHEN x.l <= {stop} THEN least({stop}, x.o) ELSE x.c END)')}, x.seq) AS exit_px
+  FROM (SELECT s.code, s.d, e.pos AS epos, e.judged_before AS first, {BUYF.format('e.o')} AS entry_px FROM judged s JOIN judged e ON e.code = s.code AND e.seq = s.seq + 1) e
+  JOIN judged x ON x.code = e.code AND x.judged AND x.judged_before BETWEEN e.first AND e.first + 20
+  WHERE x.l <= {stop} OR {flag} OR x.pos - e.epos >= 20 GROUP BY e.code, e.d) h USING (code, d)"""
+
+
+def _best_sql(metric, k):
+    return f"SELECT code, d FROM (SELECT code, d, row_number() OVER (PARTITION BY d ORDER BY round({metric}, 9), code) AS k FROM signals WHERE {metric} IS NOT NULL) x WHERE k <= {k}"
+
+
+_PHASE = "CASE " + " ".join(f"WHEN d BETWEEN DATE '{a}' AND DATE '{b}' THEN '{n}'" for n, (a, b) in SWEEP_SPANS.items()) + " END"
+C15_SQL = f"""WITH RECURSIVE plain AS MATERIALIZED (SELECT *, {_PHASE} AS "window" FROM ({judged_sql('FALSE')}) z), exiting AS MATERIALIZED (SELECT *, {_PHASE} AS "window" FROM ({judged_sql('x.hot')}) z),
+pool AS MATERIALIZED (SELECT p.*, row_number() OVER (PARTITION BY "window", code ORDER BY d) AS i FROM plain p JOIN (SELECT code, d FROM signals WHERE heat_score IS NOT NULL) s USING (code, d) WHERE "window" IS NOT NULL),
+nxt AS MATERIALIZED (SELECT n."window", n.code, n.i, m.i AS j FROM pool n ASOF JOIN (SELECT "window", code, d, i FROM pool) m ON m."window" = n."window" AND m.code = n.code AND n.exit_d <= m.d),
+walk("window", code, i) AS (SELECT "window", code, min(i) FROM pool GROUP BY 1, 2 UNION ALL SELECT w."window", w.code, x.j FROM walk w JOIN nxt x ON x."window" = w."window" AND x.code = w.code AND x.i = w.i),
+trades AS (SELECT 'base5' AS variant, p.* FROM plain p JOIN ({_best_sql('heat_score', 5)}) b USING (code, d) UNION ALL SELECT 'slot2', p.* FROM plain p JOIN ({_best_sql('heat_score', 2)}) b USING (code, d)
+  UNION ALL SELECT 'credit', p.* FROM plain p JOIN ({_best_sql('credit_surge_ratio', 5)}) b USING (code, d) UNION ALL SELECT 'exit', p.* FROM exiting p JOIN ({_best_sql('credit_surge_ratio', 5)}) b USING (code, d)
+  UNION ALL SELECT 'pool', p.code, p.d, p.entry_d, p.entry_px, p.exit_d, p.held, p.ret, p."window" FROM pool p JOIN walk w ON w."window" = p."window" AND w.code = p.code AND w.i = p.i)
+""" + stats_sql("trades", 'variant, "window"', where='WHERE exit_d IS NOT NULL AND "window" IS NOT NULL')
 
 
-@query("c15_hypothesis_sweep")
+@query("c15_hypothesis_sweep", C15_SQL, "judged signals")
 def c15(t):
     """Variants of the best entries of each day, and the pool of all entries, over a training and a validation span."""
-    spans = {"train": ("1996-01-01", "1998-12-31"), "valid": ("1999-01-01", "2001-09-30")}
     signals = pin(t.signals, "signals")
     judged = signals.select("d", F.lit(True).alias("judged")).distinct()
     ranks = percentile_rank(signals.select("code", "d", "credit_surge_ratio"), ["d"], "credit_surge_ratio", "pct")
@@ -500,6 +546,6 @@ def c15(t):
             rows = top_per_day(rows, [F.col("x"), F.col("code")], limit).select("code", "d", "rank")
         rows = rows.join(exiting if name == "exit" else plain, ["code", "d"], "left").withColumn("variant", F.lit(name))
         parts = rows if parts is None else parts.unionByName(rows)
-    cells = F.when(F.col("d").between(*spans["train"]), "train").when(F.col("d").between(*spans["valid"]), "valid")
+    cells = F.when(F.col("d").between(*SWEEP_SPANS["train"]), "train").when(F.col("d").between(*SWEEP_SPANS["valid"]), "valid")
     parts = parts.withColumn("window", cells).where(F.col("window").isNotNull())
-    return ST.trade_statistics(R.hypothesis_sweep(parts, best), ["variant", "window"])
+    return rounded(ST.trade_statistics(R.hypothesis_sweep(parts, best), ["variant", "window"]).drop("reasons"))
