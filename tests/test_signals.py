@@ -157,3 +157,61 @@ def test_held_codes_leave_only_on_their_days(spark):
     free = got(None)
     assert day(23) in free and got(spark.createDataFrame([("000010", day(23))], "code string, d date")) == [d for d in free if d != day(23)]
     assert got(spark.createDataFrame([("000010",)], "code string")) == []
+
+
+def uneven_sources(spark, seed=5):
+    """Codes with suspensions, late listings and delistings, and credit told daily, rarely, once, on days without a bar, or never."""
+    rnd = random.Random(seed)
+    bars, flows, credit = [], [], []
+    for k in range(24):
+        code, keep, told = f"{k:05}0", rnd.choice((1.0, 0.6, 0.15)), rnd.choice((1.0, 0.02, 0.0))
+        first, last = rnd.choice((0, 0, 150, 230)), rnd.choice((400, 400, 260))
+        gap = rnd.choice(((0, 0), (60, 200), (180, 215)))
+        for i in range(first, last):
+            if gap[0] <= i < gap[1] or rnd.random() > keep:
+                if rnd.random() < 0.02:
+                    credit.append((code, day(i), rnd.randrange(1, 99), rnd.random()))  # no bar on that day
+                continue
+            bars.append((code, day(i), *[float(rnd.randrange(1, 50))] * 4, rnd.randrange(0, 9)))
+            if rnd.random() < 0.9:
+                flows.append((code, day(i), *[rnd.randrange(-9, 9) for _ in range(3)]))
+            if rnd.random() < told or (i == first + 3 and k % 3 == 0):
+                credit.append((code, day(i), rnd.choice((None, rnd.randrange(1, 99))), rnd.choice((None, rnd.random()))))
+    frames = (spark.createDataFrame(rows, schema) for rows, schema in (
+        (bars, schemas.STOCK_DAILY), (flows, schemas.INVESTOR_FLOW), (credit, schemas.CREDIT_BALANCE)))
+    return tuple(df.repartition(2) for df in frames)
+
+
+def rows_of(df):
+    return sorted(str([round(x, 9) if isinstance(x, float) else x for x in row]) for row in df.collect())
+
+
+def test_range_with_warmup_equals_the_full_run(spark):
+    sources = uneven_sources(spark)
+    full = S.signals_history(*sources).cache()
+    for start, end in ((day(205), day(245)), (day(35), None), (day(300), day(301)), (day(500), None)):
+        want = full.where((F.col("d") >= F.lit(start)) & (F.lit(True) if end is None else F.col("d") <= F.lit(end)))
+        got = rows_of(S.signals_history(*sources, start=start, end=end))
+        assert got == rows_of(want) and (len(got) > 0) == (start < day(400))
+    full.unpersist()
+
+
+def test_one_day_reads_recent_days_first(spark, tmp_path):
+    sources = uneven_sources(spark, 9)
+    stored = []
+    for name, df in zip(("bars", "flows", "credit"), sources):
+        df.write.parquet(f"{tmp_path}/{name}")
+        stored.append(spark.read.parquet(f"{tmp_path}/{name}"))
+    for d in (day(90), day(240), day(399)):
+        want = S.signals_on(*sources, d)
+        recent = [x.where(F.col("d") <= F.lit(d)) for x in sources]
+        by_hand = {r["code"]: r["_n"] for r in recent[0].groupBy("code").agg(F.count("*").alias("_n"), F.max("d").alias("l")).where(F.col("l") == F.lit(d)).collect()}
+        got = {r["code"]: r["volume_ratio"] for r in S.signals_on(*stored, d).collect()}
+        assert set(got) == {c for c, n in by_hand.items() if n > 30} and len(got) > 0
+        assert rows_of(want) == rows_of(S.signals_on(*stored, d))
+        rows = {c: [r["x"] for r in recent[0].where(F.col("code") == c).orderBy(F.desc("d")).select((F.col("c") * F.col("v")).alias("x")).limit(31).collect()] for c in list(got)[:3]}
+        for c, x in rows.items():
+            mean = sum(x[1:]) / 30
+            assert got[c] == (pytest.approx(x[0] / mean) if mean > 0 else None)
+    plan = S.signals_history(*stored, start=day(300), end=day(310))._jdf.queryExecution().executedPlan().toString()
+    assert f"GreaterThanOrEqual(d,{day(210)})" in plan

@@ -1,11 +1,12 @@
 import json
 import os
-from datetime import date
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark import schemas
+from tidemark.operators.signals import signals_history
 from tidemark.sources import landing as L
 from tidemark.sources import tables as T
 from tidemark.streaming import ingest as I
@@ -88,6 +89,58 @@ def test_save_runs_replaces_a_strategy(spark, tmp_path):
     assert trades() == {"b": 2} and T.stored_runs(spark, str(tmp_path)).count() == 2
 
 
+def test_superseded_trades_are_removed(spark, tmp_path):
+    path = f"{tmp_path}/a b%c"  # blanks and percent signs are escaped in file addresses
+
+    def save(*names):
+        runs = spark.createDataFrame([(1, n) for n in names], "id int, strategy string")
+        T.save_runs(path, runs, spark.createDataFrame([(n, len(names)) for n in names], "strategy string, i int"))
+
+    def trades():
+        return sorted((r["strategy"], r["i"]) for r in T.stored_trades(spark, path, "strategy string, i int").collect())
+
+    save("x", "y/z"), save("x")
+    assert T.remove_superseded(spark, path) == 0  # too young: a save under way may still point at them
+    assert T.remove_superseded(spark, path, older_than=0) == 1 and trades() == [("x", 1), ("y/z", 2)]
+    save("y/z")
+    assert T.remove_superseded(spark, path, older_than=0) == 1 and trades() == [("x", 1), ("y/z", 1)]
+    assert T.superseded_trades(spark, path, older_than=0).count() == 0
+
+
+def test_corp_code_files_in_order(spark, tmp_path):
+    entry = "<list><corp_code>{}</corp_code><corp_name>n</corp_name><stock_code>005930</stock_code><modify_date>20240101</modify_date></list>"
+    for name, codes in (("b", ("00000003", "00000004")), ("a", ("00000001", "00000002"))):
+        (tmp_path / f"{name}.xml").write_text("<result>" + "".join(entry.format(c) for c in codes) + "</result>")
+    assert [r["corp_code"] for r in L.read_corp_codes(spark, str(tmp_path)).collect()] == ["00000004"]
+
+
+def test_bucketed_tables_need_no_exchange(spark, tmp_path):
+    codes = ("000010", "000020", "000030")
+    days = [date(2024, 1, 1) + timedelta(days=i) for i in range(40)]
+    bars = spark.createDataFrame([(c, d, 9.0, 11.0, 8.0, 10.0 + i, 100 + i) for c in codes for i, d in enumerate(days)], schemas.STOCK_DAILY)
+    flows = bars.select("code", "d", (F.col("v") * 3).alias("individual_net"), F.col("v").alias("foreign_net"), (-F.col("v")).alias("institution_net"))
+    credit = bars.select("code", "d", F.col("v").alias("credit_amt"), (F.col("c") / 100).alias("credit_ratio"))
+    want = sorted(signals_history(bars, flows, credit).collect())
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        tables = []
+        for name, df in (("tb_bars", bars), ("tb_flows", flows), ("tb_credit", credit)):
+            T.store_by_code(df, name, f"{tmp_path}/{name}", 4)
+            tables.append(spark.table(name))
+        got = signals_history(*tables)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" in signals_history(bars, flows, credit)._jdf.queryExecution().executedPlan().toString()
+        assert sorted(got.collect()) == want and len(want) == 30
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        for name in ("tb_bars", "tb_flows", "tb_credit"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def test_stored_bars_prune(spark, tmp_path):
     bars = spark.createDataFrame([("A", date(y, 1, 2), 1.0, 1.0, 1.0, 1.0, 1) for y in (2022, 2023)], schemas.STOCK_DAILY)
     T.write_bars(bars, f"{tmp_path}/bars")

@@ -41,6 +41,33 @@ def _rows(bars: DataFrame, flows: DataFrame, credit: DataFrame, keep: tuple[str,
         F.col("credit_amt").cast("double").alias("_credit"), F.col("credit_ratio").alias("_level"))
 
 
+def with_warmup(bars: DataFrame, flows: DataFrame, credit: DataFrame, start, window: int = WINDOW, keep: tuple[str, ...] = (),
+                span: int | None = None) -> DataFrame:
+    """Aligned rows from ``start`` on and, before it, enough for their windows and carried credit.
+
+    Every source is read from ``span`` calendar days before ``start`` on, which reaches the scans as a filter. A code whose
+    ``window`` rows or whose credit lie further back (a long suspension, the last credit told long ago) gets its older rows as
+    well, found by a semi-join; where there is no such code, adaptive execution drops that branch.
+    """
+    first = F.lit(start).cast("date")
+    edge = F.date_sub(first, 3 * window if span is None else span)
+    near = _rows(*(x.where(F.col("d") >= edge) for x in (bars, flows, credit)), keep)
+    before = F.when(F.col("d") < first, F.col("d"))
+    codes = near.groupBy("code").agg(
+        F.max("d").alias("_last"),
+        # At most ``span`` days: the day from which on windows look at rows.
+        F.try_element_at(F.sort_array(F.collect_list(before), asc=False), F.lit(window)).alias("_from"),
+        *[F.min(F.when(F.col(x).isNotNull(), F.col("d"))).alias(f"_told{x}") for x in ("_credit", "_level")])
+    untold = [F.coalesce(F.col(f"_told{x}") > F.col("_from"), F.lit(True)) for x in ("_credit", "_level")]
+    codes = codes.where((F.col("_last") >= first) & (F.col("_from").isNull() | untold[0] | untold[1]))
+    older = [x.where(F.col("d") < edge) for x in (bars, flows, credit)]
+    # Codes whose rows reach back far enough need older rows for their credit alone, and only where some was told.
+    told = older[2].select("code").distinct().withColumn("_older", F.lit(True))
+    codes = codes.join(told, "code", "left").where(F.col("_from").isNull() | F.col("_older")).select("code")
+    far = _rows(older[0].join(codes, "code", "left_semi"), older[1], older[2], keep)
+    return near.unionByName(far)
+
+
 def _ratios(base: DataFrame, window: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """The six ratios of rows with carried credit and position ``_seq``, from position ``window`` + 1 on."""
     # One pass over the prior window for all sources; ratios follow as plain expressions.
@@ -69,11 +96,13 @@ def signals_history(bars: DataFrame, flows: DataFrame, credit: DataFrame,
                     start=None, end=None, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
     """C02. Signals of all days in one job: one exchange on code carries every window.
 
-    ``keep`` names bar columns to carry along, so later per-code windows need no second join.
+    ``keep`` names bar columns to carry along, so later per-code windows need no second join. With ``start`` the scans read the
+    days from there on and a warm-up before it, see ``with_warmup``; the rows are those of the whole history cut at ``start``.
     """
     if end is not None:  # no window looks ahead, so later rows need not be read
         bars, flows, credit = (x.where(F.col("d") <= F.lit(end).cast("date")) for x in (bars, flows, credit))
-    base = _rows(bars, flows, credit, keep).withColumns(
+    rows = _rows(bars, flows, credit, keep) if start is None else with_warmup(bars, flows, credit, start, window, keep)
+    base = rows.withColumns(
         {"_credit": carried(F.col("_credit")), "_level": carried(F.col("_level")), "_seq": bar_index()})
     ratios = _ratios(base, window, keep)
     if start is not None:
@@ -128,10 +157,23 @@ def stored_signals(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.option("basePath", f"{folder}/signals").parquet(f"{folder}/signals").drop("batch")
 
 
-def _latest(df: DataFrame, d, rows: int, values: dict) -> DataFrame:
-    """Newest ``rows`` rows per code up to ``d``, reduced to today's value and the mean before it."""
+def newest_rows(df: DataFrame, codes: DataFrame, d, rows: int, span: int | None = None) -> DataFrame:
+    """Rows of ``codes`` up to day ``d`` that hold the newest ``rows`` of every code.
+
+    The days of the last ``span`` are read first, by a filter on the scan; codes with fewer rows there get their older ones too.
+    """
+    day = F.lit(d).cast("date")
+    edge = F.date_sub(day, 3 * rows if span is None else span)
+    near = df.where((F.col("d") > edge) & (F.col("d") <= day)).join(codes, "code", "left_semi")
+    enough = near.groupBy("code").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= rows)
+    short = codes.select("code").join(enough, "code", "left_anti")
+    return near.unionByName(df.where(F.col("d") <= edge).join(short, "code", "left_semi"))
+
+
+def _latest(df: DataFrame, codes: DataFrame, d, rows: int, values: dict) -> DataFrame:
+    """Newest ``rows`` rows of each of ``codes`` up to ``d``, reduced to today's value and the mean before it."""
     recent = Window.partitionBy("code").orderBy(F.col("d").desc())
-    top = df.where(F.col("d") <= F.lit(d).cast("date")).select(
+    top = newest_rows(df, codes, d, rows).select(
         "code", *[x.alias(n) for n, x in values.items()], F.row_number().over(recent).alias("rn")
     ).where(F.col("rn") <= rows)
     aggs = [F.count(F.lit(1)).alias("rows")]
@@ -149,9 +191,9 @@ def signals_on(bars: DataFrame, flows: DataFrame, credit: DataFrame, d, window:
     need = window + 1
     day = F.lit(d).cast("date")
     today = bars.where(F.col("d") == day).select("code")
-    b = _latest(bars, d, need, {"amount": F.col("c") * F.col("v").cast("double")}).where(F.col("rows") >= need)
-    f = _latest(flows, d, need, {x: F.col(f"{x}_net").cast("double") for x in ("individual", "foreign", "institution")})
-    k = _latest(credit, d, need, {"credit_amt": F.col("credit_amt").cast("double"), "level": F.col("credit_ratio")})
+    b = _latest(bars, today, d, need, {"amount": F.col("c") * F.col("v").cast("double")}).where(F.col("rows") >= need)
+    f = _latest(flows, today, d, need, {x: F.col(f"{x}_net").cast("double") for x in ("individual", "foreign", "institution")})
+    k = _latest(credit, today, d, need, {"credit_amt": F.col("credit_amt").cast("double"), "level": F.col("credit_ratio")})
     f = f.select("code", *[
         F.when(F.col("rows") >= need, finite_or_null(ratio(F.col(f"{x}_now"), F.col(f"{x}_abs")))).alias(f"{x}_flow_ratio")
         for x in ("individual", "foreign", "institution")

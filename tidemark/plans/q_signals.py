@@ -42,6 +42,15 @@ def c02(t):
     return rounded(S.signals_history(t.bars, t.flows, t.credit))
 
 
+RANGE = ("1998-03-01", "1998-05-31")
+
+
+@query("c02_signals_range", f"SELECT {SIGNAL_SELECT} FROM signals WHERE d BETWEEN DATE '{RANGE[0]}' AND DATE '{RANGE[1]}'", "signals")
+def c02_range(t):
+    """Three months, read with their warm-up alone."""
+    return rounded(S.signals_history(t.bars, t.flows, t.credit, *RANGE))
+
+
 @query("c02_incremental", f"SELECT {SIGNAL_SELECT} FROM signals", "signals")
 def c02_incremental(t):
     """The history in five batches of whole days, each from the stored state of the one before; the last one is delivered twice."""

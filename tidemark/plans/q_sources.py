@@ -7,14 +7,16 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark import schemas
+from tidemark.operators.signals import signals_history
 from tidemark.plans.domain import nation_code
 from tidemark.plans.domain_sql import r
-from tidemark.plans.q_signals import CAP, CAPS, DAY, rounded
+from tidemark.plans.q_signals import CAP, CAPS, DAY, SIGNAL_SELECT, rounded
 from tidemark.plans.registry import query
-from tidemark.session import shared_folder
+from tidemark.session import pin, shared_folder
 from tidemark.sources import landing as L
 from tidemark.sources import tables as T
 from tidemark.streaming import ingest as I
@@ -203,6 +205,54 @@ def s12_stored(t):
     return rounded(t.spark.read.parquet(path).select("code", "d", "credit_amt", "credit_ratio"))
 
 
+@query("s08_xml_corp_codes", "SELECT code, n_name AS name, CASE WHEN n_nationkey % 5 <> 0 THEN lpad(CAST(n_nationkey AS VARCHAR), 8, '0') END AS corp_code FROM nat", "nat")
+def s08_xml(t):
+    """The corporation list landed as XML, one file per place in the list, read back and attached."""
+    path = scratch(t, "corp")
+    rows = corp_list(t).select("corp_code", F.concat(F.lit("N"), "corp_code").alias("corp_name"), "stock_code", F.lit("20240101").alias("modify_date"), "seq")
+    for place in (1, 2):
+        part = rows.where(F.col("seq") == place).drop("seq")
+        part.write.format("xml").option("rowTag", "list").option("rootTag", "result").save(f"{path}/place={place}")
+    return L.attach_corp_codes(t.instruments, L.read_corp_codes(t.spark, path))
+
+
+@query("s15_stored_runs", """WITH x AS (SELECT strategy, count(DISTINCT id) AS runs, sum(n)::BIGINT AS trades, min(id) % 3 AS kind FROM runs GROUP BY strategy)
+SELECT strategy, runs, CASE kind WHEN 0 THEN trades WHEN 1 THEN 0 ELSE (SELECT count(*) FROM run_trades r JOIN runs q ON q.id = r.run_id WHERE q.strategy = x.strategy AND r.ret_pct > 0) END AS trades,
+  CASE WHEN kind = 0 THEN 0 ELSE 1 END AS removed FROM x""", "runs run_trades")
+def s15_stored(t):
+    """All runs saved with their trades; a third saved again without trades, a third with the gains alone; then what no run points at is removed."""
+    path = scratch(t, "runs")
+    stored = pin(T.run_rows(t.runs).select("*", (F.min("id").over(Window.partitionBy("strategy")) % 3).alias("kind")), "runs")
+    trades = t.run_trades.withColumnRenamed("id", "trade").join(stored.select(F.col("id").alias("run_id"), "strategy", "kind"), "run_id")
+    trades = pin(trades.select("strategy", "code", "trade", "entry_d", "exit_d", "ret_pct", "kind"), "trades")
+    kind = F.col("kind")
+    T.save_runs(path, stored.drop("kind"), trades.drop("kind"))
+    T.save_runs(path, stored.where(kind == 1).drop("kind"), trades.where(F.lit(False)).drop("kind"))
+    T.save_runs(path, stored.where(kind == 2).drop("kind"), trades.where((kind == 2) & (F.col("ret_pct") > 0)).drop("kind"))
+    gone = pin(T.superseded_trades(t.spark, path, older_than=0), "gone")
+    T.remove_superseded(t.spark, path, older_than=0)
+    kept = T.stored_trades(t.spark, path, "strategy string, code string, trade bigint, entry_d date, exit_d date, ret_pct double")
+    out = T.stored_runs(t.spark, path).groupBy("strategy").agg(F.count_distinct("id").alias("runs"))
+    out = out.join(kept.groupBy("strategy").agg(F.count(F.lit(1)).alias("trades")), "strategy", "left")
+    out = out.join(gone.groupBy("strategy").agg(F.count(F.lit(1)).cast("int").alias("removed")), "strategy", "left")
+    return out.select("strategy", "runs", F.coalesce("trades", F.lit(0).cast("bigint")).alias("trades"), F.coalesce("removed", F.lit(0)).alias("removed"))
+
+
+@query("s01_bucketed_signals", f"SELECT {SIGNAL_SELECT} FROM signals", "signals")
+def s01_bucketed(t):
+    """C02 from tables bucketed by code: no exchange between the scans and the windows."""
+    return rounded(signals_history(*bucketed(t)))
+
+
+def bucketed(t, buckets=16):
+    """Bars, flows and credit stored by code, read back."""
+    base, names = scratch(t, "bucketed"), []
+    for name in ("bars", "flows", "credit"):
+        names.append(f"{name}_{uuid.uuid4().hex}")
+        T.store_by_code(getattr(t, name), names[-1], f"{base}/{name}", buckets)
+    return [t.spark.table(name) for name in names]
+
+
 @query("s16_collection_universe", f"""SELECT DISTINCT code FROM bars WHERE code IN (SELECT code FROM ({CAPS}) x WHERE d = DATE '{DAY}' AND market_cap >= {CAP}) OR code IN (SELECT code FROM credit)""", "bars shares credit")
 def s16(t):
     from tidemark.operators.fundamentals import dated_market_cap

@@ -132,8 +132,8 @@ def normalise_filings(pages: DataFrame, known: DataFrame) -> DataFrame:
 def read_corp_codes(spark: SparkSession, path: str) -> DataFrame:
     """S08. Listed companies of the corporation list: six-character stock codes only."""
     raw = spark.read.format("xml").option("rowTag", "list").schema(schemas.CORP_CODE_XML).load(path)
-    # Numbers rise along a file, so they stand for the order of its entries.
-    return corp_codes(raw.withColumn("seq", F.monotonically_increasing_id()))
+    # Numbers rise along a file, so they stand for the order of its entries; of several files the last by path wins.
+    return corp_codes(raw.withColumn("seq", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"))))
 
 
 def corp_codes(raw: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Stored tables - scans, keyed upserts, pending ranges and run storage."""
+"""Stored tables - scans, bucketed tables, keyed upserts, pending ranges and run storage."""
 
 from __future__ import annotations
 
@@ -33,6 +33,17 @@ def write_bars(bars: DataFrame, path: str) -> None:
         "overwrite").parquet(path)
 
 
+def store_by_code(df: DataFrame, table: str, path: str | None = None, buckets: int = 64) -> None:
+    """S01. Write ``df`` as ``table``, bucketed by code and sorted by (code, d) with one file a bucket.
+
+    Tables with the same number of buckets meet on code without an exchange, and so do the windows per code after them: the shuffle is
+    paid once, when the table is written. Joins on (code, d) need ``spark.sql.requireAllClusterKeysForCoPartition=false`` for it,
+    as ``build_session`` sets. ``path`` puts the files outside the warehouse. A hot code makes its bucket large, never more than its calendar.
+    """
+    writer = df.repartition(buckets, "code").write.bucketBy(buckets, "code").sortBy("code", "d").mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
 def _pick(df: DataFrame, key: Sequence[str], order: str, last: bool) -> DataFrame:
     """One row per key as a mergeable aggregate, so duplicates fold before the shuffle."""
     rest = [c for c in df.columns if c not in key]
@@ -154,3 +165,26 @@ def stored_trades(spark: SparkSession, path: str, schema: str) -> DataFrame:
     current = spark.read.parquet(f"{path}/runs").select("strategy", "version").distinct()
     trades = spark.read.schema(f"{schema}, version string").parquet(f"{path}/trades")
     return trades.join(current, ["strategy", "version"], "left_semi").drop("version")
+
+
+def superseded_trades(spark: SparkSession, path: str, older_than: int = 86_400) -> DataFrame:
+    """S15. Folders of trades that no run points at, written at least ``older_than`` seconds ago.
+
+    The age keeps a save that has written its trades and not yet its runs. Only partition values and file names are read.
+    """
+    current = spark.read.parquet(f"{path}/runs").select("strategy", "version").distinct()
+    stored = spark.read.option("basePath", f"{path}/trades").parquet(f"{path}/trades")
+    files = stored.select("strategy", "version", F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder"),
+                          F.col("_metadata.file_modification_time").alias("written"))
+    folders = files.groupBy("strategy", "version", "folder").agg(F.max("written").alias("written"))
+    old = folders.where(F.col("written") <= F.current_timestamp() - F.make_dt_interval(secs=F.lit(older_than)))
+    return old.join(current, ["strategy", "version"], "left_anti").select("strategy", "version", "folder")
+
+
+def remove_superseded(spark: SparkSession, path: str, older_than: int = 86_400) -> int:
+    """S15. Delete the folders of ``superseded_trades``; returns their number, one per strategy and save that was replaced."""
+    folders = [row["folder"] for row in superseded_trades(spark, path, older_than).select("folder").toLocalIterator()]
+    for folder in folders:
+        gone = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    return len(folders)
