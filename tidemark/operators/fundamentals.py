@@ -181,7 +181,7 @@ def quality_score(pool: DataFrame, kind: str) -> DataFrame:
     long = pool.select("d", "code", F.explode(F.array(*[
         F.struct(F.lit(m).alias("m"), values[m].alias("x"), F.lit(w).alias("w")) for m, w in weights.items()
     ])).alias("s")).select("d", "code", "s.m", "s.x", "s.w")
-    ranked = percentile_rank(long, ["d", "m"], "x", "pr")
+    ranked = percentile_rank(long, ["d", "m"], "x", "pr", write_once=False)
     total = ranked.groupBy("d", "code").agg(F.sum(F.col("pr") * F.col("w")).alias("_sum"), F.count("pr").alias("_n"))
     # Rounded so that equal scores compare equal whatever the order of summation.
     return pool.join(total, ["d", "code"]).withColumn(

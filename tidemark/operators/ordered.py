@@ -89,9 +89,9 @@ def distinct_counts(df: DataFrame, keys: Sequence[str], x: str, shards: int | No
     ).drop("_shard", "_before")
 
 
-def percentile_rank(df: DataFrame, keys: Sequence[str], x: str, name: str, shards: int | None = None) -> DataFrame:
+def percentile_rank(df: DataFrame, keys: Sequence[str], x: str, name: str, shards: int | None = None, write_once: bool = True) -> DataFrame:
     """W12. Average-tie rank divided by the number of values; NULL where ``x`` is NULL."""
-    df = pin(df, "rank")
+    df = pin(df, "rank") if write_once else df
     ranks = distinct_counts(df, keys, x, shards).select(
         *keys, x, ((F.col("below") + (F.col("cnt") + 1) / 2) / F.col("_total")).alias(name)
     )

@@ -316,7 +316,7 @@ def best_variant(stats: DataFrame, keys: Sequence[str], variant: str, score: str
     return stats.groupBy(*keys).agg(F.coalesce(F.max(usable)[variant], F.lit(default)).alias(variant))
 
 
-def compound_drawdown(trades: DataFrame, keys: Sequence[str], order: Sequence[str], ret: str = "ret") -> DataFrame:
+def compound_drawdown(trades: DataFrame, keys: Sequence[str], order: Sequence[str], ret: str = "ret", write_once: bool = True) -> DataFrame:
     """W14, W23. Maximum drawdown of the compounded curve in trade order, per key.
 
     A scan over ordered shards: each shard yields its growth, running peak and inner drawdown, and
@@ -325,7 +325,8 @@ def compound_drawdown(trades: DataFrame, keys: Sequence[str], order: Sequence[st
     """
     keys = list(keys)
     log = F.when(F.col(ret) > -1, F.log1p(F.col(ret))).otherwise(F.lit(float("-inf")))
-    rows = with_shard(pin(trades.select(*keys, *order, log.alias("_g")), "curve"), keys, order)
+    rows = trades.select(*keys, *order, log.alias("_g"))
+    rows = with_shard(pin(rows, "curve") if write_once else rows, keys, order)
     local = Window.partitionBy(*keys, "_shard").orderBy(*order)
     up = local.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_cum", F.sum("_g").over(up))
@@ -352,9 +353,9 @@ def sum_curve(days: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return out.withColumn("max_dd", F.least(F.min(F.col("cum_pct") - F.col("peak_pct")).over(part), F.lit(0.0)))
 
 
-def halves(trades: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def halves(trades: DataFrame, keys: Sequence[str], order: Sequence[str], write_once: bool = True) -> DataFrame:
     """A21. Mark each trade as first or second half; the first half has floor(n / 2) trades."""
-    numbered = row_numbers(trades, keys, order, "_rn")
+    numbered = row_numbers(trades, keys, order, "_rn", write_once=write_once)
     first = F.col("_rn") <= F.floor(F.col("_total") / 2)
     return numbered.withColumn("half", F.when(first, 1).otherwise(2)).drop("_rn", "_total")
 
@@ -374,7 +375,7 @@ def draw_number(row: Column, iteration: Column, seed: int) -> Column:
 
 
 def bootstrap_means(trades: DataFrame, order: Sequence[str], ret: str = "ret", iterations: int = 1000, seed: int = 7,
-                    keys: Sequence[str] = ()) -> DataFrame:
+                    keys: Sequence[str] = (), write_once: bool = True) -> DataFrame:
     """C16. Mean of a resample with replacement, per key and iteration.
 
     How often a row is drawn depends on its number, the iteration and the seed alone, so rows are weighted where they
@@ -382,7 +383,7 @@ def bootstrap_means(trades: DataFrame, order: Sequence[str], ret: str = "ret", i
     """
     by = list(keys) or ["_g"]
     rows = trades if keys else trades.withColumn("_g", F.lit(0))
-    rows = row_numbers(rows.select(*by, *order, F.col(ret).alias("_y")), by, order, "_rn")
+    rows = row_numbers(rows.select(*by, *order, F.col(ret).alias("_y")), by, order, "_rn", write_once=write_once)
     drawn = rows.select(*by, "_y", "_rn", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
     u = draw_number(F.col("_rn").cast("long"), F.col("iteration").cast("long"), seed)
     times = sum(((F.col("_u") >= t).cast("long") for t in DRAWN[1:]), (F.col("_u") >= DRAWN[0]).cast("long"))
@@ -392,9 +393,9 @@ def bootstrap_means(trades: DataFrame, order: Sequence[str], ret: str = "ret", i
 
 
 def bootstrap_positive_rate(trades: DataFrame, order: Sequence[str], ret: str = "ret", iterations: int = 1000,
-                            seed: int = 7, keys: Sequence[str] = ()) -> DataFrame:
+                            seed: int = 7, keys: Sequence[str] = (), write_once: bool = True) -> DataFrame:
     """C16. Share of iterations with a positive mean; a mean below 1e-12 is 0, whatever the order of the sum."""
-    means = bootstrap_means(trades, order, ret, iterations, seed, keys)
+    means = bootstrap_means(trades, order, ret, iterations, seed, keys, write_once)
     return means.groupBy(*keys).agg(F.avg((F.round("mean", 12) > 0).cast("double")).alias("positive_rate"), F.count(F.lit(1)).alias("iterations"))
 
 
@@ -441,12 +442,12 @@ def performance_report(sells: DataFrame, order: Sequence[str], keys: Sequence[st
     if not keys:
         rows, keys = rows.withColumn("_g", F.lit(0)), ["_g"]
     stats = trade_statistics(rows, keys, ret=ret, held=None, reason=None).where(F.col("n") >= min_rows)
-    parts = halves(rows.select(*keys, *order, ret), keys, order).groupBy(*keys).agg(
+    parts = halves(rows.select(*keys, *order, ret), keys, order, write_once=False).groupBy(*keys).agg(
         (F.avg(F.when(F.col("half") == 1, F.col(ret))) * 100).alias("first_half_pct"),
         (F.avg(F.when(F.col("half") == 2, F.col(ret))) * 100).alias("second_half_pct"))
-    mdd = compound_drawdown(rows, keys, order, ret).withColumn("mdd_pct", F.col("mdd") * 100).drop("mdd")
+    mdd = compound_drawdown(rows, keys, order, ret, write_once=False).withColumn("mdd_pct", F.col("mdd") * 100).drop("mdd")
     enough = rows.join(stats.where(F.col("n") >= resampled).select(*keys), keys, "left_semi")
-    boot = bootstrap_positive_rate(enough, order, ret, iterations, keys=keys).select(*keys, (F.col("positive_rate") * 100).alias("bootstrap_positive_pct"))
+    boot = bootstrap_positive_rate(enough, order, ret, iterations, keys=keys, write_once=False).select(*keys, (F.col("positive_rate") * 100).alias("bootstrap_positive_pct"))
     return stats.join(parts, keys).join(mdd, keys).join(boot, keys, "left").drop("_g")
 
 
