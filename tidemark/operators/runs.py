@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.verdicts import (
     IGNORED_SETTINGS, RANK_SETTINGS, SETTING_GROUPS, family, fingerprint, logical_setting)
 from tidemark.operators.chains import free_windows
+from tidemark.operators.effects import effects
 from tidemark.operators.filters import trusted_run
 
 
@@ -48,12 +49,8 @@ def only_current(runs: DataFrame) -> DataFrame:
     return current_runs(runs).where(F.col("current")).drop("current", "fp")
 
 
-def setting_pairs(runs: DataFrame) -> DataFrame:
-    """J16. Pairs of runs of one window that differ in exactly one logical setting.
-
-    Each run is listed once per own setting with that setting taken out of its fingerprint. Partners
-    then meet by equality: both have the setting with other values, or only one of them has it.
-    """
+def _by_setting(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs with their settings as text (``full``), and each run once per own setting with that setting taken out (``rest``, ``value``)."""
     keep = F.map_filter(F.col("params"), lambda k, v: ~k.isin(*IGNORED_SETTINGS))
     base = runs.select("id", "start_d", "end_d", "n", "mean_pct", "std_pct", keep.alias("p"))
     base = base.withColumn("full", fingerprint(F.col("p")))
@@ -61,7 +58,30 @@ def setting_pairs(runs: DataFrame) -> DataFrame:
     out = base.withColumn("setting", F.explode(own))
     less = F.map_filter(F.col("p"), lambda k, v: logical_setting(k) != F.col("setting"))
     part = F.map_filter(F.col("p"), lambda k, v: logical_setting(k) == F.col("setting"))
-    out = out.withColumn("rest", fingerprint(less)).withColumn("value", fingerprint(part)).drop("p", "full")
+    return base, out.withColumn("rest", fingerprint(less)).withColumn("value", fingerprint(part)).drop("p", "full")
+
+
+def setting_members(runs: DataFrame) -> DataFrame:
+    """C22. Runs by (window, setting, rest): those with the setting, and those that lack it but agree in the rest, with value ''."""
+    base, out = _by_setting(runs)
+    groups = out.select("start_d", "end_d", "setting", "rest").distinct()
+    lacking = base.withColumn("rest", F.col("full")).join(groups, ["start_d", "end_d", "rest"]).withColumn("value", F.lit(""))
+    return out.unionByName(lacking.select(*out.columns))
+
+
+def setting_pairs(runs: DataFrame, setting: str | None = None, start=None, end=None) -> DataFrame:
+    """J16. Pairs of runs of one window that differ in exactly one logical setting; with ``setting``, ``start`` and ``end`` those of one view.
+
+    Each run is listed once per own setting with that setting taken out of its fingerprint. Partners
+    then meet by equality: both have the setting with other values, or only one of them has it.
+    """
+    if start is not None:
+        runs = runs.where(F.col("start_d") == F.lit(start).cast("date"))
+    if end is not None:
+        runs = runs.where(F.col("end_d") == F.lit(end).cast("date"))
+    base, out = _by_setting(runs)
+    if setting is not None:
+        out = out.where(F.col("setting") == setting)
     stats = ["n", "mean_pct", "std_pct"]
     left = out.select(*[F.col(c).alias(f"a_{c}") if c in ("id", "value", *stats) else F.col(c) for c in out.columns])
     right = out.select(*[F.col(c).alias(f"b_{c}") if c in ("id", "value", *stats) else F.col(c) for c in out.columns])
@@ -88,15 +108,12 @@ def with_delta(pairs: DataFrame) -> DataFrame:
 
 
 def setting_effects(runs: DataFrame) -> DataFrame:
-    """C22. Verdict per setting from sign agreement and the largest abs(z)."""
-    pairs = with_delta(setting_pairs(only_current(runs)))
-    out = pairs.groupBy("setting").agg(
-        F.count(F.lit(1)).alias("n_comp"), F.avg("delta").alias("mean_delta"), F.max(F.abs("z")).alias("max_abs_z"),
-        F.min("delta").alias("_lo"), F.max("delta").alias("_hi"))
-    same = (F.col("_lo") > 0) | (F.col("_hi") < 0)
+    """C22. Verdict per setting from sign agreement and the largest abs(z), without listing pairs."""
+    out = effects(setting_members(only_current(runs)))
+    same = (F.col("lo") > 0) | (F.col("hi") < 0)
     kind = (F.when(F.col("n_comp") < 2, "none").when(same & (F.col("max_abs_z") >= 2), "good")
             .when(same, "warn").otherwise("bad"))
-    return out.withColumn("verdict", kind).drop("_lo", "_hi")
+    return out.withColumn("verdict", kind).drop("lo", "hi")
 
 
 def rank_factor_table(runs: DataFrame) -> DataFrame:
