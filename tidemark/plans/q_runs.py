@@ -10,7 +10,7 @@ from tidemark.operators import decisions as D
 from tidemark.operators import filters as FL
 from tidemark.operators import runs as U
 from tidemark.plans.domain_sql import cte, r
-from tidemark.plans.q_books import probe, replies
+from tidemark.plans.q_books import _WORD, probe, replies
 from tidemark.plans.q_signals import PROXY, rounded
 from tidemark.plans.q_time import PREV
 from tidemark.plans.registry import query
@@ -201,6 +201,15 @@ def c31(t):
                               "same_sector", "filings", F.size("history").cast("bigint").alias("periods"), F.element_at("history", -1).period.alias("newest")))
 
 
+@query("c31_statement_history", f"""SELECT code, d, strategy, period, {r('op_income / nullif(revenue, 0)')} AS margin, {r('net_income / nullif(equity, 0)')} AS roe, {r('liabilities / nullif(equity, 0)')} AS debt
+FROM (SELECT p.code, p.d, p.strategy, p.mode, f.* EXCLUDE (code), row_number() OVER (PARTITION BY p.code, p.d, p.strategy, p.mode ORDER BY f.period DESC) AS k FROM probe p JOIN statements f ON f.code = p.code
+  AND CAST(last_day(make_date(CAST(substr(f.period, 1, 4) AS INTEGER), CAST(substr(f.period, 6, 1) AS INTEGER) * 3, 1)) + 90 AS DATE) <= p.d) x WHERE k <= 5""", "probe statements")
+def c31_history(t):
+    """The periods and ratios that a candidate's features hold."""
+    out = D.decision_features(probe(t), t.bars, t.positions, t.disclosures, t.statements, PROXY, 30)
+    return rounded(out.select("code", "d", "strategy", F.explode("history").alias("_h")).select("code", "d", "strategy", "_h.*"))
+
+
 def _ingest(t):
     e = replies(t)
     broken = (F.col("event_type") == "error") & (F.col("event_id") % 2 == 0)
@@ -222,6 +231,23 @@ def c32(t):
     return out
 
 
+_PROMPT = "md5(e.event_type || CAST(e.user_id % 25 AS VARCHAR) || ':' || e.props)"
+_ANSWERED = "(SELECT *, row_number() OVER (PARTITION BY input_hash ORDER BY ts DESC, id DESC) AS rn FROM decisions WHERE decision <> '오류' AND ts < TIMESTAMP '2024-01-16')"
+_DECISION = ("id", "code", "agent", "decision", "score", "rationale", "input_hash")
+
+
+@query("c32_decided", f"""SELECT event_id AS id, CAST(user_id AS VARCHAR) AS code, event_type AS agent, {_WORD} AS decision, CASE WHEN event_id % 4 = 2 THEN 5.0 ELSE floor(value) END AS score,
+  props AS rationale, {_PROMPT} AS input_hash FROM events e WHERE event_type <> 'error' AND {_PROMPT} NOT IN (SELECT input_hash FROM {_ANSWERED} s)""", "decisions")
+def c32_decided(t):
+    return _ingest(t)["decided"].select(*_DECISION)
+
+
+@query("c32_reused", f"""SELECT e.event_id AS id, CAST(e.user_id AS VARCHAR) AS code, e.event_type AS agent, s.decision, s.score, s.rationale, s.input_hash
+FROM events e JOIN {_ANSWERED} s ON s.rn = 1 AND s.input_hash = {_PROMPT}""", "decisions")
+def c32_reused(t):
+    return _ingest(t)["reused"].select(*_DECISION)
+
+
 @query("c32_failures", """SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN '요청 한도 초과 - ' || props ELSE '응답 형식 오류 - no format ' || props END AS rationale FROM events WHERE event_type = 'error'""")
 def c32_failures(t):
     return _ingest(t)["failures"].select("id", "rationale")
