@@ -258,6 +258,73 @@ def test_benchmark_items_of_common_words(docs, spark):
         assert {r.doc_id: r["items"] for r in decontamination.contaminated(small, some).collect()} == {1: [0], 2: [0], 3: []}
 
 
+@pytest.mark.parametrize("n, rank", [(4, 256), (120, 256), (120, 6)])
+def test_latent_space_holds_the_leading_directions_of_the_passages(docs, n, rank):
+    """Also in a table so small that each word is in many of its texts, and when the items fill the rank."""
+    rng = random.Random(48)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(150)]
+    text = lambda n: " ".join(words[min(rng.randrange(150), rng.randrange(150))] for _ in range(n))
+    items = [(k, text(30)) for k in range(6)]
+    rows = [(k, text(rng.randint(0, 200))) for k in range(n)]
+    (space,) = decontamination.fit(docs(rows).select("text").withColumnRenamed("text", "_text"), items, rank)
+    word = {h: k for k, h in enumerate(space.cell.tolist())}
+    hashes = lambda t: decontamination._folded(decontamination.pa.array([t])).hash.tolist()
+    holding = np.zeros(len(word))
+    for _, t in rows:
+        holding[list({word[h] for h in hashes(t) if h in word})] += 1
+    idf = np.log1p(n / np.maximum(holding, 1))
+    passages = []
+    for _, t in rows:
+        h = hashes(t)
+        for a in range(0, len(h), 32):
+            passages.append(np.zeros(len(word)))
+            for x in h[a : a + 64]:
+                if x in word:
+                    passages[-1][word[x]] += idf[word[x]]
+    basis = space.basis / idf[:, None]
+    assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-4)
+    own, more = basis[:, : len(items)], basis[:, len(items) :]
+    left = np.array(passages) - np.array(passages) @ own @ own.T
+    _, best, right = np.linalg.svd(left)
+    assert np.linalg.norm(more.T @ right[0]) > 0.99
+    assert ((left @ more) ** 2).sum() >= 0.9 * (best[: decontamination.DIRECTIONS] ** 2).sum() and more.shape[1] <= decontamination.DIRECTIONS
+    assert np.allclose(np.linalg.norm(space.item, axis=1), 1, atol=1e-4)  # no item's direction is cut
+
+
+def test_paraphrases_against_all_pairs_and_what_the_directions_of_the_passages_do(docs, spark):
+    rng = random.Random(58)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(400)]
+    text = lambda n: " ".join(words[min(rng.randrange(400) for _ in range(3))] for _ in range(n))
+    items = [(k, f"{text(rng.randint(15, 59))}. {text(4)}.") for k in range(30)]
+    rows = []
+    for i in range(120):
+        head, tail = items[rng.randrange(30)][1].split(". ", 1)
+        rows.append((i, " ".join([text(rng.randint(0, 120)), *(w for w in head.split() if rng.random() < 0.85), tail, text(rng.randint(0, 120))])))
+    given = docs(rows).select("doc_id", decontamination.F.col("text").alias("_text"))
+    spaces = decontamination.fit(given, items)
+    want = {}
+    for i, t in rows:
+        h = decontamination._folded(decontamination.pa.array([t])).hash
+        around = lambda a, k: h[max(0, a - len(spaces[0].words[k])) : a + 64 + len(spaces[0].words[k])]
+        want[i] = [k for k in range(30) if any(decontamination._decide(spaces[0], k, around(a, k)) for a in range(0, len(h), 32))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {r.doc_id: r["items"] for r in decontamination.contaminated(docs(rows), bench).collect()} == want and sum(map(len, want.values())) > 60
+
+    def candidates(space):
+        found = 0
+        for _, t in rows:
+            w = decontamination._folded(decontamination.pa.array([t]))
+            block, row, _ = decontamination._blocks(w)
+            b, v = decontamination._entries(w, block, space.cell)
+            latent = decontamination._rows_times(b, v, len(row), space.basis, space.often)
+            latent[:-1] += latent[1:]
+            found += decontamination._near(space, latent)[0].size
+        return found
+
+    some = spaces[0]
+    assert candidates(some) < 0.9 * candidates(some._replace(basis=some.basis[:, :30], item=some.item[:, :30]))
+
+
 def test_longest_common_subsequence():
     rng = np.random.default_rng(2)
     for _ in range(100):

@@ -1,12 +1,13 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages are windows of 64 words that start every 32 words. Items are taken in groups of at most RANK,
-and each group has a latent space of its own. The passages' TF-IDF vectors over the group's
-words, and the items themselves, are factored by a randomised SVD: tasks add up what
-(A^T A) does to a random block, which is as large as vocabulary x rank whatever the corpus size. The basis
-holds the items' own directions whole, so a product of an item and a passage is the one of the full space. Items and
-passages are then compared in the latent space. A passage is a candidate when its cosine with an item reaches what a copy of
-most of the item would give among words of average weight, or when it holds that share of the item's weight
+and each group has a latent space of its own, from the matrix A of all passages' TF-IDF vectors over the group's
+words and the items as rows that outweigh them: its first singular vectors span the items, the next DIRECTIONS are the
+leading ones of what the passages hold beside them. These come from a randomised SVD: tasks add up what
+(A^T A) does to a random block, which is as large as vocabulary x DRAWN whatever the corpus size, and the driver
+takes singular vectors of the sum. Both items and passages are projected and compared by their cosine in the
+latent space, so words of a passage outside it do not hide a copy. A passage is a candidate when its cosine with an item reaches
+half of what a copy would give among words of average weight, or when it holds that share of the item's weight
 whatever its other words. Every word of an item has a weight, common words a small one. Candidates are decided on the words: by the longest common
 subsequence with the item, and for paraphrases also by the item's answer, its last sentence.
 """
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.textwords import Words, bounded_batches, column_of, text_slices, words_of
 
 STRIDE = 32  # words; a passage is two strides
-RANK = 256  # directions of a latent space, and items in it at most
+RANK = 256  # items in a latent space at most; each adds a direction
+DIRECTIONS, DRAWN = 32, 48  # of the passages in a latent space, and random vectors that they are taken from
 VOCABULARY = 1 << 15  # rows of the partial sums that a task adds up in one pass; further groups take another
 CELLS = 1 << 20
 COMMON, DENSE = 0.05, 512  # of the words in more than this share of all texts, so many are counted as columns instead of entries
@@ -38,11 +40,10 @@ SUMS = 64  # keys of partial sums: each is added up in a task of its own
 class Space(NamedTuple):
     """What tasks need for one group of items: weights by word, the latent basis, and the items in it."""
 
-    idf2: np.ndarray  # squared idf by cell, above 0
     cell: np.ndarray  # sorted hashes of the vocabulary
     often: np.ndarray  # numbers of the commonest words in it
-    basis: np.ndarray  # vocabulary x rank: idf x right singular vector
-    item: np.ndarray  # items x rank, scaled so that a product with a passage is the numerator of the cosine
+    basis: np.ndarray  # vocabulary x directions: idf x right singular vector
+    item: np.ndarray  # items x directions, of length 1
     least: np.ndarray  # per item: the least cosine of a candidate
     holds: np.ndarray  # per item: the product with a passage from which it is a candidate whatever its cosine
     ids: list
@@ -106,28 +107,54 @@ def _entries(w: Words, block: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray,
     return block[hit], at[hit]
 
 
-def _rows_times(block: np.ndarray, word: np.ndarray, n: int, matrix: np.ndarray, often: np.ndarray | None = None) -> np.ndarray:
+def _split(block: np.ndarray, word: np.ndarray, size: int, often: np.ndarray) -> tuple[tuple, tuple]:
+    """Entries of the words ``often`` with the words' places in it, and the other entries."""
+    column = np.full(size, -1, np.int32)
+    column[often] = np.arange(len(often))
+    at = column[word]
+    dense = at >= 0
+    return (block[dense], at[dense]), (block[~dense], word[~dense])
+
+
+def _counted(block: np.ndarray, place: np.ndarray, n: int, m: int):
+    """(first block, block after the last, counts of blocks x m words) from entries in block order."""
+    for a in range(0, n, 4096):
+        to = min(n, a + 4096)
+        x, y = np.searchsorted(block, (a, to))
+        cells = (block[x:y] - a) * m + place[x:y]
+        yield a, to, np.bincount(cells, minlength=(to - a) * m).reshape(to - a, m).astype(np.float32)
+
+
+def _add_runs(out: np.ndarray, key: np.ndarray, matrix: np.ndarray, row: np.ndarray) -> None:
+    """out[key] += matrix[row], equal keys side by side."""
+    for a in range(0, len(key), 8192):  # a part may end inside a run
+        k, part = key[a : a + 8192], matrix[row[a : a + 8192]]
+        cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        out[k[cut]] += np.add.reduceat(part, cut, axis=0)
+
+
+def _rows_times(block: np.ndarray, word: np.ndarray, n: int, matrix: np.ndarray, often: np.ndarray) -> np.ndarray:
     """(blocks x vocabulary counts) @ matrix, from entries in block order; the words ``often`` by a dense product."""
     out = np.zeros((n, matrix.shape[1]), np.float32)
-    if often is not None and len(often):
-        m = len(often)
-        column = np.full(len(matrix), -1, np.int64)
-        column[often] = np.arange(m)
-        at = column[word]
-        dense = at >= 0
-        cells, part = block[dense] * m + at[dense], matrix[often]
-        for a in range(0, n, 4096):
-            to = min(n, a + 4096)
-            x, y = np.searchsorted(block[dense], (a, to))
-            out[a:to] = np.bincount(cells[x:y] - a * m, minlength=(to - a) * m).reshape(to - a, m).astype(np.float32) @ part
-        block, word = block[~dense], word[~dense]
-    for a in range(0, len(block), 8192):  # a part may end inside a block
-        b, part = block[a : a + 8192], matrix[word[a : a + 8192]]
-        cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-        out[b[cut]] += np.add.reduceat(part, cut, axis=0)
+    (block, place), (rare, word) = _split(block, word, len(matrix), often)
+    if len(block):
+        part = matrix[often]
+        for a, to, counts in _counted(block, place, n, len(often)):
+            np.matmul(counts, part, out=out[a:to])
+    _add_runs(out, rare, matrix, word)
     return out
 
 
+def _times_rows(block: np.ndarray, word: np.ndarray, rows: np.ndarray, total: np.ndarray, often: np.ndarray) -> None:
+    """total += (vocabulary x blocks counts) @ rows, as ``_rows_times``."""
+    (block, place), (rare, word) = _split(block, word, len(total), often)
+    if len(block):
+        for a, to, counts in _counted(block, place, len(rows), len(often)):
+            total[often] += counts.T @ rows[a:to]
+    order = np.argsort(word, kind="stable")
+    _add_runs(total, word[order], rows, rare[order])
+
+
 class _Group(NamedTuple):
     """Items of one latent space before it is factored."""
 
@@ -135,12 +162,13 @@ class _Group(NamedTuple):
     words: Words
     cell: np.ndarray
     weight: np.ndarray
-    common: np.ndarray  # per word: whether it is in more than COMMON of all texts
-    often: np.ndarray  # the commonest of them, DENSE at most
+    often: np.ndarray  # numbers of the words in more than COMMON of all texts, DENSE at most; only how they are counted depends on it
     tfidf: np.ndarray  # items x vocabulary
+    own: np.ndarray  # vocabulary x items: the items' span
+    drawn: np.ndarray  # vocabulary x random vectors beside the items' span
 
 
-def _group(items: list[tuple], idf: np.ndarray, share: np.ndarray) -> _Group:
+def _group(items: list[tuple], idf: np.ndarray, share: np.ndarray, seed: int) -> _Group:
     of = lambda h, x=idf: x[(h & np.uint64(CELLS - 1)).astype(np.int64)]
     w = _folded(pa.array([t for _, t in items], pa.large_string()))
     cell = np.unique(w.hash)
@@ -149,7 +177,15 @@ def _group(items: list[tuple], idf: np.ndarray, share: np.ndarray) -> _Group:
     np.add.at(counts, (w.row, np.searchsorted(cell, w.hash)), 1)
     seen = of(cell, share)
     often = np.argsort(-seen, kind="stable")[: min(DENSE, int((seen > COMMON).sum()))]
-    return _Group(items, w, cell, weight, seen > COMMON, often, counts * weight)
+    tfidf = counts * weight
+    own, _ = np.linalg.qr(tfidf.T.astype(np.float64))
+    drawn = np.random.Generator(np.random.PCG64(seed)).standard_normal((len(cell), min(DRAWN, len(cell) - own.shape[1])))
+    return _Group(items, w, cell, weight, often, tfidf, own, _beside(drawn, own))
+
+
+def _beside(x: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """What is left of the columns of ``x`` without their parts in the span of ``own``."""
+    return x - own @ (own.T @ x)
 
 
 def _passes(groups: list[_Group]) -> list[list[_Group]]:
@@ -165,36 +201,26 @@ def _passes(groups: list[_Group]) -> list[list[_Group]]:
     return out
 
 
-def _images(docs: DataFrame, groups: list[_Group], rank: int, seed: int) -> list[np.ndarray]:
-    """Per group: (A^T A) times a random block, vocabulary x rank, A the passages' vectors without common words; one pass.
-
-    The items' directions are in the basis anyway, so what A leaves out changes no product with an item.
-    """
-    ranks = [min(rank, len(g.cell)) for g in groups]
-    given = []
-    for g, r in zip(groups, ranks):
-        random = np.random.Generator(np.random.PCG64(seed)).standard_normal((len(g.cell), r)).astype(np.float32)
-        rare = ~g.common
-        given.append((g.cell[rare], g.weight[rare], random[rare] * g.weight[rare, None]))
-    shared = docs.sparkSession.sparkContext.broadcast(given)
+def _images(docs: DataFrame, groups: list[_Group]) -> list[np.ndarray]:
+    """Per group: (A^T A) times its random vectors, A the vectors of all passages over all its words; one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast([(g.cell, g.often, g.weight, (g.drawn * g.weight[:, None]).astype(np.float32)) for g in groups])
 
     def multiply(batches):
-        totals = [np.zeros((len(cell), omega.shape[1]), np.float64) for cell, _, omega in shared.value]
+        totals = [np.zeros(omega.shape, np.float64) for *_, omega in shared.value]
         for part in text_slices(batches, "_text"):
             words = _folded(column_of(part, "_text"))
             block, row, _ = _blocks(words)
-            for (cell, _, omega), total in zip(shared.value, totals):
-                b, v = _entries(words, block, cell) if len(cell) else ([], [])
+            follows = _follows(row)
+            for (cell, often, _, omega), total in zip(shared.value, totals):
+                b, v = _entries(words, block, cell)
                 if not len(b):
                     continue
-                product = _rows_times(b, v, len(row), omega)
-                order = np.argsort(v, kind="stable")
-                v, b = v[order], b[order]
-                for a in range(0, len(v), 8192):
-                    part_v = v[a : a + 8192]
-                    cut = np.flatnonzero(np.concatenate([[True], part_v[1:] != part_v[:-1]]))
-                    total[part_v[cut]] += np.add.reduceat(product[b[a : a + 8192]], cut, axis=0)
-        for k, ((cell, weight, _), total) in enumerate(zip(shared.value, totals)):
+                passage = _rows_times(b, v, len(row), omega, often)
+                passage[follows] += passage[follows + 1]
+                back = passage.copy()  # each block counts in its own passage and in the one before
+                back[follows + 1] += passage[follows]
+                _times_rows(b, v, back, total, often)
+        for k, ((cell, _, weight, _), total) in enumerate(zip(shared.value, totals)):
             total *= weight[:, None]
             height = max(1, -(-len(cell) // SUMS))  # vocabulary rows of one partial sum
             spans = range(0, len(cell), height)
@@ -202,36 +228,50 @@ def _images(docs: DataFrame, groups: list[_Group], rank: int, seed: int) -> list
 
     sums = dict(_added(docs.select("_text").mapInArrow(multiply, "chunk int, sums binary"), "<f4"))
     images = []
-    for k, (g, r) in enumerate(zip(groups, ranks)):
-        images.append(np.zeros((len(g.cell), r)))
+    for k, g in enumerate(groups):
         mine = [sums[c] for c in sorted(sums) if c // SUMS == k]
-        if mine:
-            images[-1][~g.common] = np.concatenate(mine).reshape(-1, r)
+        images.append(np.concatenate(mine).reshape(g.drawn.shape) if mine else np.zeros(g.drawn.shape))
     return images
 
 
+def _follows(row: np.ndarray) -> np.ndarray:
+    """Blocks whose next block is of the same row; the passage that begins there is both."""
+    return np.flatnonzero(row[1:] == row[:-1])
+
+
+def _directions(drawn: np.ndarray, image: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Leading singular vectors of the passages beside the span of ``own``, from what their (A^T A) makes of ``drawn``."""
+    left = _beside(image.astype(np.float64), own)
+    inner = drawn.T @ left
+    value, vector = np.linalg.eigh((inner + inner.T) / 2)
+    real = value > 1e-6 * max(value[-1], 1e-9)
+    u, s, _ = np.linalg.svd(left @ (vector[:, real] / np.sqrt(value[real])), full_matrices=False)
+    u = u[:, :DIRECTIONS][:, s[:DIRECTIONS] > 0]
+    return np.linalg.qr(_beside(u, own))[0]
+
+
 def fit(docs: DataFrame, items: list[tuple], rank: int = RANK, seed: int = 3) -> list[Space]:
     """The latent spaces of all passages and groups of at most ``rank`` items. ``items`` (id, text) fit into MAX_ITEMS_BYTES."""
     texts, n_texts = word_texts(docs)
     idf = np.log1p(max(1, n_texts) / np.maximum(texts, 1))  # at least log 2
-    # The squared weight of a word of the corpus on average.
-    usual = float((texts * idf**2).sum() / max(1, texts.sum()))
-    groups = [g for a in range(0, len(items), rank) if len((g := _group(items[a : a + rank], idf, texts / max(1, n_texts))).cell)]
-    # Where the items fill the rank, their own directions are the whole basis.
-    room = [g for g in groups if len(g.items) < min(rank, len(g.cell))]
-    images = {id(g): x for part in _passes(room) for g, x in zip(part, _images(docs, part, rank, seed))}
-    return [_space(g, images.get(id(g)), idf, usual, rank) for g in groups]
-
-
-def _space(group: _Group, image: np.ndarray | None, idf: np.ndarray, usual: float, rank: int) -> Space:
-    items, w, cell, weight, _, often, tfidf = group
-    # The items' directions come first and whole, then those of the passages.
-    own = tfidf.T.astype(np.float64)
-    basis, _ = np.linalg.qr(own if image is None else np.concatenate([own, image], 1))
-    basis = basis[:, :rank].astype(np.float32)
+    share = texts / max(1, n_texts)
+    groups = [g for a in range(0, len(items), rank) if len((g := _group(items[a : a + rank], idf, share, seed)).cell)]
+    # Items that span all their words leave nothing beside them.
+    beside = [g for g in groups if g.drawn.shape[1]]
+    images = {id(g): x for part in _passes(beside) for g, x in zip(part, _images(docs, part))}
+    return [_space(g, images.get(id(g)), texts) for g in groups]
+
+
+def _space(group: _Group, image: np.ndarray | None, texts: np.ndarray) -> Space:
+    items, w, cell, weight, often, tfidf, own, drawn = group
+    # The items' directions come first and whole, then the passages' singular vectors.
+    basis = (own if image is None else np.concatenate([own, _directions(drawn, image, own)], 1)).astype(np.float32)
     latent = tfidf @ basis
     norm = np.sqrt((tfidf**2).sum(1))
     sizes = np.diff(w.first)
+    # The squared latent length of a word of the corpus on average.
+    basis *= weight[:, None]
+    usual = float((texts[(cell & np.uint64(CELLS - 1)).astype(np.int64)] * (basis**2).sum(1)).sum() / max(1, texts.sum()))
     # The cosine of a passage that holds the item, or as much of it as fits, among words of average weight.
     inside = np.minimum(1.0, 2 * STRIDE / np.maximum(sizes, 1))
     full = np.sqrt(inside * norm**2 * inside / np.maximum(norm**2 * inside + np.maximum(0, 2 * STRIDE - sizes) * usual, 1e-9))
@@ -241,16 +281,29 @@ def _space(group: _Group, image: np.ndarray | None, idf: np.ndarray, usual: floa
         tails = [len(_folded(pa.array([s])).hash) for s in re.split(r"(?<=[.!?])\s+", text or "")]
         answer.append(max(0, len(words[-1]) - next((n for n in reversed(tails) if n), 0)))
     item = latent / np.maximum(norm, 1e-9)[:, None]
-    return Space((idf**2).astype(np.float32), cell, often, basis * weight[:, None], item.astype(np.float32), (NEAR * full).astype(np.float32), (NEAR * inside * norm).astype(np.float32), [i for i, _ in items], words, answer)
+    return Space(cell, often, basis, item.astype(np.float32), (NEAR * full).astype(np.float32), (NEAR * inside * norm).astype(np.float32), [i for i, _ in items], words, answer)
 
 
 def common_length(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence, one vector step per element of ``a``."""
-    row = np.zeros(len(b) + 1, np.int64)
-    for x in a:
-        step = np.where(b == x, row[:-1] + 1, row[1:])
-        np.maximum.accumulate(np.concatenate([[0], step]), out=row)
-    return int(row[-1])
+    """Length of the longest common subsequence, one step on ``len(a)`` bits per element of ``b`` that ``a`` has."""
+    places: dict[int, int] = {}
+    for k, x in enumerate(a.tolist()):
+        places[x] = places.get(x, 0) | 1 << k
+    whole = free = (1 << len(a)) - 1  # a bit falls where the length grows by one
+    for x in b.tolist():
+        at = places.get(x)
+        if at:
+            at &= free
+            free = (free + at | free - at) & whole
+    return len(a) - free.bit_count()
+
+
+def _near(space: Space, latent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``latent`` and items that are candidates of each other."""
+    product = latent @ space.item.T
+    length = np.sqrt(np.einsum("ij,ij->i", latent, latent))[:, None]
+    # An item without a word has product 0 and holds nothing.
+    return np.nonzero((product > 0) & (product >= np.minimum(space.least * length, space.holds)))
 
 
 def _decide(space: Space, k: int, passage: np.ndarray) -> float:
@@ -259,7 +312,8 @@ def _decide(space: Space, k: int, passage: np.ndarray) -> float:
     if not len(words):
         return 0.0
     # No subsequence is longer than the number of the item's words that the passage has at all.
-    if np.isin(words, passage).sum() < PARAPHRASE * len(words):
+    has = set(passage.tolist())
+    if sum(x in has for x in words.tolist()) < PARAPHRASE * len(words):
         return 0.0
     share = common_length(words, passage) / len(words)
     if share >= COPY:
@@ -288,8 +342,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = sorted({(r[0], r[1]) for r in benchmark.select(item_col, item_text).collect() if r[1]}, key=str)
     given = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     spaces = fit(given, items, rank)
-    idf2 = docs.sparkSession.sparkContext.broadcast(spaces[0].idf2 if spaces else None)
-    shared = [docs.sparkSession.sparkContext.broadcast(s._replace(idf2=None)) for s in spaces]
+    shared = [docs.sparkSession.sparkContext.broadcast(s) for s in spaces]
 
     def search(batches):
         for part in text_slices(batches, "_text"):
@@ -299,27 +352,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             w = _folded(column_of(part, "_text"))
             block, row, first = _blocks(w)
             passages = np.bincount(row, minlength=n)
-            if shared:
-                square = np.bincount(block, idf2.value[(w.hash & np.uint64(CELLS - 1)).astype(np.int64)], len(row))
-                # A passage is a block and the next one of its row.
-                follows = np.flatnonzero(row[1:] == row[:-1])
-                norm = square.copy()
-                norm[follows] += square[follows + 1]
+            follows = _follows(row)
             for g, one in enumerate(shared):
                 space = one.value
                 b, v = _entries(w, block, space.cell)
                 if not len(b):
                     continue
                 latent = _rows_times(b, v, len(row), space.basis, space.often)
-                both = latent.copy()
-                both[follows] += latent[follows + 1]
+                latent[follows] += latent[follows + 1]
                 live = np.unique(np.concatenate([b, b[b > 0] - 1]))
                 for a in range(0, len(live), 4096):
                     p = live[a : a + 4096]
-                    product = both[p] @ space.item.T
-                    length = np.maximum(np.sqrt(norm[p]), 1e-9).astype(np.float32)[:, None]
-                    # An item without a word has product 0 and holds nothing.
-                    for i, k in zip(*np.nonzero((product > 0) & (product >= np.minimum(space.least * length, space.holds)))):
+                    for i, k in zip(*_near(space, latent[p])):
                         q, r = p[i], row[p[i]]
                         if found[r].get((g, k), 0) >= 1:
                             continue
