@@ -143,6 +143,21 @@ def test_pages():
     assert html_extract.body_of([0, 0, 50, 60, 3, 70, 0, 0, 0, 10], 3, 86) == (2, 6)
 
 
+def test_surge_and_dive_of_pages():
+    long, menu = "word " * 40, "<nav><ul><li>Home<li>News<li>About</ul></nav>"
+    text = long.strip()
+    # Behind a menu's lines of length 0 the sums have dived: stray lines there go, a further stretch that surges stays.
+    assert html_extract.main_text(f"<h1>Headline</h1><p>By me</p><p>Today</p><p>Here</p><p>{long}</p>{menu}<p>Copyright 2020</p>") == f"Headline\nBy me\nToday\nHere\n{text}"
+    assert html_extract.main_text(f"<p>Stray</p>{menu}<p>{long}</p>{menu}<p>Short</p><p>{long}</p><div class=ad>Buy</div><p>End</p>") == f"{text}\nShort\n{text}\nEnd"
+    assert html_extract.main_text(f"<p>Stray</p>{menu}<p>Short</p>") == "Stray\nShort"
+    # Of marked articles those without a surge go, unless none has one. What is excluded inside an article never ends it.
+    teaser = "<article><h2>Other</h2></article>"
+    assert html_extract.main_text(f"{teaser}<p>{long}</p><p>a</p><p>b</p><article><h1>Head</h1><p>{long}</p>{menu}{menu}<p>End</p></article>{menu}{teaser}") == f"Head\n{text}\nEnd"
+    assert html_extract.main_text(f"{teaser}{menu}<article><p>Brief</p></article>") == "Other\nBrief"
+    assert html_extract.main_text("<article><p>In <span class=share><div>Like</div></span></p></article>") == "In"
+    assert html_extract.bodies_of([9, 0, 0, 90, 0, 0, 0, 9, 0, 0, 0, 50, 50], 3, 86) == [(0, 4), (11, 13)]
+
+
 def test_page_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (2, None, None, "t"), (None, "v", "<p>x</p>" * 20_000, "t")], "page_id long, url string, html string, text string")
     got = {r.page_id: r for r in html_extract.extract(pages).collect()}

@@ -2,9 +2,10 @@
 
 A page becomes lines: one per block element, with the markup stripped and character references
 decoded. Elements that are never article text (menus, forms, scripts, and blocks named as adverts, notices, comments
-and the like) make no line. Where the page marks its article, all lines in it are the body: these element rules alone decide.
-In other pages text lengths are summed over sliding windows of lines, and the body begins where these sums surge. As no
-line is empty the sums never dive, so it runs to the last line, and short lines before the surge are lost.
+and the like) have lines of length 0. Text lengths are summed over sliding windows of lines: where a window's sum dives to 0 a stretch of text
+ends, and a stretch is body if some window in it surges. Stretches that never surge go, as stray lines behind a menu do; if none surges,
+all are body. Where the page marks articles, all lines outside them have length 0 too, while what is excluded inside one is no line:
+a marked article is never cut, and the distribution parts full articles from mere teasers.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.textwords import bounded_batches, column_of, text_slices
 
 WINDOW = 3  # lines in a block of the distribution
-SURGE = 86  # characters in a window from which a body may begin
+SURGE = 86  # characters in a window that make a stretch a body
 
 # Elements whose text never shows or never belongs to an article.
 HIDDEN = frozenset("script style noscript template svg math canvas iframe object audio video select option button textarea title head".split())
@@ -43,20 +44,22 @@ _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "tex
 
 
 def lines_of(page: str) -> list[tuple[str, bool]]:
-    """(text, whether it stands in a marked article) of each line that is not of an excluded element. Linear in the page."""
-    stack: list[tuple[str, bool, bool]] = []  # name, excluded, article
+    """(text, whether it stands in a marked article) of each line; the text of an excluded line is empty. Linear in the page."""
+    stack: list[tuple[str, bool, bool]] = []  # name, excluded, article (of an excluded element: whether it stands in one)
     places: dict[str, list[int]] = {}  # of the open elements of each name
     blocks: list[int] = []  # places of the open block elements
     lines: list[tuple[str, bool]] = []
     held: list[str] = []
+    gap = False  # excluded text since the last line
     at = 0
 
     def flush() -> None:
-        if held:
-            text = " ".join(html.unescape("".join(held)).split())
-            if text:
-                lines.append((text, bool(stack) and stack[-1][2]))
-            held.clear()
+        nonlocal gap
+        text = " ".join(html.unescape("".join(held)).split()) if held else ""
+        if text or gap:
+            lines.append((text, bool(stack) and stack[-1][2]))
+        held.clear()
+        gap = False
 
     def close(first: int) -> None:
         while len(stack) > first:
@@ -70,6 +73,8 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
         text = page[at : m.start() if m else len(page)]
         if text and not (stack and stack[-1][1]):
             held.append(text)
+        elif text and not text.isspace():
+            gap = True
         if m is None:
             break
         at = m.end()
@@ -112,39 +117,42 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
         places.setdefault(name, []).append(len(stack))
         if name in BLOCK:
             blocks.append(len(stack))
-        stack.append((name, above[1] or apart, article and not apart))
+        apart = above[1] or apart
+        stack.append((name, apart, above[2] if apart else article))
     flush()
     return lines
 
 
-def body_of(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
-    """First line of the surge and the line after the dive, of the body with the most text; (0, 0) if none surges."""
+def bodies_of(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """First line, and the line at the dive, of each stretch of lines in which a window surges."""
     n = len(lengths)
     sums = [sum(lengths[i : i + window]) for i in range(n)]
-    best, i = (0, 0, 0), 0
+    out, i = [], 0
     while i < n:
-        if sums[i] >= surge and lengths[i]:
+        if lengths[i]:
             end = i
             while end < n and sums[end]:
                 end += 1
-            best = max(best, (sum(lengths[i:end]), -i, -end))
+            if max(sums[i:end]) >= surge:
+                out.append((i, end))
             i = end
         i += 1
-    return -best[1], -best[2]
+    return out
+
+
+def body_of(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
+    """The body with the most text, the first of several; (0, 0) if none surges."""
+    return max(bodies_of(lengths, window, surge), key=lambda x: sum(lengths[x[0] : x[1]]), default=(0, 0))
 
 
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     lines = lines_of(page or "")
-    marked = [t for t, article in lines if article]
-    # In a marked article no line has length 0, so the surge is its first line and the dive its last.
-    texts = marked or [t for t, _ in lines]
-    if marked:
-        first, end = body_of([max(len(t), surge) for t in texts], window, surge)
+    if any(t and article for t, article in lines):
+        texts = [t if article else "" for t, article in lines if t or not article]
     else:
-        first, end = body_of([len(t) for t in texts], window, surge)
-        if end == first:
-            first, end = 0, len(texts)
-    return "\n".join(texts[first:end])
+        texts = [t for t, _ in lines]
+    bodies = bodies_of([len(t) for t in texts], window, surge) or [(0, len(texts))]
+    return "\n".join(t for first, end in bodies for t in texts[first:end] if t)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
