@@ -117,6 +117,31 @@ def test_near_duplicates_against_all_pairs(docs):
     assert got == {i: find(i) for i in sets}
 
 
+def test_only_rows_that_may_meet_are_kept_for_buckets_and_features(docs, monkeypatch):
+    words, rng = vocabulary(9), random.Random(9)
+    rows = [(k, " ".join(rng.choices(words, k=60))) for k in range(200)]
+    rows += [(200 + k, f"{rows[k][1]} more") for k in range(5)]
+    pinned, passed = {}, []
+    pin, chosen = near_dedup.pin, near_dedup.rows_in_plane
+
+    def counted(df, label, **given):
+        out = pin(df, label, **given)
+        pinned[label] = out.count()
+        return out
+
+    def filtered(*given):
+        out = chosen(*given)
+        passed.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "pin", counted)
+    monkeypatch.setattr(near_dedup, "rows_in_plane", filtered)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs(rows)).collect()}
+    assert got == {i: i if i < 200 else i - 200 for i, _ in rows}
+    assert pinned["sketches"] == 205 and 0 < pinned["meeting"] < 400  # of 205 x 32
+    assert 10 <= passed[0] < 30
+
+
 def test_near_duplicate_edges(docs):
     got = near_dedup.near_duplicates(docs(EDGES)).collect()
     assert len(got) == len(EDGES)

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.exact_dedup import in_plane, plane_of, rows_in_plane
 from tidemark.llm.textwords import bounded_batches, column_of, grams, mixed, text_slices, words_of
 from tidemark.session import pin
 
@@ -262,12 +263,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, seed: int = 1
     rows = pin(given.mapInArrow(sketch, f"_id {kind}, key binary, sketch binary, shingles binary, counts binary"), "sketches")
     texts = pin(rows.where(F.length("shingles") > 0).groupBy("key").agg(F.first("sketch").alias("sketch")), "texts")
 
-    def bands(batches):
-        for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(batch.num_rows, 2 * SAMPLES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bands_of(x).tolist(), pa.list_(pa.int64()))], ["key", "bands"])
-
-    member = texts.select("key", "sketch").mapInArrow(bands, "key binary, bands array<long>").select("key", F.explode("bands").alias("band"))
+    def members_of(chosen=None, bits: int = 0) -> DataFrame:
+        """(key, band) of each text, of the bands that may be in the filter ``chosen`` if one is given."""
+        def bands(batches):
+            for batch in batches:
+                x = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(batch.num_rows, 2 * SAMPLES)
+                found = bands_of(x)
+                hit = in_plane(chosen.value, found.ravel(), bits).reshape(found.shape) if chosen is not None else np.ones(found.shape, bool)
+                cut = np.concatenate([[0], np.cumsum(hit.sum(1))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cut), pa.array(found[hit]))], ["key", "bands"])
+
+        return texts.select("key", "sketch").mapInArrow(bands, "key binary, bands array<long>").select("key", F.explode("bands").alias("band"))
+
+    # Most bands are of one text. They are counted alone, and texts meet in the others.
+    repeated = pin(members_of().groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"), "repeated")
+    plane, bits = plane_of(repeated.select(F.col("band").alias("h")))
+    member = pin(members_of(spark.sparkContext.broadcast(plane), bits), "meeting")
     # Four centres of each bucket, whatever its size; buckets of one text go.
     centre = member.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.array(
         F.min("key"), F.max("key"), F.min_by("key", F.xxhash64("key", F.lit(1))), F.min_by("key", F.xxhash64("key", F.lit(2))))).alias("c")).where("n > 1")
@@ -283,9 +294,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, seed: int = 1
     best = pin(met.groupBy("a").agg(F.max_by("b", F.struct("agreement", "b")).alias("b")), "best")
 
     def features_of(needed: DataFrame) -> DataFrame:
-        return rows.join(needed, "key", "left_semi").groupBy("key").agg(*[F.first(c).alias(c) for c in ("sketch", "shingles", "counts")])
+        """Sketches and shingles of the texts in ``needed(key)``; rows that a filter of its keys rules out are not shuffled."""
+        plane, bits = plane_of(needed.select(F.xxhash64("key").alias("h")))
+        may = rows_in_plane(rows.withColumn("_h", F.xxhash64("key")), "_h", spark.sparkContext.broadcast(plane), bits, True)
+        return may.join(needed, "key", "left_semi").groupBy("key").agg(*[F.first(c).alias(c) for c in ("sketch", "shingles", "counts")])
 
-    ends = best.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    ends = pin(best.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "ends")
     links = pin(verified(best, features_of(ends), idf, threshold), "verified")
     roots = components(links)
 
@@ -347,7 +361,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, seed: int = 1
     sketched = members.join(texts, "key")
     close = pin(in_units(sketched, "sketch").mapInArrow(screen, "band long, key binary").distinct(), "close")
     members = members.join(close, ["band", "key"], "left_semi")
-    units = in_units(members.join(features_of(close.select("key").distinct()), "key"), "sketch", "shingles", "counts")
+    asked = pin(close.select("key").distinct(), "asked")
+    units = in_units(members.join(features_of(asked), "key"), "sketch", "shingles", "counts")
 
     def meet(batches):
         unit, askers, sketch = None, [], None
