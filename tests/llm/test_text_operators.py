@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import decontamination, html_extract, language_id, mixing, pii, token_counts, token_files
@@ -178,6 +179,53 @@ def test_time_of_deep_pages_is_linear():
     assert seconds(16_000) < 40 * max(seconds(1_000), 0.01)
 
 
+def test_kept_words_are_bounded(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "CACHED_WORDS", 60)
+    monkeypatch.setattr(token_files, "CACHED_IDS", 400)
+    monkeypatch.setattr(token_files, "NEW_WORDS", 7)
+    rng, library, encoder = random.Random(5), Tokenizer.from_file(WORD_BPE), token_files.WordEncoder(WORD_BPE)
+    word = lambda: "".join(rng.choice("abcdeé漢1.,") for _ in range(rng.randint(1, 9)))
+    for k in range(60):
+        texts = [" ".join(["often", "again", *(word() for _ in range(12))]), "", word() * (200 if k % 9 == 0 else 1)]
+        ids, upto = encoder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(upto, upto[1:])] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        # At most what a slice adds lies above the bounds, and nothing stays that no kept word has.
+        assert len(encoder.hashes) <= 60 and len(encoder.ids) == encoder.size.sum() <= 400 + len(ids)
+        assert (np.diff(encoder.hashes.astype(object)) > 0).all() and len(encoder.again) == len(encoder.hashes)
+
+
+def test_words_that_came_again_stay(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHED_WORDS", 8)
+    encoder = token_files.WordEncoder(WORD_BPE)
+    asked = []
+    library = encoder.words
+    monkeypatch.setattr(encoder, "words", lambda words: asked.extend(words) or library(words))
+    for k in range(30):
+        encoder.encode(pa.array([f"often w{k} x{k}"]))
+    assert asked.count("often") == 1
+
+
+def test_arrow_batches_are_bounded_in_bytes(spark):
+    from tidemark.llm.textwords import bounded_batches
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name, None)
+    try:
+        spark.conf.unset(name)
+        bounded_batches(spark)
+        assert int(spark.conf.get(name)) == 4 << 20
+        rows = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches)
+        long = spark.range(12, numPartitions=1).selectExpr("repeat('x', 3000000) AS t").mapInArrow(rows, "n long").collect()
+        assert sum(r.n for r in long) == 12 and max(r.n for r in long) <= 2
+        spark.conf.set(name, "1000000")  # a size of the session's own
+        bounded_batches(spark)
+        assert spark.conf.get(name) == "1000000"
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
 def test_token_files_round_trip(docs, spark, tmp_path):
     from tokenizers import Tokenizer
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.exact_dedup import in_plane, plane_of, rows_in_plane
-from tidemark.llm.textwords import bounded_batches, column_of, grams, mixed, text_slices, words_of
+from tidemark.llm.textwords import bounded_batches, column_of, give_back, grams, mixed, text_slices, words_of
 from tidemark.session import pin
 
 SHINGLE = 5
@@ -196,6 +196,7 @@ def verified(pairs: DataFrame, features: DataFrame, idf: np.ndarray, threshold:
             keep = [k for k, x in enumerate(sets) if max(similarities(*(np.frombuffer(v, "<u4") for v in x), table.value)) >= threshold - 1e-9]
             keep = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([column_of(batch, "a").take(keep), column_of(batch, "b").take(keep)], ["a", "b"])
+        give_back()
 
     left = features.select(F.col("key").alias("a"), F.col("shingles").alias("_sa"), F.col("counts").alias("_ca"))
     right = features.select(F.col("key").alias("b"), F.col("shingles").alias("_sb"), F.col("counts").alias("_cb"))
@@ -356,6 +357,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, seed: int = 1
         late = found()
         if late:
             yield pa.RecordBatch.from_arrays([pa.array([unit[0]] * len(late), pa.int64()), pa.array(late, pa.binary())], ["band", "key"])
+        give_back()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sketched = members.join(texts, "key")
@@ -395,6 +397,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, seed: int = 1
                         a.append(min(key, other))
                         b.append(max(key, other))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+        give_back()
 
     late = pin(units.mapInArrow(meet, "a binary, b binary").distinct(), "late")
     if not late.isEmpty():

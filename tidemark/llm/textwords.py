@@ -6,6 +6,7 @@ sequence, so words are found on the bytes of a whole slice at once.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -14,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 SLICE_BYTES = 1 << 20
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = 0x20
 _FOLD[0x41:0x5B] += 0x20
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -111,11 +113,22 @@ def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.arange(m) + n <= w.first[w.row + 1]
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Let Arrow batches of this session hold at most ``rows`` rows: whole texts are long, and a batch is held twice."""
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Let Arrow batches of this session hold at most ``rows`` rows and end with the row that makes them ``size`` bytes, unless
+    the session has a size of its own: whole texts are long, and a batch is held twice."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(size))
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as workers stay for later tasks of other operators."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:  # glibc keeps what lies between pieces still in use
+        _TRIM(0)
 
 
 def text_slices(batches: Iterable[pa.RecordBatch], column: str, budget: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -129,7 +142,7 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str, budget: int = SL
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + budget, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
-    pa.default_memory_pool().release_unused()  # workers stay for later tasks of other operators
+    give_back()
 
 
 def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:

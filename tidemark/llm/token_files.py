@@ -20,11 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.textwords import bounded_batches, column_of, text_slices, words_of
+from tidemark.llm.textwords import bounded_batches, column_of, give_back, text_slices, words_of
 
 RANK_BITS = 512
 BLOCK_TOKENS = 1 << 18
-CACHED_WORDS = 1_500_000  # about 60 MB
+CACHED_WORDS, CACHED_IDS = 1 << 19, 1 << 22  # about 30 MB
+CACHED_MARKS = 1 << 14
+NEW_WORDS = 1 << 14  # words that are Python objects at a time
 SCHEMA = ("shard int, block int, first long, n_tokens long, doc_ids array<{kind}>, ends array<long>, "
           "codes array<binary>, bitmaps array<binary>, ranks array<binary>")
 Levels = list[tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -71,8 +73,8 @@ _MARKS = ".,;:!?*#$%&|"
 class WordEncoder:
     """Ids of texts by a ``tokenizers`` file whose pre-tokens never cross white space.
 
-    The library encodes each different word once; its ids are kept in arrays sorted by the word's 64-bit hash, of which a
-    task looks up all words of a slice at once. ASCII letters need no normalising and no splitting and go to
+    The library encodes the different words of a slice that are not kept from earlier ones; ids are kept in arrays sorted by the
+    word's 64-bit hash, of which a task looks up all words of a slice at once. When they are full, words that came again stay. ASCII letters need no normalising and no splitting and go to
     the model itself, other letters in lines that are cut at the end-of-word tokens, all else as it stands.
     """
 
@@ -90,7 +92,21 @@ class WordEncoder:
 
     def forget(self) -> None:
         self.hashes, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.ids, self.again = np.zeros(0, np.uint32), np.zeros(0, bool)
+
+    def _make_room(self) -> None:
+        """Keep the words looked up again since the last time, or none if they fill more than half."""
+        keep = np.flatnonzero(self.again)
+        hashes, size = self.hashes[keep], self.size[keep]
+        if 2 * len(keep) > CACHED_WORDS or 2 * int(size.sum()) > CACHED_IDS:
+            return self.forget()
+        self.ids = self._ids_at(self.first[keep], size)[0]
+        self.hashes, self.first, self.size, self.again = hashes, np.cumsum(size) - size, size, np.zeros(len(keep), bool)
+
+    def _ids_at(self, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words with these places, one after the other, and where each begins (with the end)."""
+        upto = np.concatenate([[0], np.cumsum(size)])
+        return self.ids[np.repeat(first - upto[:-1], size) + np.arange(upto[-1])], upto
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -126,7 +142,7 @@ class WordEncoder:
             out[k] = ids
         for k, core, mark in split:
             out[k] = cores[core] + self.marks[mark] if mark else cores[core]
-        if len(self.marks) > CACHED_WORDS:
+        if len(self.marks) > CACHED_MARKS:
             self.marks = {"": []}
         return out
 
@@ -141,22 +157,27 @@ class WordEncoder:
         """All ids of a slice, and the place of each row's first id (with the end)."""
         w = words_of(texts)
         different, where, which = np.unique(w.hash, return_index=True, return_inverse=True)
-        if len(self.hashes) + len(different) > CACHED_WORDS:
-            self.forget()
         at, known = self._place(different)
+        self.again[at[known]] = True
+        if len(self.hashes) + len(different) - int(known.sum()) > CACHED_WORDS or len(self.ids) > CACHED_IDS:
+            self._make_room()
+            at, known = self._place(different)
         if not known.all():
             new, place = different[~known], where[~known]
-            # A row may begin in the middle of the buffer, never in the middle of a character.
-            ids = self.words([w.data[a:b].tobytes().decode("utf-8") for a, b in zip(w.start[place].tolist(), w.end[place].tolist())])
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            ids, size = [self.ids], []
+            for k in range(0, len(new), NEW_WORDS):
+                some = place[k : k + NEW_WORDS]
+                # A row may begin in the middle of the buffer, never in the middle of a character.
+                found = self.words([w.data[a:b].tobytes().decode("utf-8") for a, b in zip(w.start[some].tolist(), w.end[some].tolist())])
+                size.append(np.fromiter(map(len, found), np.int64, len(found)))
+                ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(size[-1].sum())))
+            size = np.concatenate(size)
             first = len(self.ids) + np.cumsum(size) - size
             to = np.searchsorted(self.hashes, new)
             self.hashes, self.first, self.size = np.insert(self.hashes, to, new), np.insert(self.first, to, first), np.insert(self.size, to, size)
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
+            self.ids, self.again = np.concatenate(ids), np.insert(self.again, to, False)
             at, _ = self._place(different)
-        first, size = self.first[at][which], self.size[at][which]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        flat = self.ids[np.repeat(first - upto[:-1], size) + np.arange(upto[-1])]
+        flat, upto = self._ids_at(self.first[at][which], self.size[at][which])
         return flat, upto[w.first]
 
 
@@ -236,7 +257,8 @@ def stored_documents(stored: DataFrame) -> DataFrame:
 
     def decode(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]  # one block at a time
                 ids = dac_decode(_levels(row["codes"], row["bitmaps"], row["ranks"])).astype("<u4")
                 ends = np.array(row["ends"], np.int64)
                 starts = np.concatenate([[0], ends[:-1]])
@@ -246,6 +268,7 @@ def stored_documents(stored: DataFrame) -> DataFrame:
                     pa.array(starts + row["first"]), pa.array(ends - starts),
                     pa.array([zlib.crc32(raw[a * 4 : b * 4]) for a, b in zip(starts.tolist(), ends.tolist())], pa.int64())],
                     ["shard", "doc_id", "place", "n_tokens", "ids_crc32"])
+        give_back()
 
     docs = stored.mapInArrow(decode, f"shard int, doc_id {kind}, place long, n_tokens long, ids_crc32 long")
     totals = stored.groupBy("shard").agg(F.sum("n_tokens").alias("_n"))
